@@ -27,11 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def files_for(spark: SparkSession, rows: int, each: int = 50_000) -> int:
+    """How many tasks and files a table of so many narrow rows deserves: all cores, more as it grows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, so a lost
     executor costs only the tasks it was running. The reader has no memory of how rows were
-    dealt out, which leaves a later join free to split its hot partitions."""
+    dealt out, which leaves a later join free to split its hot partitions. `files` bounds the
+    number of files where the row count is known and a file for each partition would be tiny."""
     spark = df.sparkSession
+    if files:
+        df = df.coalesce(files)
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

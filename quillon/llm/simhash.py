@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, need, seeded, words_of
+from quillon.llm.common import files_for, materialise, need, seeded, words_of
 from quillon.llm.components import connected_components
 
 RADIUS = 3
@@ -141,7 +141,7 @@ def _dealt(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows.repartition("c", "k", "p").sortWithinPartitions("c", "k", "p").mapInPandas(_link(limit), _LINKED)
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, files: int | None = None) -> DataFrame:
     """Edges (u, v) that connect exactly the classes of the link relation over distinct `fp`.
 
     Emits a forest for each bucket, not its pairs. A bucket of more than BUCKET fingerprints is
@@ -149,12 +149,12 @@ def links(fps: DataFrame) -> DataFrame:
     """
     combos = F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_block_masks())))
     keyed = fps.select("fp", F.explode(combos).alias("x")).select("x.c", "x.k", F.lit(0).cast("long").alias("p"), "fp")
-    first = materialise(_dealt(keyed, BUCKET))
+    first = materialise(_dealt(keyed, BUCKET), files)
     over = first.filter("kind = 1").select("c", "k", F.col("u").alias("fp"))
     if over.isEmpty():
         return first.select("u", "v")
     parts = over.groupBy("c", "k").agg(F.ceil(F.count("*") / (BUCKET // 2)).cast("long").alias("n"))
-    parts = materialise(parts)
+    parts = materialise(parts, files)
     mine = F.pmod(F.xxhash64("fp"), F.col("n"))
     paired = over.join(parts, ["c", "k"]).select("c", "k", "fp", "n", mine.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
     paired = paired.select("c", "k", (F.least("a", "b") * F.col("n") + F.greatest("a", "b")).alias("p"), "fp")
@@ -170,11 +170,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     component. Empty tables give no rows.
     """
     rows = materialise(fingerprints(docs, id_col, text_col))
-    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = materialise(connected_components(links(distinct.select("fp"))))
-    rooted = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
-    least = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component")))
-    named = materialise(rooted.join(least, "root").select("fp", "component"))
+    files = files_for(docs.sparkSession, rows.count())
+    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("rep")), files)
+    roots = materialise(connected_components(links(distinct.select("fp"), files), files), files)
+    rooted = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), files)
+    least = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component")), files)
+    named = materialise(rooted.join(least, "root").select("fp", "component"), files)
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
