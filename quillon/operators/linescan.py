@@ -64,7 +64,8 @@ def clamped_limits(requests: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def grep(lines: DataFrame, pattern: str, context: int, *keys: str) -> DataFrame:
-    """Lines within `context` of a hit, with `hit` and `separator` (a `--` line goes before it).
+    """Lines within `context` of a hit, with `hit`, `separator` (a `--` line goes before it) and
+    `group`, the line of the hit that emits them.
 
     Each line comes once. A separator stands before the first line of every hit but the first, also
     between neighbouring hits, unless the line emitted before ends in `--`.
@@ -80,18 +81,21 @@ def grep(lines: DataFrame, pattern: str, context: int, *keys: str) -> DataFrame:
     kept = kept.withColumn("__g", group)
     change = F.coalesce(F.lag("__g").over(w) != F.col("__g"), F.lit(False))
     before = F.coalesce(F.endswith(F.lag("line").over(w), F.lit("--")), F.lit(False))
-    return kept.withColumn("separator", change & ~before).select(*keys, "line_no", "line", "hit", "separator")
+    return kept.withColumn("separator", change & ~before).select(*keys, "line_no", "line", "hit", "separator", F.col("__g").alias("group"))
 
 
 def capped(lines: DataFrame, cap: Column | int, *keys: str, separator: Column | None = None) -> DataFrame:
     """Emitted lines under a byte cap: `out` is what of a line (and its separator) is emitted.
 
     The line at which the cap is reached is cut at that byte, a character cut in two is replaced.
+    `truncated` tells for each line whether its stream is longer than the cap.
     """
     limit = (cap if isinstance(cap, Column) else F.lit(cap)).cast("long")
     chunk = F.concat(F.when(separator, F.lit("--\n")).otherwise(F.lit("")) if separator is not None else F.lit(""), "line", F.lit("\n"))
-    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("__chunk", chunk).withColumn("bytes_to", F.sum(F.octet_length("__chunk").cast("long")).over(w))
+    w = Window.partitionBy(*keys).orderBy("line_no")
+    size = F.octet_length("__chunk").cast("long")
+    rows = lines.withColumn("__chunk", chunk).withColumn("bytes_to", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("truncated", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > limit)
     rows = rows.withColumn("bytes_before", F.col("bytes_to") - F.octet_length("__chunk")).filter(F.col("bytes_before") < limit)
     cut = F.make_valid_utf8(F.substring(F.col("__chunk").cast("binary"), F.lit(1), (limit - F.col("bytes_before")).cast("int")).cast("string"))
     return rows.withColumn("out", F.when(F.col("bytes_to") <= limit, F.col("__chunk")).otherwise(cut)).drop("__chunk")
@@ -99,11 +103,9 @@ def capped(lines: DataFrame, cap: Column | int, *keys: str, separator: Column |
 
 def output(lines: DataFrame, cap: Column | int, *keys: str, separator: Column | None = None) -> DataFrame:
     """(keys, text, truncated) of each stream."""
-    limit = (cap if isinstance(cap, Column) else F.lit(cap)).cast("long")
-    rows = capped(lines, limit, *keys, separator=separator)
-    total = F.max("bytes_to")
+    rows = capped(lines, cap, *keys, separator=separator)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "out"))), lambda x: x["out"]), "")
-    return rows.groupBy(*keys).agg(text.alias("text"), (total > F.first(limit)).alias("truncated"))
+    return rows.groupBy(*keys).agg(text.alias("text"), F.bool_or("truncated").alias("truncated"))
 
 
 def hits_before_cap(found: DataFrame, cap: int, *keys: str) -> DataFrame:
@@ -112,6 +114,5 @@ def hits_before_cap(found: DataFrame, cap: int, *keys: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("line_no")
     rows = found.withColumn("__b", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # a hit counts once its first chunk is reached; that is its group's first line
-    rows = rows.withColumn("__g", F.sum(F.when(F.col("separator"), 1).otherwise(0)).over(w))
-    first = rows.groupBy(*keys, "__g").agg(F.min("__b").alias("__b"), F.sum(F.col("hit").cast("long")).alias("__h"))
-    return first.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("__b") <= cap, F.col("__h"))), F.lit(0)).alias("matched"))
+    first = rows.groupBy(*keys, "group").agg(F.min("__b").alias("__b"))
+    return first.groupBy(*keys).agg(F.count_if(F.col("__b") <= cap).alias("matched"))

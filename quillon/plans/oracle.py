@@ -123,7 +123,7 @@ ORACLES: dict[str, str] = {
     "line_context_grep": f"{_GREP} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, hit, separator, CAST(strlen(line) AS BIGINT) AS bytes FROM s",
     "grep_matched": f"""{_GREP}, b AS (SELECT *, coalesce(sum(strlen(line) + 1 + CASE WHEN separator THEN 3 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
       c AS (SELECT doc_id, g, min(before) AS first, count(*) FILTER (hit) AS hits FROM b GROUP BY 1, 2) SELECT doc_id, CAST(coalesce(sum(hits) FILTER (first <= 512), 0) AS BIGINT) AS matched FROM c GROUP BY 1""",
-    "byte_capped_emit": f"WITH {_LINES}, r AS (SELECT doc_id, line_no, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS upto, strlen(line) + 1 AS own FROM l) SELECT doc_id, count(*) AS lines, CAST(least(max(upto), 256) AS BIGINT) AS bytes, max(upto) > 256 AS truncated FROM r WHERE upto - own < 256 GROUP BY 1",
+    "byte_capped_emit": f"WITH {_LINES}, r AS (SELECT doc_id, line_no, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS upto, strlen(line) + 1 AS own, sum(strlen(line) + 1) OVER (PARTITION BY doc_id) AS whole FROM l) SELECT doc_id, count(*) AS lines, CAST(least(max(upto), 256) AS BIGINT) AS bytes, max(whole) > 256 AS truncated FROM r WHERE upto - own < 256 GROUP BY 1",
     "diff_parse_lines": f"WITH {_NUMBERED} SELECT doc_id, CASE m WHEN 0 THEN ' ' WHEN 1 THEN '-' ELSE '+' END AS sign, old_ln, new_ln, CAST(length(t) AS BIGINT) AS chars FROM q WHERE NOT lost",
     "hunk_old_new": f"WITH {_DIFFS} SELECT doc_id, 'src/f.c' AS path, count(*) FILTER (m = 1 AND NOT lost) AS old_lines, count(*) FILTER (m = 2 AND NOT lost) AS new_lines, CAST(coalesce(length(string_agg(t, chr(10)) FILTER (m = 2 AND NOT lost)), 0) AS BIGINT) AS new_chars FROM z GROUP BY 1",
     "changed_in_range": f"WITH {_NUMBERED} SELECT DISTINCT doc_id, CASE m WHEN 1 THEN 'old' ELSE 'new' END AS side, CASE m WHEN 1 THEN old_ln ELSE new_ln END AS ln FROM q WHERE m > 0 AND NOT lost AND CASE m WHEN 1 THEN old_ln ELSE new_ln END BETWEEN 12 AND 21",

@@ -235,7 +235,7 @@ def grep_matched(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def byte_capped_emit(spark: SparkSession, sf: str) -> DataFrame:
     rows = linescan.capped(_lines(spark, sf), 256, "doc_id")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.least(F.max("bytes_to"), F.lit(256)).cast("long").alias("bytes"), (F.max("bytes_to") > 256).alias("truncated"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.least(F.max("bytes_to"), F.lit(256)).cast("long").alias("bytes"), F.bool_or("truncated").alias("truncated"))
 
 
 def _synthetic_diffs(spark: SparkSession, sf: str) -> DataFrame:
