@@ -37,7 +37,8 @@ def unescape(s: str) -> str:
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """One turn, and where its text begins and ends in it."""
-    head = OPEN + escape(role[:1].upper() + role[1:] if role.islower() and role.isascii() else "\\" + role).replace(":", "\\c") + ": "
+    named = role[:1].upper() + role[1:] if "a" <= role[:1] <= "z" else "\\" + role
+    head = OPEN + escape(named).replace(":", "\\c") + ": "
     body = escape(text)
     return head + body + CLOSE, len(head), len(head) + len(body)
 

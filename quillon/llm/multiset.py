@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,11 +87,11 @@ def fingerprint(text: str | None) -> str:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "fingerprint": [fingerprint(t) for t in b["t"]]})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.string())], names=["id", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {dict(docs.dtypes)[id_col]}, fingerprint string")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, fingerprint string")
 
 
 def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,33 +108,32 @@ def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.int64)))
     kind = dict(docs.dtypes)[id_col]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known = b["id"].notna().to_numpy()
-            at = np.zeros(len(b), np.int64)
-            at[known] = 1 + np.searchsorted(bounds.value, b["id"][known].to_numpy(np.int64), "right")
-            yield pd.DataFrame({"b": at, "id": b["id"], "t": b["t"]})
+    def place(ids: pa.Array) -> np.ndarray:
+        at = 1 + np.searchsorted(bounds.value, ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), "right")
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int64)
 
-    def ids_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in place(x.assign(t="") for x in batches):
-            yield b.groupby("b", as_index=False)["id"].min()
+    def first_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = pa.table({"b": place(b.column(0)), "id": b.column(0)}).group_by("b").aggregate([("id", "min")])
+            yield from least.rename_columns(["b", "id"]).select(["b", "id"]).combine_chunks().to_batches()
 
-    heads = docs.select(F.col(id_col).alias("id")).mapInPandas(ids_only, f"b long, id {kind}").groupBy("b").agg(F.min("id").alias("id")).collect()
+    heads = docs.select(F.col(id_col).alias("id")).mapInArrow(first_ids, f"b long, id {kind}").groupBy("b").agg(F.min("id").alias("id")).collect()
     heads = sorted((r["b"], r["id"]) for r in heads)
     before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
     lent = {i: before[b] for b, i in heads}
-    first_null = None in lent
-
-    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in place(batches):
-            b["lent"] = False
-            yield b
-            ids = b["id"].astype(object).where(b["id"].notna(), None)
-            again = b[[(i in lent) if i is not None else first_null for i in ids]]
-            if len(again):
-                yield again.assign(b=[lent[None if pd.isna(i) else int(i)] for i in again["id"]], lent=True)
-
-    placed = rows.mapInPandas(copy, f"b long, id {kind}, t string, lent boolean")
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n = b.column(0), b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(place(ids)), ids, b.column(1), pa.array(np.zeros(n, bool))], names=names)
+            again = [k for k, i in enumerate(ids.to_pylist()) if i in lent]
+            if again:
+                some = b.take(pa.array(again))
+                to = pa.array([lent[i] for i in some.column(0).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([to, some.column(0), some.column(1), pa.array(np.ones(len(again), bool))], names=names)
+
+    names = ["b", "id", "t", "lent"]
+    placed = rows.mapInArrow(copy, f"b long, id {kind}, t string, lent boolean")
     return placed.repartition(partitions(spark), "b").sortWithinPartitions("b", "lent", "id", "t")
 
 
@@ -145,14 +144,12 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     much of the beginning of the next text by id, or by all of that if it is shorter. Ties in the
     id go by text. A table of one row is its own successor; an empty one gives no rows.
     """
-    columns = "id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # range, id, text, vector
         took = False
         for batch in batches:
             out = []
-            for b, i, t, lent in zip(batch["b"].tolist(), batch["id"], batch["t"], batch["lent"].tolist()):
+            for b, i, t, lent in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 same = held is not None and held[0] == b
                 if lent and not (same and not took):
                     continue
@@ -166,8 +163,13 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 took = bool(lent)
                 held = (b, i, t, v)
             if out:
-                done = pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-                done["id"] = done["id"].astype("Int64") if done["id"].map(lambda x: isinstance(x, (int, float, np.number)) or x is None).all() else done["id"]
-                yield done
+                columns = [list(c) for c in zip(*out)]
+                kinds = [batch.schema.field(1).type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_EDITS)
+
+    kind = dict(docs.dtypes)[id_col]
+    types = (kind, "long", "string", "string", "string", "double", "double")
+    return in_order_with_next(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(_EDITS, types)))
+
 
-    return in_order_with_next(docs, id_col, text_col).mapInPandas(run, columns.format(dict(docs.dtypes)[id_col]))
+_EDITS = ("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

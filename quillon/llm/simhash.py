@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,13 +56,13 @@ def fingerprint(text: str | None, slab: int = 65536) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of every row; null texts count as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter(map(fingerprint, b["t"]), np.uint64, len(b)).view(np.int64)
-            yield pd.DataFrame({"id": b["id"], "fp": fp})
+            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return need(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("t")]).mapInPandas(run, f"id {kind}, fp long")
+    return need(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("t")]).mapInArrow(run, f"id {kind}, fp long")
 
 
 def spanning_edges(fps: np.ndarray) -> list[tuple[int, int]]:
