@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +40,18 @@ def analysis_json(text: Column) -> Column:
     whole = F.try_parse_json(t)
     found = F.coalesce(whole, F.try_parse_json(braces(t)))
     return F.when(F.startswith(F.schema_of_variant(found), F.lit("OBJECT")), found)
+
+
+@F.pandas_udf("string")
+def pretty(text: pd.Series) -> pd.Series:
+    """JSON text indented by two, characters kept; Spark's own printer spaces it otherwise."""
+    return text.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False))
+
+
+def prompt_payload(cve: Column, metadata: Column, binaries: Column, resolution: Column, target_dir: Column, compiler: Column, optimisation: Column) -> Column:
+    """The task payload of a prompt; `metadata` is JSON text, `resolution` a map."""
+    fields = F.struct(
+        cve.alias("cve"), F.parse_json(metadata).alias("metadata"), binaries.alias("requested_binaries"), resolution.alias("binary_resolution"),
+        target_dir.alias("target_dir"), compiler.alias("compiler"), optimisation.alias("optimization"),
+    )
+    return pretty(F.to_json(fields))

@@ -42,7 +42,7 @@ def safe_name(text: Column) -> Column:
 
 def optimisation_level(level: Column) -> Column:
     """`o0` as `O0`; other spellings stay."""
-    return F.when(F.regexp_like(level, F.lit("^o[0-9a-z]+$")), F.concat(F.lit("O"), F.substring(level, 2, 1000))).otherwise(level)
+    return F.when(F.regexp_like(level, F.lit("^[oO][0-9]$")), F.concat(F.lit("O"), F.substring(level, 2, 1))).otherwise(level)
 
 
 def is_code_path(path: Column) -> Column:

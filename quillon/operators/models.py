@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 MODES = ("on", "off", "inherit")
-EFFORTS = ("none", "minimal", "low", "medium", "high", "xhigh")
+EFFORTS = ("low", "medium", "high", "xhigh")
 CURRENT = "codex"
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import run_id_of
 
+#: The verdict of a CVE without metadata.
+NO_METADATA = ("Cannot inspect patch presence without metadata.", " not found in project metadata JSON")
+
 
 def select_cves(df: DataFrame, wanted: DataFrame | None = None, limit: int | None = None, zero_is_all: bool = False) -> DataFrame:
     """CVEs in code-point order, of those wanted, at most `limit`.
@@ -52,7 +55,7 @@ def with_metadata(planned: DataFrame, metadata: DataFrame) -> tuple[DataFrame, D
     """(runnable tasks with metadata, error verdicts of tasks whose CVE has none)."""
     joined = planned.join(metadata.withColumn("__has", F.lit(True)), "cve", "left")
     missing = joined.filter("__has is null").select("cve", F.explode("binaries").alias("binary"))
-    return joined.filter("__has").drop("__has"), error_rows(missing, F.lit("Missing CVE metadata."), F.lit("metadata has no such CVE"))
+    return joined.filter("__has").drop("__has"), error_rows(missing, F.lit(NO_METADATA[0]), F.concat(F.col("cve").cast("string"), F.lit(NO_METADATA[1])))
 
 
 def error_rows(binaries: DataFrame, reason: Column, evidence: Column) -> DataFrame:

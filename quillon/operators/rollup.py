@@ -10,7 +10,7 @@ def compact(functions: DataFrame) -> DataFrame:
     """One record for each CVE of its functions (project, cve, ord, function, cwe, summary, message, hunks, code).
 
     Hunks are put end to end in the functions' order, repeats kept; the first function's record
-    gives the first cwe and the message.
+    gives the first cwe and the message. Functions without code have no entry among the codes.
     """
     item = F.struct("ord", "function", "hunks", "code", "cwe", "summary", "message")
     rows = functions.groupBy("project", "cve").agg(F.sort_array(F.collect_list(item)).alias("f"))
@@ -18,7 +18,7 @@ def compact(functions: DataFrame) -> DataFrame:
     return rows.select(
         "project", F.col("cve").alias("cve_id"), F.coalesce(F.try_element_at(first["cwe"], F.lit(1)), F.lit("")).alias("cwe"), first["summary"].alias("vulnerability_description"),
         first["message"].alias("patch_commit_message"), F.flatten(F.transform("f", lambda x: F.coalesce(x["hunks"], F.array().cast("array<string>")))).alias("patch_hunk"),
-        F.transform("f", lambda x: F.struct(x["function"].alias("function"), x["code"].alias("code"))).alias("reduced_function_code"), F.transform("f", lambda x: x["function"]).alias("functions"),
+        F.filter(F.transform("f", lambda x: F.struct(x["function"].alias("function"), x["code"].alias("code"))), lambda x: F.coalesce(x["code"], F.lit("")) != "").alias("reduced_function_code"), F.transform("f", lambda x: x["function"]).alias("functions"),
     )
 
 

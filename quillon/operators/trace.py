@@ -64,17 +64,34 @@ def comparable_tokens(runs: DataFrame, baseline: str, key: str = "config") -> Da
     return total.crossJoin(F.broadcast(base)).withColumn("change_percent", change).drop("__b")
 
 
-def timing_markdown(executions: DataFrame, run_turns: DataFrame) -> DataFrame:
-    """(run_id, markdown): a run's turns and commands as two tables, durations in milliseconds' precision."""
+#: Headings of the timing report.
+TURNS_HEAD = "| Turn | Duration (s) | Input Tokens | Cached Input | Output Tokens | Reasoning Tokens |\n|---:|---:|---:|---:|---:|---:|"
+COMMANDS_HEAD = "| Rank | Duration (s) | Exit | Output Bytes | Command |\n|---:|---:|---:|---:|---|"
+NO_TURNS = "|  |  |  |  |  |  |"
+
+
+def _cells(*cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(c.cast("string"), F.lit("")) for c in cells)), F.lit(" |"))
+
+
+def timing_markdown(runs: DataFrame, executions: DataFrame, run_turns: DataFrame) -> DataFrame:
+    """(run_id, markdown) of runs (run_id, cve, elapsed, returncode): their turns and commands as tables.
+
+    Durations have three decimals, pipes in commands are escaped, and a run without turns has a
+    blank row.
+    """
     seconds = lambda c: F.format_string("%.3f", F.coalesce(F.col(c), F.lit(0.0)))
-    command = F.concat(F.lit("| "), seconds("elapsed"), F.lit(" | "), F.coalesce(F.col("exit_code").cast("string"), F.lit("")), F.lit(" | "), F.col("output_bytes").cast("string"), F.lit(" | `"), escape_cell(F.coalesce("command", F.lit(""))), F.lit("` |"))
-    turn = F.concat(F.lit("| "), seconds("elapsed"), F.lit(" | "), F.coalesce(F.col("usage.input_tokens").cast("string"), F.lit("")), F.lit(" | "), F.coalesce(F.col("usage.output_tokens").cast("string"), F.lit("")), F.lit(" |"))
+    turn_no = F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))
+    numbered = run_turns.withColumn("n", turn_no)
+    turn = _cells(F.col("n"), seconds("elapsed"), *(F.col(f"usage.{k}") for k in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")))
+    command = F.concat(F.lit("`"), escape_cell(F.coalesce("command", F.lit(""))), F.lit("`"))
+    row = _cells(F.col("rank"), seconds("elapsed"), F.col("exit_code"), F.coalesce("output_bytes", F.lit(0)), command)
 
-    def table(df: DataFrame, order: str, line: Column, name: str) -> DataFrame:
+    def lines(df: DataFrame, order: str, line: Column, name: str) -> DataFrame:
         rows = df.select("run_id", F.struct(F.col(order).alias("o"), line.alias("l")).alias("x"))
         return rows.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l"]), "\n").alias(name))
 
-    both = table(run_turns, "seq", turn, "t").join(table(executions, "rank", command, "c"), "run_id", "full")
-    head = "# Timing\n\n## Turns\n\n| seconds | input | output |\n|---|---|---|\n"
-    middle = "\n\n## Commands\n\n| seconds | exit | bytes | command |\n|---|---|---|---|\n"
-    return both.select("run_id", F.concat(F.lit(head), F.coalesce("t", F.lit("| | | |")), F.lit(middle), F.coalesce("c", F.lit("")), F.lit("\n")).alias("markdown"))
+    both = runs.join(lines(numbered, "n", turn, "__t"), "run_id", "left").join(lines(executions, "rank", row, "__c"), "run_id", "left")
+    top = F.format_string("# Codex Exec Timing: %s\n\nTotal wall time: %.3fs\nReturn code: %s\n", F.col("cve"), F.col("elapsed"), F.coalesce(F.col("returncode").cast("string"), F.lit("None")))
+    parts = F.concat_ws("\n", top, F.lit("## Turns\n"), F.lit(TURNS_HEAD), F.coalesce("__t", F.lit(NO_TURNS)), F.lit("\n## Command Executions\n"), F.lit(COMMANDS_HEAD), F.col("__c"), F.lit(""))
+    return both.select("run_id", parts.alias("markdown"))

@@ -9,6 +9,13 @@ from quillon.functions.jsons import analysis_json, verdict_json
 from quillon.functions.text import remap_names
 from quillon.sources.schemas import STATUSES
 
+#: Evidence and reasoning of verdicts for binaries that the output lacks.
+MISSING = ("codex output did not contain this requested binary", "Missing per-binary result in final JSON.")
+MISSING_ANONYMOUS = ("codex output did not contain this requested binary after de-anonymization", "Missing per-binary result in anonymous final JSON.")
+#: Fields of a behaviour analysis and what is said of bad ones.
+ROOT_FIELDS, INTENT_FIELDS, CHANGES = ("summary", "unsafe_mechanism"), ("summary", "intended_security_property"), "behavior_changes"
+NO_ANALYSES = "missing root_cause_analysis or patch_intent_analysis"
+BAD_CHANGES = "patch_intent_analysis.behavior_changes must be a string list"
 _VARIANTS = "array<variant>"
 
 
@@ -64,8 +71,8 @@ def validated(rows: DataFrame) -> DataFrame:
         "cve", "binary",
         F.when(missing, "error").otherwise(status).alias("status"),
         F.when(missing | ~has("confidence"), "low").otherwise(text_of(get("confidence"))).alias("confidence"),
-        F.when(missing, F.array(F.lit("output did not contain this requested binary"))).otherwise(evidence).alias("evidence"),
-        F.when(missing, "Missing per-binary result in final JSON.").when(~has("reasoning"), "").otherwise(text_of(get("reasoning"))).alias("reasoning"),
+        F.when(missing, F.array(F.lit(MISSING[0]))).otherwise(evidence).alias("evidence"),
+        F.when(missing, MISSING[1]).when(~has("reasoning"), "").otherwise(text_of(get("reasoning"))).alias("reasoning"),
     )
 
 
@@ -77,11 +84,11 @@ def deanonymised(verdicts: DataFrame, names: DataFrame, folder: Column | None =
     every = names.groupBy("cve").agg(F.collect_list(F.struct("anonymous", "original")).alias("__names"))
     joined = names.join(verdicts.withColumnRenamed("binary", "anonymous"), ["cve", "anonymous"], "left").join(every, "cve")
     none = F.col("status").isNull()
-    lost = F.array(F.lit("output did not contain this requested binary after de-anonymization"))
+    lost = F.array(F.lit(MISSING_ANONYMOUS[0]))
     return joined.select(
         "cve", F.col("original").alias("binary"), F.coalesce("status", F.lit("error")).alias("status"), F.coalesce("confidence", F.lit("low")).alias("confidence"),
         F.when(none, lost).otherwise(F.transform("evidence", lambda e: remap_names(e, F.col("__names"), folder))).alias("evidence"),
-        F.when(none, "Missing per-binary result in anonymous final JSON.").otherwise(remap_names(F.col("reasoning"), F.col("__names"), folder)).alias("reasoning"),
+        F.when(none, MISSING_ANONYMOUS[1]).otherwise(remap_names(F.col("reasoning"), F.col("__names"), folder)).alias("reasoning"),
     )
 
 
@@ -99,25 +106,30 @@ def has_status(verdicts: DataFrame, status: str) -> DataFrame:
 
 
 def analyses(responses: DataFrame, text: str = "text") -> DataFrame:
-    """Validated behaviour analyses of answers, or `analysis_error` saying what is missing.
+    """Validated behaviour analyses of answers, or `analysis_error` saying what is wrong.
 
-    Root cause needs two texts; intent needs two texts and a list of texts, of which blank ones go.
+    Both parts must be objects and the changes a list of texts, of which blank ones go; other
+    fields become trimmed texts, empty where they are missing.
     """
-    obj = analysis_json(F.col(text))
-    schema = "struct<root_cause_analysis:struct<cause:string,trigger:string>,patch_intent_analysis:struct<intent:string,mechanism:string,behaviors:array<string>>>"
-    rows = responses.withColumn("__root", F.try_variant_get(obj, "$.root_cause_analysis", "variant")).withColumn("__intent", F.try_variant_get(obj, "$.patch_intent_analysis", "variant"))
-    listed = F.try_variant_get("__intent", "$.behaviors", _VARIANTS)
-    error = F.when(obj.isNull(), "no JSON object in the answer").when(F.col("__root").isNull(), "root_cause_analysis is no object").when(F.col("__intent").isNull(), "patch_intent_analysis is no object")
-    error = error.when(listed.isNull() | F.exists(listed, lambda v: F.schema_of_variant(v) != "STRING"), "behaviors is no list of texts")
-    said = lambda col, key: F.trim(F.coalesce(F.try_variant_get(col, f"$.{key}", "string"), F.lit("")))
+    rows = responses.withColumn("__obj", analysis_json(F.col(text)))
+    for name, path in (("__root", "root_cause_analysis"), ("__intent", "patch_intent_analysis")):
+        part = F.try_variant_get("__obj", f"$.{path}", "variant")
+        rows = rows.withColumn(name, F.when(F.startswith(F.schema_of_variant(part), F.lit("OBJECT")), part))
+    listed = F.try_variant_get("__intent", f"$.{CHANGES}", _VARIANTS)
+    error = F.when(F.col("__obj").isNull(), "no JSON object in the answer").when(F.col("__root").isNull() | F.col("__intent").isNull(), NO_ANALYSES)
+    error = error.when(listed.isNull() | F.exists(listed, lambda v: F.schema_of_variant(v) != "STRING"), BAD_CHANGES)
+
+    def said(part: str, key: str) -> Column:
+        value = F.try_variant_get(part, f"$.{key}", "variant")
+        there = F.map_contains_key(F.try_variant_get(part, "$", "map<string,variant>"), key)
+        return F.trim(F.when(there, text_of(value)).otherwise("")).alias(key)
+
+    changes = F.filter(F.transform(F.try_variant_get("__intent", f"$.{CHANGES}", "array<string>"), lambda t: F.trim(t)), lambda t: t != "")
     good = F.struct(
-        F.struct(said("__root", "cause").alias("cause"), said("__root", "trigger").alias("trigger")).alias("root_cause_analysis"),
-        F.struct(
-            said("__intent", "intent").alias("intent"), said("__intent", "mechanism").alias("mechanism"),
-            F.filter(F.transform(F.try_variant_get("__intent", "$.behaviors", "array<string>"), lambda t: F.trim(t)), lambda t: t != "").alias("behaviors"),
-        ).alias("patch_intent_analysis"),
-    ).cast(schema)
-    return rows.withColumn("analysis_error", error).withColumn("analysis", F.when(F.col("analysis_error").isNull(), good)).drop("__root", "__intent")
+        F.struct(*(said("__root", k) for k in ROOT_FIELDS)).alias("root_cause_analysis"),
+        F.struct(*(said("__intent", k) for k in INTENT_FIELDS), changes.alias(CHANGES)).alias("patch_intent_analysis"),
+    )
+    return rows.withColumn("analysis_error", error).withColumn("analysis", F.when(F.col("analysis_error").isNull(), good)).drop("__obj", "__root", "__intent")
 
 
 def unfinished(items: DataFrame, existing: DataFrame) -> DataFrame:

@@ -106,11 +106,11 @@ ORACLES: dict[str, str] = {
     "resume_pending": """SELECT CAST(doc_id // 5 AS VARCHAR) AS run_id, count(*) AS binaries FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) FILTER (toxic IS NULL OR toxic = 1) > 0""",
     "anonymize_map": "SELECT conv_id, turn, role, 'target_' || lpad(CAST((SELECT count(*) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn <= c.turn) AS VARCHAR), 3, '0') AS anonymous FROM conversations c",
     "deanonymize_text": "SELECT id, replace(replace(replace(replace(said, '/t/target_010', 'x'), 'target_010', 'x'), '/t/target_001', 'y'), 'target_001', 'y') AS said FROM (VALUES (1, 'see target_010/target_001'), (2, '/t/target_001 and target_0011'), (3, 'none')) AS t(id, said)",
-    "deanonymize_verdicts": _values("cve, binary, status, confidence, evidence, reasoning", "('C', 'lib-a', 'present', 'high', 'in lib-a', 'lib-b lacks it')", "('C', 'lib-b', 'error', 'low', 'output did not contain this requested binary after de-anonymization', 'Missing per-binary result in anonymous final JSON.')"),
+    "deanonymize_verdicts": _values("cve, binary, status, confidence, evidence, reasoning", "('C', 'lib-a', 'present', 'high', 'in lib-a', 'lib-b lacks it')", "('C', 'lib-b', 'error', 'low', 'codex output did not contain this requested binary after de-anonymization', 'Missing per-binary result in anonymous final JSON.')"),
     "verdict_extract_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
-    "verdict_validate": _values("cve, binary, status, confidence, evidence, reasoning", "('C1', 'a', 'present', 'high', 'one', 'r')", "('C1', 'b', 'error', 'low', 'output did not contain this requested binary', 'Missing per-binary result in final JSON.')",
-        "('C1', 'c', 'error', 'low', 'x|1|True|None', '')", "('C2', 'a', 'not_found', 'low', '7', '')", "('C3', 'a', 'inconclusive', 'odd', '', '')", "('C3', 'b', 'error', 'low', 'output did not contain this requested binary', 'Missing per-binary result in final JSON.')",
-        "('C4', 'a', 'error', 'low', 'output did not contain this requested binary', 'Missing per-binary result in final JSON.')", "('C5', 'a', 'error', 'low', 'output did not contain this requested binary', 'Missing per-binary result in final JSON.')",
+    "verdict_validate": _values("cve, binary, status, confidence, evidence, reasoning", "('C1', 'a', 'present', 'high', 'one', 'r')", "('C1', 'b', 'error', 'low', 'codex output did not contain this requested binary', 'Missing per-binary result in final JSON.')",
+        "('C1', 'c', 'error', 'low', 'x|1|True|None', '')", "('C2', 'a', 'not_found', 'low', '7', '')", "('C3', 'a', 'inconclusive', 'odd', '', '')", "('C3', 'b', 'error', 'low', 'codex output did not contain this requested binary', 'Missing per-binary result in final JSON.')",
+        "('C4', 'a', 'error', 'low', 'codex output did not contain this requested binary', 'Missing per-binary result in final JSON.')", "('C5', 'a', 'error', 'low', 'codex output did not contain this requested binary', 'Missing per-binary result in final JSON.')",
     ),
     "merge_latest": "SELECT user_id, event_type, event_id, value FROM events e WHERE event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_type = e.event_type)",
     "command_pairing": _PAIRS.format(key="user_id", order="event_id", t="(SELECT user_id, event_id, event_type FROM events)", kind="event_type", a="view", b="purchase", start="coalesce(s.event_id, c.event_id)", end="c.event_id", more=", c.event_id - coalesce(s.event_id, c.event_id) AS elapsed, s.event_id IS NOT NULL AS paired").replace("SELECT user_id,", "SELECT c.user_id,", 1),
@@ -179,7 +179,14 @@ ORACLES: dict[str, str] = {
     "compact_rollup": """SELECT conv_id AS cve_id, arg_min(role, turn) AS cwe, arg_min(CAST(turn AS VARCHAR), turn) AS message, string_agg(role || ',h', ',' ORDER BY turn) AS hunks, count(*) AS functions FROM conversations GROUP BY 1""",
     "behaviour_statistics": "SELECT count(*) FILTER (doc_id % 6 = 0) AS analyzed, count(*) FILTER (doc_id % 4 = 0) AS errors FROM documents",
     "build_statistics": "SELECT count(*) AS emitted_cves, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS missing_info, count(*) FILTER (doc_id % 3 = 0) AS missing_diff, count(*) AS functions, count(*) FILTER (doc_id % 5 > 0) AS functions_with_file FROM documents",
-    "analysis_validate": _values("id, analysis_error, cause, behaviors", "(1, NULL, 'c', 'b|d')", "(2, 'patch_intent_analysis is no object', NULL, NULL)", "(3, 'no JSON object in the answer', NULL, NULL)", "(4, 'behaviors is no list of texts', NULL, NULL)"),
+    "analysis_validate": _values(
+        "id, analysis_error, cause, mechanism, behaviors", "(1, NULL, 'c', '7', 'b|d')", "(2, 'missing root_cause_analysis or patch_intent_analysis', NULL, NULL, NULL)", "(3, 'no JSON object in the answer', NULL, NULL, NULL)",
+        "(4, 'patch_intent_analysis.behavior_changes must be a string list', NULL, NULL, NULL)", "(5, 'missing root_cause_analysis or patch_intent_analysis', NULL, NULL, NULL)",
+    ),
+    "timing_report": """WITH h(t) AS (VALUES ('# Codex Exec Timing: %1||Total wall time: %2s|Return code: %3||## Turns||! Turn ! Duration (s) ! Input Tokens ! Cached Input ! Output Tokens ! Reasoning Tokens !|!---:!---:!---:!---:!---:!---:!|%4||## Command Executions||! Rank ! Duration (s) ! Exit ! Output Bytes ! Command !|!---:!---:!---:!---:!---!|%5')),
+      r(run_id, a, b, c, d, e) AS (VALUES ('r', 'C', '4.250', '0', '! 1 ! 3.000 ! 10 ! 2 ! 3 !  !', '! 1 ! 1.500 ! 0 ! 2 ! `a\\!b` !|'), ('s', 'D', '1.000', 'None', '!  !  !  !  !  !  !', ''))
+      SELECT run_id, replace(replace(replace(replace(replace(replace(replace(t, '%1', a), '%2', b), '%3', c), '%4', d), '%5', e), '|', chr(10)), '!', '|') AS markdown FROM h, r""",
+    "prompt_payload": """SELECT 'C-1' AS cve, replace('{|  "cve": "C-1",|  "metadata": {|    "a": {|      "b": [|        1,|        "é"|      ]|    }|  },|  "requested_binaries": [|    "x"|  ],|  "binary_resolution": {|    "x": "x-gcc-O0"|  },|  "target_dir": "/t",|  "compiler": "gcc",|  "optimization": "O0"|}', '|', chr(10)) AS payload""",
     "metadata_join": "SELECT doc_id AS cve, lang AS \"binary\", 'error' AS status, 'low' AS confidence FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "progress_ordinals": "SELECT source AS cve, row_number() OVER (ORDER BY source) AS n FROM (SELECT DISTINCT source FROM documents)",
 }

@@ -452,11 +452,30 @@ def build_statistics(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def analysis_validate(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.sql(
-        r"""SELECT * FROM VALUES (1, '```json\n{"root_cause_analysis": {"cause": " c ", "trigger": "t"}, "patch_intent_analysis": {"intent": "i", "mechanism": "m", "behaviors": [" b ", "", "d"]}}\n```'),
-        (2, 'x {"root_cause_analysis": {}} y'), (3, '[1]'), (4, '{"root_cause_analysis": {}, "patch_intent_analysis": {"behaviors": [1]}}') AS t(id, text)"""
+        r"""SELECT * FROM VALUES (1, '```json\n{"root_cause_analysis": {"summary": " c ", "unsafe_mechanism": 7}, "patch_intent_analysis": {"summary": "i", "behavior_changes": [" b ", "", "d"]}}\n```'),
+        (2, 'x {"root_cause_analysis": {}} y'), (3, '[1]'), (4, '{"root_cause_analysis": {}, "patch_intent_analysis": {"behavior_changes": [1]}}'), (5, '{"root_cause_analysis": 1, "patch_intent_analysis": {}}') AS t(id, text)"""
     )
     made = verdict.analyses(rows)
-    return made.select("id", "analysis_error", F.col("analysis.root_cause_analysis.cause").alias("cause"), F.array_join("analysis.patch_intent_analysis.behaviors", "|").alias("behaviors"))
+    root, intent = "analysis.root_cause_analysis", "analysis.patch_intent_analysis"
+    return made.select("id", "analysis_error", F.col(f"{root}.summary").alias("cause"), F.col(f"{root}.unsafe_mechanism").alias("mechanism"), F.array_join(f"{intent}.behavior_changes", "|").alias("behaviors"))
+
+
+_TRACE = r"""SELECT * FROM VALUES (1, 'stdout', 2.0, '{"type":"item.started","item":{"id":"x","type":"command_execution","command":"a|b"}}'), (2, 'stdout', 3.5, '{"type":"item.completed","item":{"id":"x","type":"command_execution","command":"a|b","exit_code":0,"aggregated_output":"ok"}}'),
+ (3, 'stdout', 1.0, '{"type":"turn.started"}'), (4, 'stdout', 4.0, '{"type":"turn.completed","usage":{"input_tokens":10,"cached_input_tokens":2,"output_tokens":3}}') AS t(seq, stream, time, line)"""
+
+
+@query
+def timing_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = trace.parsed(spark.sql(_TRACE).select(F.lit("r").alias("run_id"), F.col("seq").cast("long").alias("seq"), "stream", F.col("time").cast("double").alias("time"), "line"))
+    runs = spark.sql("SELECT * FROM VALUES ('r', 'C', 4.25D, 0), ('s', 'D', 1D, cast(null as int)) AS t(run_id, cve, elapsed, returncode)")
+    return trace.timing_markdown(runs, trace.commands(rows), trace.turns(rows))
+
+
+@query
+def prompt_payload(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql("""SELECT 'C-1' AS cve, '{"a": {"b": [1, "é"]}}' AS metadata, array('x') AS binaries""")
+    made = jsons.prompt_payload(F.col("cve"), F.col("metadata"), F.col("binaries"), F.create_map(F.lit("x"), F.lit("x-gcc-O0")), F.lit("/t"), F.lit("gcc"), F.lit("O0"))
+    return rows.select("cve", made.alias("payload"))
 
 
 @query

@@ -34,3 +34,4 @@ VIEW_CONFIG = _struct(default_window=_L, max_window=_L, default_context=_L, max_
 #: What a verdict may say, and what the result schema offers the judge.
 STATUSES = ("present", "absent", "not_affected", "inconclusive", "not_found", "error")
 JUDGED = tuple(s for s in STATUSES if s != "error")
+CONFIDENCES = ("high", "medium", "low")

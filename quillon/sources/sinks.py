@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.sources.schemas import JUDGED
+from quillon.sources.schemas import CONFIDENCES, JUDGED
 
 
 def write_json(df: DataFrame, path: str, sort_keys: bool = True, order: tuple[str, ...] = ()) -> None:
@@ -29,7 +29,7 @@ def result_schema() -> dict:
     """JSON Schema of the answer that a judge gives."""
     text = {"type": "string"}
     row = {
-        "cve": text, "binary": text, "status": {"type": "string", "enum": sorted(JUDGED)}, "confidence": {"type": "string", "enum": ["low", "medium", "high"]},
+        "cve": text, "binary": text, "status": {"type": "string", "enum": list(JUDGED)}, "confidence": {"type": "string", "enum": list(CONFIDENCES)},
         "evidence": {"type": "array", "items": text}, "reasoning": text,
     }
     item = {"type": "object", "additionalProperties": False, "required": list(row), "properties": row}

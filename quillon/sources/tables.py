@@ -24,8 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The table, written and read again, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
