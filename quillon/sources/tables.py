@@ -24,9 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def fresh_path(spark: SparkSession) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
+def write_shared(df: DataFrame) -> str:
+    """Write a table to a new path in the shared folder, which goes when the driver's JVM ends."""
+    spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
@@ -34,6 +36,4 @@ def fresh_path(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The table, written and read again, which ends its lineage."""
-    path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df))
