@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.tables import write_shared
+
 #: Fixed value: what separates words everywhere in this subpackage (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = sc._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else None
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillon-checkpoint-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def files_for(spark: SparkSession, rows: int, each: int = 50_000) -> int:
+def files_for(spark: SparkSession, rows: int, each: int = 20_000) -> int:
     """How many tasks and files a table of so many narrow rows deserves: all cores, more as it grows."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // each))
 
@@ -37,12 +24,10 @@ def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
     executor costs only the tasks it was running. The reader has no memory of how rows were
     dealt out, which leaves a later join free to split its hot partitions. `files` bounds the
     number of files where the row count is known and a file for each partition would be tiny."""
-    spark = df.sparkSession
     if files:
         df = df.coalesce(files)
-    path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    path = write_shared(df)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._quillon_path = path
     return back
 

@@ -103,7 +103,7 @@ def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    count = 4 * partitions(spark)
+    count = 8 * partitions(spark)
     cuts = docs.select(F.percentile_approx(F.col(id_col), [i / count for i in range(1, count)], 10 * count).alias("q")).first()["q"] or []
     bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.int64)))
     kind = dict(docs.dtypes)[id_col]

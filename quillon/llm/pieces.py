@@ -24,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import materialise
+
 #: Where the piece model is found by default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, how far back a cut looks for a word's beginning, and how many solved
 #: words and judged pairs a worker remembers (it forgets all beyond that).
 CHUNK, LOOK, WORDS, PAIRS = 4096, 256, 500_000, 2_000_000
+#: Characters beyond which a text's chunks go to several tasks.
+GIANT = 1 << 22
 MARK = "▁"
 NEVER = -np.inf
 #: A state: where a piece begins and ends; None where every piece must end.
@@ -324,9 +328,78 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _stretch(model: Model, x: str, at: int, k: int, last: int, span: int) -> tuple[int, int, list[State], list[State]]:
+    """A chunk's cuts and their states, from a part x of the text that begins at `at`.
+
+    The chunk is the k-th of last + 1 of `span` characters; its cuts move as in Model.cuts(). x
+    reaches far enough to either side that its neighbours find the same cuts and states.
+    """
+
+    def cut(n: int) -> int:
+        to = n * span - at
+        return to if n in (0, last + 1) else last_clean(x, max(1, to - LOOK), to) or to
+
+    lo, hi = cut(k), len(x) if k == last else cut(k + 1)
+    return lo, hi, [None] if k == 0 else model.states(x, lo), [None] if k == last else model.states(x, hi)
+
+
+def _giants(docs: DataFrame, path: str, span: int) -> DataFrame:
+    """(row, id, t, ids) of texts that are worth several tasks, each chunk solved on its own.
+
+    Chunks give their matrices, a text's matrices (a few numbers each) meet in one scan, and the
+    chunks are traced back from the states that it fixes.
+    """
+    side = LOOK + 4 * 16  # a cut's way back and the states around it, at either end
+    held = materialise(docs.withColumn("row", F.monotonically_increasing_id()))
+    last = F.floor(F.length("t") / span).cast("int")  # the leading mark adds one character
+    chunks = held.select("row", last.alias("last"), "t", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    at = F.greatest(F.lit(0), F.col("k") * span - side).cast("int")
+    x = F.replace(F.concat(F.lit(MARK), "t"), F.lit(" "), F.lit(MARK))
+    part = F.substring(x, at + 1, F.lit(span + 2 * side + 1))
+    part = F.when(F.col("k") == F.col("last"), F.substring(x, at + 1, F.lit(2 * span + 2 * side))).otherwise(part)
+    chunks = materialise(chunks.select("row", "last", "k", at.alias("at"), part.alias("x")).repartition("row", "k"))
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        for b in batches:
+            out = []
+            for last, k, at, x in zip(*(b.column(n).to_pylist() for n in ("last", "k", "at", "x"))):
+                lo, hi, s, t = _stretch(model, x, at, k, last, span)
+                m = model.transfer(x, lo, s, hi, t)
+                out.append((m.shape[0], (m == 0).astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array([n for n, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], names=["row", "k", "n", "m"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, chosen = b.column("row").to_pylist(), []
+            for parts in b.column("parts").to_pylist():
+                chosen.append(choose([np.where(np.frombuffer(p["m"], np.uint8).reshape(p["n"], -1), 0.0, NEVER) for p in parts]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(chosen, pa.list_(pa.int32()))], names=["row", "chosen"])
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        for b in batches:
+            out = []
+            for last, k, at, x, i, j in zip(*(b.column(n).to_pylist() for n in ("last", "k", "at", "x", "i", "j"))):
+                lo, hi, s, t = _stretch(model, x, at, k, last, span)
+                out.append(model.trace(x, lo, s[i], hi, t[j]))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(out, pa.list_(pa.int32()))], names=["row", "k", "ids"])
+
+    told = chunks.mapInArrow(matrices, "row long, k int, n int, m binary").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "n", "m"))).alias("parts"))
+    states = told.mapInArrow(scan, "row long, chosen array<int>").select("row", F.posexplode("chosen").alias("k", "i"))
+    states = materialise(states)
+    after = states.select("row", (F.col("k") - 1).alias("k"), F.col("i").alias("j"))
+    placed = chunks.join(states, ["row", "k"]).join(after, ["row", "k"])
+    traced = placed.mapInArrow(trace, "row long, k int, ids array<int>").groupBy("row")
+    ids = traced.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda p: p["ids"])).alias("ids"))
+    return held.join(ids, "row").select("id", "t", "ids")
+
+
+def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT) -> DataFrame:
     """(id, n_tokens, ids array<int>, n_chars, decoded_sha256, exact) of every row.
 
+    Texts of more than `giant` characters are dealt out by chunks, others are a task's own.
+
     ids are those that the SentencePiece library gives; decoded_sha256 is of the text that they
     decode to, and exact tells whether it is the text (a U+2581 in a text comes back as a space).
     Null texts count as empty, which have no ids. Repeated rows and null ids keep their rows; an
@@ -337,12 +410,13 @@ def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col
         model = load(path)
         for batch in batches:
             texts, at = batch.column(1), 0
+            solved = batch.column(2).to_pylist() if batch.num_columns > 2 else None
             while at < len(texts):
                 ids, counts, sizes, digests, exact, n = [], [], [], [], [], 0
                 first = at
                 while at < len(texts) and n < 1_000_000:
                     t = texts[at].as_py() or ""
-                    own = model.encode(t)
+                    own = solved[at] if solved else model.encode(t)
                     back = model.decode(own)
                     ids.append(np.array(own, np.int32))
                     counts.append(len(own))
@@ -357,4 +431,8 @@ def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col
                 ], names=["id", "n_tokens", "ids", "n_chars", "decoded_sha256", "exact"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids array<int>, n_chars long, decoded_sha256 string, exact boolean")
+    schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids array<int>, n_chars long, decoded_sha256 string, exact boolean"
+    large = rows.filter(F.length("t") > giant)
+    if large.isEmpty():
+        return rows.mapInArrow(run, schema)
+    return rows.filter(F.coalesce(F.length("t") <= giant, F.lit(True))).mapInArrow(run, schema).union(_giants(large, path, giant // 4).mapInArrow(run, schema))

@@ -53,6 +53,14 @@ def test_documents_come_back(spark, documents):
         assert r.decoded_sha256 == hashlib.sha256(text[r.id].encode()).hexdigest()
 
 
+def test_giants_are_dealt_out(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["the", "er", " ", "\n", "ing ", "x1"]) for _ in range(4000)), "".join(rng.choice(["the", "er", "on", "q"]) for _ in range(3000)), "ab" * 4096, " " * 8192, "short", "中😀 " * 3000, "z" * 4097, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in pieces.encoded(df, giant=4096).collect():
+        assert r.ids == LIBRARY.encode(texts[r.id] or "") and r.exact, r.id
+
+
 # -- chat
 
 @settings(max_examples=200, deadline=None)
