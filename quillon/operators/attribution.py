@@ -31,12 +31,11 @@ def line_score(line: Column, header: Column, name: Column) -> Column:
 
 def block_scores(diff_blocks: DataFrame, functions: DataFrame, key: str = "cve") -> DataFrame:
     """(key, function, file_ord, path, score) of every function against every file of its diff."""
-    paths = diff_blocks.groupBy(key, "file_ord").agg(F.first("path").alias("path"))
-    hunks = diff_blocks.filter("hunk_ord > 0").select(key, "file_ord", "header", F.when(F.col("is_header"), F.lit("")).otherwise(F.col("line")).alias("line"))
-    seen = hunks.join(functions, key).groupBy(key, "function", "file_ord").agg(F.max(line_score(F.col("line"), F.col("header"), F.col("function"))).alias("score"))
-    every = paths.join(functions, key).join(seen, [key, "function", "file_ord"], "left")
-    score = F.coalesce("score", F.lit(0))
-    return every.withColumn("score", F.when((score > 0) & is_code_path(F.col("path")), score + CODE).otherwise(score))
+    line = F.when(F.col("is_header"), F.lit("")).otherwise(F.col("line"))
+    said = F.when(F.col("hunk_ord") > 0, line_score(line, F.col("header"), F.col("function"))).otherwise(0)
+    seen = diff_blocks.join(functions, key).groupBy(key, "function", "file_ord").agg(F.max(said).alias("score"), F.first("path").alias("path"))
+    code = (F.col("score") > 0) & is_code_path(F.col("path"))
+    return seen.withColumn("score", F.when(code, F.col("score") + CODE).otherwise(F.col("score")))
 
 
 def inferred_files(scores: DataFrame, key: str = "cve") -> DataFrame:
