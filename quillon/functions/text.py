@@ -68,6 +68,31 @@ def compact_code(text: Column, most: int = 8) -> Column:
     return F.trim(F.regexp_replace(cut, "\\s+", " "))
 
 
+def capped(text: Column, most: int = 1200) -> Column:
+    """At most `most` characters, then three dots on a line of their own."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "^\\s+|\\s+$", "")
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, most), "\\s+$", ""), F.lit("\n...")))
+
+
+def is_inside(path: Column, root: Column) -> Column:
+    """Whether a resolved path is a folder or lies below it."""
+    top = F.regexp_replace(root, "/+$", "")
+    return (F.regexp_replace(path, "/+$", "") == top) | F.startswith(path, F.concat(top, F.lit("/")))
+
+
+def project_name(path: Column, own: str) -> Column:
+    """The folder that an input lies in, unless that is the checkout itself (`own`); else the file's stem."""
+    parent = F.regexp_extract(path, "([^/]+)/[^/]*$", 1)
+    stem = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), "(?<=.)\\.[^.]*$", "")
+    return F.when(~parent.isin("", own), parent).when(stem != "", stem).otherwise("unknown")
+
+
+def project_of_diff(path: Column, names: tuple[str, ...]) -> Column:
+    """The first of the names that is a folder of the path or begins a part of it; null if none is."""
+    low = F.lower(path)
+    return F.coalesce(*(F.when(F.contains(low, F.lit(f"/{n}/")) | F.contains(low, F.lit(f"{n}_")), F.lit(n)) for n in names))
+
+
 def line_at(text: Column, n: Column) -> Column:
     """The n-th line from 1; empty outside."""
     return F.coalesce(F.try_element_at(F.split(text, "\n"), F.when(n > 0, n)), F.lit(""))

@@ -17,6 +17,11 @@ def events(found: DataFrame) -> DataFrame:
     return found.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
+def of_variables(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Events of wanted variables (fn, var)."""
+    return found.join(wanted, ["fn", "var"], "left_semi")
+
+
 def by_variable(tracked: DataFrame, found: DataFrame) -> DataFrame:
     """(fn, var, defs, uses, all_events) of every tracked variable; counts and lines in order.
 

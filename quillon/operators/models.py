@@ -66,7 +66,16 @@ def reasoning_effort(flag: Column, mode: Column, effort: Column) -> Column:
     return F.coalesce(F.nullif(flag, F.lit("")), F.when(mode == "on", effort))
 
 
-def without_proxy(existing: Column, host: Column) -> Column:
-    """A no-proxy list with a host appended if it is missing."""
+def provider_overrides(name: Column, base_url: Column, wire_api: Column, api_key_env: Column, requires_auth: Column, current: Column) -> Column:
+    """Command-line settings that put a provider in force; none for the current one."""
+    quoted = lambda key, value: F.concat(F.lit(f'{key}="'), value, F.lit('"'))
+    fields = F.concat_ws(", ", quoted("name", name), quoted("base_url", base_url), quoted("env_key", api_key_env), quoted("wire_api", wire_api), F.concat(F.lit("requires_openai_auth="), requires_auth.cast("string")))
+    pair = F.concat(F.lit("model_providers."), name, F.lit("={"), fields, F.lit("}"))
+    return F.when(current, F.array().cast("array<string>")).otherwise(F.array(F.lit("-c"), quoted("model_provider", name), F.lit("-c"), pair))
+
+
+def without_proxy(existing: Column, *hosts: Column) -> Column:
+    """A no-proxy list with those hosts appended that it lacks."""
     items = F.filter(F.transform(F.split(F.coalesce(existing, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(F.array_union(items, F.array(host)), ",")
+    wanted = F.filter(F.array_distinct(F.array(*hosts)), lambda h: h.isNotNull() & (h != ""))
+    return F.array_join(F.concat(items, F.array_except(wanted, items)), ",")

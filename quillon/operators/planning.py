@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import run_id_of
+from quillon.functions.text import is_inside, run_id_of
 
 #: The verdict of a CVE without metadata.
 NO_METADATA = ("Cannot inspect patch presence without metadata.", " not found in project metadata JSON")
@@ -58,6 +58,11 @@ def with_metadata(planned: DataFrame, metadata: DataFrame) -> tuple[DataFrame, D
     return joined.filter("__has").drop("__has"), error_rows(missing, F.lit(NO_METADATA[0]), F.concat(F.col("cve").cast("string"), F.lit(NO_METADATA[1])))
 
 
+def exposed_answers(answers: DataFrame, visible: DataFrame) -> DataFrame:
+    """(path, root) of ground-truth files that lie under a folder which the judge can see."""
+    return answers.join(F.broadcast(visible), is_inside(F.col("path"), F.col("root"))).select("path", "root")
+
+
 def error_rows(binaries: DataFrame, reason: Column, evidence: Column) -> DataFrame:
     """A low-confidence error verdict for every (cve, binary)."""
     return binaries.select("cve", "binary", F.lit("error").alias("status"), F.lit("low").alias("confidence"), F.array(evidence).alias("evidence"), reason.alias("reasoning"))

@@ -170,6 +170,9 @@ ORACLES: dict[str, str] = {
     "status_histogram": "SELECT coalesce(nullif(CASE WHEN quality = 0 THEN 'failed' WHEN toxic = 1 THEN '' WHEN quality = 1 THEN 'ok' END, ''), 'unknown') AS value, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "template_render": "SELECT doc_id, coalesce(lang, '') || ' ' || coalesce(source, '') || ': ' || coalesce(source || ' ' || n_chars, '') AS prompt FROM documents",
     "path_predicates": _values("path, code, safe, run_id", "('a/b.c', true, 'a_b.c', 'a_b.c')", "('x.H', true, 'x.H', 'x.H')", "('y.tar.gz', false, 'y.tar.gz', 'y.tar.gz')", "('.c', false, '.c', '.c')", "('Makefile', false, 'Makefile', 'Makefile')", "('d.c/readme', false, 'd.c_readme', 'd.c_readme')", "('é b.cpp', true, 'é_b.cpp', '_b.cpp')"),
+    "path_functions": _values("path, inside, project, of_diff, capped", "('/w/curl/in.json', true, 'curl', 'curl', '/w/curl/' || chr(10) || '...')", "('/w/own/set.v1.json', false, 'set.v1', NULL, '/w/own/s' || chr(10) || '...')", "('/own', false, 'own', NULL, '/own')", "('/w/curl', true, 'w', NULL, '/w/curl')"),
+    "exposed_answers": _values("path, root", "('/a/truth.json', '/a')"),
+    "provider_settings": _values("name, settings, no_proxy", "('p', '-c|model_provider=\"p\"|-c|model_providers.p={name=\"p\", base_url=\"http://h/v1\", env_key=\"K\", wire_api=\"chat\", requires_openai_auth=false}', 'a,h,a,localhost')", "('codex', '', 'a,h,a,localhost')"),
     "parse_integers": _values("t, v", "('42', 42::BIGINT)", "('0x1F', 31)", "('0b101', 5)", "('0o17', 15)", "('-7', -7)", "('1_000', 1000)", "('x', NULL)", "('', NULL)"),
     "resolve_binaries": _values("binary, actual", "('b', 'b-deployed')", "('c', 'c')", "('d', 'd-clang-O0')"),
     "clamp_limits": "SELECT event_id, greatest(1, least(event_id % 9000, 4096)) AS window, greatest(0, least(event_id % 40, 16)) AS context, greatest(1024, least(user_id * 700, 65536)) AS max_output FROM events",

@@ -382,6 +382,25 @@ def path_predicates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("path", F.coalesce(text.is_code_path(F.col("path")), F.lit(False)).alias("code"), text.safe_name(F.col("path")).alias("safe"), text.run_id_of(F.col("path")).alias("run_id"))
 
 
+@query
+def path_functions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql("SELECT explode(array('/w/curl/in.json', '/w/own/set.v1.json', '/own', '/w/curl')) AS path")
+    return rows.select("path", text.is_inside(F.col("path"), F.lit("/w/curl/")).alias("inside"), text.project_name(F.col("path"), "own").alias("project"), text.project_of_diff(F.col("path"), ("php", "curl")).alias("of_diff"), text.capped(F.col("path"), 8).alias("capped"))
+
+
+@query
+def exposed_answers(spark: SparkSession, sf: str) -> DataFrame:
+    answers = spark.sql("SELECT explode(array('/a/truth.json', '/ab/truth.json')) AS path")
+    return planning.exposed_answers(answers, spark.sql("SELECT explode(array('/a', '/c')) AS root"))
+
+
+@query
+def provider_settings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql("SELECT * FROM VALUES ('p', 'http://h/v1', 'K', false), ('codex', null, null, true) AS t(name, url, key, current)")
+    made = models.provider_overrides(F.col("name"), F.col("url"), F.lit("chat"), F.col("key"), F.lit(False), F.col("current"))
+    return rows.select("name", F.array_join(made, "|").alias("settings"), models.without_proxy(F.lit("a, h,a"), F.lit("localhost"), F.lit("h")).alias("no_proxy"))
+
+
 @query
 def parse_integers(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.sql("SELECT explode(array('42', '0x1F', '0b101', '0o17', '-7', '1_000', 'x', '')) AS t")
