@@ -187,7 +187,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay if nothing else is in their class.
     """
     rows = materialise(classes(docs).select("id", "component").filter("id <=> component"))
-    kept = docs.join(rows.select(F.col("id").alias("__id")).distinct(), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    ids = rows.select(F.col("id").alias("__id")).distinct()
+    # the ids grow with the documents, so the join is a shuffled one at every size
+    kept = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
     if rows.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter("doc_id is null").union(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
