@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise
 
-#: Production parameters. SAMPLE bounds what the trees are fitted on (rows of least id hash); a query
+#: Production parameters. SAMPLE bounds what the trees are fitted on (a share of the rows by id hash); a query
 #: opens the share OPEN of all leaves, LEAST at least, which nearly isotropic vectors need for a recall of 0.9.
-TREES, LEAF, OPEN, LEAST, SAMPLE, SEED = 10, 128, 0.07, 64, 65536, 9
+TREES, LEAF, OPEN, LEAST, SAMPLE, SEED = 10, 128, 0.1, 64, 65536, 9
 #: Members of a leaf, and queries, that a task compares at once.
 CHUNK = 4096
 
@@ -124,7 +124,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES
     order = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     held = materialise(few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
-    sample = _matrix(held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"])
+    share = min(1.0, 0.95 * SAMPLE / held.count()) * (1 << 30)
+    picked = held.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("id", "v").toPandas().sort_values("id")
+    sample = _matrix(picked["v"])
     forest = [fit_tree(sample, leaf, SEED * 1000 + i) for i in range(trees)]
     known = spark.sparkContext.broadcast(forest)
     opening = max(LEAST, int(np.ceil(opened * sum(t.leaves for t in forest))))
@@ -158,9 +160,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, ids, x = None, None, None
+        best = _Best(k + 1)
         for b in batches:
-            groups = b.groupby(["t", "leaf", "c"], sort=False)
-            for g, part in groups:
+            for g, part in b.groupby(["t", "leaf", "c"], sort=False):
                 if g != key:
                     key, ids, x = g, np.empty(0, np.int64), np.empty((0, 0))
                 mine = part[~part["q"]]
@@ -169,12 +171,13 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES
                     ids, x = np.concatenate([ids, mine["id"].to_numpy()]), more if not len(x) else np.vstack([x, more])
                 asked = part[part["q"]]
                 if len(asked) and len(ids):
-                    yield _nearest(asked["id"].to_numpy(), _matrix(asked["v"]), ids, x, k + 1)
+                    yield from best.add(_nearest(asked["id"].to_numpy(), _matrix(asked["v"]), ids, x, k + 1))
+        yield from best.rest()
 
     dealt = members.unionByName(questions).repartition("t", "leaf", "c").sortWithinPartitions("t", "leaf", "c", "q", "id")
     found = dealt.mapInPandas(compare, "ask long, rep long, score double").distinct()
     # a query's best k + 1 vectors, then their ids, then every query id that shares its vector
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy("score", "rep"))).filter(F.col("r") <= 4 * (k + 1))
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy("score", "rep"))).filter(F.col("r") <= k + 1)
     best = best.join(held.select(F.col("id").alias("rep"), "ids"), "rep").select("ask", "score", F.explode("ids").alias("vec_id"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1)
     same = asks.select(F.col("id").alias("ask"), "v").join(rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v"), "v").select("ask", "query_id")
@@ -183,6 +186,34 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class _Best:
+    """The nearest found so far of every query that a task has met, over all its leaves.
+
+    Queries are let go, as far as they have come, when they fill the room.
+    """
+
+    def __init__(self, k: int, room: int = 200_000) -> None:
+        self.k, self.room, self.held, self.rows = k, room, [], 0
+
+    def _pruned(self) -> pd.DataFrame:
+        every = pd.concat(self.held).drop_duplicates(["ask", "rep"]).sort_values(["ask", "score", "rep"])
+        return every.groupby("ask", sort=False).head(self.k)
+
+    def add(self, found: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        self.held.append(found)
+        self.rows += len(found)
+        if self.rows > 2 * self.room:
+            self.held = [self._pruned()]
+            self.rows = len(self.held[0])
+            if self.rows > self.room:
+                yield self.held[0]
+                self.held, self.rows = [], 0
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            yield self._pruned()
+
+
 def _nearest(asks: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest members of each query; a rough matrix product picks those measured exactly."""
     out = []
