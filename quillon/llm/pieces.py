@@ -7,14 +7,16 @@ a best path in a lattice of pieces whose edges weigh 0 between such neighbours a
 A text is cut into chunks. The states at a cut are the pieces that may lie across it or end at it;
 a chunk's transfer matrix holds the best weight from each state at its beginning to each at its
 end. Matrices combine associatively in max-plus algebra; once the scan has fixed the state at every
-cut, each chunk is traced back on its own. No piece holds a word mark behind another character, so
-at the beginning of a word there is one state, and words in between are solved once and remembered.
+cut, each chunk is traced back on its own. No piece holds a word mark behind another character, or
+punctuation beside a letter, so at the edge of a word there is one state, and words in between are
+solved once and remembered.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -57,6 +59,10 @@ class Model:
                 raise ValueError("models that normalise texts are not supported")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id) or any("\n" in p for p in self.id):
             raise ValueError("a piece holds a word mark behind another character, or a line feed")
+        self.marks = _separate({pair for p in self.id for pair in zip(p, p[1:])})
+        kind = "".join(map(re.escape, sorted(self.marks)))
+        rest = f"{MARK}*[^{MARK}\n{kind}]+|{MARK}*[{kind}]+|{MARK}+" if kind else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
+        self.parts = re.compile(f"\n|{rest}")
         self.raw = [b""] * size
         for p, i in self.id.items():
             self.raw[i] = p.replace(MARK, " ").encode()
@@ -64,6 +70,9 @@ class Model:
             self.raw[i] = bytes([b])
         # a piece that merging does not give back is in no encoding
         self.id = {p: i for p, i in self.id.items() if len(p) == 1 or self.merge(p) == [p]}
+        self.reach: dict[str, int] = {}
+        for p in self.id:
+            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
         self.judged: dict[int, bool] = {}
         self.pair: dict[tuple[str, str], bool] = {}
         self.word: dict[str, tuple[int, ...]] = {}
@@ -90,7 +99,7 @@ class Model:
 
     def follows(self, p: str, q: str) -> bool:
         """Whether q may stand behind p."""
-        if q[0] == MARK and p[-1] != MARK:
+        if p[-1] != MARK and (q[0] == MARK or (p[-1] in self.marks) != (q[0] in self.marks)):
             return True
         known = self.pair.get((p, q))
         if known is None:
@@ -118,9 +127,20 @@ class Model:
                     break
         return begin
 
+    def clean(self, x: str, at: int) -> bool:
+        """Whether no piece can lie across a place: a word, a line or punctuation begins or ends there."""
+        a, b = x[at - 1], x[at]
+        return a == "\n" or b == "\n" or (a != MARK and (b == MARK or (a in self.marks) != (b in self.marks)))
+
+    def next_clean(self, x: str, lo: int, hi: int) -> int | None:
+        return next((i for i in range(max(lo, 1), hi) if self.clean(x, i)), None)
+
+    def last_clean(self, x: str, lo: int, hi: int) -> int | None:
+        return next((i for i in range(hi - 1, max(lo, 1) - 1, -1) if self.clean(x, i)), None)
+
     def states(self, x: str, cut: int) -> list[State]:
         """What may lie across or end at a cut, longest first; [None] where a word or the text begins or ends."""
-        if cut in (0, len(x)) or clean(x, cut):
+        if cut in (0, len(x)) or self.clean(x, cut):
             return [None]
         out = []
         for s in range(max(0, cut - self.longest), cut):
@@ -146,7 +166,7 @@ class Model:
 
     def transfer(self, x: str, lo: int, starts: list[State], hi: int, ends: list[State]) -> np.ndarray:
         """The max-plus matrix of the chunk [lo, hi): best weights from states to states."""
-        head, tail = next_clean(x, lo + 1, hi), last_clean(x, lo + 1, hi)
+        head, tail = self.next_clean(x, lo + 1, hi), self.last_clean(x, lo + 1, hi)
         if head is None:
             return np.array([self._reached(x, lo, s, hi, ends) for s in starts])
         # a word begins inside: all paths meet there
@@ -158,7 +178,7 @@ class Model:
         if start is not None and start == end:
             return []
         at = start[1] if start else lo
-        head, tail = next_clean(x, max(at, lo + 1), hi), last_clean(x, lo + 1, hi)
+        head, tail = self.next_clean(x, max(at, lo + 1), hi), self.last_clean(x, lo + 1, hi)
         if start is None and end is None:
             return self.words(x[lo:hi])
         if head is None:
@@ -203,11 +223,11 @@ class Model:
         A place that a sequence reaches is reached by that sequence alone, so a place from which
         the end cannot be reached is never tried twice.
         """
-        get, pairs, n, most = self.id.get, self.judged, len(w), self.longest
+        get, pairs, n, reach = self.id.get, self.judged, len(w), self.reach
         places, took, dead = [0], [], set()
         at, before = 0, -1
         while at < n:
-            for end in range(min(n, at + most), at, -1):
+            for end in range(min(n, at + reach.get(w[at : at + 2], 1)), at, -1):
                 i = get(w[at:end])
                 if i is None:
                     if end - at > 1:
@@ -239,7 +259,7 @@ class Model:
 
     def words(self, x: str) -> list[int]:
         get, solve = self.word.get, self.solve
-        return list(chain.from_iterable(get(w) or solve(w) for w in _WORDS.findall(x)))
+        return list(chain.from_iterable(get(w) or solve(w) for w in self.parts.findall(x)))
 
     # -- whole texts
 
@@ -248,7 +268,7 @@ class Model:
         out = [0]
         while out[-1] + size < len(x):
             to = out[-1] + size
-            out.append(last_clean(x, max(out[-1] + 1, to - LOOK), to) or to)
+            out.append(self.last_clean(x, max(out[-1] + 1, to - LOOK), to) or to)
         return [*out, len(x)]
 
     def encode_normal(self, x: str, size: int = CHUNK) -> list[int]:
@@ -256,7 +276,7 @@ class Model:
             return []
         cuts = self.cuts(x, size)
         states = [self.states(x, c) for c in cuts]
-        if len(cuts) == 2 and _whole(x):
+        if len(cuts) == 2 and self.parts.match(x).end() == len(x):
             return self._search(x)
         if all(s == [None] for s in states):  # 1 x 1 matrices
             return list(chain.from_iterable(self.words(x[a:b]) for a, b in zip(cuts, cuts[1:])))
@@ -274,25 +294,17 @@ class Model:
         return out[1:] if out.startswith(" ") else out
 
 
-_WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-
-
-def _whole(x: str) -> bool:
-    """Whether a stretch is one word."""
-    return _WORDS.match(x).end() == len(x)
-
+def _separate(beside: set[tuple[str, str]]) -> frozenset[str]:
+    """Punctuation that no piece holds beside other characters, but for word marks.
 
-def clean(x: str, at: int) -> bool:
-    """Whether no piece can lie across a place: a word or a line begins or a line ends there."""
-    return (x[at] == MARK and x[at - 1] != MARK) or x[at] == "\n" or x[at - 1] == "\n"
-
-
-def next_clean(x: str, lo: int, hi: int) -> int | None:
-    return next((i for i in range(max(lo, 1), hi) if clean(x, i)), None)
-
-
-def last_clean(x: str, lo: int, hi: int) -> int | None:
-    return next((i for i in range(hi - 1, max(lo, 1) - 1, -1) if clean(x, i)), None)
+    Grows from the ASCII marks by whatever stands beside one of them; if letters or digits come in,
+    punctuation is nothing apart.
+    """
+    found, more = set(), set(string.punctuation)
+    while more:
+        found |= more
+        more = {c for pair in beside for c, d in (pair, pair[::-1]) if d in found} - found - {MARK}
+    return frozenset() if any(c.isascii() and c.isalnum() for c in found) else frozenset(found)
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -337,7 +349,7 @@ def _stretch(model: Model, x: str, at: int, k: int, last: int, span: int) -> tup
 
     def cut(n: int) -> int:
         to = n * span - at
-        return to if n in (0, last + 1) else last_clean(x, max(1, to - LOOK), to) or to
+        return to if n in (0, last + 1) else model.last_clean(x, max(1, to - LOOK), to) or to
 
     lo, hi = cut(k), len(x) if k == last else cut(k + 1)
     return lo, hi, [None] if k == 0 else model.states(x, lo), [None] if k == last else model.states(x, hi)

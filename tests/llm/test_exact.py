@@ -21,7 +21,7 @@ from tests.compare import duck, same
 
 MODEL = pieces.load(pieces.MODEL)
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-PARTS = st.lists(st.sampled_from(["the", " ", "a", "e", "\n", "é", "ﬁ", "  ", "er", "ing", "Th", "\t", "0", "😀", ".", "</s>", "<0x0A>", "中", "in", "on"]), max_size=60)
+PARTS = st.lists(st.sampled_from(["the", " ", "a", "e", "\n", "é", "ﬁ", "  ", "er", "ing", "Th", "\t", "0", "😀", ".", "</s>", "<0x0A>", "中", "in", "on", "²", "“", "…", "\r", "(", "_", "'", "’", "{{"]), max_size=60)
 
 
 @settings(max_examples=300, deadline=None)
@@ -33,7 +33,7 @@ def test_pieces_equal_the_library(parts):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["the", "a", "e", "er", "in", "on", "ing", "s", "t", "1", "q"]), min_size=30, max_size=200), st.integers(18, 90))
+@given(st.lists(st.sampled_from(["the", "a", "e", "er", "in", "on", "ing", "s", "t", "1", "q", "²", "’"]), min_size=30, max_size=200), st.integers(18, 90))
 def test_chunks_without_words_equal_the_library(parts, size):
     t = "".join(parts)
     assert MODEL.encode_normal(MODEL.normal(t), size) == LIBRARY.encode(t)
