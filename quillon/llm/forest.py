@@ -125,8 +125,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES
     few = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     held = materialise(few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
     share = min(1.0, 0.95 * SAMPLE / held.count()) * (1 << 30)
-    picked = held.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("id", "v").toPandas().sort_values("id")
-    sample = _matrix(picked["v"])
+    picked = held.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("id", "v").toArrow().sort_by("id")
+    sample = picked["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(picked.num_rows, -1)
     forest = [fit_tree(sample, leaf, SEED * 1000 + i) for i in range(trees)]
     known = spark.sparkContext.broadcast(forest)
     opening = max(LEAST, int(np.ceil(opened * sum(t.leaves for t in forest))))
