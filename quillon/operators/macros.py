@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from quillon.operators.linescan import lines_of
 
-DEPTH = 8
+DEPTH, LONGEST = 8, 1 << 20
 _TOKEN = re.compile(r"\s*(0[xX][0-9a-fA-F]+|[0-9]+|\*\*|//|<<|>>|<=|>=|[-+*/%<>&|^~()])")
 #: Operators by how loosely they bind; comparisons have their own level.
 _LEVELS = (("<", ">", "<=", ">="), ("|",), ("^",), ("&",), ("<<", ">>"), ("+", "-"), ("*", "//", "%"))
@@ -105,21 +105,30 @@ def eval_int(text: str) -> int | None:
         return None
 
 
-def resolve(name: str, macros: dict[str, str], depth: int = 0, memo: dict | None = None) -> str | None:
-    """A macro's value: bodies of macros put in for names, DEPTH deep; an integer if it is one."""
-    memo = {} if memo is None else memo
-    if name not in macros or depth > DEPTH:
-        return None
-    if (name, depth) in memo:
-        return memo[name, depth]
-    words = []
-    for t in re.sub(r"([()])", r" \1 ", macros[name]).split():
-        inner = resolve(t, macros, depth + 1, memo) if t in macros and t != name else None
-        words.append(inner if inner is not None else macros[t] if t in macros and t != name else t)
-    text = " ".join(words)
+def _folded(text: str) -> str:
     value = eval_int(text)
-    memo[name, depth] = text if value is None else str(value)
-    return memo[name, depth]
+    return text if value is None else str(value)
+
+
+def values(macros: dict[str, str]) -> dict[str, str]:
+    """Every macro's value: bodies put in for names DEPTH deep, integers where they are such.
+
+    Works from the deepest level up, so names that refer to one another in a circle end there. A
+    value that would outgrow LONGEST characters keeps the names of its body.
+    """
+    words = {n: re.sub(r"([()])", r" \1 ", body).split() for n, body in macros.items()}
+    below = dict(macros)
+    for _ in range(DEPTH + 1):
+        level = {}
+        for n, own in words.items():
+            parts = [t if t == n else below.get(t, t) for t in own]
+            level[n] = _folded(" ".join(parts if sum(map(len, parts)) < LONGEST else own))
+        below = level
+    return below
+
+
+def resolve(name: str, macros: dict[str, str]) -> str | None:
+    return values(macros).get(name)
 
 
 def definitions(sources: DataFrame, *keys: str, text: str = "text", until: str | None = None) -> DataFrame:
@@ -149,8 +158,7 @@ def resolved(macros: DataFrame, key: str) -> DataFrame:
 
     @F.udf(value, useArrow=True)
     def solve(pairs):  # noqa: ANN001, ANN202
-        env, memo = {p["name"]: p["body"] for p in pairs}, {}
-        return [{"name": n, "value": resolve(n, env, 0, memo)} for n in env]
+        return [{"name": n, "value": v} for n, v in values({p["name"]: p["body"] for p in pairs}).items()]
 
     files = macros.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("name", "body"))).alias("m"))
     return files.select(key, F.explode(solve("m")).alias("x")).select(key, F.col("x.name").cast(StringType()).alias("name"), F.col("x.value").alias("value"))

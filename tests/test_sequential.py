@@ -27,36 +27,31 @@ def test_pairing(spark):
     assert sorted((r.k, r.started_at, r.completed_at) for r in got.collect()) == sorted(want)
 
 
-def _scan(lines, context, cap):
-    """What a one-pass scan with a queue of earlier lines and a byte cap emits."""
-    before, after, out, size, hits = [], 0, [], 0, 0
-
-    def put(t):
-        nonlocal size
-        room = cap - size
-        if room <= 0:
-            return False
-        data = t.encode()
-        out.append(data[:room])
-        size += min(len(data), room)
-        return len(data) <= room
-
-    for line in lines:
+def _chunks(lines, context):
+    """(text, index of the hit that it belongs to) of all that a scan without a cap would emit."""
+    shown, hit, out = -1, None, []
+    for i, line in enumerate(lines):
         if "x" in line:
-            hits += 1
-            if out and not out[-1].endswith(b"--\n") and not put("--\n"):
-                return b"".join(out), True, hits
-            for old in [*before, line]:
-                if not put(old):
-                    return b"".join(out), True, hits
-            before, after = [], context
-        elif after > 0:
-            if not put(line):
-                return b"".join(out), True, hits
-            after -= 1
-        else:
-            before = (before + [line])[-context:] if context else []
-    return b"".join(out), False, hits
+            if out and not out[-1][0].endswith("--\n"):
+                out.append(("--\n", i))
+            out += [(lines[j], i) for j in range(max(shown + 1, i - context), i + 1)]
+            shown = hit = i
+        elif hit is not None and i - hit <= context:
+            out.append((line, hit))
+            shown = i
+    return out
+
+
+def _scan(lines, context, cap):
+    """Output, whether it is cut, and the hits met before the first chunk that does not fit."""
+    chunks = _chunks(lines, context)
+    whole, met, size = "".join(t for t, _ in chunks).encode(), set(), 0
+    for t, hit in chunks:
+        met.add(hit)
+        size += len(t.encode())
+        if size > cap:
+            break
+    return whole[:cap], len(whole) > cap, len(met)
 
 
 def test_context_cap_and_matches(spark):
@@ -122,7 +117,7 @@ def test_macro_depth_and_size():
     assert macros.resolve("A", {"A": "(B + 1)", "B": "0x10"}) == "17"
     assert macros.resolve("A", {"A": "( B+1 )", "B": "2"}) == "( B+1 )"
     assert macros.eval_int("9**9**9") is None and macros.eval_int("1 << 99999999") is None and macros.eval_int("7 / 2") is None
-    wide = {f"m{i}": f"m{(i + 1) % 40} m{(i + 2) % 40}" for i in range(40)}
+    wide = {f"m{i}": " ".join(f"m{(i + k) % 40}" for k in range(1, 9)) for i in range(40)}
     assert macros.resolve("m0", wide)
 
 
