@@ -11,9 +11,9 @@ from pyspark.sql.types import StringType
 from quillon.operators.linescan import lines_of
 
 DEPTH, LONGEST = 8, 1 << 20
-_TOKEN = re.compile(r"\s*(0[xX][0-9a-fA-F]+|[0-9]+|\*\*|//|<<|>>|<=|>=|[-+*/%<>&|^~()])")
+_TOKEN = re.compile(r"\s*(0[xX][0-9a-fA-F]+|0[bB][01]+|[0-9]+|\*\*|//|<<|>>|[-+*/%<>&|^~()])")
 #: Operators by how loosely they bind; comparisons have their own level.
-_LEVELS = (("<", ">", "<=", ">="), ("|",), ("^",), ("&",), ("<<", ">>"), ("+", "-"), ("*", "//", "%"))
+_LEVELS = (("<", ">"), ("|",), ("^",), ("&",), ("<<", ">>"), ("+", "-"), ("*", "//", "%"))
 _LARGEST = 4096  # bits
 
 
@@ -48,7 +48,7 @@ class _Expression:
         while self.peek() in _LEVELS[k]:
             op, right = self.take(), self.level(k + 1)
             if k == 0:  # a < b < c means a < b and b < c
-                chained = chained and {"<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right}[op]
+                chained = chained and (left < right if op == "<" else left > right)
                 left = right
                 if self.peek() not in _LEVELS[0]:
                     return chained
@@ -76,6 +76,8 @@ class _Expression:
         if t[0].isdigit():
             if t[:2].lower() == "0x":
                 return int(t, 16)
+            if t[:2].lower() == "0b":
+                return int(t, 2)
             if len(t) > 1 and t[0] == "0" and t.strip("0"):
                 raise ValueError(t)
             return int(t)

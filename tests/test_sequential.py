@@ -96,10 +96,10 @@ def test_resume(spark):
     assert left() == ["r2"] and left(retry_errors=True) == ["r1", "r2"] and left(resume=False) == ["r1", "r2", "r3"]
 
 
-_TOKENS = st.lists(st.sampled_from(["1", "7", "0x1F", "(", ")", "+", "-", "*", "//", "%", "<<", ">>", "&", "|", "^", "~", "<", ">", "<="]), max_size=9)
+_TOKENS = st.lists(st.sampled_from(["1", "7", "0x1F", "(", ")", "+", "-", "*", "//", "%", "<<", ">>", "&", "|", "^", "~", "<", ">", "0b101", "**", "/"]), max_size=9)
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(_TOKENS)
 def test_integer_expressions(tokens):
     """Python's own grammar judges expressions of small numbers; it is given only tokens from this list."""
