@@ -14,7 +14,7 @@ from quillon.sources.tables import write_shared
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def files_for(spark: SparkSession, rows: int, each: int = 20_000) -> int:
+def files_for(spark: SparkSession, rows: int, each: int = 1_000_000) -> int:
     """How many tasks and files a table of so many narrow rows deserves: all cores, more as it grows."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // each))
 

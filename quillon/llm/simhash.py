@@ -171,9 +171,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     component. Empty tables give no rows.
     """
     rows = materialise(fingerprints(docs, id_col, text_col))
-    files = files_for(docs.sparkSession, rows.count())
+    count = rows.count()
+    files, wide = files_for(docs.sparkSession, count), files_for(docs.sparkSession, count * len(_block_masks()), 500_000)
     distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("rep")), files)
-    roots = materialise(connected_components(links(distinct.select("fp"), files), files), files)
+    roots = materialise(connected_components(links(distinct.select("fp"), wide), files), files)
     rooted = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), files)
     least = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component")), files)
     named = materialise(rooted.join(least, "root").select("fp", "component"), files)
