@@ -25,7 +25,7 @@ WORDS, PAIRS, DIM, HIDDEN = 1 << 15, 1 << 12, 16, 8
 #: Bounds of the labelled sample: documents of each class, windows of each (evenly spaced) for
 #: training, and documents for the calibration.
 FIT_ROWS, FIT_WINDOWS, CALIBRATION_ROWS = 2000, 12, 6000
-EPOCHS, BATCH, RATE, COMMON, DROP, SEED = 10, 128, 0.01, 4, 0.1, 1
+EPOCHS, BATCH, RATE, COMMON, SEED = 10, 128, 0.01, 6, 1
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
 #: ASCII punctuation parts words.
@@ -63,6 +63,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values; much faster than add.at."""
+    if not len(rows):
+        return rows, values
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
+
+
 class Network:
     """Parameters, window scores, and gradients."""
 
@@ -127,6 +137,7 @@ class Network:
         ds = a[:, :, None] * dp[:, None] + da[:, :, None] * self.p["look"]
         out["look"] = np.einsum("nt,nth->h", da, s)
         dg = np.zeros_like(g)
+        each = np.empty((ids.shape[1], len(ids), 6 * HIDDEN), g.dtype)
         for side, name in enumerate(("fore", "back")):
             u, lo = self.p[name], 3 * HIDDEN * side
             du, dh = np.zeros_like(u), np.zeros((len(ids), HIDDEN), np.float32)
@@ -137,9 +148,11 @@ class Network:
                 dr = dn * rn * reset * (1 - reset)
                 pre = np.concatenate([dz, dr, dn * reset], axis=1)
                 du += h.T @ pre
-                np.add.at(dg[:, lo : lo + 3 * HIDDEN], ids[:, t], np.concatenate([dz, dr, dn], axis=1))
+                each[t, :, lo : lo + 3 * HIDDEN] = np.concatenate([dz, dr, dn], axis=1)
                 dh = dh * z + pre @ u.T
             out[name] = du
+        rows, sums = _by_row(ids.T.ravel(), each.reshape(-1, 6 * HIDDEN))
+        dg[rows] = sums
         out["in"], out["bias"] = x.T @ dg, dg.sum(0)
         dx = (dg @ self.p["in"].T)[1:]
         out["word"] = (lex.word, dx * lex.known[:, None])
@@ -208,15 +221,11 @@ def train(texts: list[str], y: np.ndarray) -> Network:
             real = used[used > 0] - 1
             small = Lexicon(lex.word[real], np.concatenate([lex.pairs[lex.first[w] : lex.first[w + 1]] for w in real] or [np.empty(0, np.int64)]), np.concatenate([[0], np.cumsum(np.diff(lex.first)[real])]), lex.known[real])
             local = inverse.reshape(wins[pick].shape) + (0 if used[0] == 0 else 1)
-            local = np.where(rng.random(local.shape) < DROP, 0, local)
             step += 1
             rate = RATE * (1 - 0.8 * epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, d in net.gradients(small, local, label[pick], balance[pick].astype(np.float32)).items():
                 if isinstance(d, tuple):
-                    rows, where = np.unique(d[0], return_inverse=True)
-                    sums = np.zeros((len(rows), DIM), np.float32)
-                    np.add.at(sums, where, d[1])
-                    d, where = sums, rows
+                    where, d = _by_row(*d)
                 else:
                     where = slice(None)
                 first[k][where] = 0.9 * first[k][where] + 0.1 * d
