@@ -143,11 +143,13 @@ def mixture(rows: DataFrame, shard_words: int, seed: int) -> Mixture | None:
     cut = [int(orders[i][whole[i]]) if whole[i] < BLOCKS and rest[i] > 0 else -1 for i in range(len(names))]
 
     # the block in which a target falls is cut by a second level of blocks, to the nearest part
-    where = F.lit(False)
-    for i, name in enumerate(names):
-        if cut[i] >= 0:
-            where = where | (F.col("source").eqNullSafe(F.lit(name)) & (_block(0) == cut[i]))
-    second = rows.filter(where).groupBy("source", _block(1).alias("p")).agg(F.sum("size").alias("w")).toPandas()
+    falls = rows.sparkSession.sparkContext.broadcast(dict(zip(names, cut)))
+
+    @F.pandas_udf("boolean")
+    def is_cut(sources: pd.Series, blocks: pd.Series) -> pd.Series:
+        return pd.Series([falls.value.get(s if isinstance(s, str) else None) == b for s, b in zip(sources, blocks)], dtype=bool)
+
+    second = rows.filter(is_cut("source", _block(0))).groupBy("source", _block(1).alias("p")).agg(F.sum("size").alias("w")).toPandas()
     parts = np.zeros(len(names), np.int64)
     for name, g in second.groupby("source", dropna=False):
         i, g = at[name if isinstance(name, str) else None], g.sort_values("p")
