@@ -32,7 +32,7 @@ from quillon.llm.common import id_remainder, materialise, mix64, partitions, wor
 MODULUS, HELD = 7, 2
 #: Frequent words (a bound of what is broadcast), kinds of document, bands of frequency, rows of
 #: the hashed weight table (65,536 at most), and rounds of training.
-FREQUENT, KINDS, BANDS, ROWS, ROUNDS = 131_072, 8, 1, 1 << 15, 2
+FREQUENT, KINDS, BANDS, ROWS, ROUNDS = 131_072, 8, 3, 1 << 15, 2
 BLOCK, RATE, MINIBATCH = 128, 0.5, 8192
 TAIL, END = 0, 1
 FEATURES = 4
@@ -160,12 +160,26 @@ def lay_out(voc: Vocabulary, texts: list[list[bytes]]) -> Batch:
     return Batch(rows, cls, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], numbers, rare, doc[missing])
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]] + bias
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Class logits of every token, less their maximum; take() copies whole rows, which indexing does not."""
+    z = weights.take(rows[:, 0], axis=0)
+    z += bias
     for f in range(1, FEATURES):
-        z += weights[rows[:, f]]
+        z += weights.take(rows[:, f], axis=0)
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = _logits(weights, bias, rows)
+    z -= np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
+
+
+def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = _logits(weights, bias, rows)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -180,13 +194,13 @@ class Learner:
     def learn(self, rows: np.ndarray, cls: np.ndarray) -> None:
         for at in range(0, len(cls), MINIBATCH):
             r, y = rows[at : at + MINIBATCH], cls[at : at + MINIBATCH]
-            g = np.exp(log_softmax(self.w, self.b, r))
+            g = softmax(self.w, self.b, r)
             g[np.arange(len(y)), y] -= 1
             flat = r.ravel()
             order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort, at this width
             flat = flat[order]
             cuts = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
-            sums = np.add.reduceat(g[order // FEATURES], cuts, axis=0)
+            sums = np.add.reduceat(g.take(order // FEATURES, axis=0), cuts, axis=0)
             hit = flat[cuts]
             self.power[hit] += np.einsum("ij,ij->i", sums, sums)
             self.w[hit] -= RATE * sums / np.sqrt(self.power[hit])[:, None]

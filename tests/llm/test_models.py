@@ -116,3 +116,13 @@ def test_next_words_sum_to_one():
     p = np.exp(maxent.log_softmax(weights, bias, b.rows))
     share = np.array([counts[b"c"] + 1 + 1, 3 + 1, counts[b"a"] + 1, counts[b"b"] + 1]) / sizes
     assert np.allclose((p * share).sum(1), 1)
+
+
+def test_a_kind_is_divided_by_frequency(spark):
+    """Words of one kind of document fall into classes by how often they stand there."""
+    n = {f"w{i:03}".encode(): 1 + 600 // (i + 1) for i in range(200)}
+    rows = [(bytearray(w), k, *[k if j == 5 else 0 for j in range(maxent.KINDS)]) for w, k in n.items()]
+    counts = spark.createDataFrame(rows, "w binary, n long, " + ", ".join(f"k{j} long" for j in range(maxent.KINDS)))
+    voc = maxent.vocabulary(counts, 1)
+    own = [int(voc.cls[voc.number[w]]) for w in n if w in voc.number]
+    assert len(own) == len(n) and own == sorted(own) and len(set(own)) >= 3
