@@ -2,7 +2,7 @@
 
 A fingerprint is a sum of one wide vector for each paragraph (line): four 64-bit lanes of its
 BLAKE2b digest, summed modulo 2**64, and 128 lanes in which every 16-byte gram of the paragraph
-counts +1 or -1 in one lane, summed modulo 2**16. Sums do not depend on order; a paragraph is put
+counts +1 or -1 in one lane, summed modulo 2**32 (no text Spark holds has 2**31 grams). Sums do not depend on order; a paragraph is put
 in or taken out by adding or subtracting its vector. The first lanes decide equality; the second
 are a count sketch, whose normalised inner product estimates how much two texts share.
 """
@@ -41,19 +41,19 @@ def _sketch(data: bytes) -> np.ndarray:
 
 
 def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The vector sum of a text's paragraphs: (4 lanes modulo 2**64, LANES modulo 2**16)."""
+    """The vector sum of a text's paragraphs: (4 lanes modulo 2**64, LANES modulo 2**32)."""
     data = text.encode("utf-8", "replace")
     digests = b"".join(hashlib.blake2b(p, digest_size=32).digest() for p in data.split(b"\n"))
-    return np.frombuffer(digests, "<u8").reshape(-1, 4).sum(0, dtype=np.uint64), _sketch(data).astype("<u2")
+    return np.frombuffer(digests, "<u8").reshape(-1, 4).sum(0, dtype=np.uint64), _sketch(data).astype("<u4")
 
 
 def encode(v: tuple[np.ndarray, np.ndarray]) -> str:
-    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<u2").tobytes().hex()
+    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<u4").tobytes().hex()
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[:32], "<u8"), np.frombuffer(raw[32:], "<u2")
+    return np.frombuffer(raw[:32], "<u8"), np.frombuffer(raw[32:], "<u4")
 
 
 def add(a: str, b: str) -> str:
@@ -74,7 +74,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """1 for equal multisets, else the share of grams in common as the sketches estimate it."""
     if (a[0] == b[0]).all():
         return 1.0
-    x, y = a[1].astype(np.uint16).view(np.int16).astype(float), b[1].astype(np.uint16).view(np.int16).astype(float)
+    x, y = a[1].view(np.int32).astype(float), b[1].view(np.int32).astype(float)
     whole = x @ x + y @ y
     return float(min(1.0, max(0.0, 2 * (x @ y) / whole))) if whole else 0.0
 

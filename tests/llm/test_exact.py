@@ -165,6 +165,15 @@ def test_order_and_edits_of_multisets():
     assert multiset.subtract(a, multiset.fingerprint("two")) == multiset.fingerprint("one\nthree")
 
 
+@pytest.mark.parametrize("text", ["x" * 40_000, "x" * 600_000, "word " * 40_000])
+def test_lanes_hold_long_repetitive_texts(text):
+    """More than 32,767 equal grams: three quarters stay, a quarter is replaced."""
+    n = len(text) // 4
+    whole, edited = multiset.fingerprint(text), multiset.fingerprint(text[:-n] + "y" * n)
+    assert multiset.likeness(multiset.decode(whole), multiset.decode(edited)) > 0.7
+    assert multiset.subtract(multiset.add(whole, edited), edited) == whole
+
+
 def test_successors(spark, documents):
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     got = {r.id: r for r in multiset.edits(documents).collect()}
