@@ -25,7 +25,7 @@ def uncovered(inner: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
     return inner.join(wide, hit, "left_anti")
 
 
-def closure(needed: DataFrame, depends: DataFrame, most: int = 64) -> DataFrame:
+def closure(needed: DataFrame, depends: DataFrame) -> DataFrame:
     """(fn, var): what is needed (fn, var) and, over `depends` (fn, var, dep), all that it leads to.
 
     Semi-naive: each round joins only what the last one found. A round is planned from tables of
@@ -36,10 +36,9 @@ def closure(needed: DataFrame, depends: DataFrame, most: int = 64) -> DataFrame:
     found = written(needed.select("fn", "var").distinct())
     fresh = found
     edges = written(depends.select("fn", "var", "dep").distinct())
-    for _ in range(most):
+    while True:
         step = fresh.join(edges, ["fn", "var"]).select("fn", F.col("dep").alias("var")).distinct()
         fresh = written(step.join(found, ["fn", "var"], "left_anti"))
         if fresh.isEmpty():
-            break
+            return found
         found = written(found.union(fresh))
-    return found

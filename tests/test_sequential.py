@@ -89,6 +89,12 @@ def test_closure_of_a_chain(spark):
     assert sorted(r["var"] for r in got.collect()) == [f"v{i}" for i in range(7)]
 
 
+def test_closure_of_a_long_chain_with_a_cycle(spark):
+    depends = spark.createDataFrame([("f", f"v{i}", f"v{(i + 1) % 70}") for i in range(70)], "fn string, var string, dep string")
+    got = intervals.closure(spark.createDataFrame([("f", "v0")], "fn string, var string"), depends)
+    assert sorted(r["var"] for r in got.collect()) == sorted(f"v{i}" for i in range(70))
+
+
 def test_resume(spark):
     planned = spark.createDataFrame([("r1", "A", ["x", "y"]), ("r2", "B", ["x"]), ("r3", "C", ["z"])], "run_id string, cve string, binaries array<string>")
     done = spark.createDataFrame([("A", "x", "error"), ("A", "y", "present"), ("B", "w", "present"), ("C", "z", "present")], "cve string, binary string, status string")
