@@ -22,7 +22,7 @@ from quillon.llm.labelled import Logistic, sample
 
 CHUNK, LEVEL, DICTIONARY = 1024, 3, 110 * 1024
 #: Bounds of the labelled sample: documents of each class for the dictionaries, chunks that each
-#: gives to its dictionary, and documents for the calibration.
+#: gives to its dictionary from its whole length, and documents for the calibration.
 FIT_ROWS, FIT_CHUNKS, CALIBRATION_ROWS = 4000, 4, 8000
 MODULUS, HELD = 5, 0
 THRESHOLD = 0.3
@@ -33,6 +33,12 @@ def _chunks(text: str) -> list[bytes]:
     return [data[i : i + CHUNK] for i in range(0, max(len(data), 1), CHUNK)]
 
 
+def _spread(text: str) -> list[bytes]:
+    """FIT_CHUNKS chunks evenly spaced over the whole text, its first and last among them."""
+    parts = _chunks(text)
+    return [parts[i] for i in np.linspace(0, len(parts) - 1, min(len(parts), FIT_CHUNKS)).astype(int)]
+
+
 def _dictionary(samples: list[bytes]) -> bytes:
     """Dictionary bytes; for samples too few to train on, their raw content."""
     try:
@@ -78,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(i, y, c) for i, t, y in zip(b["id"], b["text"], b["y"]) for c in _chunks(t)[:FIT_CHUNKS]]
+            out = [(i, y, c) for i, t, y in zip(b["id"], b["text"], b["y"]) for c in _spread(t)]
             yield pd.DataFrame(out, columns=["id", "y", "c"])
 
     pieces = rows.filter("part = 'fit'").mapInPandas(cut, "id long, y int, c binary").toPandas().sort_values(["id", "c"], kind="stable")

@@ -25,6 +25,17 @@ def test_quality_on_held_out(spark):
     assert np.mean([g.predicted == 1 for y, g in held if y == 1]) > 0.99
 
 
+def test_dictionaries_read_long_texts_to_their_end(spark):
+    """What tells good from bad stands beyond the first FIT_CHUNKS chunks."""
+    rng = np.random.default_rng(0)
+    junk = rng.bytes(300).hex()
+    clean = " ".join(f"w{k}" for k in rng.integers(0, 500, 1500))[: 6 * quality.CHUNK]
+    docs = spark.createDataFrame([(i, clean + f" {i} " + (junk * 4 if i % 2 else "fine " * 480)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)], "doc_id long, quality int")
+    bad = quality.fit(docs, labels).bad
+    assert any(junk[i : i + 16].encode() in bad for i in range(len(junk) - 16))
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = np.random.default_rng(0)
     bad = ["vile", "rotten", "filth"]
