@@ -1,8 +1,9 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built, from good and from bad labelled text. A text is cut into
-chunks, each compressed with either dictionary and with none; the normalised difference of the
-compressed sizes, over the whole text and in its worst chunk, and the sizes themselves are
+chunks, small ones and large ones, and each chunk is compressed with either dictionary. What is
+read of a chunk is the difference of its two compressed sizes alone, normalised by their sum and by
+the chunk's own size. The differences of the whole text and their spread over its chunks are
 calibrated to a probability by logistic regression on documents that built neither dictionary.
 """
 
@@ -20,23 +21,20 @@ from pyspark.sql import functions as F
 from quillon.llm.common import id_remainder
 from quillon.llm.labelled import Logistic, sample
 
-CHUNK, LEVEL, DICTIONARY = 1024, 3, 110 * 1024
-#: Bounds of the labelled sample: documents of each class for the dictionaries, chunks that each
-#: gives to its dictionary from its whole length, and documents for the calibration.
-FIT_ROWS, FIT_CHUNKS, CALIBRATION_ROWS = 4000, 4, 8000
+#: Bytes of the chunks that are compressed, and of those that dictionaries are built from.
+WINDOWS, CHUNK = (256, 1024), 1024
+LEVEL, DICTIONARY = 3, 110 * 1024
+#: Bounds of the labelled sample: documents of each class whose whole texts build the dictionaries,
+#: and documents for the calibration.
+FIT_ROWS, CALIBRATION_ROWS = 2000, 8000
 MODULUS, HELD = 5, 0
 THRESHOLD = 0.3
+#: Numbers that features() gives for a text.
+FEATURES = 8 * len(WINDOWS)
 
 
-def _chunks(text: str) -> list[bytes]:
-    data = text.encode("utf-8", "replace")
-    return [data[i : i + CHUNK] for i in range(0, max(len(data), 1), CHUNK)]
-
-
-def _spread(text: str) -> list[bytes]:
-    """FIT_CHUNKS chunks evenly spaced over the whole text, its first and last among them."""
-    parts = _chunks(text)
-    return [parts[i] for i in np.linspace(0, len(parts) - 1, min(len(parts), FIT_CHUNKS)).astype(int)]
+def _chunks(data: bytes, size: int) -> list[bytes]:
+    return [data[i : i + size] for i in range(0, max(len(data), 1), size)]
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -57,18 +55,29 @@ def _compressor(dictionary: bytes | None) -> zstandard.ZstdCompressor:
 
 
 class Features:
-    """Compressed-size features of a text under a pair of dictionaries."""
+    """Normalised compressed-size differences of a text under a pair of dictionaries.
+
+    A last chunk that is shorter than the others counts towards the extremes by its share of a
+    chunk, towards means and spreads by its bytes.
+    """
 
     def __init__(self, good: bytes, bad: bytes) -> None:
-        self.by = [_compressor(good), _compressor(bad), _compressor(None)]
+        self.good, self.bad = _compressor(good), _compressor(bad)
 
     def __call__(self, text: str) -> list[float]:
-        parts = _chunks(text)
-        g, b, n = (np.array([len(c.compress(p)) for p in parts], float) for c in self.by)
-        raw = np.array([len(p) for p in parts], float)
-        own = ((b - g) / (b + g))[raw >= min(CHUNK / 4, raw.max())]
-        total = raw.sum() + 1
-        return [(b.sum() - g.sum()) / (b.sum() + g.sum()), own.min(), g.sum() / total, b.sum() / total, n.sum() / total, np.log(total) / 10]
+        data, out = text.encode("utf-8", "replace"), []
+        for size in WINDOWS:
+            parts = _chunks(data, size)
+            raw = np.array([len(p) for p in parts], float)
+            good = np.array([len(self.good.compress(p)) for p in parts], float)
+            bad = np.array([len(self.bad.compress(p)) for p in parts], float)
+            weight = (raw + 1e-9) / (raw + 1e-9).sum()
+            full = np.minimum(1, raw / size) if len(parts) > 1 else np.ones(1)
+            for norm in (good + bad, np.maximum(raw, 32)):
+                own, whole = (bad - good) / norm, (bad - good).sum() / norm.sum()
+                out += [whole, (own * full).min(), float(np.sqrt((weight * (own - whole) ** 2).sum()))]
+            out += [(own * full).max(), float(weight[bad < good].sum())]
+        return out
 
 
 @dataclass
@@ -79,12 +88,18 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Learns from a bounded sample of the labelled documents outside the held-out fold."""
+    """Learns from a bounded sample of the labelled documents outside the held-out fold.
+
+    The whole texts of at most FIT_ROWS documents of each class build the dictionaries, those of
+    at most CALIBRATION_ROWS others the calibration; null texts count as empty, rows that repeat a
+    labelled id are learnt from each. With no labels of both classes, or an empty table, the model
+    is the smoothed share of good ones.
+    """
     rows = sample(docs, labels, label, MODULUS, HELD, FIT_ROWS, CALIBRATION_ROWS)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(i, y, c) for i, t, y in zip(b["id"], b["text"], b["y"]) for c in _spread(t)]
+            out = [(i, y, c) for i, t, y in zip(b["id"], b["text"], b["y"]) for c in _chunks(t.encode("utf-8", "replace"), CHUNK)]
             yield pd.DataFrame(out, columns=["id", "y", "c"])
 
     pieces = rows.filter("part = 'fit'").mapInPandas(cut, "id long, y int, c binary").toPandas().sort_values(["id", "c"], kind="stable")
@@ -96,9 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "x": [f(t) for t in b["text"]], "id": b["id"]})
 
-    known = rows.filter("part = 'calibrate'").mapInPandas(measure, "y int, x array<double>, id long").toPandas().sort_values("id")
-    x = np.array(known["x"].tolist()).reshape(-1, 6)
-    return Model(good, bad, Logistic.fit(x, known["y"].to_numpy(float)))
+    known = rows.filter("part = 'calibrate'").mapInPandas(measure, "y int, x array<double>, id long").toPandas()
+    x, y = np.array(known["x"].tolist()).reshape(-1, FEATURES), known["y"].to_numpy(float)
+    order = np.lexsort((*x.T, known["id"].to_numpy()))
+    return Model(good, bad, Logistic.fit(x[order], y[order]))
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,7 +131,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         m = told.value
         f = Features(m.good, m.bad)
         for t in texts:
-            yield pd.Series(m.calibrator.predict(np.array([f(x or "") for x in t]).reshape(-1, 6)))
+            yield pd.Series(m.calibrator.predict(np.array([f(x or "") for x in t]).reshape(-1, FEATURES)))
 
     held = F.coalesce(id_remainder("doc_id", MODULUS) == HELD, F.lit(False))
     out = docs.select("doc_id", held.alias("held_out"), score("text").alias("score"))
@@ -123,7 +139,12 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier does not reject, columns unchanged."""
+    """The documents that the classifier does not reject, columns unchanged.
+
+    Null texts count as empty and are kept or rejected as empty ones are; rows with null ids and
+    repeated rows are each judged by their text, equal texts alike. Extra columns pass through. An
+    empty table gives no rows.
+    """
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -131,6 +152,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         m = told.value
         f = Features(m.good, m.bad)
         for t in texts:
-            yield pd.Series(m.calibrator.predict(np.array([f(x or "") for x in t]).reshape(-1, 6)) >= threshold)
+            yield pd.Series(m.calibrator.predict(np.array([f(x or "") for x in t]).reshape(-1, FEATURES)) >= threshold)
 
     return docs.filter(good("text"))

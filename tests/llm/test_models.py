@@ -25,17 +25,28 @@ def test_quality_on_held_out(spark):
     assert np.mean([g.predicted == 1 for y, g in held if y == 1]) > 0.99
 
 
-def test_dictionaries_read_long_texts_to_their_end(spark):
-    """What tells good from bad stands beyond the first FIT_CHUNKS chunks."""
+def test_dictionaries_read_whole_texts(spark):
+    """What tells good from bad stands at one place, far inside long texts."""
     rng = np.random.default_rng(0)
     junk = rng.bytes(300).hex()
-    clean = " ".join(f"w{k}" for k in rng.integers(0, 500, 1500))[: 6 * quality.CHUNK]
-    docs = spark.createDataFrame([(i, clean + f" {i} " + (junk * 4 if i % 2 else "fine " * 480)) for i in range(60)], "doc_id long, text string")
+    clean = [" ".join(f"w{k}" for k in rng.integers(0, 500, 1500))[: 6 * quality.CHUNK] for _ in range(2)]
+    docs = spark.createDataFrame([(i, clean[0] + f" {i} " + (junk if i % 2 else "fine " * 120) + clean[1]) for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)], "doc_id long, quality int")
     bad = quality.fit(docs, labels).bad
     assert any(junk[i : i + 16].encode() in bad for i in range(len(junk) - 16))
 
 
+def test_scores_are_of_size_differences_alone(spark):
+    """With equal dictionaries there is no difference, and no text differs from another in score."""
+    f = quality.Features(b"some words of a dictionary " * 40, b"some words of a dictionary " * 40)
+    assert {tuple(f(t)) for t in ("", "x", "word " * 900, "\u00e9" * 5000)} == {(0.0,) * quality.FEATURES}
+    g, b = b"good words stand here " * 60, b"%%% $$$ ### &&& *** " * 60
+    here, there = quality.Features(g, b), quality.Features(b, g)
+    for t in ("good words", "%%% $$$" * 300, "neither " * 500):
+        x, y = here(t), there(t)
+        assert all(x[k] == pytest.approx(-y[k]) for k in (0, 3, 8, 11))  # the wholes change their sign
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = np.random.default_rng(0)
     bad = ["vile", "rotten", "filth"]
