@@ -72,3 +72,11 @@ def seeded(count: int, seed: int) -> np.ndarray:
 def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Only the columns an operator reads, so that clashing extra ones cannot matter."""
     return df.select(*columns)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, and that stays free with one underscore more."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken or f"{name}_" in taken:
+        name += "__"
+    return name

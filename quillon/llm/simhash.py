@@ -1,9 +1,11 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Two fingerprints within three bits agree wholly on at least three of six bit blocks, so every
-linked pair meets in one of twenty buckets. Inside a bucket each fingerprint has a row of Hamming
-distances to fixed reference fingerprints; by the triangle inequality a pair whose rows differ
-anywhere by more than three is discarded, and the survivors are verified bit by bit.
+Every fingerprint has a row of Hamming distances to many reference fingerprints. References come in
+families: one at random, and its copies with one of six bit blocks turned over. What a member of a
+family is nearer or farther than its first reference is a coordinate of one block alone, so two
+fingerprints within three bits agree in all coordinates of at least three blocks: candidates are
+those that meet in one of the twenty choices of three. Of these, pairs whose rows differ anywhere by
+more than three are discarded by the triangle inequality, and the survivors are verified bit by bit.
 """
 
 from __future__ import annotations
@@ -15,27 +17,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import files_for, materialise, need, seeded, words_of
+from quillon.llm.common import files_for, fresh, materialise, need, seeded, words_of
 from quillon.llm.components import connected_components
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-PIVOTS = seeded(8, 10)
-#: Widths of the six blocks, low bits first.
+#: Widths of the six blocks, low bits first; a coordinate on a block goes from 0 to its width.
 BLOCKS = (11, 11, 11, 11, 10, 10)
+_EDGES = np.concatenate([[0], np.cumsum(BLOCKS)]).tolist()
+_MASKS = np.array([((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(_EDGES, _EDGES[1:])], np.uint64)
+FAMILIES = seeded(8, 10)
+#: The references: row f has the first of family f, then its copies with a block turned over.
+PIVOTS = FAMILIES[:, None] ^ np.concatenate([np.zeros(1, np.uint64), _MASKS])[None, :]
+CHOICES = list(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
 #: Fingerprints of one bucket that a task compares at once; larger buckets go in block pairs.
-BUCKET = 4096
+#: Buckets are counted beforehand on one fingerprint in SAMPLE; at most KNOWN counts are broadcast.
+BUCKET, SAMPLE, KNOWN = 4096, 64, 100_000
 
 
-def _block_masks() -> list[int]:
-    edges = np.concatenate([[0], np.cumsum(BLOCKS)]).tolist()
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    masks = [sum(blocks[i] for i in some) for some in combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def fingerprint(text: str | None, slab: int = 65536) -> int:
@@ -54,7 +59,11 @@ def fingerprint(text: str | None, slab: int = 65536) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every row; null texts count as empty."""
+    """(id, fp long) of every row.
+
+    Null and empty texts, and texts of blanks alone, have fingerprint zero. Null ids and repeated
+    rows keep their rows, extra columns do not matter, and an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,18 +74,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return need(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("t")]).mapInArrow(run, f"id {kind}, fp long")
 
 
+def table(fps: np.ndarray) -> np.ndarray:
+    """The pivot distance table: a row for each fingerprint, a column for each reference."""
+    return np.bitwise_count(fps[:, None] ^ PIVOTS.ravel()).astype(np.int8)
+
+
+def keyed(fps: DataFrame) -> DataFrame:
+    """(c, k, fp): each fingerprint under the twenty keys that its distances to the references give."""
+    far = lambda pivot: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(pivot)))))
+    rows = fps.select("fp", *(far(p).alias(f"d{f}_{b}") for f, family in enumerate(PIVOTS) for b, p in enumerate(family)))
+
+    def packed(block: int) -> Column:
+        """All families' coordinates on a block; each is at most 11, four bits."""
+        out = F.lit(0).cast("long")
+        for f in range(len(FAMILIES)):
+            own = (F.col(f"d{f}_0") - F.col(f"d{f}_{block + 1}") + BLOCKS[block]) / 2
+            out = out * 16 + own.cast("long")
+        return out
+
+    rows = rows.select("fp", *(packed(i).alias(f"b{i}") for i in range(len(BLOCKS))))
+    keys = (F.struct(F.lit(c).alias("c"), F.xxhash64(*(f"b{i}" for i in some)).alias("k")) for c, some in enumerate(CHOICES))
+    return rows.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.c", "x.k", "fp")
+
+
 def spanning_edges(fps: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints of one bucket."""
-    if len(fps) == 2:
-        return [(int(fps[1]), int(fps[0]))] if np.bitwise_count(fps[0] ^ fps[1]) <= RADIUS else []
-    table = np.bitwise_count(fps[:, None] ^ PIVOTS).astype(np.int8)
-    out, alive = [], np.arange(len(fps))
+    rows, out, alive = table(fps), [], np.arange(len(fps))
     while len(alive):
         root, alive = alive[0], alive[1:]
         stack = [root]
         while stack and len(alive):
             u = stack.pop()
-            near = (np.abs(table[alive] - table[u]) <= RADIUS).all(1)
+            near = (np.abs(rows[alive] - rows[u]) <= RADIUS).all(1)
             near[near] = np.bitwise_count(fps[alive[near]] ^ fps[u]) <= RADIUS
             hit = alive[near]
             if len(hit):
@@ -87,7 +116,7 @@ def spanning_edges(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _link(limit: int | None):
-    """Reads rows sorted by bucket; gives edges (kind 0) and, of buckets beyond the limit, the rows (kind 1)."""
+    """Reads rows sorted by bucket; gives edges (kind 0) and, of uncut buckets (p = 0) beyond the limit, the rows (kind 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.empty(0, np.int64)
@@ -122,10 +151,10 @@ def _link(limit: int | None):
                     edges += close(held)
                     held, held_key, spilling = np.empty(0, np.int64), key, False
                 held = np.concatenate([held, fps[s:e]])
-                if limit and (spilling or len(held) > limit):
+                if limit and key[2] == 0 and (spilling or len(held) > limit):
                     yield frame([], key, held)
                     held, spilling = np.empty(0, np.int64), True
-                elif not limit:
+                elif not limit or key[2]:
                     held = np.unique(held)
             if edges:
                 yield frame(edges, None, np.empty(0, np.int64))
@@ -142,24 +171,49 @@ def _dealt(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows.repartition("c", "k", "p").sortWithinPartitions("c", "k", "p").mapInPandas(_link(limit), _LINKED)
 
 
+def _pairs(rows: DataFrame, n: Column) -> DataFrame:
+    """(c, k, p, fp): the rows of a bucket cut into n parts by hash, once for each pair of parts (p from 1) that theirs is in."""
+    mine = F.pmod(F.xxhash64("fp"), n)
+    both = rows.select("c", "k", "fp", n.alias("n"), mine.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("b"))
+    return both.select("c", "k", (1 + F.least("a", "b") * F.col("n") + F.greatest("a", "b")).alias("p"), "fp")
+
+
+def _parts(count: Column) -> Column:
+    return F.ceil(count / (BUCKET // 2)).cast("long").alias("n")
+
+
 def links(fps: DataFrame, files: int | None = None) -> DataFrame:
     """Edges (u, v) that connect exactly the classes of the link relation over distinct `fp`.
 
-    Emits a forest for each bucket, not its pairs. A bucket of more than BUCKET fingerprints is
-    cut into blocks by hash, and every pair of its blocks is a task of bounded size.
+    Emits a forest for each bucket, not its pairs. Buckets are counted on one fingerprint in SAMPLE
+    before any is dealt out; a large one is cut into parts by hash, and every pair of its parts is a
+    task of bounded size. A large bucket that the sample did not show is found while it is read, and
+    is then cut in the same way, so no link is lost.
     """
-    combos = F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_block_masks())))
-    keyed = fps.select("fp", F.explode(combos).alias("x")).select("x.c", "x.k", F.lit(0).cast("long").alias("p"), "fp")
-    first = materialise(_dealt(keyed, BUCKET), files)
+    rows = keyed(fps)
+    some = rows.filter(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(SAMPLE)) == 0).groupBy("c", "k").agg((F.count("*") * SAMPLE).alias("m"))
+    large = materialise(some.filter(F.col("m") >= BUCKET // 2).select("c", "k", _parts(F.col("m"))), 1)
+    large = F.broadcast(large) if large.count() <= KNOWN else large.hint("merge")
+    dealt = rows.join(large, ["c", "k"], "left")
+    whole = dealt.filter("n is null").select("c", "k", F.lit(0).cast("long").alias("p"), "fp")
+    cut = _pairs(dealt.filter("n is not null"), F.col("n"))
+    first = materialise(_dealt(whole.union(cut), BUCKET), files)
     over = first.filter("kind = 1").select("c", "k", F.col("u").alias("fp"))
     if over.isEmpty():
         return first.select("u", "v")
-    parts = over.groupBy("c", "k").agg(F.ceil(F.count("*") / (BUCKET // 2)).cast("long").alias("n"))
-    parts = materialise(parts, files)
-    mine = F.pmod(F.xxhash64("fp"), F.col("n"))
-    paired = over.join(parts, ["c", "k"]).select("c", "k", "fp", "n", mine.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
-    paired = paired.select("c", "k", (F.least("a", "b") * F.col("n") + F.greatest("a", "b")).alias("p"), "fp")
-    return first.filter("kind = 0").select("u", "v").union(_dealt(paired, None).select("u", "v"))
+    parts = materialise(over.groupBy("c", "k").agg(_parts(F.count("*"))), files)
+    return first.filter("kind = 0").select("u", "v").union(_dealt(_pairs(over.join(parts, ["c", "k"]), F.col("n")), None).select("u", "v"))
+
+
+def _rooted(rows: DataFrame) -> DataFrame:
+    """(fp, root, component) of distinct fingerprints of rows (id, fp); root names the class."""
+    spark, count = rows.sparkSession, rows.count()
+    files, wide = files_for(spark, count), files_for(spark, count * len(CHOICES), 500_000)
+    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("rep")), files)
+    roots = materialise(connected_components(links(distinct.select("fp"), wide), files), files)
+    rooted = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), files)
+    least = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component")), files)
+    return materialise(rooted.join(least, "root").select("fp", "root", "component"), files)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,26 +225,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     component. Empty tables give no rows.
     """
     rows = materialise(fingerprints(docs, id_col, text_col))
-    count = rows.count()
-    files, wide = files_for(docs.sparkSession, count), files_for(docs.sparkSession, count * len(_block_masks()), 500_000)
-    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("rep")), files)
-    roots = materialise(connected_components(links(distinct.select("fp"), wide), files), files)
-    rooted = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), files)
-    least = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component")), files)
-    named = materialise(rooted.join(least, "root").select("fp", "component"), files)
-    return rows.join(named, "fp").select("id", "fp", "component")
+    return rows.join(_rooted(rows), "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """documents without near-duplicates: of each class the row of least doc_id stays.
+    """documents without near-duplicates: exactly one row of each class stays, columns unchanged.
 
-    Rows that repeat an id count as copies of one document and stay once; rows whose id is null
-    stay if nothing else is in their class.
+    That is the row of least doc_id, null ids last, then of least text digest. Rows of one id whose
+    texts are in different classes are judged apart; rows that repeat id and text stay once. Null
+    texts count as empty. An empty table gives no rows.
     """
-    rows = materialise(classes(docs).select("id", "component").filter("id <=> component"))
-    ids = rows.select(F.col("id").alias("__id")).distinct()
-    # the ids grow with the documents, so the join is a shuffled one at every size
-    kept = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    if rows.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is null").union(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    key, told = fresh(docs, "digest"), fresh(docs, "kept_id")
+    # the digest rides along as part of the id, so that texts need not be read again
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", digest.alias("digest")).alias("id"), "text")
+    rows = materialise(fingerprints(named, "id"))
+    kept = materialise(rows.join(_rooted(rows), "fp").groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.doc_id").alias(told), F.col("id.digest").alias(key)))
+    # kept ids grow with the documents, so the join is a shuffled one at every size
+    marked = docs.withColumn(f"{key}_", digest)
+    left = marked.join(kept.hint("merge"), marked["doc_id"].eqNullSafe(kept[told]) & (marked[f"{key}_"] == kept[key]), "left_semi")
+    if rows.groupBy("id").count().filter("count > 1").isEmpty():
+        return left.select(*docs.columns)
+    return left.dropDuplicates(["doc_id", f"{key}_"]).select(*docs.columns)
