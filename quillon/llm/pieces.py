@@ -4,12 +4,13 @@ The model at hand merges pairs (BPE). A piece sequence is its encoding exactly i
 and each two neighbours encode to themselves, and every text has one such sequence. So encoding is
 a best path in a lattice of pieces whose edges weigh 0 between such neighbours and -inf elsewhere.
 
-A text is cut into chunks. The states at a cut are the pieces that may lie across it or end at it;
-a chunk's transfer matrix holds the best weight from each state at its beginning to each at its
-end. Matrices combine associatively in max-plus algebra; once the scan has fixed the state at every
-cut, each chunk is traced back on its own. No piece holds a word mark behind another character, or
-punctuation beside a letter, so at the edge of a word there is one state, and words in between are
-solved once and remembered.
+A text is cut into chunks of fixed length, wherever that falls. The states at a cut are the pieces
+that may lie across it or end at it; a chunk's transfer matrix holds the best weight from each state
+at its beginning to each at its end. Matrices combine associatively in max-plus algebra; once the
+scan has fixed the state at every cut, each chunk is traced back on its own. No piece holds a word
+mark behind another character, or punctuation beside a letter, so all paths meet where a word
+begins: a matrix is the sum of what leads from its first cut to the next such place and from the
+last such place to its second cut, and words in between are solved once and remembered.
 """
 
 from __future__ import annotations
@@ -18,36 +19,52 @@ import hashlib
 import re
 import string
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise
 
 #: Where the piece model is found by default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a chunk, how far back a cut looks for a word's beginning, and how many solved
-#: words and judged pairs a worker remembers (it forgets all beyond that).
-CHUNK, LOOK, WORDS, PAIRS = 4096, 256, 500_000, 2_000_000
-#: Characters beyond which a text's chunks go to several tasks.
-GIANT = 1 << 22
+#: Characters of a chunk, how far from a cut a word's ends are looked for, and how many solved
+#: words, cut words and judged pairs a worker remembers (it forgets all beyond that).
+CHUNK, LOOK, WORDS, GATES, PAIRS = 4096, 256, 500_000, 100_000, 2_000_000
+#: Characters beyond which a text's chunks go to several tasks, and characters of such a chunk.
+GIANT, SPAN = 1 << 16, 1 << 14
 MARK = "▁"
 NEVER = -np.inf
 #: A state: where a piece begins and ends; None where every piece must end.
 State = tuple[int, int] | None
 
 
+@dataclass
+class Gate:
+    """A word that a cut may divide: the cut's states, what leads to each from the word's beginning
+    and from each to its end, and the ids on either side of a state (kept once asked for)."""
+
+    word: str
+    at: int
+    states: list[State]
+    left: np.ndarray
+    right: np.ndarray
+    ids: dict[int, tuple[list[int], list[int]]] = field(default_factory=dict)
+
+
 class Model:
     """Pieces of a SentencePiece BPE model with byte fallback, a leading mark and no normalisation."""
 
-    def __init__(self, path: str = MODEL) -> None:
+    def __init__(self, proto: bytes) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         size = sp.get_piece_size()
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {sp.id_to_piece(i): i for i in plain}
@@ -76,6 +93,7 @@ class Model:
         self.judged: dict[int, bool] = {}
         self.pair: dict[tuple[str, str], bool] = {}
         self.word: dict[str, tuple[int, ...]] = {}
+        self.gates: dict[tuple[str, int], Gate] = {}
 
     @staticmethod
     def normal(text: str) -> str:
@@ -164,8 +182,54 @@ class Model:
             out.append(0.0 if good else NEVER)
         return out
 
-    def transfer(self, x: str, lo: int, starts: list[State], hi: int, ends: list[State]) -> np.ndarray:
+    def gate(self, x: str, cut: int) -> tuple[int, int, Gate] | None:
+        """(beginning, end, gate) of the word at a cut; None if it is longer than LOOK to either side."""
+        if cut in (0, len(x)) or self.clean(x, cut):
+            return cut, cut, _OPEN
+        a = self.last_clean(x, cut - LOOK, cut)
+        b = self.next_clean(x, cut + 1, min(cut + LOOK, len(x)))
+        a = 0 if a is None and cut <= LOOK else a
+        b = len(x) if b is None and len(x) - cut <= LOOK else b
+        if a is None or b is None:
+            return None
+        w, k = x[a:b], cut - a
+        known = self.gates.get((w, k))
+        if known is None:
+            if len(self.gates) >= GATES:
+                self.gates.clear()
+            states = self.states(w, k)
+            right = np.array([self._reached(w, k, s, len(w), [None])[0] for s in states])
+            known = self.gates[w, k] = Gate(w, k, states, np.array(self._reached(w, 0, None, k, states)), right)
+        return a, b, known
+
+    def halves(self, gate: Gate, state: int) -> tuple[list[int], list[int]]:
+        """Ids of a cut word up to and with a state's piece, and behind it."""
+        if state not in gate.ids:
+            s, w = gate.states[state], gate.word
+            gate.ids[state] = (self._back(w, None, 0, gate.at, s), self._back(w, s, s[1], len(w), None)) if s else ([], [])
+        return gate.ids[state]
+
+    def joint(self, x: str, lo: int, hi: int) -> tuple[int, Gate, int, Gate] | None:
+        """Where the words at a chunk's two cuts end and begin, if all paths meet in between."""
+        here, there = self.gate(x, lo), self.gate(x, hi)
+        return (here[1], here[2], there[0], there[2]) if here and there and here[1] <= there[0] else None
+
+    def matrix(self, x: str, lo: int, hi: int) -> np.ndarray:
         """The max-plus matrix of the chunk [lo, hi): best weights from states to states."""
+        met = self.joint(x, lo, hi)
+        if met:
+            return met[1].right[:, None] + met[3].left[None, :]
+        return self.transfer(x, lo, self.states(x, lo), hi, self.states(x, hi))
+
+    def traced(self, x: str, lo: int, i: int, hi: int, j: int) -> list[int]:
+        """Ids of a chunk between state i of its first cut and state j of its second."""
+        met = self.joint(x, lo, hi)
+        if met:
+            return [*self.halves(met[1], i)[1], *self.words(x[met[0] : met[2]]), *self.halves(met[3], j)[0]]
+        return self.trace(x, lo, self.states(x, lo)[i], hi, self.states(x, hi)[j])
+
+    def transfer(self, x: str, lo: int, starts: list[State], hi: int, ends: list[State]) -> np.ndarray:
+        """The matrix of a chunk whose words do not tell its two cuts apart."""
         head, tail = self.next_clean(x, lo + 1, hi), self.last_clean(x, lo + 1, hi)
         if head is None:
             return np.array([self._reached(x, lo, s, hi, ends) for s in starts])
@@ -263,27 +327,14 @@ class Model:
 
     # -- whole texts
 
-    def cuts(self, x: str, size: int) -> list[int]:
-        """Chunk ends about `size` apart, moved back to a word's beginning if one is near."""
-        out = [0]
-        while out[-1] + size < len(x):
-            to = out[-1] + size
-            out.append(self.last_clean(x, max(out[-1] + 1, to - LOOK), to) or to)
-        return [*out, len(x)]
-
     def encode_normal(self, x: str, size: int = CHUNK) -> list[int]:
         if not x:
             return []
-        cuts = self.cuts(x, size)
-        states = [self.states(x, c) for c in cuts]
-        if len(cuts) == 2 and self.parts.match(x).end() == len(x):
-            return self._search(x)
-        if all(s == [None] for s in states):  # 1 x 1 matrices
-            return list(chain.from_iterable(self.words(x[a:b]) for a, b in zip(cuts, cuts[1:])))
-        matrices = [self.transfer(x, a, s, b, t) for a, b, s, t in zip(cuts, cuts[1:], states, states[1:])]
-        chosen = choose(matrices)
-        ends = [s[k] for s, k in zip(states, chosen)]
-        return list(chain.from_iterable(self.trace(x, a, s, b, t) for a, b, s, t in zip(cuts, cuts[1:], ends, ends[1:])))
+        cuts = [*range(0, len(x), size), len(x)]
+        if len(cuts) == 2:  # one chunk, from the one state of its beginning to that of its end
+            return self._search(x) if self.parts.match(x).end() == len(x) else self.words(x)
+        chosen = choose([self.matrix(x, a, b) for a, b in zip(cuts, cuts[1:])])
+        return list(chain.from_iterable(self.traced(x, a, i, b, j) for a, b, i, j in zip(cuts, cuts[1:], chosen, chosen[1:])))
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_normal(self.normal(text or ""))
@@ -335,49 +386,56 @@ def choose(matrices: list[np.ndarray]) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Model:
-    return Model(path)
+_OPEN = Gate("", 0, [None], np.zeros(1), np.zeros(1))
 
 
-def _stretch(model: Model, x: str, at: int, k: int, last: int, span: int) -> tuple[int, int, list[State], list[State]]:
-    """A chunk's cuts and their states, from a part x of the text that begins at `at`.
+@lru_cache(maxsize=2)
+def load(proto: bytes) -> Model:
+    return Model(proto)
 
-    The chunk is the k-th of last + 1 of `span` characters; its cuts move as in Model.cuts(). x
-    reaches far enough to either side that its neighbours find the same cuts and states.
-    """
 
-    def cut(n: int) -> int:
-        to = n * span - at
-        return to if n in (0, last + 1) else model.last_clean(x, max(1, to - LOOK), to) or to
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The model file's bytes, read on the driver and sent to every worker (a few hundred kilobytes)."""
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
-    lo, hi = cut(k), len(x) if k == last else cut(k + 1)
-    return lo, hi, [None] if k == 0 else model.states(x, lo), [None] if k == last else model.states(x, hi)
 
+def _ends(x: str, at: int, k: int, last: int, span: int) -> tuple[int, int]:
+    """A chunk's two cuts in a part x of its text that begins at `at`."""
+    return k * span - at, len(x) if k == last else (k + 1) * span - at
 
-def _giants(docs: DataFrame, path: str, span: int) -> DataFrame:
+
+def _giants(docs: DataFrame, model: Broadcast, span: int) -> DataFrame:
     """(row, id, t, ids) of texts that are worth several tasks, each chunk solved on its own.
 
     Chunks give their matrices, a text's matrices (a few numbers each) meet in one scan, and the
-    chunks are traced back from the states that it fixes.
+    chunks are traced back from the states that it fixes. A chunk carries so much of its neighbours
+    that both sides of a cut see the same states.
     """
-    side = LOOK + 4 * 16  # a cut's way back and the states around it, at either end
     held = materialise(docs.withColumn("row", F.monotonically_increasing_id()))
-    last = F.floor(F.length("t") / span).cast("int")  # the leading mark adds one character
-    chunks = held.select("row", last.alias("last"), "t", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    at = F.greatest(F.lit(0), F.col("k") * span - side).cast("int")
-    x = F.replace(F.concat(F.lit(MARK), "t"), F.lit(" "), F.lit(MARK))
-    part = F.substring(x, at + 1, F.lit(span + 2 * side + 1))
-    part = F.when(F.col("k") == F.col("last"), F.substring(x, at + 1, F.lit(2 * span + 2 * side))).otherwise(part)
-    chunks = materialise(chunks.select("row", "last", "k", at.alias("at"), part.alias("x")).repartition("row", "k"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(model.value)
+        side = LOOK + 2 * m.longest
+        for b in batches:
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = m.normal(t)
+                last = (len(x) - 1) // span
+                for some in range(0, last + 1, 64):
+                    ks = range(some, min(some + 64, last + 1))
+                    at = [max(0, k * span - side) for k in ks]
+                    parts = [x[a:] if k == last else x[a : (k + 1) * span + side] for k, a in zip(ks, at)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([row] * len(ks), pa.int64()), pa.array([last] * len(ks), pa.int32()), pa.array(list(ks), pa.int32()), pa.array(at, pa.int64()), pa.array(parts, pa.string()),
+                    ], names=["row", "last", "k", "at", "x"])
+
+    chunks = materialise(held.select("row", "t").mapInArrow(split, "row long, last int, k int, at long, x string").repartition("row", "k"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        known = load(model.value)
         for b in batches:
             out = []
             for last, k, at, x in zip(*(b.column(n).to_pylist() for n in ("last", "k", "at", "x"))):
-                lo, hi, s, t = _stretch(model, x, at, k, last, span)
-                m = model.transfer(x, lo, s, hi, t)
+                m = known.matrix(x, *_ends(x, at, k, last, span))
                 out.append((m.shape[0], (m == 0).astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array([n for n, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], names=["row", "k", "n", "m"])
 
@@ -389,12 +447,12 @@ def _giants(docs: DataFrame, path: str, span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(chosen, pa.list_(pa.int32()))], names=["row", "chosen"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        known = load(model.value)
         for b in batches:
             out = []
             for last, k, at, x, i, j in zip(*(b.column(n).to_pylist() for n in ("last", "k", "at", "x", "i", "j"))):
-                lo, hi, s, t = _stretch(model, x, at, k, last, span)
-                out.append(model.trace(x, lo, s[i], hi, t[j]))
+                lo, hi = _ends(x, at, k, last, span)
+                out.append(known.traced(x, lo, i, hi, j))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(out, pa.list_(pa.int32()))], names=["row", "k", "ids"])
 
     told = chunks.mapInArrow(matrices, "row long, k int, n int, m binary").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "n", "m"))).alias("parts"))
@@ -407,10 +465,11 @@ def _giants(docs: DataFrame, path: str, span: int) -> DataFrame:
     return held.join(ids, "row").select("id", "t", "ids")
 
 
-def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT) -> DataFrame:
+def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, span: int = SPAN) -> DataFrame:
     """(id, n_tokens, ids array<int>, n_chars, decoded_sha256, exact) of every row.
 
-    Texts of more than `giant` characters are dealt out by chunks, others are a task's own.
+    Texts of more than `giant` characters are dealt out to tasks by chunks of `span`, others are a
+    task's own; either way the scan over their chunks' matrices decides the ids.
 
     ids are those that the SentencePiece library gives; decoded_sha256 is of the text that they
     decode to, and exact tells whether it is the text (a U+2581 in a text comes back as a space).
@@ -418,8 +477,10 @@ def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col
     empty table gives no rows.
     """
 
+    told = shipped(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = load(told.value)
         for batch in batches:
             texts, at = batch.column(1), 0
             solved = batch.column(2).to_pylist() if batch.num_columns > 2 else None
@@ -447,4 +508,4 @@ def encoded(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col
     large = rows.filter(F.length("t") > giant)
     if large.isEmpty():
         return rows.mapInArrow(run, schema)
-    return rows.filter(F.coalesce(F.length("t") <= giant, F.lit(True))).mapInArrow(run, schema).union(_giants(large, path, giant // 4).mapInArrow(run, schema))
+    return rows.filter(F.coalesce(F.length("t") <= giant, F.lit(True))).mapInArrow(run, schema).union(_giants(large, told, span).mapInArrow(run, schema))

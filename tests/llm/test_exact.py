@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -19,7 +20,7 @@ from tests.compare import duck, same
 
 # -- pieces
 
-MODEL = pieces.load(pieces.MODEL)
+MODEL = pieces.load(Path(pieces.MODEL).read_bytes())
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
 PARTS = st.lists(st.sampled_from(["the", " ", "a", "e", "\n", "é", "ﬁ", "  ", "er", "ing", "Th", "\t", "0", "😀", ".", "</s>", "<0x0A>", "中", "in", "on", "²", "“", "…", "\r", "(", "_", "'", "’", "{{"]), max_size=60)
 
@@ -45,6 +46,39 @@ def test_matrices_combine_associatively():
     assert (pieces.combine(pieces.combine(a, b), c) == pieces.combine(a, pieces.combine(b, c))).all()
 
 
+@settings(max_examples=150, deadline=None)
+@given(PARTS, st.integers(1, 40))
+def test_cuts_anywhere_equal_the_library(parts, size):
+    """Chunks of any length, whose cuts fall inside words and pieces."""
+    t = "".join(parts)
+    assert MODEL.encode_normal(MODEL.normal(t), size) == LIBRARY.encode(t)
+
+
+def test_the_scan_decides_every_text_of_several_chunks(monkeypatch, documents):
+    """Cuts stand at fixed places; states at most of them are many, and choose() picks among them."""
+    real, met = pieces.choose, []
+
+    def watched(matrices):
+        met.append((len(matrices), max(m.size for m in matrices)))
+        return real(matrices)
+
+    monkeypatch.setattr(pieces, "choose", watched)
+    for r in documents.select("text").collect():
+        before = len(met)
+        ids = MODEL.encode(r.text)
+        chunks = -(-(len(r.text) + 1) // pieces.CHUNK)
+        assert ids == LIBRARY.encode(r.text)
+        assert [n for n, _ in met[before:]][-1:] == ([chunks] if chunks > 1 else [])
+    assert len(met) > 10 and sum(size > 1 for _, size in met) > len(met) * 0.8
+    # another choice gives other ids
+    long = max((r.text for r in documents.select("text").collect()), key=len)
+    monkeypatch.setattr(pieces, "choose", lambda m: [0] * (len(m) + 1))
+    try:
+        assert MODEL.encode(long) != LIBRARY.encode(long)
+    except KeyError:  # no path leads through those states
+        pass
+
+
 def test_documents_come_back(spark, documents):
     got = pieces.encoded(documents).collect()
     text = {r.doc_id: r.text for r in documents.collect()}
@@ -57,7 +91,7 @@ def test_giants_are_dealt_out(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice(["the", "er", " ", "\n", "ing ", "x1"]) for _ in range(4000)), "".join(rng.choice(["the", "er", "on", "q"]) for _ in range(3000)), "ab" * 4096, " " * 8192, "short", "中😀 " * 3000, "z" * 4097, None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for r in pieces.encoded(df, giant=4096).collect():
+    for r in pieces.encoded(df, giant=4096, span=1024).collect():
         assert r.ids == LIBRARY.encode(texts[r.id] or "") and r.exact, r.id
 
 
@@ -230,6 +264,38 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert groups(roots) == groups(want)
 
 
+def test_pivot_coordinates_bring_links_together(spark):
+    """Every two fingerprints within three bits meet under a key; few of the others do."""
+    rng = random.Random(6)
+    seeds = [rng.getrandbits(64) for _ in range(150)] + [0, 2**64 - 1]
+    near = [f ^ sum(1 << b for b in rng.sample(range(64), k)) for f in seeds for k in (1, 2, 3)]
+    fps = sorted({*seeds, *near})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    met: dict[int, set] = {}
+    for r in simhash.keyed(df).collect():
+        met.setdefault(r.fp % 2**64, set()).add((r.c, r.k))
+    assert all(len(k) == len(simhash.CHOICES) for k in met.values())
+    rows = dict(zip(fps, simhash.table(np.array(fps, np.uint64)).astype(int)))
+    far = 0
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 3:
+                assert met[a] & met[b] and np.abs(rows[a] - rows[b]).max() <= 3
+            else:
+                far += bool(met[a] & met[b])
+    assert far < len(fps) and simhash.PIVOTS.size >= 50
+
+
+def test_an_id_on_texts_of_two_classes(spark):
+    """Each class keeps exactly one row, whatever its ids are."""
+    one, two = "alpha beta gamma delta epsilon", "some other words stand here instead"
+    rows = [(1, one), (1, two), (2, one), (None, two), (None, "all by itself"), (None, "all by itself"), (3, one), (3, one)]
+    got = sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (None, "all by itself")], key=str)
+    df = spark.createDataFrame([(5, one, "x", "y"), (4, one, "z", "w")], "doc_id long, text string, digest string, kept_id string")
+    assert [tuple(r) for r in simhash.keep_one(df).collect()] == [(4, one, "z", "w")]
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(e).collect()}
