@@ -1,206 +1,249 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's documents lie in hash blocks. A source's target, in words, becomes an exact quota of
-block draws: whole passes over its blocks, then blocks in a permuted order until the target is
-reached, the last one in part. A tree splits the quotas of all sources among the output shards:
-every node deals its draws to its two halves as if drawn without replacement from one urn. A shard
-then owns disjoint runs of each source's permuted blocks and shuffles its rows locally.
+Each source's documents lie in hash blocks of some ten thousand words. A source's target, in words,
+becomes an exact quota of block draws: whole passes over its blocks, then blocks in a permuted order
+until the target is reached, the last one in part. A tree splits the quotas of all sources among the
+output shards: every node deals its draws to its two halves as if drawn without replacement from one
+urn. A shard then owns disjoint runs of each source's permuted blocks and shuffles its rows locally.
+
+Blocks grow in number with the words of their source. All tables of blocks, quotas and shards are
+distributed; the driver sees histograms of fixed size and a few sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise
+from quillon.llm.common import files_for, fresh, materialise
 
 #: Weights of the sources in code-point order, repeating.
-WEIGHTS = (3.0, 1.0, 2.0)
-SHARE, LIMIT = 1.5, 2.0
-#: Blocks of a source, and parts of the block in which a source's target falls.
-BLOCKS = 1024
+WEIGHTS = (3, 1, 2)
+SHARE, LIMIT = Fraction(3, 2), 2
+#: Words and documents that a block holds on average, at most.
+BLOCK_WORDS, BLOCK_DOCS = 32_768, 4_096
+#: Levels of the tree that one task splits, cells of a histogram, tasks that write shards, and rows
+#: of a table up to which it is broadcast.
+LEVELS, CELLS, WRITERS, KNOWN = 6, 4096, 100_000, 100_000
 SEED = 20
 
 
-def water_fill(sizes: np.ndarray, weights: np.ndarray, total: float, limit: float = LIMIT) -> np.ndarray:
-    """Targets in proportion to weights, none above limit times its size, the excess reshared."""
-    caps, out = limit * sizes.astype(float), np.zeros(len(sizes))
-    free, left = np.ones(len(sizes), bool), float(total)
-    while free.any() and left > 0:
-        share = left * weights / weights[free].sum()
-        over = free & (share > caps)
-        if not over.any():
-            out[free] = share[free]
-            break
-        out[over] = caps[over]
-        left -= caps[over].sum()
-        free &= ~over
-    return out
-
-
-def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """(shards, sources) counts that sum to the quotas, dealt down a binary tree of shards."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-    stack = [(0, shards, np.asarray(quotas, np.int64))]
+def split_quotas(quotas: np.ndarray, lo: int, hi: int, levels: int, seed: int = SEED) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, start, quota) of the nodes `levels` below the node of shards [lo, hi), or of its leaves.
+
+    Every node deals its draws to its halves by a multivariate hypergeometric draw. start counts
+    what earlier shards have of each source, so a node's draws are places [start, start + quota).
+    """
+    stack = [(lo, hi, levels, np.zeros(len(quotas), np.int64), np.asarray(quotas, np.int64))]
     while stack:
-        lo, hi, held = stack.pop()
-        if hi - lo == 1:
-            out[lo] = held
+        lo, hi, left, start, held = stack.pop()
+        if hi - lo == 1 or not left:
+            yield lo, hi, start, held
             continue
         mid, total = (lo + hi) // 2, int(held.sum())
-        sample = round(total * (mid - lo) / (hi - lo))
-        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(held, sample, method="marginals") if total else held * 0
-        stack += [(lo, mid, left), (mid, hi, held - left)]
-    return out
+        sample = round(Fraction(total * (mid - lo), hi - lo))
+        dealt = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(held, sample, method="marginals") if total else held * 0
+        stack += [(mid, hi, left - 1, start + dealt, held - dealt), (lo, mid, left - 1, start, dealt)]
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, source, size, h): words of each text and a hash that fixes the document's place."""
-    import pyarrow.compute as pc
+    """(id, source, size, h): words of each text and a hash of the id that fixes the document's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.fromiter((len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in b.column(2)), np.int64, b.num_rows)
-            ids = pc.fill_null(pc.cast(b.column(0), pa.string()), "")
-            h = np.fromiter((xxhash.xxh64_intdigest(i.as_py().encode(), SEED) for i in ids), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(h.view(np.int64))], names=["id", "source", "size", "h"])
+            n = np.fromiter((len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in b.column(3)), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), b.column(2)], names=["id", "source", "size", "h"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), id_hash(F.col(id_col)).alias("h"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, source string, size long, h long")
+
+
+def id_hash(document: Column) -> Column:
+    return F.xxhash64(F.lit(SEED), document)
+
+
+def known(df: DataFrame) -> DataFrame:
+    """A table for the small side of a join: broadcast if its rows are few, which is counted, else shuffled."""
+    return F.broadcast(df) if df.count() <= KNOWN else df.hint("merge")
 
-    kinds = dict(docs.dtypes)
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kinds[id_col]}, source string, size long, h long")
 
+def numbered(df: DataFrame, count: int, *order: Column) -> DataFrame:
+    """The rows with their number s from 0 in an order that has no ties, by ranges and their sizes."""
+    spark = df.sparkSession
+    ranges = materialise(df.repartitionByRange(files_for(spark, count), *order).withColumn("part", F.spark_partition_id()))
+    before, total = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in ranges.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        before.append((part, total))
+        total += n
+    offsets = F.broadcast(spark.createDataFrame(before, "part int, before long"))
+    row = F.row_number().over(Window.partitionBy("part").orderBy(*order)).cast("long")
+    return ranges.join(offsets, "part").select(*df.columns, (F.col("before") + row - 1).alias("s"))
 
-def _block(level: int) -> Column:
-    return F.shiftrightunsigned("h", 54 - 10 * level).bitwiseAND(BLOCKS - 1)
 
+def level(sources: DataFrame, total: Fraction) -> Fraction:
+    """The water level: the sum of min(level * weight, LIMIT * words) over sources (words, weight) is `total`.
 
-@dataclass(frozen=True)
+    Sources fill up in order of r = LIMIT * words / weight. A histogram of r finds the cell in which
+    the level lies; that cell is cut again until it holds one value.
+    """
+    rows = sources.filter("words > 0").select(F.col("words"), F.col("weight"), (F.col("words") * LIMIT / F.col("weight")).alias("r"))
+    full, above = 0, rows.agg(F.sum("weight")).first()[0]
+    if above is None:
+        return Fraction(0)
+    while True:
+        lo, hi = rows.agg(F.min("r"), F.max("r")).first()
+        cell = F.floor((F.col("r") - lo) / (hi - lo) * CELLS) if hi > lo else F.lit(0).cast("long")
+        cells = sorted(tuple(r) for r in rows.groupBy(cell.alias("c")).agg(F.min("r"), F.max("r"), F.sum("words"), F.sum("weight")).collect())
+        for _, least, most, words, weight in cells:
+            if full + LIMIT * words + Fraction(most) * (above - weight) >= total or (_, least) == cells[-1][:2]:
+                break
+            full, above = full + LIMIT * words, above - weight
+        if least == most:
+            return (total - full) / above
+        rows = materialise(rows.filter((F.col("r") >= least) & (F.col("r") <= most)), 1)
+
+
+@dataclass
 class Mixture:
-    """What decides every draw: per source, in order, its blocks' permutation and what is taken of it."""
-
-    names: list
-    source_size: np.ndarray
-    targets: np.ndarray
-    orders: list
-    passes: np.ndarray
-    whole: np.ndarray
-    cut: list
-    parts: np.ndarray
-    upto: np.ndarray
-    seed: int
+    """What decides every draw: `sources` (source, words, target, bits, passes, cut_h), `blocks`
+    (source, b, draws of (c, shard, part)), and the number of shards."""
 
-    def ranks(self) -> list[np.ndarray]:
-        return [np.argsort(o) for o in self.orders]
+    sources: DataFrame
+    blocks: DataFrame
+    shards: int
+    seed: int
 
-    def draws(self, i: int, h: int, ranks: list[np.ndarray]) -> list[dict]:
-        """(shard, place) for each time a document of source i with hash h is taken."""
-        block, part = h >> 54, h >> 44 & (BLOCKS - 1)
-        rank = int(ranks[i][block])
-        times = int(self.passes[i]) + bool(rank < self.whole[i] or (block == self.cut[i] and part < self.parts[i]))
-        return [
-            {"shard": int(np.searchsorted(self.upto[:, i], c * BLOCKS + rank, "right")), "place": xxhash.xxh64_intdigest(b"%d:%d" % (h, c), self.seed) >> 1}
-            for c in range(times)
-        ]
+    def drawn(self, rows: DataFrame, source: str, h: str, out: str) -> DataFrame:
+        """Rows with (source_size, target, draws) as the struct `out`; draws has (shard, place) for each time a row is taken."""
+        b, d = fresh(rows, "block"), fresh(rows, "mixture")
+        s = self.sources.select(F.struct("source", "words", "target", "bits", "cut_h").alias(d))
+        with_source = rows.join(known(s), rows[source].eqNullSafe(F.col(f"{d}.source"))).withColumn(b, _block(F.col(h), F.col(f"{d}.bits")))
+        t = f"{d}_"
+        blocks = self.blocks.select(F.struct("source", "b", "draws").alias(t))
+        both = with_source.join(known(blocks), rows[source].eqNullSafe(F.col(f"{t}.source")) & (F.col(b) == F.col(f"{t}.b")), "left")
+        mine = F.filter(F.coalesce(F.col(f"{t}.draws"), F.array().cast("array<struct<c:int,shard:int,part:boolean>>")), lambda x: ~x["part"] | (F.col(h) <= F.col(f"{d}.cut_h")))
+        place = lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64(F.lit(self.seed), F.col(h), x["c"]).alias("place"))
+        told = F.struct(F.col(f"{d}.words").alias("source_size"), F.col(f"{d}.target").alias("target"), F.transform(mine, place).alias("draws"))
+        return both.withColumn(out, told).select(*rows.columns, out)
 
 
-def id_hash(document: str | None) -> int:
-    return xxhash.xxh64_intdigest((document or "").encode(), SEED)
+def _block(h: Column, bits: Column) -> Column:
+    """The first bits of a hash; Java shifts by 64 as by 0."""
+    return F.when(bits == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", h, (64 - bits).cast("int")))
 
 
 def mixture(rows: DataFrame, shard_words: int, seed: int) -> Mixture | None:
-    """Decides a mix from sizes(); None for an empty table.
-
-    The driver holds the words of each source's blocks (1,024, and as many again for the block in
-    which the target falls), never documents.
-    """
-    first = rows.groupBy("source", _block(0).alias("b")).agg(F.sum("size").alias("w")).toPandas()
-    if first.empty:
+    """Decides a mix from sizes(); None for an empty table."""
+    per = materialise(rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")))
+    count, words = per.agg(F.count("*"), F.sum("words")).first()
+    if not count:
         return None
-    names = sorted(s for s in first["source"].unique() if isinstance(s, str))
-    names += [None] * bool(first["source"].isna().any())
-    words = np.zeros((len(names), BLOCKS), np.int64)
-    at = {s: i for i, s in enumerate(names)}
-    for s, b, w in first.itertuples(index=False):
-        words[at[s if isinstance(s, str) else None], int(b)] = w
-    source_size = words.sum(1)
-    weights = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))])
-    targets = water_fill(source_size, weights, SHARE * source_size.sum())
-
-    # whole passes, then permuted blocks up to the rest
-    passes = np.minimum(np.floor(targets / np.maximum(source_size, 1)), LIMIT).astype(np.int64)
-    rest = np.maximum(targets - passes * source_size, 0)
-    orders = [np.random.default_rng([seed, i]).permutation(BLOCKS) for i in range(len(names))]
-    whole = np.zeros(len(names), np.int64)  # blocks of the rest that are taken wholly
-    for i, o in enumerate(orders):
-        whole[i] = np.searchsorted(np.cumsum(words[i][o]), rest[i], "right")
-        rest[i] -= words[i][o][: whole[i]].sum()
-    cut = [int(orders[i][whole[i]]) if whole[i] < BLOCKS and rest[i] > 0 else -1 for i in range(len(names))]
-
-    # the block in which a target falls is cut by a second level of blocks, to the nearest part
-    falls = rows.sparkSession.sparkContext.broadcast(dict(zip(names, cut)))
-
-    @F.pandas_udf("boolean")
-    def is_cut(sources: pd.Series, blocks: pd.Series) -> pd.Series:
-        return pd.Series([falls.value.get(s if isinstance(s, str) else None) == b for s, b in zip(sources, blocks)], dtype=bool)
-
-    second = rows.filter(is_cut("source", _block(0))).groupBy("source", _block(1).alias("p")).agg(F.sum("size").alias("w")).toPandas()
-    parts = np.zeros(len(names), np.int64)
-    for name, g in second.groupby("source", dropna=False):
-        i, g = at[name if isinstance(name, str) else None], g.sort_values("p")
-        sums = np.concatenate([[0], np.cumsum(g["w"].to_numpy(np.int64))])
-        k = int(np.abs(sums - rest[i]).argmin())
-        parts[i] = 0 if k == 0 else int(g["p"].iloc[k - 1]) + 1
-
-    quotas = passes * BLOCKS + whole + (parts > 0)
-    shards = max(1, int(np.ceil(targets.sum() / shard_words)))
-    upto = np.cumsum(split_quotas(quotas, shards, seed), axis=0)
-    return Mixture(names, source_size, targets, orders, passes, whole, cut, parts, upto, seed)
-
-
-def _drawing(spark: SparkSession, made: Mixture):
-    known = spark.sparkContext.broadcast(made)
-
-    @F.pandas_udf("source_size long, target double, draws array<struct<shard:int,place:bigint>>")
-    def drawn(ids: pd.Series, sources: pd.Series) -> pd.DataFrame:
-        m = known.value
-        at, ranks = {s: i for i, s in enumerate(m.names)}, m.ranks()
-        i = [at[s if isinstance(s, str) else None] for s in sources]
-        draws = [m.draws(s, id_hash(d), ranks) for d, s in zip(ids, i)]
-        return pd.DataFrame({"source_size": m.source_size[i], "target": m.targets[i], "draws": draws})
-
-    return drawn
-
-
-def plan(docs: DataFrame, shard_words: int = 2_000_000, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("s") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("words") / BLOCK_WORDS, F.col("docs") / BLOCK_DOCS))))
+    sources = materialise(numbered(per, count, F.asc_nulls_last("source")).withColumn("weight", weight).withColumn("bits", bits.cast("int")))
+    depth = float(level(sources, SHARE * words))
+    target = F.least(F.lit(depth) * F.col("weight"), (F.col("words") * LIMIT).cast("double"))
+    passes = F.when(F.col("words") > 0, F.least(F.floor(F.col("target") / F.col("words")), F.lit(LIMIT).cast("long"))).otherwise(0)
+    sources = sources.withColumn("target", target).withColumn("passes", passes.cast("int")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("words")))
+
+    # blocks in permuted order, with the words before each: sums by the order's first bits, then inside these
+    of = rows["source"].eqNullSafe(F.col("o.source"))
+    placed = rows.join(known(sources.select(F.struct("source", "s", "bits", "rest", "passes").alias("o"))), of).select("o.s", "o.passes", "o.rest", "source", "h", "size", _block(F.col("h"), F.col("o.bits")).alias("b"))
+    blocks = placed.groupBy("s", "b").agg(F.first("source").alias("source"), F.first("passes").alias("passes"), F.first("rest").alias("rest"), F.sum("size").alias("w"))
+    blocks = materialise(blocks.withColumn("p", F.xxhash64(F.lit(seed), "s", "b")).withColumn("q", F.shiftrightunsigned("p", 52)))
+    cells = blocks.groupBy("s", "q").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    earlier = Window.partitionBy("s").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("s")
+    cells = cells.select("s", "q", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("w0"), F.sum("n").over(whole).alias("n"))
+    inside = Window.partitionBy("s", "q").orderBy("p", "b")
+    rank = F.col("n0") + F.row_number().over(inside) - 1
+    before = F.col("w0") + F.coalesce(F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.join(cells, ["s", "q"]).withColumn("rank", rank).withColumn("before", before)
+    # past the rest nothing is taken, not even blocks without words
+    begun, all_of = F.col("before") < F.col("rest"), F.col("before") + F.col("w") <= F.col("rest")
+    blocks = materialise(blocks.withColumn("full", begun & all_of).withColumn("cut", begun & ~all_of))
+
+    # of the block in which a target falls, documents in order of their hash, to the nearest one
+    ends = blocks.filter("cut").select("s", "b", (F.col("rest") - F.col("before")).alias("need"))
+    near = placed.select("s", "b", "h", "size").join(known(ends), ["s", "b"]).groupBy("s", "h").agg(F.sum("size").alias("w"), F.first("need").alias("need"))
+    upto = F.sum("w").over(Window.partitionBy("s").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("upto", upto).filter((F.col("upto") <= F.col("need")) | (F.col("upto") - F.col("need") < F.col("need") - (F.col("upto") - F.col("w"))))
+    cut_h = materialise(near.groupBy("s").agg(F.max("h").alias("cut_h")))
+    sources = materialise(sources.join(known(cut_h), "s", "left").select("s", "source", "words", "target", "bits", "passes", "cut_h"))
+
+    # every draw of a block is a place in its source's sequence
+    parts = blocks.join(known(cut_h), "s", "left")
+    extra = F.when(F.col("full") | (F.col("cut") & F.col("cut_h").isNotNull()), F.col("passes") + 1).otherwise(F.col("passes"))
+    draws = parts.withColumn("times", extra).filter("times > 0").select("s", "b", "source", "n", "rank", "passes", "cut", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("c"))
+    draws = materialise(draws.select("s", "b", "source", "c", (F.col("cut") & (F.col("c") == F.col("passes"))).alias("part"), (F.col("c") * F.col("n") + F.col("rank")).alias("at")))
+    total = sources.agg(F.sum("target")).first()[0] or 0.0
+    shards = max(1, -(-int(np.ceil(total)) // shard_words))
+    leaves = _tree(draws.groupBy("s").agg(F.count("*").alias("quota")), shards, seed)
+    owned = leaves.select("s", F.col("lo").alias("shard"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("quota") - 1)).alias("at"))
+    dealt = draws.join(owned, ["s", "at"]).groupBy("s", "b").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("c", "shard", "part"))).alias("draws"))
+    return Mixture(sources, materialise(dealt.select("source", "b", "draws")), shards, seed)
+
+
+def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(lo, hi, s, start, quota) of the leaves, one row for each shard and source that meet.
+
+    A task splits LEVELS levels of one node, which has at most one row for each source.
+    """
+
+    def split(node: pd.DataFrame) -> pd.DataFrame:
+        node = node.sort_values("s")
+        s, base = node["s"].to_numpy(), node["start"].to_numpy()
+        out = []
+        for lo, hi, start, quota in split_quotas(node["quota"].to_numpy(), int(node["lo"].iloc[0]), int(node["hi"].iloc[0]), LEVELS, seed):
+            has = np.flatnonzero(quota)
+            out.append(pd.DataFrame({"lo": np.int32(lo), "hi": np.int32(hi), "s": s[has], "start": (base + start)[has], "quota": quota[has]}))
+        return pd.concat(out)
+
+    schema = "lo int, hi int, s long, start long, quota long"
+    nodes = materialise(quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "s", F.lit(0).cast("long").alias("start"), "quota"))
+    width = shards
+    while width > 1:
+        nodes = materialise(nodes.filter("hi - lo = 1").union(nodes.filter("hi - lo > 1").groupBy("lo", "hi").applyInPandas(split, schema)))
+        width = -(-width // (1 << LEVELS))
+    return nodes
+
+
+def plan(docs: DataFrame, shard_words: int = 1_000_000, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id, source, size, source_size, target, draws) of every row; draws holds a (shard, place) for each time it is taken.
 
     Null sources are a source, last in order; null and empty texts have size 0. Rows that share an
-    id share a place and are taken together. A source of no words has target 0. An empty table
-    gives no rows.
+    id share a place and are taken together; null ids are such an id. A source of no words has
+    target 0, and a source whose target whole passes fill has no further draw, not even of texts
+    without words. Extra columns do not matter. An empty table gives no rows.
     """
     rows = materialise(sizes(docs, id_col, source_col, text_col))
     made = mixture(rows, shard_words, seed)
     if made is None:
         return rows.selectExpr("id", "source", "size", "size as source_size", "cast(0 as double) as target", "cast(array() as array<struct<shard:int,place:bigint>>) as draws")
-    told = rows.select("id", "source", "size", _drawing(docs.sparkSession, made)(F.col("id").cast("string"), "source").alias("d"))
-    return told.select("id", "source", "size", "d.source_size", "d.target", "d.draws")
+    return made.drawn(rows, "source", "h", "d").select("id", "source", "size", "d.source_size", "d.target", "d.draws")
 
 
-def mix(docs: DataFrame, shard_words: int = 2_000_000, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, shard_words: int = 1_000_000, seed: int = SEED) -> DataFrame:
     """The mixed documents: a row for each time one is taken, dealt to shards and shuffled in each.
 
     Documents that the mix does not take are gone; those taken twice stand there twice. Columns are
-    those of the input.
+    those of the input, whatever their names. Nulls, empty texts, repeated ids and the empty table
+    are as in plan(). Each shard is one task's, or, beyond WRITERS shards, so is a run of them.
     """
     made = mixture(materialise(sizes(docs)), shard_words, seed)
     if made is None:
         return docs
-    drawn = _drawing(docs.sparkSession, made)(F.col("doc_id").cast("string"), F.col("source").cast("string"))
-    rows = docs.select("*", F.explode(drawn["draws"]).alias("__d"))
-    return rows.repartition(F.col("__d.shard")).sortWithinPartitions("__d.shard", "__d.place").select(*docs.columns)
+    h, d = fresh(docs, "place_hash"), fresh(docs, "draw")
+    source = fresh(docs, "source_name")
+    rows = made.drawn(docs.withColumn(h, id_hash(F.col("doc_id"))).withColumn(source, F.col("source").cast("string")), source, h, d)
+    taken = rows.select(*docs.columns, F.explode(f"{d}.draws").alias(d))
+    tasks = min(made.shards, WRITERS)
+    task = F.floor(F.col(f"{d}.shard").cast("long") * tasks / made.shards).cast("int")
+    return taken.repartitionById(tasks, task).sortWithinPartitions(f"{d}.shard", f"{d}.place").select(*docs.columns)

@@ -273,7 +273,7 @@ def test_pivot_coordinates_bring_links_together(spark):
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     met: dict[int, set] = {}
     for r in simhash.keyed(df).collect():
-        met.setdefault(r.fp % 2**64, set()).add((r.c, r.k))
+        met.setdefault(r.fp % 2**64, set()).add(r.k)
     assert all(len(k) == len(simhash.CHOICES) for k in met.values())
     rows = dict(zip(fps, simhash.table(np.array(fps, np.uint64)).astype(int)))
     far = 0
@@ -305,30 +305,86 @@ def test_components_of_a_path(spark):
 
 # -- mixing
 
-def test_water_filling():
-    sizes, weights = np.array([100, 100, 100, 10]), np.array([3.0, 1.0, 2.0, 3.0])
-    t = mixing.water_fill(sizes, weights, 465)
-    assert t.sum() == pytest.approx(465) and (t <= 2 * sizes + 1e-9).all() and t[3] == 20 and t[0] == 200 and t[2] == pytest.approx(2 * t[1])
+def _targets(sizes):
+    """Water filling by hand: sizes by source in order; returns each one's target in words."""
+    total, left = 1.5 * sum(sizes), dict(enumerate(sizes))
+    out = {}
+    while left:
+        share = {i: (total - sum(out.values())) * mixing.WEIGHTS[i % 3] / sum(mixing.WEIGHTS[j % 3] for j in left) for i in left}
+        over = [i for i in left if share[i] > 2 * left[i]]
+        if not over:
+            out |= share
+            break
+        for i in over:
+            out[i] = 2 * left.pop(i)
+    return [out[i] for i in range(len(sizes))]
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100, 10], [5, 5, 5], [1000], [0, 7, 0, 3000, 12, 1, 1], [1, 10**6, 10, 10**4, 3, 3, 3]])
+def test_water_level(spark, monkeypatch, sizes):
+    monkeypatch.setattr(mixing, "CELLS", 3)  # several rounds of cutting
+    df = spark.createDataFrame([(w, mixing.WEIGHTS[i % 3]) for i, w in enumerate(sizes)], "words long, weight long")
+    level = mixing.level(df, mixing.SHARE * sum(sizes))
+    assert [float(min(level * mixing.WEIGHTS[i % 3], 2 * w)) for i, w in enumerate(sizes)] == pytest.approx(_targets(sizes))
 
 
 def test_quotas_split_exactly():
     q = np.array([1000, 7, 0, 333])
-    s = mixing.split_quotas(q, 13)
-    assert (s.sum(0) == q).all() and s.sum(1).max() - s.sum(1).min() <= 4 and (s == mixing.split_quotas(q, 13)).all()
-
-
-def test_mixture(spark, documents):
-    rows = mixing.plan(documents, shard_words=20_000).collect()
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.plan(documents.repartition(5), shard_words=20_000).collect()))
-    total = sum(r.size for r in rows)
-    assert sum({r.source: r.target for r in rows}.values()) == pytest.approx(1.5 * total)
-    for s in {r.source for r in rows}:
-        own = [r for r in rows if r.source == s]
-        taken = sum(r.size * len(r.draws) for r in own)
-        assert abs(taken - own[0].target) <= max(r.size for r in own) and all(len(r.draws) <= 2 for r in own)
-        assert own[0].source_size == sum(r.size for r in own) and own[0].target <= 2 * own[0].source_size + 1e-6
+    leaves = list(mixing.split_quotas(q, 0, 13, 6))
+    assert [n[:2] for n in leaves] == [(k, k + 1) for k in range(13)]
+    s = np.array([n[3] for n in leaves])
+    assert (s.sum(0) == q).all() and s.sum(1).max() - s.sum(1).min() <= 4
+    assert (np.array([n[2] for n in leaves]) == np.cumsum(s, 0) - s).all()  # runs of places lie end to end
+    # the same leaves if levels are split one task after the other
+    deep = [(a, b, x + y, z) for lo, hi, x, held in mixing.split_quotas(q, 0, 13, 2) for a, b, y, z in mixing.split_quotas(held, lo, hi, 6)]
+    assert all(a[:2] == b[:2] and (a[2] == b[2]).all() and (a[3] == b[3]).all() for a, b in zip(leaves, deep))
+
+
+def _told(df):
+    return sorted((str(r.id), r.source, r.size, r.source_size, r.target, sorted(map(tuple, r.draws))) for r in df.collect())
+
+
+def test_mixture(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 2000)
+    told = _told(mixing.plan(documents, shard_words=20_000))
+    monkeypatch.setattr(mixing, "KNOWN", 0)  # shuffled joins give the same
+    assert told == _told(mixing.plan(documents.repartition(5), shard_words=20_000))
+    own = {}
+    for r in documents.collect():
+        own.setdefault(r.source, []).append(len(r.text.encode().split()))
+    names = sorted(own)
+    targets = dict(zip(names, _targets([sum(own[n]) for n in names])))
+    shards = set()
+    for s in names:
+        rows = [r for r in told if r[1] == s]
+        taken = sum(size * len(draws) for _, _, size, _, _, draws in rows)
+        assert {r[3] for r in rows} == {sum(own[s])} and rows[0][4] == pytest.approx(targets[s])
+        assert abs(taken - targets[s]) <= max(own[s]) and all(len(r[5]) <= 2 for r in rows)
+        shards |= {d[0] for r in rows for d in r[5]}
+    assert shards == set(range(-(-int(np.ceil(sum(targets.values()))) // 20_000)))
     out = mixing.mix(documents, shard_words=20_000)
-    assert out.columns == documents.columns and out.count() == sum(len(r.draws) for r in rows)
+    assert out.columns == documents.columns
+    drawn = {}
+    for r in out.collect():
+        drawn[r.doc_id] = drawn.get(r.doc_id, 0) + 1
+    assert drawn == {int(i): len(d) for i, _, _, _, _, d in told if d}
+
+
+def test_empty_texts_of_a_full_source(spark):
+    """Source a reaches its limit by two whole passes: nothing of it is drawn a third time."""
+    rows = [(float(i) / 2, "one two three" if i % 2 else "", "a") for i in range(300)] + [(1000.0 + i, "word " * 40, "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id double, text string, source string")
+    told = _told(mixing.plan(df))
+    mine = [r for r in told if r[1] == "a"]
+    assert mine[0][4] == 2 * 450 and {len(r[5]) for r in mine} == {2}
+    out = mixing.mix(df).groupBy("doc_id").count().collect()
+    assert {str(r["doc_id"]): r["count"] for r in out} == {r[0]: len(r[5]) for r in told if r[5]}
+
+
+def test_names_of_columns_do_not_matter(spark):
+    rows = [(i, "some words here", "s", "x", "y", "z") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __d string, draw string, Place_Hash string")
+    assert {tuple(r) for r in mixing.mix(df).collect()} <= set(rows)
 
 
 # -- nearest neighbours
