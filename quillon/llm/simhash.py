@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import files_for, fresh, materialise, need, seeded, words_of
+from quillon.llm.common import files_for, fresh, materialise, mix64, need, seeded, words_of
 from quillon.llm.components import connected_components
 
 RADIUS = 3
@@ -39,10 +39,6 @@ CHOICES = list(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
 BUCKET, SAMPLE, KNOWN = 4096, 64, 100_000
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def fingerprint(text: str | None, slab: int = 65536) -> int:
     """The 64-bit SimHash of a whole text; 0 if it has no words."""
     words = words_of(text)
@@ -79,22 +75,34 @@ def table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ PIVOTS.ravel()).astype(np.int8)
 
 
+def keys(fps: np.ndarray) -> np.ndarray:
+    """(choices, fingerprints) keys from the distances to the references.
+
+    A block's coordinates under all families, 0 to its width each, are packed to four bits apiece;
+    the key of a choice of three blocks is a hash of their codes.
+    """
+    far = table(fps).reshape(len(fps), *PIVOTS.shape).astype(np.int64)
+    near = (far[:, :, :1] - far[:, :, 1:] + np.array(BLOCKS)) // 2
+    codes = (near << (4 * np.arange(len(FAMILIES)))[None, :, None]).sum(1).astype(np.uint64)
+    out = np.empty((len(CHOICES), len(fps)), np.uint64)
+    for c, some in enumerate(CHOICES):
+        k = np.full(len(fps), c, np.uint64)
+        for b in some:
+            k = mix64(k ^ codes[:, b])
+        out[c] = k
+    return out
+
+
 def keyed(fps: DataFrame) -> DataFrame:
-    """(c, k, fp): each fingerprint under the twenty keys that its distances to the references give."""
-    far = lambda pivot: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(pivot)))))
-    rows = fps.select("fp", *(far(p).alias(f"d{f}_{b}") for f, family in enumerate(PIVOTS) for b, p in enumerate(family)))
+    """(k, fp): each fingerprint under its twenty keys."""
 
-    def packed(block: int) -> Column:
-        """All families' coordinates on a block; each is at most 11, four bits."""
-        out = F.lit(0).cast("long")
-        for f in range(len(FAMILIES)):
-            own = (F.col(f"d{f}_0") - F.col(f"d{f}_{block + 1}") + BLOCKS[block]) / 2
-            out = out * 16 + own.cast("long")
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy()
+            k = keys(fp.view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.tile(fp, len(k)))], names=["k", "fp"])
 
-    rows = rows.select("fp", *(packed(i).alias(f"b{i}") for i in range(len(BLOCKS))))
-    keys = (F.struct(F.lit(c).alias("c"), F.xxhash64(*(f"b{i}" for i in some)).alias("k")) for c, some in enumerate(CHOICES))
-    return rows.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.c", "x.k", "fp")
+    return fps.select("fp").mapInArrow(run, "k long, fp long")
 
 
 def spanning_edges(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -116,66 +124,57 @@ def spanning_edges(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _link(limit: int | None):
-    """Reads rows sorted by bucket; gives edges (kind 0) and, of uncut buckets (p = 0) beyond the limit, the rows (kind 1)."""
+    """Reads rows sorted by bucket (k) and pair of its parts (p); gives edges (kind 0) and, of uncut buckets (p = 0) beyond the limit, the rows (kind 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.empty(0, np.int64)
-        held_key: tuple | None = None
-        spilling = False
+        held, held_key, spilling = np.empty(0, np.int64), None, False
 
         def close(fps: np.ndarray) -> list[tuple[int, int]]:
             return spanning_edges(np.unique(fps).view(np.uint64)) if len(fps) > 1 else []
 
-        def frame(edges: list, key: tuple | None, rows: np.ndarray) -> pd.DataFrame:
+        def frame(edges: list, k: int, rows: np.ndarray) -> pd.DataFrame:
             a = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-            c, k = (key[0], key[1]) if key else (0, 0)
             return pd.DataFrame({
-                "kind": np.repeat([0, 1], [len(a), len(rows)]).astype(np.int32), "c": np.int32(c), "k": np.int64(k),
-                "u": np.concatenate([a[:, 0], rows]), "v": np.concatenate([a[:, 1], rows]),
+                "kind": np.repeat([0, 1], [len(a), len(rows)]).astype(np.int32), "k": np.int64(k), "u": np.concatenate([a[:, 0], rows]), "v": np.concatenate([a[:, 1], rows]),
             })
 
         for b in batches:
-            keys = b[["c", "k", "p"]].to_numpy(np.int64)
-            fps = b["fp"].to_numpy(np.int64)
+            at, fps = b[["k", "p"]].to_numpy(np.int64), b["fp"].to_numpy(np.int64)
             if not len(fps):
                 continue
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            cuts = np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(fps)]])
             edges: list[tuple[int, int]] = []
             # buckets of one row that neither begin nor end the batch need no look
             wide = (ends - starts) > 1
             wide[0] = wide[-1] = True
             for s, e in zip(starts[wide], ends[wide]):
-                key = tuple(keys[s])
+                key = tuple(at[s])
                 if key != held_key:
                     edges += close(held)
                     held, held_key, spilling = np.empty(0, np.int64), key, False
                 held = np.concatenate([held, fps[s:e]])
-                if limit and key[2] == 0 and (spilling or len(held) > limit):
-                    yield frame([], key, held)
+                if limit and key[1] == 0 and (spilling or len(held) > limit):
+                    yield frame([], key[0], held)
                     held, spilling = np.empty(0, np.int64), True
-                elif not limit or key[2]:
+                elif not limit or key[1]:
                     held = np.unique(held)
             if edges:
-                yield frame(edges, None, np.empty(0, np.int64))
+                yield frame(edges, 0, np.empty(0, np.int64))
         if len(held) > 1:
-            yield frame(close(held), None, np.empty(0, np.int64))
+            yield frame(close(held), 0, np.empty(0, np.int64))
 
     return run
 
 
-_LINKED = "kind int, c int, k long, u long, v long"
-
-
 def _dealt(rows: DataFrame, limit: int | None) -> DataFrame:
-    return rows.repartition("c", "k", "p").sortWithinPartitions("c", "k", "p").mapInPandas(_link(limit), _LINKED)
+    return rows.repartition("k", "p").sortWithinPartitions("k", "p").mapInPandas(_link(limit), "kind int, k long, u long, v long")
 
 
-def _pairs(rows: DataFrame, n: Column) -> DataFrame:
-    """(c, k, p, fp): the rows of a bucket cut into n parts by hash, once for each pair of parts (p from 1) that theirs is in."""
+def _pairs(n: Column) -> Column:
+    """The pairs of a bucket's n parts (by hash) that a fingerprint's own part is in, from 1 on."""
     mine = F.pmod(F.xxhash64("fp"), n)
-    both = rows.select("c", "k", "fp", n.alias("n"), mine.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("b"))
-    return both.select("c", "k", (1 + F.least("a", "b") * F.col("n") + F.greatest("a", "b")).alias("p"), "fp")
+    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda b: 1 + F.least(mine, b) * n + F.greatest(mine, b))
 
 
 def _parts(count: Column) -> Column:
@@ -190,19 +189,22 @@ def links(fps: DataFrame, files: int | None = None) -> DataFrame:
     task of bounded size. A large bucket that the sample did not show is found while it is read, and
     is then cut in the same way, so no link is lost.
     """
-    rows = keyed(fps)
-    some = rows.filter(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(SAMPLE)) == 0).groupBy("c", "k").agg((F.count("*") * SAMPLE).alias("m"))
-    large = materialise(some.filter(F.col("m") >= BUCKET // 2).select("c", "k", _parts(F.col("m"))), 1)
-    large = F.broadcast(large) if large.count() <= KNOWN else large.hint("merge")
-    dealt = rows.join(large, ["c", "k"], "left")
-    whole = dealt.filter("n is null").select("c", "k", F.lit(0).cast("long").alias("p"), "fp")
-    cut = _pairs(dealt.filter("n is not null"), F.col("n"))
-    first = materialise(_dealt(whole.union(cut), BUCKET), files)
-    over = first.filter("kind = 1").select("c", "k", F.col("u").alias("fp"))
+    some = keyed(fps.filter(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(SAMPLE)) == 0)).groupBy("k").agg((F.count("*") * SAMPLE).alias("m"))
+    large = materialise(some.filter(F.col("m") >= BUCKET // 2).select("k", _parts(F.col("m"))), 1)
+    rows, found = keyed(fps), large.count()
+    if found:
+        met = rows.join(F.broadcast(large) if found <= KNOWN else large.hint("merge"), "k", "left")
+        alone = F.array(F.lit(0).cast("long"))
+        dealt = met.select("k", "fp", F.explode(F.when(F.col("n").isNull(), alone).otherwise(_pairs(F.col("n")))).alias("p"))
+    else:
+        dealt = rows.withColumn("p", F.lit(0).cast("long"))
+    first = materialise(_dealt(dealt, BUCKET), files)
+    over = first.filter("kind = 1").select("k", F.col("u").alias("fp"))
     if over.isEmpty():
         return first.select("u", "v")
-    parts = materialise(over.groupBy("c", "k").agg(_parts(F.count("*"))), files)
-    return first.filter("kind = 0").select("u", "v").union(_dealt(_pairs(over.join(parts, ["c", "k"]), F.col("n")), None).select("u", "v"))
+    parts = materialise(over.groupBy("k").agg(_parts(F.count("*"))), files)
+    again = over.join(parts, "k").select("k", "fp", F.explode(_pairs(F.col("n"))).alias("p"))
+    return first.filter("kind = 0").select("u", "v").union(_dealt(again, None).select("u", "v"))
 
 
 def _rooted(rows: DataFrame) -> DataFrame:
