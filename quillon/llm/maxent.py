@@ -1,15 +1,20 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class softmax is log-linear in
+P(word | history) = P(class | history) * P(word | class, history). Both factors are log-linear in
 hashed features of the history: the last word, the last two, and the second and third last (skips).
-Within a class a word's share is its smoothed count. Classes come from the corpus: a frequent word
-belongs to the kind of document it stands in most (named by the document's commonest word, the
-first of equals) and to a
-band of frequency there; all other words, seen or not, are one class, the end is another.
+Either is taken in two steps, so that no softmax is wide: a group of classes, a class, a part of the
+class, a word. Every step starts from exact counts, the logarithms of its children's shares in the
+training text, and features move it from there.
+
+Classes come from the corpus: frequent words, ordered by the kind of document that each stands in
+most (named by the document's commonest word, the first of equals) and by frequency, are cut into
+runs of bounded mass and number. All other words, seen or not, are one class in which a word's share
+is its smoothed count; the end is another.
 
 Word counts cover every training document. Weights are trained by distributed gradient updates:
-each round, tasks run AdaGrad over their own documents and their updates are summed, weighted for
-each feature by how often it was seen. Rounds divide the training documents among them.
+documents are dealt to shards by hash, as many as the text is long; in each round, tasks run AdaGrad
+over their shards and the updates are summed, weighted for each feature by how often it was seen.
+Shards do not depend on how the table is partitioned, so neither do scores.
 """
 
 from __future__ import annotations
@@ -30,14 +35,23 @@ from pyspark.sql import functions as F
 from quillon.llm.common import id_remainder, materialise, mix64, partitions, words_of
 
 MODULUS, HELD = 7, 2
-#: Frequent words (a bound of what is broadcast), kinds of document, bands of frequency, rows of
-#: the hashed weight table (65,536 at most), and rounds of training.
-FREQUENT, KINDS, BANDS, ROWS, ROUNDS = 131_072, 8, 3, 1 << 15, 2
-BLOCK, RATE, MINIBATCH = 128, 0.5, 8192
+#: Frequent words (a bound of what is broadcast), kinds of document, widths of the four steps, and
+#: the most mass (as a share of the frequent words') and words of a class that has more than one.
+FREQUENT, KINDS = 131_072, 8
+WIDTHS = (20, 16, 32, 32)
+MASS, MEMBERS = 1 / 64, WIDTHS[2] * WIDTHS[3]
+#: Bits that number the rows of each step's hashed weight table (16 at most), rounds of training, and
+#: tokens of a shard.
+BITS, ROUNDS, SHARD = 15, 2, 4_000_000
+ROWS = 1 << BITS
+BLOCK, RATE, MINIBATCH = 128, 0.3, 32768
 TAIL, END = 0, 1
-FEATURES = 4
+#: History features that each step reads: the last word, the last two, the second last, the third last.
+FEATURES = (4, 4, 3, 3)
 _SLAB = 200_000
 _FLUSH = 400_000
+#: Fixed value: the logit of a child that does not exist.
+_NONE = -60.0
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -74,19 +88,47 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The frequent words with their classes, and sums over the whole vocabulary."""
+    """The frequent words with their places in the tree, and sums over the whole vocabulary.
+
+    `path` has a word's child at every step, -1 where its node has but one; `bias` has the log
+    shares of every node's children. Words behind the frequent ones are the tail and the end.
+    """
 
     number: dict[bytes, int]
     log_count: np.ndarray
-    cls: np.ndarray
-    log_size: np.ndarray
+    path: np.ndarray
+    node: np.ndarray
+    bias: list[np.ndarray]
+    log_tail: float
+    classes: int
     tokens: int
     distinct: int
     ends: int
 
-    @property
-    def classes(self) -> int:
-        return len(self.log_size)
+    @classmethod
+    def of(cls, words: list[bytes], n: np.ndarray, kind: np.ndarray, tail: float, tokens: int, distinct: int, ends: int) -> Vocabulary:
+        """From frequent words, their counts and kinds, and the smoothed mass of the tail."""
+        mass = n + 1.0
+        order = np.lexsort((words, -n, kind))
+        most, owner, member = MASS * mass.sum(), np.empty(len(words) + 2, np.int64), np.zeros(len(words) + 2, np.int64)
+        owner[len(words) :] = TAIL, END
+        at, held, size, before = END, 0.0, 0, -1
+        for i in order.tolist():
+            if kind[i] != before or size == MEMBERS or held + mass[i] > most:
+                at, held, size, before = at + 1, 0.0, 0, kind[i]
+            owner[i], member[i] = at, size
+            held, size = held + mass[i], size + 1
+        every = np.concatenate([mass, [max(tail, 1e-9), ends + 1.0]])
+        path = np.stack([owner // WIDTHS[1], owner % WIDTHS[1], member // WIDTHS[3], member % WIDTHS[3]], axis=1)
+        node = np.stack([owner * 0, path[:, 0], owner, owner * WIDTHS[2] + path[:, 2]], axis=1)
+        nodes = (1, WIDTHS[0], WIDTHS[0] * WIDTHS[1], WIDTHS[0] * WIDTHS[1] * WIDTHS[2])
+        bias = []
+        for k, (count, width) in enumerate(zip(nodes, WIDTHS)):
+            sums = np.bincount(node[:, k] * width + path[:, k], every, count * width).reshape(count, width)
+            whole = np.maximum(sums.sum(1, keepdims=True), 1e-30)
+            bias.append(np.where(sums > 0, np.log(np.maximum(sums, 1e-30) / whole), _NONE).astype(np.float32))
+            path[(sums > 0).sum(1)[node[:, k]] == 1, k] = -1
+        return cls({w: i for i, w in enumerate(words)}, np.log10(n + 1.0), path.astype(np.int8), node.astype(np.int32), bias, float(np.log10(max(tail, 1e-9))), at + 1, tokens, distinct, ends)
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
@@ -102,36 +144,25 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     top = counts.filter(step >= least).toArrow().to_pandas().sort_values(["n", "w"], ascending=[False, True]).reset_index(drop=True)
     n = top["n"].to_numpy(np.int64)
     kind = top[[f"k{k}" for k in range(KINDS)]].to_numpy(np.int64).argmax(1) if len(top) else np.empty(0, int)
-    cls = np.zeros(len(top), np.int64)
-    sizes = [0.0, max(ends + 1.0, 1.0)]
-    for k in range(KINDS):
-        rows = np.flatnonzero(kind == k)
-        before = (np.cumsum(n[rows]) - n[rows]) / max(n[rows].sum(), 1)
-        for band in range(BANDS):
-            own = rows[np.minimum((before * BANDS).astype(int), BANDS - 1) == band]
-            if len(own):
-                cls[own] = len(sizes)
-                sizes.append(float(n[own].sum() + len(own)))
-    sizes[TAIL] = float(total["n"] - n.sum() + total["v"] - len(top) + 1)
-    words = [bytes(w) for w in top["w"]]
-    return Vocabulary({w: i for i, w in enumerate(words)}, np.log10(n + 1.0), cls, np.log10(np.array(sizes)), int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends)
+    tail = float(total["n"] - n.sum() + total["v"] - len(top) + 1)
+    return Vocabulary.of([bytes(w) for w in top["w"]], n, kind, tail, int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends)
 
 
 @dataclass
 class Batch:
-    """Documents laid end to end: history features and class of every token, where each document
-    begins, the frequent words' numbers (-1: end, -2: rare), and the rare words with their documents."""
+    """Documents laid end to end: keys of every token's history features, its place (a frequent
+    word's number, then the tail and the end), where each document begins, and the rare words with
+    their documents."""
 
-    rows: np.ndarray
-    cls: np.ndarray
+    keys: np.ndarray
+    place: np.ndarray
     first: np.ndarray
-    numbers: np.ndarray
     rare: list[bytes]
     rare_in: np.ndarray
 
 
 def lay_out(voc: Vocabulary, texts: list[list[bytes]]) -> Batch:
-    size = len(voc.cls)
+    size = len(voc.number)
     pad, end = size + (1 << 16), size + (1 << 16) + 1
     words = list(chain.from_iterable(texts))
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -151,64 +182,69 @@ def lay_out(voc: Vocabulary, texts: list[list[bytes]]) -> Batch:
         salts = [np.uint64(s) for s in (0x51ED270B, 0xA3C59AC3, 0x1B873593, 0xC2B2AE35)]
         big = np.uint64(0x9E3779B97F4A7C15)
         keys = [a * big + salts[0], (a * big + b) * big + salts[1], b * big + salts[2], c * big + salts[3]]
-    rows = np.stack([(mix64(k) & np.uint64(ROWS - 1)).astype(np.int64) for k in keys], axis=1)
     now = wide[here].astype(np.int64)
-    frequent = now < size
-    cls = np.where(now == end, END, TAIL)
-    cls[frequent] = voc.cls[now[frequent]]
-    numbers = np.where(frequent, now, np.where(now == end, -1, -2))
-    return Batch(rows, cls, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], numbers, rare, doc[missing])
-
-
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Class logits of every token, less their maximum; take() copies whole rows, which indexing does not."""
-    z = weights.take(rows[:, 0], axis=0)
-    z += bias
-    for f in range(1, FEATURES):
+    place = np.where(now < size, now, np.where(now == end, size + END, size + TAIL))
+    return Batch(np.stack([mix64(k) for k in keys], axis=1), place, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], rare, doc[missing])
+
+
+def steps(voc: Vocabulary, keys: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(step, tokens, rows, nodes, children) of the steps that have a choice; rows number the hashed features, each with its node."""
+    for k in range(len(WIDTHS)):
+        child = voc.path[place, k]
+        some = np.flatnonzero(child >= 0)
+        if not len(some):
+            continue
+        node = voc.node[place[some], k]
+        with np.errstate(over="ignore"):
+            salt = (node.astype(np.uint64) + np.uint64(k << 32) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            rows = ((keys[some][:, : FEATURES[k]] ^ salt[:, None]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+        yield k, some, rows.astype(np.int64), node, child[some].astype(np.int64)
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Logits of every token's children, less their maximum; take() copies whole rows, which indexing does not."""
+    z = bias.take(node, axis=0)
+    for f in range(rows.shape[1]):
         z += weights.take(rows[:, f], axis=0)
     z -= z.max(1, keepdims=True)
     return z
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = _logits(weights, bias, rows)
-    z -= np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))[:, None]
-    return z
-
-
-def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = _logits(weights, bias, rows)
-    np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
-    return z
+def log_shares(voc: Vocabulary, weights: list[np.ndarray], keys: np.ndarray, place: np.ndarray, slab: int = 32768) -> np.ndarray:
+    """The natural logarithm of every token's probability given its history, up to a rare word's share of the tail."""
+    out = np.zeros(len(place))
+    for at in range(0, len(place), slab):
+        own = out[at : at + slab]
+        for k, some, rows, node, child in steps(voc, keys[at : at + slab], place[at : at + slab]):
+            z = _logits(weights[k], voc.bias[k], rows, node)
+            picked = z[np.arange(len(some)), child]
+            own[some] += picked - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+    return out
 
 
 class Learner:
-    """AdaGrad over the rows of the weight table; the last row of the state is the bias."""
-
-    def __init__(self, weights: np.ndarray, bias: np.ndarray) -> None:
-        self.w, self.b = weights.copy(), bias.copy()
-        self.power, self.bias_power = np.full(ROWS, 1e-8, np.float32), 1e-8
-        self.seen, self.tokens = np.zeros(ROWS, np.float64), 0
-
-    def learn(self, rows: np.ndarray, cls: np.ndarray) -> None:
-        for at in range(0, len(cls), MINIBATCH):
-            r, y = rows[at : at + MINIBATCH], cls[at : at + MINIBATCH]
-            g = softmax(self.w, self.b, r)
-            g[np.arange(len(y)), y] -= 1
-            flat = r.ravel()
-            order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort, at this width
-            flat = flat[order]
-            cuts = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
-            sums = np.add.reduceat(g.take(order // FEATURES, axis=0), cuts, axis=0)
-            hit = flat[cuts]
-            self.power[hit] += np.einsum("ij,ij->i", sums, sums)
-            self.w[hit] -= RATE * sums / np.sqrt(self.power[hit])[:, None]
-            self.seen[hit] += np.diff(np.concatenate([cuts, [len(flat)]]))
-            down = g.sum(0)
-            self.bias_power += float(down @ down)
-            self.b -= RATE * down / np.sqrt(self.bias_power)
-            self.tokens += len(y)
+    """AdaGrad over the rows of the weight tables, a minibatch at a time."""
+
+    def __init__(self, voc: Vocabulary, weights: list[np.ndarray]) -> None:
+        self.voc, self.w = voc, [w.copy() for w in weights]
+        self.power = [np.full(ROWS, 1e-8, np.float32) for _ in weights]
+        self.seen = [np.zeros(ROWS, np.float64) for _ in weights]
+
+    def learn(self, keys: np.ndarray, place: np.ndarray) -> None:
+        for at in range(0, len(place), MINIBATCH):
+            for k, some, rows, node, child in steps(self.voc, keys[at : at + MINIBATCH], place[at : at + MINIBATCH]):
+                g = _logits(self.w[k], self.voc.bias[k], rows, node)
+                np.exp(g, out=g)
+                g /= (g @ np.ones(g.shape[1], g.dtype))[:, None]
+                g[np.arange(len(some)), child] -= 1
+                # a child's gradients, summed by row: counting is much faster than sorting rows
+                flat, sums = rows.T.ravel(), np.empty((g.shape[1], ROWS), np.float32)
+                for j, own in enumerate(np.ascontiguousarray(g.T)):
+                    sums[j] = np.bincount(flat, np.tile(own, rows.shape[1]), ROWS)
+                self.seen[k] += np.bincount(flat, minlength=ROWS)
+                self.power[k] += np.einsum("ij,ij->j", sums, sums)
+                sums *= RATE / np.sqrt(self.power[k])
+                self.w[k] -= sums.T
 
 
 def _slabs(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
@@ -223,50 +259,75 @@ def _slabs(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-def train(docs: DataFrame, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias after all rounds; documents are divided among rounds by id hash."""
-    sc, k = docs.sparkSession.sparkContext, voc.classes
-    weights, bias = np.zeros((ROWS, k), np.float32), np.zeros(k, np.float32)
-    words = sc.broadcast(voc)
+def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
+    """Weights after all rounds. Documents go to shards by a hash of id and text, and shards to rounds."""
+    spark = docs.sparkSession
+    weights = [np.zeros((ROWS, w), np.float32) for w in WIDTHS]
+    per_round = max(1, -(-voc.tokens // (ROUNDS * SHARD)))
+    words = spark.sparkContext.broadcast(voc)
+    rows = docs.select("doc_id", "text", F.xxhash64(F.lit(1), "doc_id", "text").alias("h"))
+    blocks = ROWS // BLOCK
     for turn in range(ROUNDS):
-        start = sc.broadcast((weights, bias))
+        start = spark.sparkContext.broadcast(weights)
 
         def update(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            learner = Learner(*start.value)
-            for held in _slabs(t for b in batches for t in b["text"]):
-                batch = lay_out(words.value, held)
-                learner.learn(batch.rows, batch.cls)
-            if not learner.tokens:
-                return
-            moved = (learner.w - start.value[0]) * learner.seen[:, None]
-            for at in range(0, ROWS, BLOCK):
-                if (seen := learner.seen[at : at + BLOCK]).any():
-                    yield pd.DataFrame({"b": [at // BLOCK], "w": [moved[at : at + BLOCK].astype(np.float32).tobytes()], "n": [seen.tobytes()]})
-            down = (learner.b - start.value[1]) * learner.tokens
-            yield pd.DataFrame({"b": [-1], "w": [down.astype(np.float32).tobytes()], "n": [np.array([learner.tokens], float).tobytes()]})
+            def moved(shard: int, learner: Learner) -> Iterator[pd.DataFrame]:
+                for k, (w, old, seen) in enumerate(zip(learner.w, start.value, learner.seen)):
+                    for at in range(0, ROWS, BLOCK):
+                        if (n := seen[at : at + BLOCK]).any():
+                            change = (w[at : at + BLOCK] - old[at : at + BLOCK]) * n[:, None]
+                            yield pd.DataFrame({"b": [k * blocks + at // BLOCK], "s": [shard], "w": [change.astype(np.float32).tobytes()], "n": [n.tobytes()]})
+
+            learner, now = None, None
+            texts: list = []
+            for b in batches:
+                for shard, t in zip(b["s"].tolist(), b["text"]):
+                    if shard != now:
+                        if learner:
+                            _study(learner, texts)
+                            yield from moved(now, learner)
+                        learner, now, texts = Learner(words.value, start.value), shard, []
+                    texts.append(words_of(t))
+                    if sum(map(len, texts)) >= _SLAB if len(texts) % 64 == 0 else len(texts[-1]) >= _SLAB:
+                        _study(learner, texts)
+                        texts = []
+            if learner:
+                _study(learner, texts)
+                yield from moved(now, learner)
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[int, list[np.ndarray]] = {}
+            now, w_sum, n_sum = None, None, None
             for b in batches:
                 for i, w, n in zip(b["b"].tolist(), b["w"], b["n"]):
                     w, n = np.frombuffer(w, np.float32).astype(float), np.frombuffer(n, float)
-                    if i in sums:
-                        sums[i][0] += w
-                        sums[i][1] += n
-                    else:
-                        sums[i] = [w, n.copy()]
-            for i, (w, n) in sums.items():
-                yield pd.DataFrame({"b": [i], "w": [(w.reshape(len(n), -1) / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()]})
-
-        mine = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text")
-        parts = mine.mapInPandas(update, "b int, w binary, n binary").repartition(partitions(docs.sparkSession), "b")
+                    if i == now:
+                        w_sum, n_sum = w_sum + w, n_sum + n
+                        continue
+                    if now is not None:
+                        yield _mean(now, w_sum, n_sum)
+                    now, w_sum, n_sum = i, w, n
+            if now is not None:
+                yield _mean(now, w_sum, n_sum)
+
+        mine = rows.withColumn("s", F.pmod("h", F.lit(ROUNDS * per_round)).cast("int")).filter(F.col("s") % ROUNDS == turn).withColumn("s", F.floor(F.col("s") / ROUNDS).cast("int"))
+        tasks = min(per_round, 50_000)
+        shards = mine.repartitionById(tasks, F.col("s") % tasks).sortWithinPartitions("s", "h", "doc_id").select("s", "text")
+        # sums go in the order of shards, so that they come out the same whoever adds them
+        parts = shards.mapInPandas(update, "b int, s int, w binary, n binary").repartition(partitions(spark), "b").sortWithinPartitions("b", "s")
         for i, w in parts.mapInPandas(add, "b int, w binary").toPandas().itertuples(index=False):
-            step = np.frombuffer(w, np.float32).reshape(-1, k)
-            if i < 0:
-                bias = bias + step[0]
-            else:
-                weights[i * BLOCK : (i + 1) * BLOCK] += step
-    return weights, bias
+            k, at = divmod(i, blocks)
+            weights[k][at * BLOCK : (at + 1) * BLOCK] += np.frombuffer(w, np.float32).reshape(-1, WIDTHS[k])
+    return weights
+
+
+def _study(learner: Learner, texts: list[list[bytes]]) -> None:
+    if texts:
+        b = lay_out(learner.voc, texts)
+        learner.learn(b.keys, b.place)
+
+
+def _mean(block: int, w: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"b": [block], "w": [(w.reshape(len(n), -1) / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()]})
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -282,33 +343,29 @@ def scores(docs: DataFrame) -> DataFrame:
     learnt = training(rows)
     counts = materialise(count_words(learnt))
     voc = vocabulary(counts, learnt.count())
-    told = spark.sparkContext.broadcast((voc, *train(learnt, voc)))
+    told = spark.sparkContext.broadcast((voc, train(learnt, voc)))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, weights, bias = told.value
-        row = TaskContext.get().partitionId() << 33
-        end = np.log10(voc.ends + 1.0)
-        gained = np.concatenate([voc.log_count, [0.0, end]])  # -1: end, -2: rare
+        voc, weights = told.value
+        row, size = TaskContext.get().partitionId() << 33, len(voc.number)
+        gained = np.concatenate([voc.log_count, [0.0, np.log10(voc.ends + 1.0)]])
+        counts = np.concatenate([np.ones(size, int), [0, int(voc.ends > 0)]])
         for batch in batches:
             ids, at = batch.column(0), 0
             for held in _slabs(iter(batch.column(1).to_pylist())):
                 b = lay_out(voc, held)
-                own = np.empty(len(b.cls))
-                for lo in range(0, len(own), 65536):
-                    part = slice(lo, lo + 65536)
-                    own[part] = log_softmax(weights, bias, b.rows[part])[np.arange(len(b.cls[part])), b.cls[part]]
-                own = own / np.log(10) - voc.log_size[b.cls]
+                own = log_shares(voc, weights, b.keys, b.place) / np.log(10)
+                own[b.place == size + TAIL] -= voc.log_tail
                 bounds = np.searchsorted(b.rare_in, np.arange(len(held) + 1)).tolist()
                 rare = [Counter(b.rare[i:j]) for i, j in zip(bounds, bounds[1:])]
                 n = np.fromiter(map(len, rare), np.int64, len(rare))
-                known = np.where(b.numbers >= 0, 1, np.where(b.numbers == -1, int(voc.ends > 0), 0))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + len(held))), ids.slice(at, len(held)),
                     pa.array(np.fromiter((len(w) + 1 for w in held), np.int64, len(held))),
-                    pa.array(np.add.reduceat(known, b.first)),
-                    pa.array(np.add.reduceat(gained[b.numbers], b.first)), pa.array(np.add.reduceat(own, b.first)),
+                    pa.array(np.add.reduceat(counts[b.place], b.first)),
+                    pa.array(np.add.reduceat(gained[b.place], b.first)), pa.array(np.add.reduceat(own, b.first)),
                     pa.ListArray.from_arrays(offsets, pa.array([w for c in rare for w in c], pa.binary())),
                     pa.ListArray.from_arrays(offsets, pa.array(np.fromiter((k for c in rare for k in c.values()), np.int64, int(n.sum())))),
                 ], names=["row", "doc_id", "n_tokens", "known", "gained", "own", "rare", "times"])
@@ -323,5 +380,5 @@ def scores(docs: DataFrame) -> DataFrame:
     return both.select(
         "doc_id", F.coalesce(id_remainder("doc_id", MODULUS) == HELD, F.lit(False)).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(voc.tokens).cast("long").alias("train_tokens"),
-        (gained - F.col("n_tokens") * F.lit(flat)).alias("base_score"), (gained + F.col("own")).alias("score"),
+        (gained - F.col("n_tokens") * F.lit(flat)).alias("base_score"), (F.col("own") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

@@ -3,7 +3,7 @@
 A word enters as the sum of a hashed word vector and the mean of its hashed character-pair
 vectors. A window of words runs through a GRU either way; attention pools the states and a linear
 layer scores the window. All overlapping windows of a text are scored, and a logistic calibrator
-turns the highest scores and the number of windows into the text's probability.
+turns the highest scores into the text's probability. Training, too, reads every window of its texts.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from quillon.llm.labelled import Logistic, sample
 
 WINDOW, STRIDE = 32, 16
 WORDS, PAIRS, DIM, HIDDEN = 1 << 15, 1 << 12, 16, 8
-#: Bounds of the labelled sample: documents of each class, windows of each (evenly spaced) for
-#: training, and documents for the calibration.
-FIT_ROWS, FIT_WINDOWS, CALIBRATION_ROWS = 2000, 12, 6000
+#: Bounds of the labelled sample: documents of each class whose whole texts are learnt from, and
+#: documents for the calibration.
+FIT_ROWS, CALIBRATION_ROWS = 1200, 6000
+#: Numbers that features() gives for a text.
+FEATURES = 2
 EPOCHS, BATCH, RATE, COMMON, SEED = 10, 128, 0.01, 6, 1
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -192,10 +194,8 @@ def train(texts: list[str], y: np.ndarray) -> Network:
     lex.known = (spread >= COMMON).astype(np.float32)
     doc, wins = [], []
     for i, x in enumerate(ids):
-        w = windows_of(x)
-        take = np.unique(np.linspace(0, len(w) - 1, min(len(w), FIT_WINDOWS)).astype(int))
-        wins.append(w[take])
-        doc += [i] * len(take)
+        wins.append(windows_of(x))
+        doc += [i] * len(wins[-1])
     doc, wins = np.array(doc), np.concatenate(wins)
     label = y[doc].astype(np.float32)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -235,8 +235,8 @@ def train(texts: list[str], y: np.ndarray) -> Network:
 
 
 def features(net: Network, texts: list[str | None], slab: int = 200_000, block: int = 4096) -> np.ndarray:
-    """(highest window score, mean of the three highest, log windows / 5) of whole texts."""
-    out = np.empty((len(texts), 3))
+    """(highest window score, mean of the three highest) over all windows of whole texts."""
+    out = np.empty((len(texts), FEATURES))
     at = 0
     while at < len(texts):
         part, n = [], 0
@@ -261,7 +261,7 @@ def features(net: Network, texts: list[str | None], slab: int = 200_000, block:
         for k, c in enumerate(counts):
             own = s[lo : lo + c]
             top = np.sort(np.partition(own, -3)[-3:] if c > 3 else own)
-            out[at + k] = top[-1], top.mean(), np.log(c) / 5
+            out[at + k] = top[-1], top.mean()
             lo += c
         at += len(part)
     return out
@@ -274,23 +274,15 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Learns from a bounded sample of the labelled documents outside the held-out fold."""
-    rows = sample(docs, labels, label, MODULUS, HELD, FIT_ROWS, CALIBRATION_ROWS)
+    """Learns from a bounded sample of the labelled documents outside the held-out fold.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # evenly spaced windows are all that training reads of a long text
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                w = words_of(t)
-                s = starts(len(w))
-                if len(s) > FIT_WINDOWS:
-                    pick = np.unique(np.linspace(0, len(s) - 1, FIT_WINDOWS).astype(int))
-                    w = [x for i in pick for x in w[i * STRIDE : i * STRIDE + WINDOW]]
-                out.append(b" ".join(w).decode("utf-8", "replace"))
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "text": out})
-
-    known = rows.filter("part = 'fit'").mapInPandas(cut, "id long, y int, text string").toPandas().sort_values("id")
+    The network learns from the whole texts of at most FIT_ROWS documents of each class, the
+    calibrator from at most CALIBRATION_ROWS others. Null texts count as empty, rows that repeat a
+    labelled id are learnt from each. With no labels of both classes, or an empty table, the model
+    is the smoothed share of toxic ones.
+    """
+    rows = sample(docs, labels, label, MODULUS, HELD, FIT_ROWS, CALIBRATION_ROWS)
+    known = rows.filter("part = 'fit'").select("id", "y", "text").toPandas().sort_values(["id", "text"])
     net = train(known["text"].tolist(), known["y"].to_numpy())
     told = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -298,8 +290,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": list(features(told.value, b["text"].tolist()))})
 
-    rest = rows.filter("part = 'calibrate'").mapInPandas(measure, "id long, y int, x array<double>").toPandas().sort_values("id")
-    return Model(net, Logistic.fit(np.array(rest["x"].tolist()).reshape(-1, 3), rest["y"].to_numpy(float)))
+    rest = rows.filter("part = 'calibrate'").mapInPandas(measure, "id long, y int, x array<double>").toPandas()
+    x, y = np.array(rest["x"].tolist()).reshape(-1, FEATURES), rest["y"].to_numpy(float)
+    order = np.lexsort((*x.T, rest["id"].to_numpy()))
+    return Model(net, Logistic.fit(x[order], y[order]))
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
