@@ -3,6 +3,10 @@
 Trees are fitted on a bounded sample; every vector is then indexed in every tree. A query walks
 all trees through one priority queue of splits, nearest margin first, until it has opened its
 number of leaves; members of these leaves are ranked by exact distance.
+
+Vectors are dealt to blocks, each vector once, with the leaves that hold it. Queries visit the
+blocks with the leaves that they have opened, as bits, and take from each block its nearest members
+of these leaves.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from quillon.llm.common import materialise
 
 #: Production parameters. SAMPLE bounds what the trees are fitted on (a share of the rows by id hash); a query
 #: opens the share OPEN of all leaves, LEAST at least, which nearly isotropic vectors need for a recall of 0.9.
+#: LEAF is a leaf's size in the table; the sample's leaves are smaller by its share, so trees deepen with the table.
 TREES, LEAF, OPEN, LEAST, SAMPLE, SEED = 10, 128, 0.1, 64, 65536, 9
-#: Members of a leaf, and queries, that a task compares at once.
-CHUNK = 4096
+#: Numbers (rows times width) and rows of a block, at most, and queries that a task compares with it at once.
+BLOCK, BLOCK_ROWS, CHUNK = 4_000_000, 65_536, 128
 
 
 @dataclass
@@ -106,123 +111,107 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), np.float64).reshape(len(col), -1)
 
 
+def _common_length(rows: DataFrame) -> int | None:
+    """The length that most vectors have, the least of equals; None for an empty table."""
+    best = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    return None if best is None else best["d"]
+
+
 def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES, leaf: int = LEAF, opened: float = OPEN, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id `every` divides.
 
     score is the Euclidean distance in double precision; ties go to the smaller id. Vectors that
-    are null, zero, or hold null or non-finite components take no part; neither do those whose
-    length differs from that of the least usable id. Copies of a vector are indexed once, with
-    their k + 1 least ids: no query can return more of them. An empty table gives no rows.
+    are null, zero, or hold null or non-finite components take no part; neither do those of another
+    length than the commonest (the least of equally common ones). Copies of a vector are indexed
+    once, with their k + 1 least ids: no query can return more of them. Repeated rows are each a
+    candidate, but not for their own id, which is asked once. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = materialise(usable(vectors, id_col, vector_col))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    head = rows.orderBy("id").select(F.size("v").alias("d")).first()
-    if head is None:
+    width = _common_length(rows)
+    if width is None:
         return empty
-    rows = rows.filter(F.size("v") == head["d"])
+    rows = rows.filter(F.size("v") == width)
     order = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     held = materialise(few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
-    share = min(1.0, 0.95 * SAMPLE / held.count()) * (1 << 30)
-    picked = held.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("id", "v").toArrow().sort_by("id")
+    count = held.count()
+    share = min(1.0, 0.95 * SAMPLE / count)
+    picked = held.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("id", "v").toArrow().sort_by("id")
     sample = picked["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(picked.num_rows, -1)
-    forest = [fit_tree(sample, leaf, SEED * 1000 + i) for i in range(trees)]
+    forest = [fit_tree(sample, max(2, int(leaf * share)), SEED * 1000 + i) for i in range(trees)]
     known = spark.sparkContext.broadcast(forest)
-    opening = max(LEAST, int(np.ceil(opened * sum(t.leaves for t in forest))))
+    ends = np.concatenate([[0], np.cumsum([t.leaves for t in forest])])
+    opening = max(LEAST, int(np.ceil(opened * ends[-1])))
+    each = max(1, min(BLOCK_ROWS, BLOCK // width))
+    blocks = max(-(-count // each), min(spark.sparkContext.defaultParallelism, -(-count // 1024)))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = _matrix(b["v"])
-            for t, tree in enumerate(known.value):
-                yield pd.DataFrame({"t": np.int32(t), "leaf": leaves_of(tree, x).astype(np.int32) if len(b) else [], "id": b["id"], "v": b["v"]})
+            leaves = np.stack([ends[t] + leaves_of(tree, x) for t, tree in enumerate(known.value)], axis=1) if len(b) else []
+            yield pd.DataFrame({"block": b["block"], "id": b["id"], "v": b["v"], "leaves": [r.astype(np.int32).tobytes() for r in leaves], "q": False})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(t, leaf, i, v) for i, v in zip(b["id"], b["v"]) for t, leaf in probes(known.value, np.asarray(v, float), opening)]
-            yield pd.DataFrame(out, columns=["t", "leaf", "id", "v"]).astype({"t": np.int32, "leaf": np.int32, "id": np.int64})
-
-    schema = f"t int, leaf int, id long, v {dict(held.dtypes)['v']}"
+            out = []
+            for v in b["v"]:
+                bits = np.zeros(ends[-1], bool)
+                bits[[ends[t] + n for t, n in probes(known.value, np.asarray(v, float), opening)]] = True
+                out.append(np.packbits(bits).tobytes())
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "leaves": out})
+
+    vector = dict(held.dtypes)["v"]
+    members = held.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v").mapInPandas(index, f"block int, id long, v {vector}, leaves binary, q boolean")
     # queries with equal vectors are searched once, by the least id
     asks = materialise(rows.filter(F.col("id") % every == 0).groupBy("v").agg(F.min("id").alias("id")))
-    members = held.select("id", "v").mapInPandas(index, schema)
-    questions = asks.select("id", "v").mapInPandas(probe, schema)
-    sizes = members.groupBy("t", "leaf").agg(F.count("*").alias("n")).toPandas()
-    wide = {(t, leaf): int(np.ceil(n / CHUNK)) for t, leaf, n in sizes.itertuples(index=False) if n > CHUNK}
-    cuts = spark.sparkContext.broadcast(wide)
-
-    @F.pandas_udf("int")
-    def chunks(t: pd.Series, leaf: pd.Series) -> pd.Series:
-        return pd.Series([cuts.value.get(x, 1) for x in zip(t, leaf)], dtype=np.int32)
-
-    members = members.withColumn("c", F.pmod(F.xxhash64("id"), chunks("t", "leaf")).cast("int")).withColumn("q", F.lit(False))
-    questions = questions.withColumn("c", F.explode(F.sequence(F.lit(0), chunks("t", "leaf") - 1))).withColumn("q", F.lit(True))
+    questions = materialise(asks.select("id", "v").mapInPandas(probe, f"id long, v {vector}, leaves binary"))
+    visits = questions.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v", "leaves", F.lit(True).alias("q"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, x = None, None, None
-        best = _Best(k + 1)
+        now, parts, own = None, [], None
         for b in batches:
-            for g, part in b.groupby(["t", "leaf", "c"], sort=False):
-                if g != key:
-                    key, ids, x = g, np.empty(0, np.int64), np.empty((0, 0))
-                mine = part[~part["q"]]
+            for block, part in b.groupby("block", sort=False):
+                if block != now:
+                    now, parts, own = block, [], None
+                mine, asked = part[~part["q"]], part[part["q"]]
                 if len(mine):
-                    more = _matrix(mine["v"])
-                    ids, x = np.concatenate([ids, mine["id"].to_numpy()]), more if not len(x) else np.vstack([x, more])
-                asked = part[part["q"]]
-                if len(asked) and len(ids):
-                    yield from best.add(_nearest(asked["id"].to_numpy(), _matrix(asked["v"]), ids, x, k + 1))
-        yield from best.rest()
-
-    dealt = members.unionByName(questions).repartition("t", "leaf", "c").sortWithinPartitions("t", "leaf", "c", "q", "id")
-    found = dealt.mapInPandas(compare, "ask long, rep long, score double").distinct()
+                    parts.append((mine["id"].to_numpy(), _matrix(mine["v"]), np.frombuffer(b"".join(mine["leaves"]), np.int32).reshape(len(mine), -1)))
+                if len(asked) and (parts or own):
+                    if own is None:
+                        own, parts = [np.concatenate(c) for c in zip(*parts)], []
+                    yield _nearest(asked["id"].to_numpy(), _matrix(asked["v"]), asked["leaves"].tolist(), *own, k + 1)
+
+    dealt = members.unionByName(visits).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "q", "id")
+    found = dealt.mapInPandas(compare, "ask long, rep long, score double")
     # a query's best k + 1 vectors, then their ids, then every query id that shares its vector
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy("score", "rep"))).filter(F.col("r") <= k + 1)
     best = best.join(held.select(F.col("id").alias("rep"), "ids"), "rep").select("ask", "score", F.explode("ids").alias("vec_id"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1)
-    same = asks.select(F.col("id").alias("ask"), "v").join(rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v"), "v").select("ask", "query_id")
+    same = asks.select(F.col("id").alias("ask"), "v").join(rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").distinct(), "v").select("ask", "query_id")
     pairs = same.join(best, "ask").filter("query_id <> vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-class _Best:
-    """The nearest found so far of every query that a task has met, over all its leaves.
-
-    Queries are let go, as far as they have come, when they fill the room.
-    """
-
-    def __init__(self, k: int, room: int = 200_000) -> None:
-        self.k, self.room, self.held, self.rows = k, room, [], 0
-
-    def _pruned(self) -> pd.DataFrame:
-        every = pd.concat(self.held).drop_duplicates(["ask", "rep"]).sort_values(["ask", "score", "rep"])
-        return every.groupby("ask", sort=False).head(self.k)
-
-    def add(self, found: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        self.held.append(found)
-        self.rows += len(found)
-        if self.rows > 2 * self.room:
-            self.held = [self._pruned()]
-            self.rows = len(self.held[0])
-            if self.rows > self.room:
-                yield self.held[0]
-                self.held, self.rows = [], 0
-
-    def rest(self) -> Iterator[pd.DataFrame]:
-        if self.held:
-            yield self._pruned()
-
-
-def _nearest(asks: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest members of each query; a rough matrix product picks those measured exactly."""
+def _nearest(asks: np.ndarray, q: np.ndarray, opened: list[bytes], ids: np.ndarray, x: np.ndarray, leaves: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest members of each query's leaves; a rough matrix product picks those measured exactly."""
     out = []
     norms = np.einsum("ij,ij->i", x, x)
-    for at in range(0, len(q), 256):
-        rough = norms - 2 * q[at : at + 256] @ x.T + np.einsum("ij,ij->i", q[at : at + 256], q[at : at + 256])[:, None]
-        scale = 1e-9 * (1 + norms.max())
-        edge = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] + scale
-        row, col = np.nonzero(rough <= edge[:, None])
-        exact = np.sqrt(((q[at + row] - x[col]) ** 2).sum(1))
-        out.append(pd.DataFrame({"ask": asks[at + row], "rep": ids[col], "score": exact}))
-    return pd.concat(out)
+    for at in range(0, len(q), CHUNK):
+        some = q[at : at + CHUNK]
+        rough = norms - 2 * some @ x.T + np.einsum("ij,ij->i", some, some)[:, None]
+        slack = 1e-9 * (1 + norms.max())
+        for i in range(len(some)):
+            bits = np.unpackbits(np.frombuffer(opened[at + i], np.uint8)).view(bool)
+            member = np.flatnonzero(bits[leaves].any(1))
+            if not len(member):
+                continue
+            own = rough[i, member]
+            edge = np.partition(own, min(k, len(own)) - 1)[min(k, len(own)) - 1] + slack
+            near = member[own <= edge]
+            exact = np.sqrt(((some[i] - x[near]) ** 2).sum(1))
+            first = np.lexsort((ids[near], exact))[:k]
+            out.append(pd.DataFrame({"ask": asks[at + i], "rep": ids[near[first]], "score": exact[first]}))
+    return pd.concat(out) if out else pd.DataFrame({"ask": np.empty(0, np.int64), "rep": np.empty(0, np.int64), "score": np.empty(0)})
