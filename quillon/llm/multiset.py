@@ -2,9 +2,10 @@
 
 A fingerprint is a sum of one wide vector for each paragraph (line): four 64-bit lanes of its
 BLAKE2b digest, summed modulo 2**64, and 128 lanes in which every 16-byte gram of the paragraph
-counts +1 or -1 in one lane, summed modulo 2**32 (no text Spark holds has 2**31 grams). Sums do not depend on order; a paragraph is put
-in or taken out by adding or subtracting its vector. The first lanes decide equality; the second
-are a count sketch, whose normalised inner product estimates how much two texts share.
+counts +1 or -1 in one lane, summed modulo 2**32 (no text Spark holds has 2**31 grams). Sums do not
+depend on order; a paragraph is put in or taken out by adding or subtracting its vector. The first
+lanes decide equality; the second are a count sketch, whose normalised inner product estimates how
+much two texts share.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quillon.llm.common import materialise, mix64, partitions
 LANES = 128
 GRAM = 16
 _SLAB = 1 << 20
+#: Characters of a range of documents, most ranges, tasks that read them, and sampled keys for each.
+RANGE, MOST, WRITERS, EACH = 1 << 24, 200_000, 50_000, 32
 
 
 def _sketch(data: bytes) -> np.ndarray:
@@ -85,7 +88,11 @@ def fingerprint(text: str | None) -> str:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint) of every row."""
+    """(id, fingerprint) of every row.
+
+    Null texts count as empty, which is one empty paragraph. Null ids and repeated rows keep their
+    rows, extra columns do not matter, and an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,47 +101,70 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, fingerprint string")
 
 
+def _bounds(rows: DataFrame, ranges: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, hashes) that part rows (id, h) into about so many ranges, from a sample by hash of EACH rows for each range."""
+    share = min(1.0, EACH * ranges / max(count, 1))
+    some = rows.filter("id is not null").filter(F.pmod(F.xxhash64("id", "h"), F.lit(1 << 30)) < share * (1 << 30))
+    held = some.toArrow()
+    ids, h = held["id"].cast(pa.int64()).to_numpy(), held["h"].to_numpy()
+    order = np.lexsort((h, ids))[EACH - 1 :: EACH] if share < 1 else np.lexsort((h, ids))[:: max(1, len(ids) // ranges)]
+    return ids[order], h[order]
+
+
+def _places(bounds: tuple[np.ndarray, np.ndarray], ids: pa.Array, h: np.ndarray) -> np.ndarray:
+    """The range of each row: 0 for null ids, else by id and, where bounds share the id, by hash."""
+    missing = ids.is_null().to_numpy(zero_copy_only=False)
+    own = ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    lo, hi = np.searchsorted(bounds[0], own, "left"), np.searchsorted(bounds[0], own, "right")
+    for i in np.flatnonzero(hi > lo):
+        lo[i] += np.searchsorted(bounds[1][lo[i] : hi[i]], h[i], "right")
+    return np.where(missing, 0, 1 + lo).astype(np.int64)
+
+
 def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (b, id, t, lent), sorted by (b, id, t) within partitions that hold whole ranges b of ids.
+    """Rows (b, id, t, lent), sorted by (id, a hash of the text, text) within ranges b of these.
 
     A range's last row, marked lent, is a copy of the first row of the next range (the last range's:
-    of the first), so that every row's successor stands behind it without a global sort. Only range
-    bounds and one id for each range reach the driver. Rows with null ids come first.
+    of the first), so that every row's successor stands behind it without a global sort. Ranges grow
+    in number with the characters of the table and part the rows of one id, too. A few keys for each
+    range reach the driver, and no text. Rows with null ids come first.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    count = 8 * partitions(spark)
-    cuts = docs.select(F.percentile_approx(F.col(id_col), [i / count for i in range(1, count)], 10 * count).alias("q")).first()["q"] or []
-    bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.int64)))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t").cast("long")), F.lit(0))).first()
+    ranges = max(2 * partitions(spark), min(MOST, -(-size // RANGE)))
+    keys = materialise(rows.select("id", "h"))
+    bounds = spark.sparkContext.broadcast(_bounds(keys, ranges, count))
     kind = dict(docs.dtypes)[id_col]
 
-    def place(ids: pa.Array) -> np.ndarray:
-        at = 1 + np.searchsorted(bounds.value, ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), "right")
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int64)
-
-    def first_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least = pa.table({"b": place(b.column(0)), "id": b.column(0)}).group_by("b").aggregate([("id", "min")])
-            yield from least.rename_columns(["b", "id"]).select(["b", "id"]).combine_chunks().to_batches()
+            held = pa.table({"b": _places(bounds.value, b.column(0), b.column(1).to_numpy()), "id": b.column(0), "h": b.column(1)})
+            least = held.sort_by([("b", "ascending"), ("id", "ascending"), ("h", "ascending")]).group_by("b", use_threads=False).aggregate([("id", "first"), ("h", "first")])
+            yield from least.rename_columns(["b", "id", "h"]).combine_chunks().to_batches()
 
-    heads = docs.select(F.col(id_col).alias("id")).mapInArrow(first_ids, f"b long, id {kind}").groupBy("b").agg(F.min("id").alias("id")).collect()
-    heads = sorted((r["b"], r["id"]) for r in heads)
-    before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    lent = {i: before[b] for b, i in heads}
+    heads = keys.mapInArrow(first_keys, f"b long, id {kind}, h long").groupBy("b").agg(F.min(F.struct("id", "h")).alias("k")).collect()
+    heads = sorted((r["b"], r["k"]["id"], r["k"]["h"]) for r in heads)
+    lent = {(i, h): heads[n - 1][0] for n, (_, i, h) in enumerate(heads)}
+    first_hash = spark.sparkContext.broadcast((lent, np.array(sorted({h for _, h in lent}), np.int64)))
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lent, hashes = first_hash.value
         for b in batches:
-            ids, n = b.column(0), b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(place(ids)), ids, b.column(1), pa.array(np.zeros(n, bool))], names=names)
-            again = [k for k, i in enumerate(ids.to_pylist()) if i in lent]
+            ids, h, n = b.column(0), b.column(2).to_numpy(), b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(_places(bounds.value, ids, h)), ids, b.column(1), b.column(2), pa.array(np.zeros(n, bool))], names=names)
+            maybe = np.flatnonzero(np.isin(h, hashes)).tolist()
+            again = [k for k in maybe if (ids[k].as_py(), int(h[k])) in lent]
             if again:
                 some = b.take(pa.array(again))
-                to = pa.array([lent[i] for i in some.column(0).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([to, some.column(0), some.column(1), pa.array(np.ones(len(again), bool))], names=names)
+                to = pa.array([lent[i, int(x)] for i, x in zip(some.column(0).to_pylist(), some.column(2).to_pylist())], pa.int64())
+                yield pa.RecordBatch.from_arrays([to, some.column(0), some.column(1), some.column(2), pa.array(np.ones(len(again), bool))], names=names)
 
-    names = ["b", "id", "t", "lent"]
-    placed = rows.mapInArrow(copy, f"b long, id {kind}, t string, lent boolean")
-    return placed.repartition(partitions(spark), "b").sortWithinPartitions("b", "lent", "id", "t")
+    names = ["b", "id", "t", "h", "lent"]
+    placed = rows.select("id", "t", "h").mapInArrow(copy, f"b long, id {kind}, t string, h long, lent boolean")
+    tasks = min(ranges + 1, WRITERS)
+    task = F.floor(F.col("b") * tasks / (ranges + 2)).cast("int") if tasks < ranges + 1 else F.least(F.col("b"), F.lit(tasks - 1)).cast("int")
+    return placed.repartitionById(tasks, task).sortWithinPartitions("b", "lent", "id", "h", "t").select("b", "id", "t", "lent")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,8 +172,10 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     The edited text is the text with its last quarter (rounded down, code points) replaced by as
     much of the beginning of the next text by id, or by all of that if it is shorter. Ties in the
-    id go by text. A table of one row is its own successor; an empty one gives no rows.
+    id go by a hash of the text, so that rows of one id are parted like others; null ids come first.
+    A table of one row is its own successor; an empty one gives no rows.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # range, id, text, vector
         took = False
