@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "### ", " </turn>\n"
 _BACK = {"\\\\": "\\", "\\h": "###", "\\t": "</turn>", "\\c": ":"}
 TARGET = "assistant"
+#: The share of the budget that a system turn may take and still be repeated in every window.
+SYSTEM = 0.25
 WINDOW_SCHEMA = "conv_id long, window int, text string, loss array<struct<start:int,end:int>>, repeated int"
 
 
@@ -73,8 +75,12 @@ class _Conversation:
     count: int = 0
     first: bool = True
 
+    def _head(self) -> list[tuple[str, str]]:
+        """The system turn, in windows after the first, unless it is so long that repeating it would crowd them."""
+        return [self.system] if self.system and self.count and tokens(self.system[1]) <= SYSTEM * self.budget else []
+
     def _cost(self) -> int:
-        return sum(tokens(t) for _, t in self.old) + (tokens(self.system[1]) if self.system and self.count else 0)
+        return sum(tokens(t) for _, t in [*self._head(), *self.old])
 
     def push(self, role: str, text: str) -> tuple | None:
         """Takes a turn; gives the window that it closes, if any."""
@@ -89,7 +95,7 @@ class _Conversation:
         return done
 
     def flush(self) -> tuple:
-        head = [self.system] if self.system and self.count else []
+        head = self._head()
         parts, loss, at = [], [], 0
         for k, (role, text) in enumerate([*head, *self.old, *self.new]):
             turn, a, b = render(role, text)
@@ -113,7 +119,9 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 96) -> DataFrame
 
     Returns conv_id, window (from 0), text, loss (code-point spans of assistant texts that count)
     and repeated (leading turns that earlier windows already held). A turn that alone exceeds the
-    budget gets a window of its own and is never cut. Rows go by turn, ties by role and text; null
+    budget gets a window of its own and is never cut. A system turn that opens a conversation is
+    repeated in every window if it takes at most SYSTEM of the budget; a longer one stands in the
+    first window alone, so that the windows together are at most a fixed multiple of the turns. Rows go by turn, ties by role and text; null
     roles and texts are empty, null turns come first, rows with a null conv_id are one conversation.
     Turns stream through sorted partitions, so a conversation of any length holds one window.
     """
@@ -140,12 +148,17 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 96) -> DataFrame
 def _frame(rows: list) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["conv_id", "window", "text", "loss", "repeated"])
     out["conv_id"] = pd.array([int(x) if x else None for x in out["conv_id"]], "Int64")
-    out["loss"] = [[{"start": a, "end": b} for a, b in x] for x in out["loss"]]
+    out["loss"] = pd.Series([[{"start": a, "end": b} for a, b in x] for x in out["loss"]], dtype=object)
     return out
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, read from its windows alone (they must come straight from windows())."""
+    """Digests of each conversation, read from its windows alone (they must come straight from windows()).
+
+    A conversation without assistant turns has no loss characters and the digest of no text; the
+    one of all null ids has a null conv_id; repeated windows would count again. An empty table gives
+    no rows.
+    """
 
     def digest(rows: Iterable[tuple]) -> Iterator[tuple]:
         now, open_ = None, False
