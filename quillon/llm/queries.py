@@ -1,4 +1,4 @@
-"""One query for each operator of this subpackage, over its whole table, and the pipeline."""
+"""One query for each operator of this subpackage, over its whole table."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import chat, forest, maxent, mixing, multiset, pieces, quality, secrets, simhash, toxicity
+from quillon.llm.common import materialise
 
 #: A conversation that the template must survive.
 PROBE = (-7, r"\### Assistant: </turn> ok")
@@ -44,7 +45,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _ = secrets.secrets(_table(spark, sf_dir, "documents"))
+    """The table comes in two deliveries, as versions of a history do: what is new at first, then all of it.
+    The second scans only blobs that the first one's ledger lacks and joins findings back to every row."""
+    docs = _table(spark, sf_dir, "documents")
+    _, ledger = secrets.secrets(docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))))
+    paths, _ = secrets.secrets(docs, ledger=materialise(ledger))
 
     def told(spans: str) -> str:
         return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
@@ -72,14 +77,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_mixing, op3_sentencepiece, op4_lm_scoring, op5_chat_formatting, op6_secrets, op7_fingerprints, op8_quality, op9_nearest, op10_simhash, pipeline)
+    own = (op1_toxicity, op2_mixing, op3_sentencepiece, op4_lm_scoring, op5_chat_formatting, op6_secrets, op7_fingerprints, op8_quality, op9_nearest, op10_simhash)
     return {f.__name__: f for f in own}
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise
+from quillon.llm.common import fresh, materialise
 
 #: Increase whenever a rule below changes: ledgers of other versions then no longer count.
 RULES_VERSION = 1
@@ -53,9 +53,11 @@ def _scan_pattern(rule: Rule) -> str:
 
 
 def scan(blobs: DataFrame) -> DataFrame:
-    """(blob, spans array<struct<start, rank, kind, end>>) of the blobs that hold secrets.
+    """(blob, spans array<struct<start, rank, kind, end>>) of the blobs (blob, text) that hold secrets.
 
-    start and end count code points, end exclusive. A pattern's matches and the gaps between them
+    start and end count code points, end exclusive. Blobs without secrets have no row, an empty or
+    null text has none, a blob that is given twice counts its spans twice, and an empty table gives
+    no rows. A pattern's matches and the gaps between them
     give all lengths; running sums of these place the matches.
     """
     found = [F.expr(f"regexp_extract_all(text, '{_quoted(_scan_pattern(r))}', 0)").alias(f"m{i}") for i, r in enumerate(RULES)]
@@ -85,17 +87,15 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", led
     rows and rows with null ids each keep their row. An empty table gives empty tables.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.filter(F.col("version") == RULES_VERSION), "blob", "left_anti")
-    blobs = blobs.filter("text <> ''")
-    found = materialise(scan(blobs))
-    paths = rows.select("id", "blob")
-    known = found if ledger is None else found.union(ledger.filter(F.col("version") == RULES_VERSION).select("blob", "spans"))
-    empty = F.expr("array()").cast(found.schema["spans"].dataType)
+    unseen, paths = rows.filter("text <> ''"), rows.select("id", "blob")
     scanned = paths.select("blob").distinct()
     if ledger is not None:
-        scanned = scanned.join(ledger.filter(F.col("version") == RULES_VERSION), "blob", "left_anti")
+        # old blobs go before their texts are dealt out by digest: the ledger's digests are all that meets them
+        seen = ledger.filter(F.col("version") == RULES_VERSION)
+        unseen, scanned = unseen.join(seen.select("blob"), "blob", "left_anti"), scanned.join(seen, "blob", "left_anti")
+    found = materialise(scan(unseen.groupBy("blob").agg(F.first("text").alias("text"))))
+    known = found if ledger is None else found.union(seen.select("blob", "spans"))
+    empty = F.expr("array()").cast(found.schema["spans"].dataType)
     fresh = scanned.join(found, "blob", "left").select("blob", F.lit(RULES_VERSION).alias("version"), F.coalesce("spans", empty).alias("spans"))
     whole = fresh if ledger is None else ledger.select("blob", "version", "spans").union(fresh)
     return paths.join(known, "blob", "left").select("id", "blob", F.coalesce("spans", empty).alias("spans")), whole
@@ -110,14 +110,18 @@ def merged(spans: str) -> str:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with every secret replaced by a mark and n_chars brought up to date.
 
-    Spans that overlap become one mark. Rows without secrets stay as they are, null texts too.
+    Spans that overlap become one mark. Rows without secrets stay as they are, null and empty texts
+    too; rows that repeat a text are all marked. Columns are those of the input, whatever their
+    names. An empty table gives no rows.
     """
-    keyed = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    blobs = keyed.filter("text <> ''").groupBy(F.col("__blob").alias("blob")).agg(F.first("text").alias("text"))
-    found = materialise(scan(blobs)).select(F.col("blob").alias("__blob"), F.expr(merged("spans")).alias("__spans"))
-    joined = keyed.join(found.hint("merge"), "__blob", "left")  # shuffled at every size
-    kept = "concat(array_join(transform(__spans, (s, i) -> concat(substring(text, cast(case when i = 0 then 0 else __spans[i - 1].end end as int) + 1, cast(s.start - case when i = 0 then 0 else __spans[i - 1].end end as int)), '{mark}')), ''), substring(text, cast(__spans[size(__spans) - 1].end as int) + 1))".replace("{mark}", _quoted(mark))
-    text: Column = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.expr(kept))
+    blob, spans = fresh(docs, "secret_blob"), fresh(docs, "secret_spans")
+    keyed = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256))
+    blobs = keyed.filter("text <> ''").groupBy(F.col(blob).alias("blob")).agg(F.first("text").alias("text"))
+    found = materialise(scan(blobs)).select(F.col("blob").alias(blob), F.expr(merged("spans")).alias(spans))
+    joined = keyed.join(found.hint("merge"), blob, "left")  # shuffled at every size
+    kept = "concat(array_join(transform({s}, (s, i) -> concat(substring(text, cast(case when i = 0 then 0 else {s}[i - 1].end end as int) + 1, cast(s.start - case when i = 0 then 0 else {s}[i - 1].end end as int)), '{mark}')), ''), substring(text, cast({s}[size({s}) - 1].end as int) + 1))"
+    kept = kept.replace("{s}", spans).replace("{mark}", _quoted(mark))
+    text: Column = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.expr(kept))
     out = joined.withColumn("text", text)
-    out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
