@@ -32,22 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import id_remainder, materialise, mix64, partitions, words_of
+from quillon.llm.common import id_remainder, materialise, mix64, partitions
 
 MODULUS, HELD = 7, 2
 #: Frequent words (a bound of what is broadcast), kinds of document, widths of the four steps, and
 #: the most mass (as a share of the frequent words') and words of a class that has more than one.
-FREQUENT, KINDS = 131_072, 8
-WIDTHS = (20, 16, 32, 32)
+FREQUENT, KINDS = 98_304, 8
+WIDTHS = (21, 16, 16, 32)
 MASS, MEMBERS = 1 / 64, WIDTHS[2] * WIDTHS[3]
 #: Bits that number the rows of each step's hashed weight table (16 at most), rounds of training, and
 #: tokens of a shard.
 BITS, ROUNDS, SHARD = 15, 2, 4_000_000
 ROWS = 1 << BITS
-BLOCK, RATE, MINIBATCH = 128, 0.3, 32768
+BLOCK, RATE, MINIBATCH = 128, 0.4, 65536
 TAIL, END = 0, 1
 #: History features that each step reads: the last word, the last two, the second last, the third last.
-FEATURES = (4, 4, 3, 3)
+FEATURES = (4, 4, 2, 2)
 _SLAB = 200_000
 _FLUSH = 400_000
 #: Fixed value: the logit of a child that does not exist.
@@ -59,21 +59,25 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.filter(F.coalesce(id_remainder("doc_id", MODULUS), F.lit(-1)) != HELD)
 
 
+def _words(texts: pa.Array) -> list[list[bytes]]:
+    """Words of texts as words_of() gives them, from the UTF-8 that Arrow holds."""
+    return [t.lower().split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(w binary, n, k0.. ) over all rows: each word's count, in all and by kind of document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [Counter() for _ in range(KINDS)]
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             for k, c in enumerate(held):
                 if c:
-                    yield pd.DataFrame({"w": list(c), "k": np.int32(k), "n": np.fromiter(c.values(), np.int64, len(c))})
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(np.full(len(c), k, np.int32)), pa.array(np.fromiter(c.values(), np.int64, len(c)))], names=["w", "k", "n"])
                 c.clear()
 
         for b in batches:
-            for t in b["text"]:
-                w = words_of(t)
+            for w in _words(b.column(0)):
                 if w:
                     own = Counter(w)
                     held[zlib.crc32(own.most_common(1)[0][0]) % KINDS].update(w)
@@ -81,7 +85,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                         yield from flush()
         yield from flush()
 
-    rows = docs.select("text").mapInPandas(run, "w binary, k int, n long")
+    rows = docs.select("text").mapInArrow(run, "w binary, k int, n long")
     by = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(KINDS)]
     return rows.groupBy("w").agg(F.sum("n").alias("n"), *by)
 
@@ -90,8 +94,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """The frequent words with their places in the tree, and sums over the whole vocabulary.
 
-    `path` has a word's child at every step, -1 where its node has but one; `bias` has the log
-    shares of every node's children. Words behind the frequent ones are the tail and the end.
+    `path` has a word's child at every step, -1 where its node has but one; `bias` has, by step, the
+    log shares of every node's children, a column for each node. Words behind the frequent ones are the tail and the end.
     """
 
     number: dict[bytes, int]
@@ -126,7 +130,7 @@ class Vocabulary:
         for k, (count, width) in enumerate(zip(nodes, WIDTHS)):
             sums = np.bincount(node[:, k] * width + path[:, k], every, count * width).reshape(count, width)
             whole = np.maximum(sums.sum(1, keepdims=True), 1e-30)
-            bias.append(np.where(sums > 0, np.log(np.maximum(sums, 1e-30) / whole), _NONE).astype(np.float32))
+            bias.append(np.ascontiguousarray(np.where(sums > 0, np.log(np.maximum(sums, 1e-30) / whole), _NONE).T, np.float32))
             path[(sums > 0).sum(1)[node[:, k]] == 1, k] = -1
         return cls({w: i for i, w in enumerate(words)}, np.log10(n + 1.0), path.astype(np.int8), node.astype(np.int32), bias, float(np.log10(max(tail, 1e-9))), at + 1, tokens, distinct, ends)
 
@@ -150,7 +154,7 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
 
 @dataclass
 class Batch:
-    """Documents laid end to end: keys of every token's history features, its place (a frequent
+    """Documents laid end to end: keys of every token's history features (a row for each), its place (a frequent
     word's number, then the tail and the end), where each document begins, and the rare words with
     their documents."""
 
@@ -184,10 +188,10 @@ def lay_out(voc: Vocabulary, texts: list[list[bytes]]) -> Batch:
         keys = [a * big + salts[0], (a * big + b) * big + salts[1], b * big + salts[2], c * big + salts[3]]
     now = wide[here].astype(np.int64)
     place = np.where(now < size, now, np.where(now == end, size + END, size + TAIL))
-    return Batch(np.stack([mix64(k) for k in keys], axis=1), place, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], rare, doc[missing])
+    return Batch(np.stack([mix64(k) for k in keys]), place, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], rare, doc[missing])
 
 
-def steps(voc: Vocabulary, keys: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def steps(voc: Vocabulary, keys: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
     """(step, tokens, rows, nodes, children) of the steps that have a choice; rows number the hashed features, each with its node."""
     for k in range(len(WIDTHS)):
         child = voc.path[place, k]
@@ -197,28 +201,28 @@ def steps(voc: Vocabulary, keys: np.ndarray, place: np.ndarray) -> Iterator[tupl
         node = voc.node[place[some], k]
         with np.errstate(over="ignore"):
             salt = (node.astype(np.uint64) + np.uint64(k << 32) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            rows = ((keys[some][:, : FEATURES[k]] ^ salt[:, None]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-        yield k, some, rows.astype(np.int64), node, child[some].astype(np.int64)
+            rows = [(((own[some] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.intp) for own in keys[: FEATURES[k]]]
+        yield k, some, rows, node, child[some].astype(np.intp)
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Logits of every token's children, less their maximum; take() copies whole rows, which indexing does not."""
-    z = bias.take(node, axis=0)
-    for f in range(rows.shape[1]):
-        z += weights.take(rows[:, f], axis=0)
-    z -= z.max(1, keepdims=True)
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+    """(children, tokens) logits, less their maximum. A child's weights are one row, which stays in cache while tokens look it up."""
+    z = bias.take(node, axis=1)
+    for r in rows:
+        z += weights.take(r, axis=1)
+    z -= z.max(0)
     return z
 
 
-def log_shares(voc: Vocabulary, weights: list[np.ndarray], keys: np.ndarray, place: np.ndarray, slab: int = 32768) -> np.ndarray:
+def log_shares(voc: Vocabulary, weights: list[np.ndarray], keys: np.ndarray, place: np.ndarray, slab: int = 16384) -> np.ndarray:
     """The natural logarithm of every token's probability given its history, up to a rare word's share of the tail."""
     out = np.zeros(len(place))
     for at in range(0, len(place), slab):
         own = out[at : at + slab]
-        for k, some, rows, node, child in steps(voc, keys[at : at + slab], place[at : at + slab]):
+        for k, some, rows, node, child in steps(voc, keys[:, at : at + slab], place[at : at + slab]):
             z = _logits(weights[k], voc.bias[k], rows, node)
-            picked = z[np.arange(len(some)), child]
-            own[some] += picked - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+            picked = z[child, np.arange(len(some))]
+            own[some] += picked - np.log(np.exp(z, out=z).sum(0))
     return out
 
 
@@ -231,27 +235,27 @@ class Learner:
         self.seen = [np.zeros(ROWS, np.float64) for _ in weights]
 
     def learn(self, keys: np.ndarray, place: np.ndarray) -> None:
-        for at in range(0, len(place), MINIBATCH):
-            for k, some, rows, node, child in steps(self.voc, keys[at : at + MINIBATCH], place[at : at + MINIBATCH]):
+        parts = max(1, -(-len(place) // MINIBATCH))
+        for lo, hi in zip(len(place) * np.arange(parts) // parts, len(place) * np.arange(1, parts + 1) // parts):
+            for k, some, rows, node, child in steps(self.voc, keys[:, lo:hi], place[lo:hi]):
                 g = _logits(self.w[k], self.voc.bias[k], rows, node)
                 np.exp(g, out=g)
-                g /= (g @ np.ones(g.shape[1], g.dtype))[:, None]
-                g[np.arange(len(some)), child] -= 1
-                # a child's gradients, summed by row: counting is much faster than sorting rows
-                flat, sums = rows.T.ravel(), np.empty((g.shape[1], ROWS), np.float32)
-                for j, own in enumerate(np.ascontiguousarray(g.T)):
-                    sums[j] = np.bincount(flat, np.tile(own, rows.shape[1]), ROWS)
+                g /= g.sum(0)
+                g[child, np.arange(len(some))] -= 1
+                flat, sums = np.concatenate(rows), np.empty((len(g), ROWS), np.float32)
+                for j, own in enumerate(g):
+                    sums[j] = np.bincount(flat, np.tile(own, len(rows)), ROWS)
                 self.seen[k] += np.bincount(flat, minlength=ROWS)
                 self.power[k] += np.einsum("ij,ij->j", sums, sums)
                 sums *= RATE / np.sqrt(self.power[k])
-                self.w[k] -= sums.T
+                self.w[k] -= sums
 
 
-def _slabs(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
+def _slabs(texts: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
     held, n = [], 0
     for t in texts:
-        held.append(words_of(t))
-        n += len(held[-1])
+        held.append(t)
+        n += len(t)
         if n >= _SLAB:
             yield held
             held, n = [], 0
@@ -262,35 +266,36 @@ def _slabs(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
 def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
     """Weights after all rounds. Documents go to shards by a hash of id and text, and shards to rounds."""
     spark = docs.sparkSession
-    weights = [np.zeros((ROWS, w), np.float32) for w in WIDTHS]
+    weights = [np.zeros((w, ROWS), np.float32) for w in WIDTHS]
     per_round = max(1, -(-voc.tokens // (ROUNDS * SHARD)))
-    words = spark.sparkContext.broadcast(voc)
+    known = spark.sparkContext.broadcast(voc)
     rows = docs.select("doc_id", "text", F.xxhash64(F.lit(1), "doc_id", "text").alias("h"))
     blocks = ROWS // BLOCK
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
 
-        def update(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            def moved(shard: int, learner: Learner) -> Iterator[pd.DataFrame]:
+        def update(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            def moved(shard: int, learner: Learner) -> Iterator[pa.RecordBatch]:
                 for k, (w, old, seen) in enumerate(zip(learner.w, start.value, learner.seen)):
-                    for at in range(0, ROWS, BLOCK):
-                        if (n := seen[at : at + BLOCK]).any():
-                            change = (w[at : at + BLOCK] - old[at : at + BLOCK]) * n[:, None]
-                            yield pd.DataFrame({"b": [k * blocks + at // BLOCK], "s": [shard], "w": [change.astype(np.float32).tobytes()], "n": [n.tobytes()]})
+                    hit = [at for at in range(0, ROWS, BLOCK) if seen[at : at + BLOCK].any()]
+                    changes = [((w[:, at : at + BLOCK] - old[:, at : at + BLOCK]) * seen[at : at + BLOCK]).astype(np.float32).tobytes() for at in hit]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([k * blocks + at // BLOCK for at in hit], pa.int32()), pa.array([shard] * len(hit), pa.int32()), pa.array(changes, pa.binary()), pa.array([seen[at : at + BLOCK].tobytes() for at in hit], pa.binary()),
+                    ], names=["b", "s", "w", "n"])
 
-            learner, now = None, None
-            texts: list = []
+            learner, now, texts, n = None, None, [], 0
             for b in batches:
-                for shard, t in zip(b["s"].tolist(), b["text"]):
+                for shard, words in zip(b.column(0).to_pylist(), _words(b.column(1))):
                     if shard != now:
                         if learner:
                             _study(learner, texts)
                             yield from moved(now, learner)
-                        learner, now, texts = Learner(words.value, start.value), shard, []
-                    texts.append(words_of(t))
-                    if sum(map(len, texts)) >= _SLAB if len(texts) % 64 == 0 else len(texts[-1]) >= _SLAB:
+                        learner, now, texts, n = Learner(known.value, start.value), shard, [], 0
+                    texts.append(words)
+                    n += len(words)
+                    if n >= _SLAB:
                         _study(learner, texts)
-                        texts = []
+                        texts, n = [], 0
             if learner:
                 _study(learner, texts)
                 yield from moved(now, learner)
@@ -313,10 +318,10 @@ def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
         tasks = min(per_round, 50_000)
         shards = mine.repartitionById(tasks, F.col("s") % tasks).sortWithinPartitions("s", "h", "doc_id").select("s", "text")
         # sums go in the order of shards, so that they come out the same whoever adds them
-        parts = shards.mapInPandas(update, "b int, s int, w binary, n binary").repartition(partitions(spark), "b").sortWithinPartitions("b", "s")
+        parts = shards.mapInArrow(update, "b int, s int, w binary, n binary").repartition(partitions(spark), "b").sortWithinPartitions("b", "s")
         for i, w in parts.mapInPandas(add, "b int, w binary").toPandas().itertuples(index=False):
             k, at = divmod(i, blocks)
-            weights[k][at * BLOCK : (at + 1) * BLOCK] += np.frombuffer(w, np.float32).reshape(-1, WIDTHS[k])
+            weights[k][:, at * BLOCK : (at + 1) * BLOCK] += np.frombuffer(w, np.float32).reshape(WIDTHS[k], -1)
     return weights
 
 
@@ -327,7 +332,7 @@ def _study(learner: Learner, texts: list[list[bytes]]) -> None:
 
 
 def _mean(block: int, w: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"b": [block], "w": [(w.reshape(len(n), -1) / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()]})
+    return pd.DataFrame({"b": [block], "w": [(w.reshape(-1, len(n)) / np.maximum(n, 1)).astype(np.float32).tobytes()]})
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -353,27 +358,23 @@ def scores(docs: DataFrame) -> DataFrame:
         counts = np.concatenate([np.ones(size, int), [0, int(voc.ends > 0)]])
         for batch in batches:
             ids, at = batch.column(0), 0
-            for held in _slabs(iter(batch.column(1).to_pylist())):
+            for held in _slabs(_words(batch.column(1))):
                 b = lay_out(voc, held)
                 own = log_shares(voc, weights, b.keys, b.place) / np.log(10)
                 own[b.place == size + TAIL] -= voc.log_tail
-                bounds = np.searchsorted(b.rare_in, np.arange(len(held) + 1)).tolist()
-                rare = [Counter(b.rare[i:j]) for i, j in zip(bounds, bounds[1:])]
-                n = np.fromiter(map(len, rare), np.int64, len(rare))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                bounds = pa.array(np.searchsorted(b.rare_in, np.arange(len(held) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + len(held))), ids.slice(at, len(held)),
                     pa.array(np.fromiter((len(w) + 1 for w in held), np.int64, len(held))),
                     pa.array(np.add.reduceat(counts[b.place], b.first)),
                     pa.array(np.add.reduceat(gained[b.place], b.first)), pa.array(np.add.reduceat(own, b.first)),
-                    pa.ListArray.from_arrays(offsets, pa.array([w for c in rare for w in c], pa.binary())),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.fromiter((k for c in rare for k in c.values()), np.int64, int(n.sum())))),
-                ], names=["row", "doc_id", "n_tokens", "known", "gained", "own", "rare", "times"])
+                    pa.ListArray.from_arrays(bounds, pa.array(b.rare, pa.binary())),
+                ], names=["row", "doc_id", "n_tokens", "known", "gained", "own", "rare"])
                 at, row = at + len(held), row + len(held)
 
-    done = materialise(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, gained double, own double, rare array<binary>, times array<long>"))
-    tail = done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("w"), F.col("x.times").alias("times"))
-    tail = tail.join(counts.select("w", "n"), "w").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest"))
+    done = materialise(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, gained double, own double, rare array<binary>"))
+    tail = done.select("row", F.explode("rare").alias("w")).join(counts.select("w", "n"), "w")
+    tail = tail.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("rest"))
     both = done.select("row", "doc_id", "n_tokens", "known", "gained", "own").join(tail, "row", "left")
     gained = F.col("gained") + F.coalesce("rest", F.lit(0.0))
     flat = float(np.log10(voc.tokens + voc.distinct + 1))

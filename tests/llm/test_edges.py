@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
 from quillon.llm import forest, maxent, mixing, multiset, pieces, quality, queries, secrets, simhash, toxicity
-from tests.llm.conftest import rows
+from tests.llm.conftest import LONG, rows
+from tests.llm.test_exact import _simhash
 
 N = len(rows())
 
@@ -58,11 +63,35 @@ def test_near_duplicates_keep_one(odd):
     assert len([r for r in got if r.doc_id == 3]) == 1
 
 
+def test_very_long_texts(odd):
+    """What they get is what plain versions give, not only a row."""
+    words = LONG.encode().lower().split()
+    assert {r.fp % 2**64 for r in simhash.classes(odd).filter("id = 56").collect()} == {_simhash(LONG)}
+    got = {r.id: r for r in multiset.edits(odd).filter("id = 56").collect()}
+    assert got[56].n_chars == len(LONG) and got[56].fingerprint == multiset.fingerprint(LONG)
+    counts, ends = Counter(), 0
+    for r in rows():
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2:
+            counts.update((r[1] or "").encode().lower().split())
+            ends += 1
+    n, v = sum(counts.values()) + ends, len(counts) + 1
+    want = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words) + math.log10((ends + 1) / (n + v + 1))
+    scored = maxent.scores(odd).filter("doc_id = 56").first()
+    assert scored.base_score == pytest.approx(want, rel=1e-9) and scored.n_tokens == len(words) + 1 and scored.train_tokens == n
+    f = quality.Features(b"some good words " * 50, b"%%% $$$ " * 90)
+    assert f(LONG)[0] == pytest.approx(f(LONG[: 256 * 100])[0], abs=0.01)  # the same words all along
+    net = toxicity.Network(5)
+    assert toxicity.features(net, [LONG]) == pytest.approx(toxicity.features(net, [LONG], block=50), abs=1e-4)
+
+
 def test_vectors(spark):
     v = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [2.0, 0.0]), (None, [1.0, 1.0]), (6, []), (7, [1.0]), (8, [float("inf"), 0.0])]
     df = spark.createDataFrame([(*r, "x", 1.0) for r in v], "vec_id long, embedding array<double>, v string, id double")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in forest.search(df).collect())
-    assert got == [(0, 1, 100, 0.0), (0, 2, 5, 1.0), (100, 1, 0, 0.0), (100, 2, 5, 1.0)] or got[:2] == [(0, 1, 100, 0.0), (0, 2, 100, 0.0)]
+    assert got == [(0, 1, 100, 0.0), (0, 2, 100, 0.0), (0, 3, 5, 1.0), (100, 1, 0, 0.0), (100, 2, 5, 1.0)]
+    # one vector of another length does not decide which take part, whatever its id
+    odd = spark.createDataFrame([(-5, [1.0, 2.0, 3.0]), (0, [1.0, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in forest.search(odd).collect()] == [(0, 1, 1, 1.0)]
     assert forest.search(df.limit(0)).count() == 0
 
 
@@ -71,4 +100,3 @@ def test_every_query_gives_whole_tables(spark, sf_dir, documents):
     for name in ("op1_toxicity", "op2_mixing", "op3_sentencepiece", "op4_lm_scoring", "op6_secrets", "op7_fingerprints", "op8_quality", "op10_simhash"):
         got = queries.queries()[name](spark, sf_dir)
         assert got.select("doc_id").distinct().count() == n == got.count(), name
-    assert queries.pipeline(spark, sf_dir).count() > 0

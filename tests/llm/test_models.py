@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import maxent, quality, toxicity
+from quillon.llm.common import words_of
 from quillon.llm.labelled import Logistic
 
 
@@ -185,7 +186,7 @@ def _tree(n, kinds=3):
     counts = np.maximum(1, 40_000 // (np.arange(n) + 1))
     voc = maxent.Vocabulary.of(words, counts, np.arange(n) % kinds, 57.0, int(counts.sum()) + 50, n + 31, 40)
     r = np.random.default_rng(n)
-    return words, counts, voc, [r.standard_normal((maxent.ROWS, w)).astype(np.float32) * 0.3 for w in maxent.WIDTHS]
+    return words, counts, voc, [r.standard_normal((w, maxent.ROWS)).astype(np.float32) * 0.3 for w in maxent.WIDTHS]
 
 
 def test_next_words_sum_to_one():
@@ -194,7 +195,7 @@ def test_next_words_sum_to_one():
         words, _, voc, weights = _tree(n)
         for history in ([], words[:1], [b"unseen", *words[-2:]]):
             b = maxent.lay_out(voc, [[*history, *words[:1]]])
-            keys = np.repeat(b.keys[len(history)][None], n + 2, axis=0)
+            keys = np.repeat(b.keys[:, [len(history)]], n + 2, axis=1)
             p = np.exp(maxent.log_shares(voc, weights, keys, np.arange(n + 2), slab=7))
             assert (p > 0).all() and p.sum() == pytest.approx(1, abs=1e-4)
 
@@ -205,12 +206,12 @@ def test_without_weights_the_counts_decide():
     got = maxent.log_shares(voc, [w * 0 for w in weights], b.keys, b.place)
     mass = np.concatenate([counts + 1.0, [41.0]])
     assert np.allclose(np.exp(got), mass / (mass.sum() + 57.0), rtol=1e-4)
-    assert voc.path.shape == (902, 4) and _tree(60_000)[2].classes >= 100
+    assert voc.path.shape == (902, 4) and _tree(120_000)[2].classes >= 100
 
 
 def test_scores_equal_a_naive_model(documents):
     """A token at a time: hashed features of its history, a softmax at each step with a choice."""
-    texts = [maxent.words_of(r.text) for r in documents.limit(12).collect()]
+    texts = [words_of(r.text) for r in documents.limit(12).collect()]
     counts = Counter(w for t in texts for w in t)
     words = [w for w, c in counts.most_common(300)]
     voc = maxent.Vocabulary.of(words, np.array([counts[w] for w in words]), np.arange(len(words)) % 4, 100.0, 5000, 900, 12)
@@ -241,7 +242,7 @@ def test_scores_equal_a_naive_model(documents):
                     continue
                 salt = (node + (k << 32) + 1) * 0xD6E8FEB86659FD93 & m64
                 rows = [((q ^ salt) * big & m64) >> (64 - maxent.BITS) for q in keys[: maxent.FEATURES[k]]]
-                logits = [float(voc.bias[k][node, j]) + sum(float(weights[k][r, j]) for r in rows) for j in range(width)]
+                logits = [float(voc.bias[k][j, node]) + sum(float(weights[k][j, r]) for r in rows) for j in range(width)]
                 want += logits[child] - math.log(sum(math.exp(v) for v in logits))
             assert got[at] == pytest.approx(want, abs=1e-4)
             history.append(size + (1 << 16) + 1 if w is None else ident(w))
