@@ -94,10 +94,11 @@ class Parser:
             return True
         if not self.name():
             return False
+        # a type's name, stars and a declared name; `T * f(x)` is a product with a call
         k = 1
         while self.text(k) in ("*", "const"):
             k += 1
-        return self.name(k) and (k > 1 or True) and self.text(k + 1) in ("=", ";", ",", "[", ")", "(") and not (k > 1 and self.text(k + 1) == "(")
+        return self.name(k) and self.text(k + 1) in ("=", ";", ",", "[", ")", *(("(",) if k == 1 else ()))
 
     def specifiers(self, parent: Node) -> None:
         seen = False

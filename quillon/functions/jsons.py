@@ -42,13 +42,13 @@ def analysis_json(text: Column) -> Column:
     return F.when(F.startswith(F.schema_of_variant(found), F.lit("OBJECT")), found)
 
 
-def _indented(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False))
+def pretty(text: Column, sort_keys: bool = False) -> Column:
+    """JSON text indented by two, characters kept, keys in order if asked; Spark's own printer spaces it otherwise."""
 
+    def indented(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2, sort_keys=sort_keys, ensure_ascii=False))
 
-def pretty(text: Column) -> Column:
-    """JSON text indented by two, characters kept; Spark's own printer spaces it otherwise."""
-    return F.pandas_udf(_indented, "string")(text)
+    return F.pandas_udf(indented, "string")(text)
 
 
 def prompt_payload(cve: Column, metadata: Column, binaries: Column, resolution: Column, target_dir: Column, compiler: Column, optimisation: Column) -> Column:

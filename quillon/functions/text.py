@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 CODE_SUFFIXES = (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx")
 
 
+def strip(text: Column) -> Column:
+    """Text without white space at either end."""
+    return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    return F.coalesce(strip(text), F.lit("")) == ""
+
+
 def quoted(name: Column) -> Column:
     r"""A name as a literal inside a Java pattern."""
     return F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
@@ -46,8 +55,9 @@ def optimisation_level(level: Column) -> Column:
 
 
 def is_code_path(path: Column) -> Column:
+    """Whether the last suffix is one of a source file; a name that only begins with a dot has none."""
     name = F.regexp_extract(path, "([^/]*)$", 1)
-    return F.lower(F.regexp_extract(name, "[^.].*?(\\.[^.]+)$", 1)).isin(*CODE_SUFFIXES)
+    return F.lower(F.regexp_extract(name, "(?s)^.+(\\.[^.]+)$", 1)).isin(*CODE_SUFFIXES)
 
 
 def is_symbol(name: Column) -> Column:
@@ -99,8 +109,13 @@ def line_at(text: Column, n: Column) -> Column:
 
 
 def parse_int(text: Column) -> Column:
-    """Decimal, or 0x, 0o, 0b with digits of that base; null for anything else."""
-    t = F.lower(F.regexp_replace(F.trim(text), "_", ""))
+    """Decimal, or 0x, 0o, 0b with digits of that base; null for anything else.
+
+    One underscore may stand between digits and behind a prefix; a decimal has no leading zero.
+    """
+    said = F.lower(strip(text))
+    shaped = F.regexp_like(said, F.lit("^[+-]?(0x(_?[0-9a-f])+|0o(_?[0-7])+|0b(_?[01])+|0(_?0)*|[1-9](_?[0-9])*)$"))
+    t = F.when(shaped, F.regexp_replace(said, "_", ""))
     body = F.regexp_replace(t, "^[+-]?0[xob]", "")
     sign = F.when(F.startswith(t, F.lit("-")), -1).otherwise(1)
     value = F.when(F.regexp_like(t, F.lit("^[+-]?0x[0-9a-f]+$")), F.conv(body, 16, 10))

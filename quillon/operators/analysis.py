@@ -2,62 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import dataflow, diff, macros, syntax
 from quillon.sources.tables import written
 
 
-def with_versions(functions: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Functions (fn, repo, commit, file) with post- and pre-patch text.
+#: Errors and warnings of an analysis.
+NO_REPO, NO_FILE, NO_DIFF = "repo_path is required for AST source analysis", "target source file is missing", "diff file is missing"
+NO_NODE, NO_POST = "unable to locate function AST node", "post-patch source unavailable"
+FROM_DIFF = "function file missing in input; inferred from diff"
+POST_AS_PRE = "pre-patch source unavailable; reused post-patch source"
+POST_TREE = "pre-patch function AST unavailable; reused post-patch function AST"
+WHOLE_FILE = "no changed lines inside AST function range; fell back to whole-file diff lines"
 
-    The text before the patch falls back to that after it, with a warning; a function without a
-    commit, a file or a text has failed.
+
+def _empty(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) == ""
+
+
+def with_versions(functions: DataFrame, blobs: DataFrame, diffs: DataFrame) -> DataFrame:
+    """Functions (fn, function, repo, commit, file) with post- and pre-patch text, errors and warnings.
+
+    A missing file is the first that the diff (fn, text) names. Without a repository, a file or a
+    diff a function has failed; the text before the patch falls back to that after it.
     """
+    first = diff.files(diffs, "fn").groupBy("fn").agg(F.min_by("path", "ord").alias("__first"))
+    rows = functions.join(diffs.select("fn", F.col("text").alias("__diff")), "fn", "left").join(first, "fn", "left")
+    given = ~_empty("file")
+    rows = rows.withColumn("__given", given | F.col("__diff").isNull()).withColumn("file", F.when(given, F.col("file")).otherwise(F.coalesce("__first", F.lit(""))))
     post = blobs.select("repo", F.col("rev").alias("commit"), F.col("path").alias("file"), F.col("text").alias("post"))
     pre = blobs.filter(F.endswith("rev", F.lit("^"))).select("repo", F.expr("left(rev, length(rev) - 1)").alias("commit"), F.col("path").alias("file"), F.col("text").alias("pre"))
-    rows = functions.join(post, ["repo", "commit", "file"], "left").join(pre, ["repo", "commit", "file"], "left")
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    error = F.when(empty("commit"), "commit is missing").when(empty("file"), "file is missing").when(empty("post"), "text after the patch is missing")
-    warning = F.when(F.col("pre").isNull() & F.col("post").isNotNull(), "text before the patch is missing")
-    return rows.withColumn("error", error).withColumn("warning", warning).withColumn("pre", F.coalesce("pre", "post"))
+    rows = rows.join(post, ["repo", "commit", "file"], "left").join(pre, ["repo", "commit", "file"], "left")
+    errors = F.array_compact(F.array(F.when(_empty("repo"), NO_REPO), F.when(_empty("file"), NO_FILE), F.when(F.col("__diff").isNull(), NO_DIFF)))
+    good = F.size("errors") == 0
+    rows = rows.withColumn("errors", errors)
+    warnings = F.array_compact(F.array(F.when(~F.col("__given"), FROM_DIFF), F.when(good & _empty("post"), NO_POST)))
+    no_pre = good & ~_empty("post") & _empty("pre")
+    return rows.withColumn("warnings", warnings).withColumn("no_pre", no_pre).withColumn("pre", F.when(_empty("pre"), F.col("post")).otherwise(F.col("pre"))).drop("__diff", "__first", "__given")
+
+
+def _inside(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return nodes.join(found.select("fn_id", F.col("node_id").alias("__a"), F.col("last_id").alias("__b")), "fn_id").filter("__a <= node_id and node_id <= __b").drop("__a", "__b")
+
+
+def _symbols(inside: DataFrame, texts: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fn, name) of parameters and locals, and (fn, name, body) of macros up to a function's end."""
+    own = lambda df: df.withColumnRenamed("fn_id", "fn")
+    return own(syntax.parameters(inside)), own(syntax.local_names(inside)), macros.definitions(texts.join(ends, "fn"), "fn", until="end_line")
 
 
 def analysed(functions: DataFrame, blobs: DataFrame, diffs: DataFrame) -> dict[str, DataFrame]:
     """Tables of an analysis of functions (fn, function, repo, commit, file) under diffs (fn, text).
 
-    `status` has (fn, status, error, warning); `events`, `edges`, `blocks`, `code` and `hunks` hold
-    what is derived for those whose definition is found. Where no changed line is in a function's
-    range, all changed lines of its file count.
+    `status` has (fn, status, errors, warnings). For functions whose definition is found there are
+    `entities` (names on added lines with their kinds and macro values), `events` of the key
+    variables after the patch, `pre_events` of these and of names on removed lines before it,
+    `edges` and `flow` from sources to sinks before the patch, `blocks`, reduced `code` and `hunks`.
+    Where no changed line is in a function's range, all changed lines of its file count.
     """
-    rows = written(with_versions(functions, blobs))
-    good = rows.filter("error is null")
-    nodes = written(syntax.parse(good.select(F.col("fn").alias("fn_id"), F.col("post").alias("text")), "fn_id"))
-    found = written(syntax.function_by_name(nodes, good.select(F.col("fn").alias("fn_id"), F.col("function").alias("name"))))
-    inside = nodes.join(found.select("fn_id", F.col("node_id").alias("__a"), F.col("last_id").alias("__b")), "fn_id").filter("__a <= node_id and node_id <= __b").drop("__a", "__b")
-    status = rows.join(found.select(F.col("fn_id").alias("fn"), F.lit(True).alias("__f")), "fn", "left")
-    status = status.withColumn("error", F.coalesce("error", F.when(F.col("__f").isNull(), "no definition in the text after the patch")))
-    status = status.select("fn", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error", "warning")
+    rows = written(with_versions(functions, blobs, diffs))
+    good = rows.filter("size(errors) = 0 and coalesce(post, '') <> ''")
+    wanted = good.select(F.col("fn").alias("fn_id"), F.col("function").alias("name"))
+    texts = lambda c: good.select(F.col("fn").alias("fn_id"), F.col(c).alias("text"))
+    nodes = written(syntax.parse(texts("post"), "fn_id"))
+    found = written(syntax.function_by_name(nodes, wanted))
+    inside = written(_inside(nodes, found))
+    # before the patch; where the function is not found, its tree after the patch stands in
+    pre_nodes = written(syntax.parse(texts("pre"), "fn_id"))
+    pre_found = written(syntax.function_by_name(pre_nodes, wanted))
+    lost = found.join(pre_found.select("fn_id"), "fn_id", "left_anti").select("fn_id")
+    pre_inside = written(_inside(pre_nodes, pre_found).union(inside.join(lost, "fn_id", "left_semi").select(*pre_nodes.columns)))
 
     lines = written(diff.numbered(diff.blocks(diffs, "fn"), "fn"))
     ranges = found.join(good.select(F.col("fn").alias("fn_id"), "file", "function"), "fn_id").select(F.col("fn_id").alias("fn"), "function", F.col("file").alias("new_path"), "start_line", "end_line")
     own = diff.changed_in(lines, ranges, "fn")
-    wide = diff.changed_in(lines, ranges.withColumn("start_line", F.lit(0)).withColumn("end_line", F.lit(1 << 30)), "fn")
+    wide = diff.changed_in(lines, ranges.withColumn("start_line", F.lit(0)).withColumn("end_line", F.lit(1_000_000_000)), "fn")
     changed = written(own.union(wide.join(own.select("fn").distinct(), "fn", "left_anti")))
+    broad = found.select(F.col("fn_id").alias("fn")).join(own.select("fn").distinct(), "fn", "left_anti").withColumn("__wide", F.lit(True))
+
+    status = rows.join(found.select(F.col("fn_id").alias("fn"), F.lit(True).alias("__f")), "fn", "left").join(lost.select(F.col("fn_id").alias("fn"), F.lit(True).alias("__l")), "fn", "left").join(broad, "fn", "left")
+    here, tried = F.coalesce("__f", F.lit(False)), F.size("errors") == 0
+    absent = tried & ~here & ~_empty("post")
+    said = F.array_compact(F.array(
+        F.when(absent, F.concat(F.lit("function not found in post-patch source: "), "function")), F.when(here & F.col("no_pre"), POST_AS_PRE), F.when(here & F.col("__l"), POST_TREE), F.when(here & F.col("__wide"), WHOLE_FILE),
+    ))
+    errors = F.when(tried & ~here, F.array(F.lit(NO_NODE))).otherwise(F.col("errors"))
+    status = status.select("fn", F.when(here, "ok").otherwise("failed").alias("status"), errors.alias("errors"), F.concat("warnings", said).alias("warnings"))
 
+    ends = found.select(F.col("fn_id").alias("fn"), "end_line")
+    params, local, named = _symbols(inside, good.select("fn", F.col("post").alias("text")), ends)
+    pre_params, pre_local, pre_named = _symbols(pre_inside, good.select("fn", F.col("pre").alias("text")), ends)
     old = changed.filter("side = 'old'")
-    old_names = syntax.loose_entities(old.withColumn("ord", F.col("ln")), "fn", "content")
-    new_lines = changed.filter("side = 'new'").select(F.col("fn").alias("fn_id"), F.col("ln").alias("line"))
-    on_new = syntax.entities(inside).join(new_lines, ["fn_id", "line"], "left_semi").filter("not is_call").select(F.col("fn_id").alias("fn"), "name")
-    tracked = on_new.union(old_names.select("fn", "name")).distinct()
-    events = written(dataflow.events(syntax.def_use(inside, good.select(F.col("fn").alias("fn_id"), F.col("post").alias("text")), tracked)))
-    params, own_names = syntax.parameters(inside).withColumnRenamed("fn_id", "fn"), syntax.local_names(inside).withColumnRenamed("fn_id", "fn")
-    ends = good.join(found.select(F.col("fn_id").alias("fn"), "end_line"), "fn").select("fn", F.col("post").alias("text"), "end_line")
-    named = macros.definitions(ends, "fn", until="end_line")
-    symbols = params.withColumn("role", F.lit("param")).union(named.select("fn", "name", F.lit("macro"))).union(own_names.withColumn("role", F.lit("local")))
-    sink = dataflow.sinks(old_names, old, events)
+    old_names = written(syntax.loose_entities(old.withColumn("ord", F.col("ln")), "fn", "content"))
+    new_lines = changed.filter("side = 'new'").select("fn", F.col("ln").alias("line"))
+    on_new = written(syntax.entities(inside).withColumnRenamed("fn_id", "fn").join(new_lines, ["fn", "line"], "left_semi"))
+    calls = on_new.filter("is_call").select("fn", "line", "name")
+    kinds = dataflow.classified(on_new.select("fn", "line", "name"), calls, named.select("fn", "name"), params.union(local))
+    values = macros.resolved(named, "fn").withColumn("kind", F.lit("macro"))
+    entities = kinds.join(values, ["fn", "name", "kind"], "left").select("fn", "line", "name", "kind", F.col("value").alias("resolved_value"))
+    key = written(dataflow.line_variables(kinds).select("fn", "name").distinct())
+    tracked = key.union(old_names.filter("not is_call").select("fn", "name")).distinct()
+    events = written(dataflow.events(syntax.def_use(inside, texts("post"), key)))
+    pre_events = written(dataflow.events(syntax.def_use(pre_inside, texts("pre"), tracked)))
+    symbols = pre_params.withColumn("role", F.lit("param")).union(pre_named.select("fn", "name", F.lit("macro"))).union(pre_local.withColumn("role", F.lit("local")))
+    sink = written(dataflow.sinks(old_names.filter("not is_call"), old, pre_events))
+    edges = written(dataflow.edges(pre_events, sink, symbols))
     blocks = dataflow.focused_blocks(changed.filter("side = 'new'"), events)
-    code = dataflow.reduced_code(syntax.headers(inside).withColumnRenamed("fn_id", "fn"), blocks, syntax.declarations(inside).withColumnRenamed("fn_id", "fn"), own_names, params)
-    hunks = diff.overlapping(diff.split_hunks(diff.blocks(diffs, "fn"), "fn"), ranges, "fn").filter("path = new_path")
-    return {"status": status, "events": events, "edges": dataflow.edges(events, sink, symbols), "blocks": blocks, "code": code, "hunks": hunks}
+    code = dataflow.reduced_code(syntax.headers(inside).withColumnRenamed("fn_id", "fn"), blocks, syntax.declarations(inside).withColumnRenamed("fn_id", "fn"), local, params)
+    in_file = diff.split_hunks(diff.blocks(diffs, "fn"), "fn").join(ranges.select("fn", F.col("new_path").alias("path")), ["fn", "path"], "left_semi")
+    return {
+        "status": status, "entities": entities, "events": events, "pre_events": pre_events, "edges": edges, "flow": dataflow.source_sink(sink, edges, old, old_names), "blocks": blocks, "code": code,
+        "hunks": diff.overlapping(in_file, ranges, "fn"),
+    }

@@ -20,11 +20,13 @@ def line_score(line: Column, header: Column, name: Column) -> Column:
     """What a hunk's line says about a function; a hunk's score is the greatest of its lines'."""
     content = F.when(F.substring(line, 1, 1).isin(" ", "+", "-"), F.substring(line, 2, 1_000_000_000)).otherwise(line)
     signed = F.substring(line, 1, 1).isin("+", "-")
+    # a search for the bare name spares most lines the patterns
+    inside, named = F.contains(content, name), F.contains(header, name)
     return (
-        F.when(signed & F.regexp_like(content, declaration_pattern(name)), DEFINITION)
-        .when(F.regexp_like(hunk_context(header), identifier_pattern(name)), CONTEXT)
-        .when(F.regexp_like(content, call_pattern(name)), CALL)
-        .when(F.regexp_like(content, identifier_pattern(name)), MENTION)
+        F.when(inside & signed & F.regexp_like(content, declaration_pattern(name)), DEFINITION)
+        .when(named & F.regexp_like(hunk_context(header), identifier_pattern(name)), CONTEXT)
+        .when(inside & F.regexp_like(content, call_pattern(name)), CALL)
+        .when(inside & F.regexp_like(content, identifier_pattern(name)), MENTION)
         .otherwise(0)
     )
 
@@ -89,14 +91,27 @@ def with_info(diffs: DataFrame, info: DataFrame) -> DataFrame:
     return joined.withColumn("no_info", F.col("__has").isNull()).withColumn("summary", F.coalesce("summary", F.lit(""))).withColumn("cwe", F.coalesce("cwe", F.array().cast("array<string>"))).drop("__has")
 
 
-def build_statistics(cves: DataFrame, attributed: DataFrame) -> DataFrame:
-    """One row of counters over CVEs (no_info, path) and their functions (file, change_type, inferred_by)."""
+def build_statistics(source: DataFrame, cves: DataFrame, attributed: DataFrame) -> DataFrame:
+    """One row of the ten counters of a build.
+
+    `source` has the records of the source diff, `cves` the selected ones (cve, no_info, path of the
+    diff file or null), `attributed` their functions (cve, function, file). A CVE listed twice is
+    emitted once. See build_histograms() for change types and inference methods.
+    """
+    n = lambda cond, name: F.count_if(cond).alias(name)
+    has_file = F.coalesce("file", F.lit("")) != ""
+    given = source.agg(F.count("*").alias("input_source_diff_cves"))
     per_cve = cves.agg(
-        F.count("*").alias("emitted_cves"), F.coalesce(F.sum(F.col("no_info").cast("long")), F.lit(0)).alias("missing_info"),
-        F.coalesce(F.sum(F.col("path").isNull().cast("long")), F.lit(0)).alias("missing_diff"),
+        F.count("*").alias("selected_cves"), F.count_distinct("cve").alias("emitted_cves"), n(F.col("path").isNotNull(), "diff_files_found"), n(F.col("path").isNull(), "diff_files_missing"),
+        n(~F.col("no_info"), "cveinfo_found"), n(F.col("no_info"), "cveinfo_missing"),
     )
-    per_function = attributed.agg(F.count("*").alias("functions"), F.coalesce(F.sum((F.coalesce("file", F.lit("")) != "").cast("long")), F.lit(0)).alias("functions_with_file"))
-    return per_cve.crossJoin(per_function)
+    per_function = attributed.agg(F.count("*").alias("total_functions"), n(has_file, "functions_with_file"), n(~has_file, "functions_without_file"))
+    return given.crossJoin(per_cve).crossJoin(per_function)  # one row each
+
+
+def build_histograms(attributed: DataFrame) -> DataFrame:
+    """(kind, value, n) of functions by change type and by inference method."""
+    return histogram(attributed, "change_type").withColumn("kind", F.lit("change_type")).union(histogram(attributed, "inferred_by").withColumn("kind", F.lit("inferred_by"))).select("kind", "value", "n")
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

@@ -71,7 +71,7 @@ def sinks(old_names: DataFrame, old_lines: DataFrame, found: DataFrame) -> DataF
 
 
 def edges(found: DataFrame, sink: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(fn, source, to, line, kind, seq): where a sink's definitions come from; repeats stay.
+    """(fn, source, to, line, kind, seq, pos): where a sink's definitions come from; repeats stay.
 
     `symbols` has (fn, name, role) with role param, macro or local; the first of these in this
     order names a right-hand side, others are global_or_external.
@@ -79,26 +79,40 @@ def edges(found: DataFrame, sink: DataFrame, symbols: DataFrame) -> DataFrame:
     rank = F.when(F.col("role") == "param", 0).when(F.col("role") == "macro", 1).otherwise(2)
     roles = symbols.groupBy("fn", "name").agg(F.min_by("role", rank).alias("role"))
     mine = found.join(sink, ["fn", "var"], "left_semi")
-    param = mine.filter("op = 'param_def'").select("fn", F.concat(F.lit("param:"), "var").alias("source"), F.col("var").alias("to"), "line", F.lit("param_def").alias("kind"), "seq")
-    used = mine.filter("op in ('def', 'def_decl')").select("fn", F.col("var").alias("to"), "line", "seq", F.explode("rhs_vars").alias("name"))
+    param = mine.filter("op = 'param_def'").select("fn", F.concat(F.lit("param:"), "var").alias("source"), F.col("var").alias("to"), "line", F.lit("param_def").alias("kind"), "seq", F.lit(0).alias("pos"))
+    used = mine.filter("op in ('def', 'def_decl')").select("fn", F.col("var").alias("to"), "line", "seq", F.posexplode("rhs_vars").alias("pos", "name"))
     said = F.concat(F.coalesce("role", F.lit("global_or_external")), F.lit(":"), "name")
-    return param.union(used.join(roles, ["fn", "name"], "left").select("fn", said.alias("source"), "to", "line", F.lit("rhs_dep").alias("kind"), "seq"))
+    return param.union(used.join(roles, ["fn", "name"], "left").select("fn", said.alias("source"), "to", "line", F.lit("rhs_dep").alias("kind"), "seq", "pos"))
 
 
-def flow_text(sink: DataFrame, flow: DataFrame, old_lines: DataFrame) -> DataFrame:
-    """(fn, text): removed lines, sinks, and each sink's sources and reasons."""
+def source_sink(sink: DataFrame, flow: DataFrame, old_lines: DataFrame, old_names: DataFrame) -> DataFrame:
+    """(fn, sink_vars, sink_calls, sources, text) of functions with removed lines.
+
+    `old_names` are (fn, name, is_call) on the removed lines (fn, ln, content). The text names the
+    lines, what stands on them, and each sink with its sources and the reasons, in event order.
+    """
+    none = F.array().cast("array<string>")
     why = F.when(F.col("kind") == "param_def", F.concat("to", F.lit(" defined from function parameter at line "), F.col("line").cast("string"))).otherwise(
         F.concat("to", F.lit(" depends on "), F.regexp_replace("source", "^[a-z_]+:", ""), F.lit(" at line "), F.col("line").cast("string"))
     )
     per = flow.groupBy("fn", F.col("to").alias("var")).agg(
-        F.sort_array(F.collect_set("source")).alias("sources"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "source", why.alias("w")))), lambda x: x["w"]).alias("why")
+        F.sort_array(F.collect_set("source")).alias("sources"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "pos", why.alias("w")))), lambda x: x["w"]).alias("why")
     )
-    rows = sink.join(per, ["fn", "var"], "left")
+    rows = sink.distinct().join(per, ["fn", "var"], "left")
     item = F.concat(F.lit("- Sink var `"), "var", F.lit("`"), F.when(F.size("sources") > 0, F.concat(F.lit("\n  Sources: "), F.array_join("sources", ", "))).otherwise(""), F.coalesce(F.array_join(F.transform("why", lambda w: F.concat(F.lit("\n  - "), w)), ""), F.lit("")))
-    body = rows.groupBy("fn").agg(F.array_join(F.sort_array(F.collect_list("var")), ", ").alias("vars"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("var", item.alias("i")))), lambda x: x["i"]), "\n").alias("items"))
+    body = rows.groupBy("fn").agg(
+        F.sort_array(F.collect_list("var")).alias("sink_vars"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("var", item.alias("i")))), lambda x: x["i"]), "\n").alias("items"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.coalesce("sources", none))))).alias("sources"),
+    )
+    names = old_names.groupBy("fn").agg(F.sort_array(F.collect_set(F.when(~F.col("is_call"), F.col("name")))).alias("idents"), F.sort_array(F.collect_set(F.when(F.col("is_call"), F.col("name")))).alias("sink_calls"))
     lines = old_lines.groupBy("fn").agg(F.array_join(F.transform(F.sort_array(F.collect_set("ln")), lambda n: n.cast("string")), ", ").alias("old"))
-    text = F.concat(F.lit("[Pre-patch Source-Sink Flow]\nOld patch lines (treated as sink region): ["), "old", F.lit("]\nSink-adjacent variables: "), F.coalesce("vars", F.lit("(none)")), F.coalesce(F.concat(F.lit("\n"), "items"), F.lit("")))
-    return lines.join(body, "fn", "left").select("fn", text.alias("text"))
+    both = lines.join(names, "fn", "left").join(body, "fn", "left")
+    listed = lambda head, c: F.when(F.size(c) > 0, F.concat(F.lit(head), F.array_join(c, ", ")))
+    text = F.concat_ws(
+        "\n", F.lit("[Pre-patch Source-Sink Flow]"), F.concat(F.lit("Old patch lines (treated as sink region): ["), "old", F.lit("]")), listed("Old-line idents: ", "idents"),
+        listed("Sink calls in old region: ", "sink_calls"), F.coalesce(listed("Sink-adjacent variables: ", "sink_vars"), F.lit("Sink-adjacent variables: (none)")), "items",
+    )
+    return both.select("fn", *(F.coalesce(c, none).alias(c) for c in ("sink_vars", "sink_calls", "sources")), text.alias("text"))
 
 
 def focused_blocks(changed: DataFrame, found: DataFrame) -> DataFrame:

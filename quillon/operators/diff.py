@@ -42,7 +42,8 @@ def hunk_context(header: Column) -> Column:
 def files(diffs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys, path) of every file that a diff names by its b/ path, in order of first mention."""
     rows = lines_of(diffs, text, *keys).filter(F.startswith("line", F.lit("diff --git ")))
-    rows = rows.withColumn("path", F.regexp_extract("line", "^diff --git \\S+ b/(.*)$", 1)).filter("path <> ''")
+    fourth = F.coalesce(F.try_element_at(F.split("line", " "), F.lit(4)), F.lit(""))
+    rows = rows.filter(F.startswith(fourth, F.lit("b/"))).withColumn("path", F.substring(fourth, 3, 1_000_000))
     return rows.groupBy(*keys, "path").agg(F.min("line_no").alias("ord"))
 
 

@@ -55,15 +55,20 @@ def in_range(lines: DataFrame, start: Column, stop: Column) -> DataFrame:
 
 
 def clamped_limits(requests: DataFrame, config: DataFrame) -> DataFrame:
-    """Requests with window, context and max_output inside the configured bounds (a one-row table)."""
-    both = requests.crossJoin(F.broadcast(config))
+    """Requests with window, context and max_output inside the configured bounds, a table of one row.
+
+    Any other number of rows fails the query.
+    """
+    one = config.agg(F.count("*").alias("__n"), F.first(F.struct(*config.columns)).alias("__c"))
+    one = one.select(F.when(F.col("__n") == 1, F.col("__c")).otherwise(F.raise_error(F.lit("the view configuration is not one row")).cast(one.schema["__c"].dataType)).alias("__c"))
+    both = requests.crossJoin(F.broadcast(one.select("__c.*")))
     out = both.withColumn("window", clamp(F.coalesce("window", "default_window"), 1, F.col("max_window")))
     out = out.withColumn("context", clamp(F.coalesce("context", "default_context"), 0, F.col("max_context")))
     out = out.withColumn("max_output", clamp(F.coalesce("max_output", "default_max_output"), F.col("min_max_output"), F.col("max_max_output")))
     return out.select(*requests.columns)
 
 
-def grep(lines: DataFrame, pattern: str, context: int, *keys: str) -> DataFrame:
+def grep(lines: DataFrame, pattern: Column | str, context: Column | int, *keys: str) -> DataFrame:
     """Lines within `context` of a hit, with `hit`, `separator` (a `--` line goes before it) and
     `group`, the line of the hit that emits them.
 
@@ -71,7 +76,7 @@ def grep(lines: DataFrame, pattern: str, context: int, *keys: str) -> DataFrame:
     between neighbouring hits, unless the line emitted before ends in `--`.
     """
     w = Window.partitionBy(*keys).orderBy("line_no")
-    rows = lines.withColumn("hit", F.regexp_like("line", F.lit(pattern)))
+    rows = lines.withColumn("hit", F.regexp_like("line", pattern if isinstance(pattern, Column) else F.lit(pattern)))
     at = F.when(F.col("hit"), F.col("line_no"))
     rows = rows.withColumn("__last", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("__next", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
@@ -81,21 +86,28 @@ def grep(lines: DataFrame, pattern: str, context: int, *keys: str) -> DataFrame:
     kept = kept.withColumn("__g", group)
     change = F.coalesce(F.lag("__g").over(w) != F.col("__g"), F.lit(False))
     before = F.coalesce(F.endswith(F.lag("line").over(w), F.lit("--")), F.lit(False))
-    return kept.withColumn("separator", change & ~before).select(*keys, "line_no", "line", "hit", "separator", F.col("__g").alias("group"))
+    return kept.withColumn("separator", change & ~before).withColumn("group", F.col("__g")).select(*lines.columns, "hit", "separator", "group")
 
 
-def capped(lines: DataFrame, cap: Column | int, *keys: str, separator: Column | None = None) -> DataFrame:
+def capped(lines: DataFrame, cap: Column | int, *keys: str, separator: Column | None = None, whole: bool = False) -> DataFrame:
     """Emitted lines under a byte cap: `out` is what of a line (and its separator) is emitted.
 
     The line at which the cap is reached is cut at that byte, a character cut in two is replaced.
-    `truncated` tells for each line whether its stream is longer than the cap.
+    `truncated` tells for each line whether its stream is longer than the cap. Streams whose lines
+    are numbered from 1 without gaps may be given as `whole`: every line has a byte at least, so no
+    line beyond the cap's number is sorted, and sizes are summed before they are shuffled.
     """
     limit = (cap if isinstance(cap, Column) else F.lit(cap)).cast("long")
     chunk = F.concat(F.when(separator, F.lit("--\n")).otherwise(F.lit("")) if separator is not None else F.lit(""), "line", F.lit("\n"))
     w = Window.partitionBy(*keys).orderBy("line_no")
     size = F.octet_length("__chunk").cast("long")
-    rows = lines.withColumn("__chunk", chunk).withColumn("bytes_to", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("truncated", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > limit)
+    rows = lines.withColumn("__chunk", chunk)
+    if whole:
+        total = rows.groupBy(*keys).agg(F.sum(size).alias("__total"))
+        rows = rows.filter(F.col("line_no") <= limit).join(total, list(keys)).withColumn("truncated", F.col("__total") > limit).drop("__total")
+    rows = rows.withColumn("bytes_to", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if not whole:
+        rows = rows.withColumn("truncated", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > limit)
     rows = rows.withColumn("bytes_before", F.col("bytes_to") - F.octet_length("__chunk")).filter(F.col("bytes_before") < limit)
     cut = F.make_valid_utf8(F.substring(F.col("__chunk").cast("binary"), F.lit(1), (limit - F.col("bytes_before")).cast("int")).cast("string"))
     return rows.withColumn("out", F.when(F.col("bytes_to") <= limit, F.col("__chunk")).otherwise(cut)).drop("__chunk")
@@ -108,11 +120,74 @@ def output(lines: DataFrame, cap: Column | int, *keys: str, separator: Column |
     return rows.groupBy(*keys).agg(text.alias("text"), F.bool_or("truncated").alias("truncated"))
 
 
-def hits_before_cap(found: DataFrame, cap: int, *keys: str) -> DataFrame:
+def hits_before_cap(found: DataFrame, cap: Column | int, *keys: str) -> DataFrame:
     """(keys, matched): hits that a scan under a byte cap sees before it stops."""
     size = F.octet_length("line").cast("long") + 1 + F.when(F.col("separator"), 3).otherwise(0)
     w = Window.partitionBy(*keys).orderBy("line_no")
     rows = found.withColumn("__b", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # a hit counts once its first chunk is reached; that is its group's first line
-    first = rows.groupBy(*keys, "group").agg(F.min("__b").alias("__b"))
-    return first.groupBy(*keys).agg(F.count_if(F.col("__b") <= cap).alias("matched"))
+    limit = cap if isinstance(cap, Column) else F.lit(cap)
+    first = rows.groupBy(*keys, "group").agg(F.min("__b").alias("__b"), F.first(limit).alias("__cap"))
+    return first.groupBy(*keys).agg(F.count_if(F.col("__b") <= F.col("__cap")).alias("matched"))
+
+
+#: What a bounded view says, and how many symbols a miss names.
+NO_DEBUG = "# note: --line-numbers ignored because binary has no .debug_line section\n"
+ADVICE = {"grep": "narrow --grep, reduce --context, or use --addr/--symbol.", "both": "use a smaller --window/--context or a more specific --grep.", "range": "use a smaller --window or add --grep."}
+NAMED = 20
+
+
+def located(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Requests (id, binary, symbol, addr, window) with start and stop of what they ask for, or `error`.
+
+    A symbol reaches up to the next one, by its first occurrence by address; a miss names the first
+    NAMED symbols of the binary. An address gets half a window to either side; with neither, both
+    ends are null, which is the whole binary.
+    """
+    order = Window.partitionBy("binary").orderBy("addr", "seq")
+    known = symbols.select("binary", F.col("name").alias("symbol"), F.col("addr").alias("__at"), F.lead("addr").over(order).alias("__next"), F.row_number().over(order).alias("__r"))
+    first = known.groupBy("binary", "symbol").agg(F.min_by(F.struct("__at", "__next"), "__r").alias("__s"))
+    named = F.transform(F.sort_array(F.collect_list(F.struct("__r", "symbol"))), lambda x: x["symbol"])
+    sample = known.filter(F.col("__r") <= NAMED).groupBy("binary").agg(F.array_join(named, ", ").alias("__sample"))
+    rows = requests.join(first, ["binary", "symbol"], "left").join(sample, "binary", "left")
+    by_symbol, far = F.col("symbol").isNotNull(), F.col("__s.__at") + F.col("window")
+    stop = F.greatest(F.col("__s.__at") + 1, F.least(F.coalesce("__s.__next", far), far))
+    low, high = address_window(F.col("addr"), F.col("window"))
+    missing = F.concat(F.lit("symbol not found: "), "symbol", F.lit("; first symbols: "), F.coalesce("__sample", F.lit("")))
+    error = F.when(by_symbol & F.col("addr").isNotNull(), "use only one of --symbol or --addr").when(by_symbol & F.col("__s").isNull(), missing)
+    error = error.when(~by_symbol & F.col("addr").isNull() & F.col("pattern").isNull(), "provide --symbol, --addr, or --grep") if "pattern" in requests.columns else error
+    return rows.select(*requests.columns, F.when(by_symbol, F.col("__s.__at")).when(F.col("addr").isNotNull(), low).alias("start"), F.when(by_symbol, stop).when(F.col("addr").isNotNull(), high).alias("stop"), error.alias("error"))
+
+
+def view(requests: DataFrame, config: DataFrame, symbols: DataFrame, lines: DataFrame, debug: DataFrame, tool: str = "view") -> DataFrame:
+    """(id, text, error): the bounded view that each request asks for, as one text.
+
+    Requests have id, binary, symbol, addr, pattern, window, context, max_output and line_numbers;
+    `symbols` are (binary, addr, name, seq), `lines` the disassembly (binary, addr, line_no, line),
+    `debug` (binary, has_debug_line). Limits are clamped to the configuration. A request is for a
+    symbol's range, for that around an address, or, with a pattern alone, for the whole binary;
+    a pattern keeps hits and their context. The first line names the `tool`.
+    """
+    asked = located(clamped_limits(requests, config), symbols).join(debug, "binary", "left")
+    good = asked.filter("error is null")
+    mine = good.select("id", "binary", "start", "stop", "pattern", "context", "max_output").join(lines, "binary").filter("start is null or (start <= addr and addr < stop)")
+    mine = mine.select("id", "line_no", "line", "pattern", "context", "max_output")
+    found = grep(mine.filter("pattern is not null"), F.col("pattern"), F.col("context"), "id")
+    hits = hits_before_cap(found, F.col("max_output"), "id")
+    said = output(found, F.col("max_output"), "id", separator=F.col("separator")).union(output(mine.filter("pattern is null"), F.col("max_output"), "id"))
+    rows = asked.join(hits, "id", "left").join(said, "id", "left")
+    hexed = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+    reach = F.concat(F.lit(" range="), hexed("start"), F.lit(":"), hexed("stop"), F.lit(" window="), F.col("window").cast("string"), F.lit("\n"))
+    shown = F.concat(F.lit("'"), F.replace(F.replace(F.col("pattern"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    head = (
+        F.when(F.col("symbol").isNotNull(), F.concat(F.lit(f"# {tool} symbol="), "symbol", reach))
+        .when(F.col("addr").isNotNull(), F.concat(F.lit(f"# {tool} addr="), hexed("addr"), reach))
+        .otherwise(F.concat(F.lit(f"# {tool} grep="), shown, F.lit(" full-disassembly-scan context="), F.col("context").cast("string"), F.lit("\n")))
+    )
+    note = F.when(F.coalesce("line_numbers", F.lit(False)) & ~F.coalesce("has_debug_line", F.lit(False)), NO_DEBUG).otherwise("")
+    matches = F.when(F.col("pattern").isNotNull(), F.concat(F.lit("# matches="), F.coalesce("matched", F.lit(0)).cast("string"), F.lit(" max_output_bytes="), F.col("max_output").cast("string"), F.lit("\n"))).otherwise("")
+    kind = F.when(F.col("start").isNull(), "grep").when(F.col("pattern").isNotNull(), "both").otherwise("range")
+    advice = F.element_at(F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair)), kind)
+    cut = F.when(F.coalesce("truncated", F.lit(False)), F.concat(F.lit("\n# TRUNCATED: "), advice, F.lit("\n"))).otherwise("")
+    text = F.concat(head, note, matches, F.coalesce("text", F.lit("")), cut)
+    return rows.select("id", F.when(F.col("error").isNull(), text).alias("text"), "error")

@@ -17,6 +17,10 @@ _LEVELS = (("<", ">"), ("|",), ("^",), ("&",), ("<<", ">>"), ("+", "-"), ("*", "
 _LARGEST = 4096  # bits
 
 
+class TooLarge(ValueError):
+    """An integer of more than _LARGEST bits."""
+
+
 class _Expression:
     """Integer expressions by precedence climbing; raises on anything else and on huge results."""
 
@@ -86,7 +90,7 @@ class _Expression:
     @staticmethod
     def apply(op: str, a: int, b: int) -> int:
         if op in ("<<", "**") and (b < 0 or b * max(a.bit_length() if op == "**" else 1, 1) > _LARGEST):
-            raise ValueError("too large")
+            raise TooLarge
         if op in ("//", "%") and b == 0:
             raise ValueError("zero")
         return {"|": lambda: a | b, "^": lambda: a ^ b, "&": lambda: a & b, "<<": lambda: a << b, ">>": lambda: a >> b, "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "//": lambda: a // b, "%": lambda: a % b, "**": lambda: a**b}[op]()
@@ -95,7 +99,7 @@ class _Expression:
 def eval_int(text: str) -> int | None:
     """The value of an integer expression, or null; a quotient with one slash is no integer.
 
-    A comparison is a truth value, and these count as integers.
+    A comparison is a truth value, and these count as integers. Raises TooLarge for huge results.
     """
     if re.search(r"[^0-9a-fA-FxX()+\-*/%<>&|^~ ]", text):
         return None
@@ -103,34 +107,40 @@ def eval_int(text: str) -> int | None:
         e = _Expression(text)
         v = e.level(0)
         return v if e.peek() is None else None
+    except TooLarge:
+        raise
     except (ValueError, OverflowError, RecursionError):
         return None
 
 
-def _folded(text: str) -> str:
-    value = eval_int(text)
-    return text if value is None else str(value)
-
-
-def values(macros: dict[str, str]) -> dict[str, str]:
-    """Every macro's value: bodies put in for names DEPTH deep, integers where they are such.
+def values(macros: dict[str, str]) -> dict[str, tuple[str, bool]]:
+    """Every macro's (value, capped): bodies put in for names DEPTH deep, integers where they are such.
 
     Works from the deepest level up, so names that refer to one another in a circle end there. A
-    value that would outgrow LONGEST characters keeps the names of its body.
+    value that would outgrow LONGEST characters keeps the names of its body, and an integer of more
+    than _LARGEST bits stays an expression; `capped` marks both, and what is made of them.
     """
     words = {n: re.sub(r"([()])", r" \1 ", body).split() for n, body in macros.items()}
-    below = dict(macros)
+    below = {n: (body, False) for n, body in macros.items()}
     for _ in range(DEPTH + 1):
         level = {}
         for n, own in words.items():
-            parts = [t if t == n else below.get(t, t) for t in own]
-            level[n] = _folded(" ".join(parts if sum(map(len, parts)) < LONGEST else own))
+            parts = [(t, False) if t == n else below.get(t, (t, False)) for t in own]
+            capped = any(c for _, c in parts)
+            text = " ".join(t for t, _ in parts)
+            if len(text) >= LONGEST:
+                text, capped = " ".join(own), True
+            try:
+                value = eval_int(text)
+            except TooLarge:
+                value, capped = None, True
+            level[n] = (text if value is None else str(value), capped)
         below = level
     return below
 
 
 def resolve(name: str, macros: dict[str, str]) -> str | None:
-    return values(macros).get(name)
+    return values(macros).get(name, (None, False))[0]
 
 
 def definitions(sources: DataFrame, *keys: str, text: str = "text", until: str | None = None) -> DataFrame:
@@ -151,16 +161,16 @@ def definitions(sources: DataFrame, *keys: str, text: str = "text", until: str |
 
 
 def resolved(macros: DataFrame, key: str) -> DataFrame:
-    """(key, name, value) of macros (key, name, body).
+    """(key, name, value, capped) of macros (key, name, body); see values().
 
     A file's definitions go to one call of an Arrow function as one row, since values depend on one
     another; tokens with cyclic references end DEPTH deep.
     """
-    value = "array<struct<name:string,value:string>>"
+    value = "array<struct<name:string,value:string,capped:boolean>>"
 
     @F.udf(value, useArrow=True)
     def solve(pairs):  # noqa: ANN001, ANN202
-        return [{"name": n, "value": v} for n, v in values({p["name"]: p["body"] for p in pairs}).items()]
+        return [{"name": n, "value": v, "capped": c} for n, (v, c) in values({p["name"]: p["body"] for p in pairs}).items()]
 
     files = macros.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("name", "body"))).alias("m"))
-    return files.select(key, F.explode(solve("m")).alias("x")).select(key, F.col("x.name").cast(StringType()).alias("name"), F.col("x.value").alias("value"))
+    return files.select(key, F.explode(solve("m")).alias("x")).select(key, F.col("x.name").cast(StringType()).alias("name"), F.col("x.value").alias("value"), "x.capped")

@@ -15,12 +15,16 @@ def _blank(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) == ""
 
 
-def profiles(raw: DataFrame) -> DataFrame:
+def profiles(raw: DataFrame, prefix: str = "profile-") -> DataFrame:
     """Profiles (name, provider, base_url, wire_api, model, api_key_envs, requires_auth, mode, effort) with `problem`, null if valid.
 
     The current provider needs nothing else and drops the rest; others need base_url, wire_api,
     model, and a key's variable unless authentication is by account. The first variable counts.
+    `provider_name` is what requests call the provider: the profile's own, or else the prefix and
+    the profile's name, other characters than letters, digits, line and hyphen made hyphens.
     """
+    own = F.col("provider_name") if "provider_name" in raw.columns else F.lit(None).cast("string")
+    made = F.concat(F.lit(prefix), F.regexp_replace("name", "[^A-Za-z0-9_-]+", "-"))
     mode = F.coalesce("mode", F.lit("inherit"))
     current = F.col("provider") == CURRENT
     keys = F.coalesce("api_key_envs", F.array().cast("array<string>"))
@@ -32,12 +36,13 @@ def profiles(raw: DataFrame) -> DataFrame:
         .when(~current & (_blank("base_url") | _blank("wire_api") | _blank("model")), "base_url, wire_api and model are needed")
         .when(~current & F.exists(keys, lambda k: k.isNull() | (k == "")), "api_key_env is no list of names")
         .when(~current & ~F.coalesce("requires_auth", F.lit(False)) & (F.size(keys) == 0), "api_key_env is missing")
+        .when(~current & (own == ""), "provider_name is empty")
     )
     keep = lambda c: F.when(~current, c)
     return raw.select(
         "name", "provider", keep(F.col("base_url")).alias("base_url"), keep(F.col("wire_api")).alias("wire_api"), keep(F.col("model")).alias("model"),
         keep(F.try_element_at(keys, F.lit(1))).alias("api_key_env"), F.when(current, False).otherwise(F.coalesce("requires_auth", F.lit(False))).alias("requires_auth"),
-        mode.alias("mode"), "effort", problem.alias("problem"),
+        mode.alias("mode"), "effort", F.when(current, "").otherwise(F.coalesce(own, made)).alias("provider_name"), problem.alias("problem"),
     )
 
 

@@ -16,26 +16,72 @@ def _last_by(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("v")).select(key, "v.*")
 
 
-def testset(raw: DataFrame, order: str = "ord") -> DataFrame:
-    """(cve, functions, binaries) of test-set records; see invalid_testset() for the refused ones."""
-    binaries = F.array_distinct(F.coalesce(F.col("binaries"), F.concat(*map(_list, SIDES))))
-    rows = raw.select(F.col("CVE").alias("cve"), _list("functions").alias("functions"), binaries.alias("binaries"), order)
-    return _last_by(rows, "cve", order, "functions", "binaries")
+def _binaries() -> Column:
+    return F.coalesce(F.col("binaries"), F.concat(*map(_list, SIDES)))
 
 
-def invalid_testset(raw: DataFrame, order: str = "ord", most: int = 5) -> DataFrame:
-    """One row (bad, sample) for a load: how many records are refused and the first positions."""
-    binaries = F.coalesce(F.col("binaries"), F.concat(*map(_list, SIDES)))
-    bad = F.coalesce(F.col("CVE"), F.lit("")).eqNullSafe("") | (F.size(binaries) < 1) | F.exists(binaries, lambda b: b.isNull())
-    rows = raw.filter(bad).select(order)
-    first = rows.orderBy(order).limit(most).agg(F.array_join(F.sort_array(F.collect_list(F.col(order).cast("long"))), ",").alias("sample"))
+def _has_null(names: Column) -> Column:
+    return F.exists(names, lambda b: b.isNull())
+
+
+def _invalid(raw: DataFrame, times: Column, order: str, most: int) -> DataFrame:
+    """One row (bad, sample): how often records are refused, and the first positions in input order."""
+    rows = raw.select(F.col(order).cast("long").alias("at"), F.explode(F.array_repeat(F.lit(1), times)).alias("n")).select("at")
+    first = rows.orderBy("at").limit(most).agg(F.array_join(F.transform(F.sort_array(F.collect_list("at")), lambda n: n.cast("string")), ", ").alias("sample"))
     return rows.agg(F.count("*").alias("bad")).crossJoin(first)
 
 
-def groundtruth(raw: DataFrame, order: str = "ord") -> DataFrame:
-    """(cve, vuln, patch, not_affected) of ground-truth records; a missing list is empty."""
+def refuse(rows: DataFrame, invalid: DataFrame, what: str) -> DataFrame:
+    """The rows; a query over them fails, naming the first positions, if any record is refused."""
+    stop = F.when(F.col("bad") > 0, F.raise_error(F.concat(F.lit(f"{what}. Bad item indexes: "), "sample")))
+    told = F.broadcast(invalid.select(stop.cast("string").alias("__stop")))  # one row, an aggregate's
+    return rows.crossJoin(told).filter("__stop is null").drop("__stop")
+
+
+#: What is said of refused inputs.
+BAD_TESTSET = "a test set is a list of records with CVE and binaries, or with vuln, patch and not_affected"
+BAD_TRUTH = "ground truth is a list of records with CVE, vuln, patch and not_affected"
+
+
+def testset(raw: DataFrame, order: str = "ord", strict: bool = False) -> DataFrame:
+    """(cve, functions, binaries) of test-set records; strict loads fail as a whole if one is refused."""
+    rows = raw.select(F.col("CVE").alias("cve"), _list("functions").alias("functions"), F.array_distinct(_binaries()).alias("binaries"), order)
+    kept = _last_by(rows, "cve", order, "functions", "binaries")
+    return refuse(kept, invalid_testset(raw, order), BAD_TESTSET) if strict else kept
+
+
+def invalid_testset(raw: DataFrame, order: str = "ord", most: int = 5) -> DataFrame:
+    """One row (bad, sample) of a test set.
+
+    A record without a CVE or binaries is refused. One whose lists hold a null is refused for that,
+    and once more if the lists before that one are empty.
+    """
+    sides = [_list(s) for s in SIDES]
+    before, listed = F.lit(0), F.when(F.size(F.concat(*sides)) < 1, 1).otherwise(0)
+    whole = F.when(_has_null(F.col("binaries")) | (F.size("binaries") < 1), 1).otherwise(0)
+    counts = []
+    for side in sides:
+        counts.append((_has_null(side), F.when(before < 1, 2).otherwise(1)))
+        before = before + F.size(side)
+    for bad, n in reversed(counts):
+        listed = F.when(bad, n).otherwise(listed)
+    times = F.when(F.coalesce(F.col("CVE"), F.lit("")) == "", 1).when(F.col("binaries").isNotNull(), whole).otherwise(listed)
+    return _invalid(raw, times, order, most)
+
+
+def groundtruth(raw: DataFrame, order: str = "ord", strict: bool = False) -> DataFrame:
+    """(cve, vuln, patch, not_affected) of ground-truth records; a missing list is empty. Strict as for testset()."""
     rows = raw.select(F.col("CVE").alias("cve"), *(F.array_distinct(_list(s)).alias(s) for s in SIDES), order)
-    return _last_by(rows, "cve", order, *SIDES)
+    kept = _last_by(rows, "cve", order, *SIDES)
+    return refuse(kept, invalid_groundtruth(raw, order), BAD_TRUTH) if strict else kept
+
+
+def invalid_groundtruth(raw: DataFrame, order: str = "ord", most: int = 5) -> DataFrame:
+    """One row (bad, sample) of ground truth: records without a CVE, or with a null in a list."""
+    bad = F.coalesce(F.col("CVE"), F.lit("")) == ""
+    for s in SIDES:
+        bad = bad | _has_null(_list(s))
+    return _invalid(raw, F.when(bad, 1).otherwise(0), order, most)
 
 
 def source_diff(raw: DataFrame, project: str) -> DataFrame:
@@ -77,3 +123,10 @@ def compact_function(df: DataFrame) -> DataFrame:
 
 def function_commit(own: Column, of_cve: Column) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), of_cve, F.lit(""))
+
+
+def cve_payload(items: DataFrame, item: str = "item") -> DataFrame:
+    """Records (cve, item: a JSON object) whose object holds its `cve_id`; one that has the key keeps its value."""
+    fields = F.try_variant_get(F.parse_json(item), "$", "map<string,variant>")
+    named = F.map_concat(fields, F.create_map(F.lit("cve_id"), F.col("cve").cast("variant")))
+    return items.withColumn(item, F.to_json(F.when(F.map_contains_key(fields, "cve_id"), fields).otherwise(named)))

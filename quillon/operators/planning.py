@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import is_inside, run_id_of
+from quillon.functions.text import run_id_of
+from quillon.sources.tables import written
 
 #: The verdict of a CVE without metadata.
 NO_METADATA = ("Cannot inspect patch presence without metadata.", " not found in project metadata JSON")
@@ -17,9 +18,8 @@ def select_cves(df: DataFrame, wanted: DataFrame | None = None, limit: int | Non
     With limit 0 nothing is selected, or everything where zero_is_all is set.
     """
     rows = df if wanted is None else df.join(wanted.select("cve").distinct(), "cve", "left_semi")
-    if limit is None or (zero_is_all and limit == 0):
-        return rows
-    return rows.orderBy("cve").limit(limit)
+    rows = rows.orderBy("cve")
+    return rows if limit is None or (zero_is_all and limit == 0) else rows.limit(limit)
 
 
 def select_in_order(df: DataFrame, order: str, limit: int = 0) -> DataFrame:
@@ -59,8 +59,14 @@ def with_metadata(planned: DataFrame, metadata: DataFrame) -> tuple[DataFrame, D
 
 
 def exposed_answers(answers: DataFrame, visible: DataFrame) -> DataFrame:
-    """(path, root) of ground-truth files that lie under a folder which the judge can see."""
-    return answers.join(F.broadcast(visible), is_inside(F.col("path"), F.col("root"))).select("path", "root")
+    """(path, root) of ground-truth files that lie under a folder which the judge can see.
+
+    A path is joined by each of its parent folders, so that the join is on equal names.
+    """
+    parts = F.split(F.regexp_replace("path", "/+$", ""), "/")
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    under = answers.select("path", F.explode(parents).alias("__top"))
+    return under.join(visible.select("root", F.regexp_replace("root", "/+$", "").alias("__top")), "__top").select("path", "root")
 
 
 def error_rows(binaries: DataFrame, reason: Column, evidence: Column) -> DataFrame:
@@ -69,8 +75,20 @@ def error_rows(binaries: DataFrame, reason: Column, evidence: Column) -> DataFra
 
 
 def progress(planned: DataFrame, order: str) -> DataFrame:
-    """Tasks with their launch ordinal."""
-    return planned.withColumn("n", F.row_number().over(Window.orderBy(order)))
+    """Tasks with their launch ordinal, from 1.
+
+    Rows are sorted by ranges; a row's ordinal is its place in its range and the rows of the ranges
+    before, of which the driver sees one number each.
+    """
+    spark = planned.sparkSession
+    ranges = written(planned.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("__range", F.spark_partition_id()))
+    sums, total = [], 0
+    for r in sorted(ranges.groupBy("__range").agg(F.count("*").alias("rows")).collect()):
+        sums.append((r["__range"], total))
+        total += r["rows"]
+    offsets = F.broadcast(spark.createDataFrame(sums, "__range int, __before long"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return ranges.join(offsets, "__range").withColumn("n", F.col("__before") + place).drop("__range", "__before")
 
 
 def anonymous_names(targets: DataFrame, group: str, order: str) -> DataFrame:
@@ -96,3 +114,43 @@ def first_existing(candidates: DataFrame, key: str, rank: str = "rank") -> DataF
     """Of each key's candidate paths the first that exists, else the first of all."""
     order = F.struct((~F.coalesce("exists", F.lit(False))).alias("absent"), F.col(rank))
     return candidates.groupBy(key).agg(F.min_by("path", order).alias("path"))
+
+
+#: What a run needs, and where a project keeps it, best place first.
+NEEDED = ("project_json", "testset_json", "target_dir", "output")
+PLACES = {
+    "project_json": ("{base}/{project}/{project}.json", "{base}/{project}.json"),
+    "testset_json": ("{base}/{project}/testset.json", "{base}/testset.json"),
+    "target_dir": ("{binaries}/{project}_gcc", "{base}/{project}/targets", "{base}/{project}/gcc", "{base}/{project}"),
+}
+
+
+def derived_paths(requests: DataFrame, present: DataFrame) -> DataFrame:
+    """Requests (id, project, base, binaries, opt and NEEDED) with what is not given derived from the project.
+
+    Of a path's places the first that is among `present` (path), else the first. `problem` names
+    what is neither given nor derived.
+    """
+
+    def filled(place: str) -> Column:
+        for key in ("base", "binaries", "project"):
+            place = place if isinstance(place, Column) else F.lit(place)
+            place = F.replace(place, F.lit("{" + key + "}"), F.col(key))
+        return place
+
+    has = present.select(F.col("path").alias("__path")).distinct().withColumn("exists", F.lit(True))
+    named = F.coalesce("project", F.lit("")) != ""
+    out = requests
+    for name, places in PLACES.items():
+        each = requests.filter(named).select("id", F.posexplode(F.array(*map(filled, places))).alias("rank", "__path")).join(has, "__path", "left")
+        best = first_existing(each.withColumnRenamed("__path", "path"), "id").select("id", F.col("path").alias("__best"))
+        out = out.join(best, "id", "left").withColumn(name, F.coalesce(name, "__best")).drop("__best")
+    out = out.withColumn("output", F.coalesce("output", F.when(named, F.concat("base", F.lit("/runs/"), "project", F.lit("_"), "opt", F.lit("_codex_results.json")))))
+    lacking = F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit("--" + n.replace("_", "-"))) for n in NEEDED)))
+    problem = F.when(F.size(lacking) > 0, F.concat(F.lit("missing required arguments: "), F.array_join(lacking, ", "), F.lit("; or provide --project")))
+    return out.withColumn("problem", problem)
+
+
+def required(derived: DataFrame) -> DataFrame:
+    """Requests of derived_paths(); one that lacks a path fails the query."""
+    return derived.filter(F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("boolean")).otherwise(True))

@@ -36,9 +36,10 @@ def parsed(trace: DataFrame) -> DataFrame:
     kind = F.when(command & what.isin("item.started", "item.completed"), "command").when(what.isin("turn.started", "turn.completed"), "turn")
     phase = F.when(F.endswith(what, F.lit(".started")), "start").otherwise("complete")
     usage = F.struct(*(get(f"$.usage.{k}", "bigint").alias(k) for k in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")))
+    said = F.coalesce(F.to_json(get("$.usage", "variant")), F.lit("{}"))
     return rows.withColumn("kind", kind).filter("kind is not null").select(
         "run_id", "seq", "time", "kind", phase.alias("phase"), get("$.item.id").alias("id"), get("$.item.command").alias("command"), get("$.item.exit_code", "int").alias("exit_code"),
-        F.octet_length(F.coalesce(get("$.item.aggregated_output"), F.lit(""))).cast("long").alias("output_bytes"), usage.alias("usage"),
+        F.octet_length(F.coalesce(get("$.item.aggregated_output"), F.lit(""))).cast("long").alias("output_bytes"), usage.alias("usage"), said.alias("usage_json"),
     )
 
 
@@ -53,7 +54,7 @@ def commands(events: DataFrame) -> DataFrame:
 def turns(events: DataFrame) -> DataFrame:
     """Turns of parsed() events with their token use; a run has one turn at a time."""
     rows = paired(events.filter("kind = 'turn'"), ["run_id"], "seq", "time", "phase")
-    return rows.select("run_id", "seq", "started_at", "completed_at", (F.col("completed_at") - F.col("started_at")).alias("elapsed"), "usage")
+    return rows.select("run_id", "seq", "started_at", "completed_at", (F.col("completed_at") - F.col("started_at")).alias("elapsed"), "usage", "usage_json")
 
 
 def comparable_tokens(runs: DataFrame, baseline: str, key: str = "config") -> DataFrame:
@@ -95,3 +96,21 @@ def timing_markdown(runs: DataFrame, executions: DataFrame, run_turns: DataFrame
     top = F.format_string("# Codex Exec Timing: %s\n\nTotal wall time: %.3fs\nReturn code: %s\n", F.col("cve"), F.col("elapsed"), F.coalesce(F.col("returncode").cast("string"), F.lit("None")))
     parts = F.concat_ws("\n", top, F.lit("## Turns\n"), F.lit(TURNS_HEAD), F.coalesce("__t", F.lit(NO_TURNS)), F.lit("\n## Command Executions\n"), F.lit(COMMANDS_HEAD), F.col("__c"), F.lit(""))
     return both.select("run_id", parts.alias("markdown"))
+
+
+def timing_document(runs: DataFrame, executions: DataFrame, run_turns: DataFrame) -> DataFrame:
+    """(run_id, json) of runs (run_id, cve, started_at, elapsed, returncode, command): one document for
+    each, with its turns in order and its commands, longest first. Missing values are null."""
+
+    def listed(df: DataFrame, order: str, name: str, **fields: str) -> DataFrame:
+        item = F.struct(F.col(order).alias("__o"), *sorted({c for c in fields.values()}))
+        said = lambda x: F.struct(*(F.parse_json(x[c]).alias(k) if c == "usage_json" else x[c].alias(k) for k, c in fields.items()))
+        return df.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(item)), said).alias(name))
+
+    times = {"started_at_epoch": "started_at", "completed_at_epoch": "completed_at", "elapsed_seconds": "elapsed"}
+    own_turns = listed(run_turns, "seq", "turns", **times, usage="usage_json")
+    own_commands = listed(executions, "rank", "command_executions", id="id", command="command", **times, exit_code="exit_code", output_bytes="output_bytes")
+    both = runs.join(own_turns, "run_id", "left").join(own_commands, "run_id", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
+    payload = F.struct("cve", F.col("started_at").alias("started_at_epoch"), F.col("elapsed").alias("elapsed_seconds"), "returncode", "command", none("turns"), none("command_executions"))
+    return both.select("run_id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("json"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.jsons import analysis_json, verdict_json
-from quillon.functions.text import remap_names
+from quillon.functions.text import is_blank, remap_names
 from quillon.sources.schemas import STATUSES
 
 #: Evidence and reasoning of verdicts for binaries that the output lacks.
@@ -20,8 +20,8 @@ _VARIANTS = "array<variant>"
 
 
 def final_text(last_message: Column, stdout: Column) -> Column:
-    """The last message, or standard output if that is blank."""
-    return F.coalesce(F.nullif(F.trim(last_message), F.lit("")), stdout)
+    """The last message as it is, or standard output if that is blank."""
+    return F.when(~is_blank(last_message), last_message).otherwise(stdout)
 
 
 def text_of(v: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillon.functions.text import strip
 from quillon.sources.schemas import MODEL_CONFIG, VIEW_CONFIG
 
 
@@ -30,12 +31,19 @@ def texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
 
 
 def env_file(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value) of an env file: blank and `#` lines go, `export ` and quotes are stripped, the last of a name wins."""
-    rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).select("n", F.trim("value").alias("line"))
-    rows = rows.filter("line <> '' and not startswith(line, '#') and contains(line, '=')")
-    parts = F.split(F.regexp_replace("line", "^export\\s+", ""), "=", 2)
-    value = F.regexp_replace(F.trim(parts[1]), "^([\"'])(.*)\\1$", "$2")
-    return rows.groupBy(F.trim(parts[0]).alias("name")).agg(F.max_by(value, "n").alias("value"))
+    """(name, value) of an env file; see env_lines()."""
+    return env_lines(spark.read.text(path).withColumn("n", F.monotonically_increasing_id()), "value", "n")
+
+
+def env_lines(lines: DataFrame, line: str, order: str, *keys: str) -> DataFrame:
+    """(keys, name, value) of env-file lines: blank and `#` lines go, `export ` is stripped, then
+    double quotes at either end, then single ones. The first of a name wins, as set names do."""
+    rows = lines.select(*keys, F.col(order).alias("__n"), strip(F.col(line)).alias("__l")).filter("__l <> '' and not startswith(__l, '#')")
+    rows = rows.withColumn("__l", F.when(F.startswith("__l", F.lit("export ")), strip(F.substring("__l", 8, 1_000_000))).otherwise(F.col("__l"))).filter("contains(__l, '=')")
+    parts = F.split("__l", "=", 2)
+    value = F.regexp_replace(F.regexp_replace(strip(parts[1]), '^"+|"+$', ""), "^'+|'+$", "")
+    named = rows.select(*keys, "__n", strip(parts[0]).alias("name"), value.alias("value")).filter("name <> ''")
+    return named.groupBy(*keys, "name").agg(F.min_by("value", "__n").alias("value"))
 
 
 def with_environment(declared: DataFrame, existing: DataFrame) -> DataFrame:

@@ -13,12 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of our own if it names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    If it names none, a local session, whose driver and executor are one process, gets a folder of
+    its own; a cluster's executors would not find it, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quillon-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

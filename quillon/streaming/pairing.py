@@ -22,15 +22,19 @@ def _pair(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Dat
         elif phase == "complete":
             out.append((*key, started if is_open else time, time, bool(is_open)))
             is_open = False
-    state.update((bool(is_open), float(started)))
+    if is_open:
+        state.update((True, float(started)))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=["run_id", "id", "started_at", "completed_at", "paired"])
 
 
 def paired_stream(events: DataFrame) -> DataFrame:
     """Completions of a stream of events (run_id, id, seq, time, phase) with the start that they end.
 
-    The state of a key is one open start. Rows of a micro-batch go by seq; batches must arrive in
-    order, as files of one trace do.
+    The state of a key is one open start, and goes when that has ended, so state is as large as
+    what runs at the moment. Rows of a micro-batch go by seq; batches must arrive in order, as files
+    of one trace do.
     """
     keyed = events.select(F.coalesce("run_id", F.lit("")).alias("run_id"), F.coalesce("id", F.lit("")).alias("id"), "seq", F.col("time").cast("double").alias("time"), "phase")
     return keyed.groupBy("run_id", "id").applyInPandasWithState(_pair, OUTPUT, STATE, "append", "NoTimeout")

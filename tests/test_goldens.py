@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text
@@ -80,8 +81,8 @@ def test_declared_names(spark):
 
 
 def test_final_text_and_status(spark):
-    rows = spark.createDataFrame([("  ", "out"), ("said", "out"), (None, "out")], "last string, stdout string")
-    assert [r[0] for r in rows.select(verdict.final_text(F.col("last"), F.col("stdout"))).collect()] == ["out", "said", "out"]
+    rows = spark.createDataFrame([("  ", "out"), ("said", "out"), (None, "out"), ("\n", "out"), (" a\n", "out"), ("\u2003\x1c", "out")], "last string, stdout string")
+    assert [r[0] for r in rows.select(verdict.final_text(F.col("last"), F.col("stdout"))).collect()] == ["out", "said", "out", "out", " a\n", "out"]
     said = spark.createDataFrame([("C", "absent"), ("C", "error"), ("D", "absent")], "cve string, status string")
     assert _values(verdict.has_status(said, "error"), "cve", "has") == [("C", True), ("D", False)]
 
@@ -99,8 +100,67 @@ def test_rollup_keeps_repeats_and_first_values(spark):
 
 
 def test_report(spark):
-    rows = spark.createDataFrame([("b", "x", 1), ("a", "z", 2), ("a", "y", 3)], "section string, value string, n int")
-    assert rollup.report(rows).first().report == "## a\n\n- y: 3\n- z: 2\n\n## b\n\n- x: 1"
+    """A run without files, steps and counters has its headings and nothing under them."""
+    runs = spark.createDataFrame([("p", "/o", None)], "project string, output_dir string, repo_path string")
+    files = spark.createDataFrame([], "project string, ord int, label string, path string, exists boolean")
+    steps = spark.createDataFrame([], "project string, ord int, name string, status string, returncode int, seconds double, log string, note string, command array<string>")
+    counters = spark.createDataFrame([("p", "source", "cve_count", 2), ("p", "source", "analysis_status.ok", 5)], "project string, section string, key string, n long")
+    want = "# p metadata pipeline run\n\n## 产物\n\n## 输入\n- project: `p`\n- output_dir: `/o`\n- repo_path: ``\n\n## 步骤\n## 源码分析统计\n- cve_count: `2`\n- function_count: `0`\n- analysis_status.ok: `5`\n\n## 说明\n- n\n"
+    assert rollup.report(runs, files, steps, counters, ("n",)).first().report == want
+
+
+def test_bad_records_fail_the_load(spark):
+    rows = spark.createDataFrame([(0, "A", None, ["x"], None, None), (1, "", None, ["x"], None, None), (2, "B", [], None, None, None), (3, "C", None, [None], None, None), (4, "D", None, ["x"], [None], None)], "ord int, CVE string, binaries array<string>, vuln array<string>, patch array<string>, not_affected array<string>")
+    assert tuple(normalise.invalid_testset(rows).first()) == (5, "1, 2, 3, 3, 4")
+    with pytest.raises(Exception, match="Bad item indexes: 1, 2, 3, 3, 4"):
+        normalise.testset(rows.withColumn("functions", F.lit(None).cast("array<string>")), strict=True).collect()
+    with pytest.raises(Exception, match="Bad item indexes: 1, 3, 4"):
+        normalise.groundtruth(rows, strict=True).collect()
+    good = rows.filter("ord = 0").withColumn("functions", F.lit(None).cast("array<string>"))
+    assert _values(normalise.testset(good, strict=True), "cve", "binaries") == [("A", ["x"])]
+
+
+def test_missing_paths_fail(spark):
+    asked = spark.createDataFrame([("1", None, "/b", "/x", "O0", "a", None, None, None)], "id string, project string, base string, binaries string, opt string, project_json string, testset_json string, target_dir string, output string")
+    derived = planning.derived_paths(asked, spark.createDataFrame([], "path string"))
+    with pytest.raises(Exception, match="missing required arguments: --testset-json, --target-dir, --output"):
+        planning.required(derived).collect()
+
+
+def test_a_view_configuration_is_one_row(spark):
+    asked = spark.createDataFrame([(1, 2, 3)], "window long, context long, max_output long")
+    config = spark.sql("SELECT 1L AS default_window, 5L AS max_window, 1L AS default_context, 1L AS max_context, 9L AS default_max_output, 4L AS min_max_output, 9L AS max_max_output")
+    assert _values(linescan.clamped_limits(asked, config), "window", "context", "max_output") == [(1, 1, 4)]
+    with pytest.raises(Exception, match="not one row"):
+        linescan.clamped_limits(asked, config.union(config)).collect()
+
+
+def test_suffixes_and_integers(spark):
+    paths = {"..c": True, ".c": False, "a/.b.h": True, "a.": False, "x.tar.HPP": True, "c": False}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: bool(r.c) for r in rows.select("p", text.is_code_path(F.col("p")).alias("c")).collect()} == paths
+    rows = spark.createDataFrame([(t,) for t in ("_1", "1__0", "1_0", "0x_f", "0x", "0_0", "00", "01", "-0b1", "+7", "\t8 ", "1_", "0o8", "x")], "t string")
+
+    def python(t):
+        try:
+            return int(t, 0)
+        except ValueError:
+            return None
+
+    assert all(r.v == python(r.t) for r in rows.select("t", text.parse_int(F.col("t")).cast("long").alias("v")).collect())
+
+
+def test_products_are_no_declarations(spark):
+    nodes = syntax.parse(spark.createDataFrame([("1", "void f(void)\n{\n  T * b;\n  a * b(c);\n  T g(int);\n}\n")], "fn_id string, text string"))
+    assert _values(nodes.filter("type = 'declaration'"), "start_line") == [(3,), (5,)]
+
+
+def test_whole_streams_give_the_same(spark):
+    lines = spark.createDataFrame([(k, i, "é" * (i % 4)) for k in (1, 2) for i in range(1, 40 * k)], "k int, line_no int, line string")
+    for cap in (1, 7, 50, 10_000):
+        a, b = (_values(linescan.output(lines, cap, "k"), "k", "text", "truncated"), _values(linescan.capped(lines, cap, "k", whole=True), "k", "line_no", "out", "truncated"))
+        assert b == _values(linescan.capped(lines, cap, "k"), "k", "line_no", "out", "truncated")
+        assert [t for _, t, _ in a] == ["".join(r[2] for r in b if r[0] == k) for k in (1, 2)]
 
 
 def test_names_in_order(spark):

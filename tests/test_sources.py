@@ -13,11 +13,11 @@ def test_texts_drop_bad_bytes(spark, tmp_path):
 
 
 def test_env_file(spark, tmp_path):
-    (tmp_path / "e").write_text("# no\n\nexport A='1=2'\nB = x \nA=\"3\"\n")
+    (tmp_path / "e").write_text("# no\n\nexport A='1=2'\nB = x \nA=\"3\"\nC=\"lone\nexportD=1\n=5\n")
     rows = readers.env_file(spark, str(tmp_path / "e"))
-    assert {r.name: r.value for r in rows.collect()} == {"A": "3", "B": "x"}
+    assert {r.name: r.value for r in rows.collect()} == {"A": "1=2", "B": "x", "C": "lone", "exportD": "1"}
     here = spark.createDataFrame([("B", "kept")], "name string, value string")
-    assert {r.name: r.value for r in readers.with_environment(rows, here).collect()} == {"A": "3", "B": "kept"}
+    assert {r.name: r.value for r in readers.with_environment(rows, here).collect()} == {"A": "1=2", "B": "kept", "C": "lone", "exportD": "1"}
 
 
 def test_json(spark, tmp_path):
@@ -26,9 +26,12 @@ def test_json(spark, tmp_path):
     assert sorted((r.CVE, r.vuln) for r in rows.collect()) == [("A", ["x"]), ("B", None)]
     (tmp_path / "k.json").write_text(json.dumps({"A": {"n": 1}, "B": {"n": 2}}))
     assert {r.key: r.value.n for r in readers.keyed_json(spark, str(tmp_path / "k.json"), "struct<n:int>").collect()} == {"A": 1, "B": 2}
-    sinks.write_json(rows.select("vuln", "CVE"), str(tmp_path / "out"), order=("CVE",))
-    lines = [x for p in sorted((tmp_path / "out").glob("part*")) for x in p.read_text().splitlines()]
-    assert list(json.loads(lines[0])) == ["CVE", "vuln"]
+    said = spark.createDataFrame([('q"\\é', '{"z": 1, "a": {"y": [], "x": null}}'), ("b", "{}")], "k string, v string")
+    sinks.write_json(sinks.object_text(said, "k", said["v"]), str(tmp_path / "out"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part*")))
+    told = {'q"\\é': {"z": 1, "a": {"y": [], "x": None}}, "b": {}}
+    assert whole == json.dumps(told, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    assert json.loads(sinks.object_text(said.limit(0), "k", said["v"]).first().json) == {}
 
 
 def test_result_schema_offers_no_error():
