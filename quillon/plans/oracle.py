@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillon.plans import domain_oracle
+
 _SIMULATED = """
 WITH v AS (SELECT source AS cve, CAST(doc_id AS VARCHAR) AS "binary",
   CASE doc_id % 13 WHEN 0 THEN 'inconclusive' WHEN 1 THEN 'error' WHEN 2 THEN 'not_found' WHEN 3 THEN 'not_affected' WHEN 4 THEN 'not_affected' WHEN 5 THEN 'unrecognised'
@@ -51,27 +53,12 @@ z AS (SELECT doc_id, t, i, i % 3 AS m, 10 + i - (i + 0) // 3 AS old_ln, 20 + i -
   (i % 3 = 1 AND left(t, 2) = '--') OR (i % 3 = 2 AND left(t, 2) = '++') AS lost FROM y)"""
 
 
-def _shift(m: int) -> str:
-    return f"coalesce(sum(CASE WHEN m = {m} AND lost THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-
-
 # context lines move both counters, removed ones the old, added ones the new
 _NUMBERED = f"""{_DIFFS},
-w AS (SELECT doc_id, t, m, i, lost, CAST(10 + (i - i // 3) - CASE WHEN m = 2 THEN 0 ELSE 0 END - {_shift(1)} AS BIGINT) AS old_all, i AS pos FROM z),
 q AS (SELECT doc_id, t, m, i, lost,
   CAST(10 + coalesce(sum(CASE WHEN m IN (0, 1) AND NOT lost THEN 1 ELSE 0 END) OVER b, 0) AS BIGINT) AS old_ln,
   CAST(20 + coalesce(sum(CASE WHEN m IN (0, 2) AND NOT lost THEN 1 ELSE 0 END) OVER b, 0) AS BIGINT) AS new_ln
   FROM z WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-_NUMBERED = _NUMBERED[: _NUMBERED.index(",\nw AS")] + _NUMBERED[_NUMBERED.index(",\nq AS") :]
-
-
-def _values(columns: str, *rows: str) -> str:
-    names = ", ".join(f'"{c.strip()}"' for c in columns.split(","))
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({names})"
-
-
-def _word(name: str) -> str:
-    return f"(^|[^A-Za-z0-9_]){name}([^A-Za-z0-9_]|$)"
 
 
 _SCORES = f"""WITH {_DIFFS}, f AS (SELECT unnest(['the', 'of', 'de']) AS function),
@@ -91,35 +78,17 @@ _PAIRS = """SELECT {key}, {start} AS started_at, {end} AS completed_at{more} FRO
 ORACLES: dict[str, str] = {
     "eval_metrics": _metrics(""),
     "eval_metrics_by_source": _metrics("cve"),
+    "metrics_document": f"""WITH m AS ({_metrics("")}) SELECT TP, TN, FP, FN, TC, "not_affected_FN", accuracy AS A, "DSR", mismatches, true AS written FROM m""",
     "eval_mismatches": f"{_SIMULATED} SELECT cve, \"binary\", expected, predicted FROM o WHERE outcome IN ('FP', 'FN', 'na_fp', 'na_fn')",
-    "groundtruth_normalize": """WITH r(ord, cve, side, l) AS (VALUES (0, 'A', 'vuln', ['x']), (0, 'A', 'patch', ['y', 'x']), (0, 'A', 'not_affected', ['z']), (1, 'B', 'vuln', CAST([] AS VARCHAR[])), (1, 'B', 'patch', ['p', 'p']), (1, 'B', 'not_affected', ['q']), (2, 'A', 'vuln', ['v', 'w', 'v']), (2, 'A', 'patch', ['w']), (2, 'A', 'not_affected', CAST([] AS VARCHAR[]))),
-      k AS (SELECT * FROM r WHERE ord = (SELECT max(ord) FROM r x WHERE x.cve = r.cve)), u AS (SELECT cve, side, unnest(l) AS "binary", generate_subscripts(l, 1) AS i FROM k),
-      m AS (SELECT cve, side, "binary", min(i) AS i FROM u GROUP BY ALL) SELECT cve, side, CAST(row_number() OVER (PARTITION BY cve, side ORDER BY i) - 1 AS INTEGER) AS pos, "binary" FROM m""",
-    "expected_status": _values("cve, binary, expected", "('A', 'w', 'present')", "('A', 'v', 'absent')", "('B', 'p', 'present')", "('B', 'q', 'not_affected')"),
-    "testset_normalize": """WITH r(ord, cve, l) AS (VALUES (0, 'A', ['b', 'a', 'b']), (1, 'B', ['x'] || ['y', 'x'] || CAST([] AS VARCHAR[])), (2, 'A', ['c'])), k AS (SELECT * FROM r WHERE ord = (SELECT max(ord) FROM r x WHERE x.cve = r.cve)),
-      u AS (SELECT cve, unnest(l) AS "binary", generate_subscripts(l, 1) AS i FROM k), m AS (SELECT cve, "binary", min(i) AS i FROM u GROUP BY ALL) SELECT cve, CAST(row_number() OVER (PARTITION BY cve ORDER BY i) - 1 AS INTEGER) AS pos, "binary" FROM m""",
-    "testset_invalid": "SELECT CAST(1 AS BIGINT) AS bad, '3' AS sample",
-    "cveinfo_normalize": _values("cve, summary, cwe", "('CVE-1', 'new', 'c4')", "('CVE-2', 'two', 'c2')", "('CVE-2', 'two', 'c3')"),
-    "change_types": _values("cve, function, change_type", "('CVE-1', 'f', 'deleted')", "('CVE-1', 'g', 'unknown')", "('CVE-2', 'f', 'unknown')"),
     "select_limit": "SELECT DISTINCT source AS cve FROM documents WHERE source LIKE 'src1%' ORDER BY 1 LIMIT 5",
     "task_plan_binarywise": "SELECT regexp_replace('CVE ' || doc_id || '__' || b, '[^A-Za-z0-9_.-]+', '_', 'g') AS run_id, 'CVE ' || doc_id AS cve, b AS \"binary\" FROM (SELECT doc_id, lang AS b FROM documents UNION ALL SELECT doc_id, source FROM documents)",
     "resume_pending": """SELECT CAST(doc_id // 5 AS VARCHAR) AS run_id, count(*) AS binaries FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) FILTER (toxic IS NULL OR toxic = 1) > 0""",
     "anonymize_map": "SELECT conv_id, turn, role, 'target_' || lpad(CAST((SELECT count(*) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn <= c.turn) AS VARCHAR), 3, '0') AS anonymous FROM conversations c",
-    "deanonymize_text": "SELECT id, replace(replace(replace(replace(said, '/t/target_010', 'x'), 'target_010', 'x'), '/t/target_001', 'y'), 'target_001', 'y') AS said FROM (VALUES (1, 'see target_010/target_001'), (2, '/t/target_001 and target_0011'), (3, 'none')) AS t(id, said)",
-    "deanonymize_verdicts": _values("cve, binary, status, confidence, evidence, reasoning", "('C', 'lib-a', 'present', 'high', 'in lib-a', 'lib-b lacks it')", "('C', 'lib-b', 'error', 'low', 'codex output did not contain this requested binary after de-anonymization', 'Missing per-binary result in anonymous final JSON.')"),
     "verdict_extract_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
-    "verdict_validate": _values("cve, binary, status, confidence, evidence, reasoning", "('C1', 'a', 'present', 'high', 'one', 'r')", "('C1', 'b', 'error', 'low', 'codex output did not contain this requested binary', 'Missing per-binary result in final JSON.')",
-        "('C1', 'c', 'error', 'low', 'x|1|True|None', '')", "('C2', 'a', 'not_found', 'low', '7', '')", "('C3', 'a', 'inconclusive', 'odd', '', '')", "('C3', 'b', 'error', 'low', 'codex output did not contain this requested binary', 'Missing per-binary result in final JSON.')",
-        "('C4', 'a', 'error', 'low', 'codex output did not contain this requested binary', 'Missing per-binary result in final JSON.')", "('C5', 'a', 'error', 'low', 'codex output did not contain this requested binary', 'Missing per-binary result in final JSON.')",
-    ),
     "merge_latest": "SELECT user_id, event_type, event_id, value FROM events e WHERE event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_type = e.event_type)",
     "command_pairing": _PAIRS.format(key="user_id", order="event_id", t="(SELECT user_id, event_id, event_type FROM events)", kind="event_type", a="view", b="purchase", start="coalesce(s.event_id, c.event_id)", end="c.event_id", more=", c.event_id - coalesce(s.event_id, c.event_id) AS elapsed, s.event_id IS NOT NULL AS paired").replace("SELECT user_id,", "SELECT c.user_id,", 1),
     "turn_pairing": _PAIRS.format(key="conv_id", order="turn", t="(SELECT conv_id, turn, role, text FROM conversations)", kind="role", a="user", b="assistant", start="coalesce(s.turn, c.turn)", end="c.turn", more=", CAST(strlen(c.text) AS BIGINT) AS bytes").replace("SELECT conv_id,", "SELECT c.conv_id,", 1),
-    "comparable_tokens": """WITH r(config, i, c, o, q) AS (VALUES ('baseline', 166974, 116864, 4581, 1629), ('avoid line numbers', 232236, 175360, 7008, 3060), ('avoid decodedline', 88026, 62464, 3487, 1325), ('batch first', 162473, 135808, 3292, 1238), ('compact final JSON', 105251, 77184, 3390, 1200), ('all four', 155919, 106240, 4484, 2074))
-      SELECT config, CAST(i - c + o + q AS BIGINT) AS comparable, round(((i - c + o + q) - 56320)::DOUBLE * 100 / 56320, 6) AS change_percent FROM r""",
-    "trace_commands": _values("id, command, started_at, completed_at, elapsed, exit_code, output_bytes, rank", "('x', 'ls', 3.0::DOUBLE, 4.5::DOUBLE, 1.5::DOUBLE, 0::BIGINT, 2::BIGINT, 1::BIGINT)", "('y', 'a|b', 6.0, 6.0, 0.0, NULL, 0, 2)"),
     "symbol_ranges": "SELECT user_id, event_id AS addr, event_type AS name, greatest(event_id + 1, least(coalesce((SELECT min(n.event_id) FROM events n WHERE n.user_id = e.user_id AND n.event_id > e.event_id), event_id + 16), event_id + 16)) AS stop FROM events e",
-    "symbol_lookup": "WITH f AS (SELECT user_id, min(event_id) AS addr FROM events WHERE event_type = 'error' GROUP BY 1) SELECT user_id, addr, greatest(addr + 1, least(coalesce((SELECT min(n.event_id) FROM events n WHERE n.user_id = f.user_id AND n.event_id > f.addr), addr + 16), addr + 16)) AS stop FROM f",
     "line_context_grep": f"{_GREP} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, hit, separator, CAST(strlen(line) AS BIGINT) AS bytes FROM s",
     "grep_matched": f"""{_GREP}, b AS (SELECT *, coalesce(sum(strlen(line) + 1 + CASE WHEN separator THEN 3 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
       c AS (SELECT doc_id, g, min(before) AS first, count(*) FILTER (hit) AS hits FROM b GROUP BY 1, 2) SELECT doc_id, CAST(coalesce(sum(hits) FILTER (first <= 512), 0) AS BIGINT) AS matched FROM c GROUP BY 1""",
@@ -128,72 +97,18 @@ ORACLES: dict[str, str] = {
     "hunk_old_new": f"WITH {_DIFFS} SELECT doc_id, 'src/f.c' AS path, count(*) FILTER (m = 1 AND NOT lost) AS old_lines, count(*) FILTER (m = 2 AND NOT lost) AS new_lines, CAST(coalesce(length(string_agg(t, chr(10)) FILTER (m = 2 AND NOT lost)), 0) AS BIGINT) AS new_chars FROM z GROUP BY 1",
     "changed_in_range": f"WITH {_NUMBERED} SELECT DISTINCT doc_id, CASE m WHEN 1 THEN 'old' ELSE 'new' END AS side, CASE m WHEN 1 THEN old_ln ELSE new_ln END AS ln FROM q WHERE m > 0 AND NOT lost AND CASE m WHEN 1 THEN old_ln ELSE new_ln END BETWEEN 12 AND 21",
     "hunk_score_argmax": _SCORES,
-    "diff_file_match": _values("cve, path", "('CVE-2014-36', 'd/curl_CVE-2014-3613_abcdef0.diff')", "('CVE-2014-3613', 'd/curl_CVE-2014-3613_aaaaaaaa.diff')", "('CVE-2015-1', NULL)", "('CVE-2016-2', 'd/curl_CVE-2016-2_ffffffffff1.diff')"),
-    "diff_candidates": _values("cve, file", "('C', 'x/abc.diff')", "('D', 'y.diff')"),
-    "hunk_overlap": """WITH h(cve, header, s, e) AS (VALUES (1, '@@ -1,2 +1,2 @@', 1, 2), (1, '@@ -8,3 +9,0 @@', 9, 9), (1, '@@ -20 +22 @@ a - b', 22, 22), (2, '@@ -1,1 +1,1 @@', 1, 1)), f(cve, function, a, b) AS (VALUES (1, 'f', 9, 21), (1, 'g', 100, 110), (2, 'h', 1, 1))
-      SELECT h.cve, function, header FROM h JOIN f ON h.cve = f.cve WHERE (e >= a AND s <= b) OR NOT EXISTS (SELECT 1 FROM h x WHERE x.cve = f.cve AND x.e >= a AND x.s <= b)""",
     "interval_containment": """WITH i AS (SELECT l_orderkey, l_linenumber AS s, l_linenumber + CAST(floor(l_quantity) AS INTEGER) % 5 AS e, l_partkey AS q FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s - e, s, q) AS k FROM i)
       SELECT l_orderkey, CAST(s AS BIGINT) AS start_line, CAST(e AS BIGINT) AS end_line FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.l_orderkey = a.l_orderkey AND b.k < a.k AND b.s <= a.s AND a.e <= b.e)""",
-    "decl_closure": "WITH RECURSIVE d(fn, var, dep) AS (VALUES ('f', 'a', 'a'), ('f', 'a', 'b'), ('f', 'b', 'b'), ('f', 'b', 'c'), ('f', 'c', 'a'), ('f', 'z', 'y')), r AS (SELECT 'f' AS fn, 'a' AS var UNION SELECT d.fn, d.dep FROM r JOIN d ON d.fn = r.fn AND d.var = r.var) SELECT fn, var FROM r",
-    "macro_resolve": _values("file, name, value", "('1', 'A', '33')", "('1', 'B', '32')", "('1', 'C', '( B+1 )')", "('1', 'F(a,', 'b ) x')", "('1', 'H', '1')", "('2', 'L', '8')", "('2', 'Q', '7 / 2')", "('2', 'S', '\"text\"')", "('2', 'T', 'T')", "('2', 'T2', 'T2')"),
-    "identifier_classify": _values("fn, line, name, kind", "('f', 1, 'len', 'local_or_param')", "('f', 1, 'memcpy', 'api')", "('f', 1, 'MAX', 'macro')", "('f', 2, 'memcpy', 'global_or_external')", "('f', 2, 'ext', 'global_or_external')"),
-    "source_sink_edges": """WITH e(fn, var, line, op, rhs) AS (VALUES ('f', 'd', 3, 'def', ['len', 'MAX', 'tmp', 'ext']), ('f', 'len', 1, 'param_def', NULL), ('f', 'd', 2, 'def_decl', NULL)), r(name, role) AS (VALUES ('len', 'param'), ('MAX', 'macro'), ('tmp', 'local')), u AS (SELECT var, line, unnest(rhs) AS name FROM e WHERE op <> 'param_def')
-      SELECT coalesce(role, 'global_or_external') || ':' || name AS source, var AS "to", CAST(line AS BIGINT) AS line, 'rhs_dep' AS kind FROM u LEFT JOIN r USING (name) UNION ALL SELECT 'param:' || var, var, CAST(line AS BIGINT), 'param_def' FROM e WHERE op = 'param_def'""",
-    "defuse_group": _values("var, defs, uses, all_events", "('d', '2,3', '5', '2,3,5')", "('len', '1', '', '1')", "('none', '', '', '')"),
-    # worked by hand from the C text in the query
-    "def_use_events": _values(
-        "line, end_line, var, op, node_type, rhs, callee",
-        "(1::BIGINT, 1::BIGINT, 'n', 'param_def', 'parameter_declaration', NULL, NULL)",
-        "(1, 1, 'p', 'param_def', 'parameter_declaration', NULL, NULL)",
-        "(3, 3, 'n', 'def_decl', 'declaration', NULL, NULL)",
-        "(3, 3, 'n', 'use', 'init_declarator', NULL, NULL)",
-        "(3, 3, 'q', 'def_decl', 'declaration', NULL, NULL)",
-        "(3, 3, 'total', 'def', 'init_declarator', NULL, NULL)",
-        "(3, 3, 'total', 'def_decl', 'declaration', NULL, NULL)",
-        "(4, 4, 'buf', 'def_decl', 'declaration', NULL, NULL)",
-        "(5, 8, 'n', 'use_control', 'if_statement', NULL, NULL)",
-        "(5, 8, 'p', 'use_control', 'if_statement', NULL, NULL)",
-        "(6, 6, 'p', 'use', 'assignment_expression', NULL, NULL)",
-        "(6, 6, 'total', 'def', 'assignment_expression', 'p', NULL)",
-        "(7, 7, 'buf', 'use_call', 'call_expression', NULL, 'copy')",
-        "(7, 7, 'n', 'use_call', 'call_expression', NULL, 'copy')",
-        "(7, 7, 'p', 'use_call', 'call_expression', NULL, 'copy')",
-        "(9, 10, 'n', 'use_control', 'for_statement', NULL, NULL)",
-        "(10, 10, 'q', 'def', 'assignment_expression', 'i,next,q', NULL)",
-        "(10, 10, 'q', 'use', 'assignment_expression', NULL, NULL)",
-        "(10, 10, 'q', 'use_call', 'call_expression', NULL, 'next')",
-        "(11, 11, 'n', 'def', 'update_expression', NULL, NULL)",
-        "(11, 11, 'n', 'use', 'update_expression', NULL, NULL)",
-        "(12, 12, 'total', 'use_control', 'return_statement', NULL, NULL)",
-    ),
-    "reduced_code": "SELECT '1' AS fn, replace('static int add(struct s *p, int n)|{|char buf[SIZE];||copy(buf, p->data, n);|}', '|', chr(10)) AS code",
     "status_histogram": "SELECT coalesce(nullif(CASE WHEN quality = 0 THEN 'failed' WHEN toxic = 1 THEN '' WHEN quality = 1 THEN 'ok' END, ''), 'unknown') AS value, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "template_render": "SELECT doc_id, coalesce(lang, '') || ' ' || coalesce(source, '') || ': ' || coalesce(source || ' ' || n_chars, '') AS prompt FROM documents",
-    "path_predicates": _values("path, code, safe, run_id", "('a/b.c', true, 'a_b.c', 'a_b.c')", "('x.H', true, 'x.H', 'x.H')", "('y.tar.gz', false, 'y.tar.gz', 'y.tar.gz')", "('.c', false, '.c', '.c')", "('Makefile', false, 'Makefile', 'Makefile')", "('d.c/readme', false, 'd.c_readme', 'd.c_readme')", "('é b.cpp', true, 'é_b.cpp', '_b.cpp')"),
-    "path_functions": _values("path, inside, project, of_diff, capped", "('/w/curl/in.json', true, 'curl', 'curl', '/w/curl/' || chr(10) || '...')", "('/w/own/set.v1.json', false, 'set.v1', NULL, '/w/own/s' || chr(10) || '...')", "('/own', false, 'own', NULL, '/own')", "('/w/curl', true, 'w', NULL, '/w/curl')"),
-    "exposed_answers": _values("path, root", "('/a/truth.json', '/a')"),
-    "provider_settings": _values("name, settings, no_proxy", "('p', '-c|model_provider=\"p\"|-c|model_providers.p={name=\"p\", base_url=\"http://h/v1\", env_key=\"K\", wire_api=\"chat\", requires_openai_auth=false}', 'a,h,a,localhost')", "('codex', '', 'a,h,a,localhost')"),
-    "parse_integers": _values("t, v", "('42', 42::BIGINT)", "('0x1F', 31)", "('0b101', 5)", "('0o17', 15)", "('-7', -7)", "('1_000', 1000)", "('x', NULL)", "('', NULL)"),
-    "resolve_binaries": _values("binary, actual", "('b', 'b-deployed')", "('c', 'c')", "('d', 'd-clang-O0')"),
     "clamp_limits": "SELECT event_id, greatest(1, least(event_id % 9000, 4096)) AS window, greatest(0, least(event_id % 40, 16)) AS context, greatest(1024, least(user_id * 700, 65536)) AS max_output FROM events",
     "address_windows": "SELECT event_id, greatest(0, event_id - greatest(1, (user_id % 7) // 2)) AS low, event_id + greatest(1, (user_id % 7) // 2) AS high FROM events",
-    "model_profiles": _values("name, base_url, api_key_env, problem, level, effort", "('a', NULL, NULL, NULL, 'Os', NULL)", "('b', 'u', 'K', NULL, 'Os', 'high')", "('c', 'u', 'K', 'base_url, wire_api and model are needed', 'Os', NULL)", "('d', 'u', NULL, NULL, 'Os', NULL)", "('e', 'u', NULL, 'api_key_env is missing', 'Os', NULL)", "('f', 'u', 'K', 'reasoning needs an effort', 'Os', NULL)"),
-    "alias_resolution": _values("id, name, problem", "(1, 'p1', NULL)", "(2, 'p2', NULL)", "(3, 'p1', NULL)", "(4, NULL, 'unknown provider alias; available: fast, old')", "(5, 'gone', 'unknown profile; available: p1, p2')"),
     "compact_rollup": """SELECT conv_id AS cve_id, arg_min(role, turn) AS cwe, arg_min(CAST(turn AS VARCHAR), turn) AS message, string_agg(role || ',h', ',' ORDER BY turn) AS hunks, count(*) AS functions FROM conversations GROUP BY 1""",
     "behaviour_statistics": "SELECT count(*) FILTER (doc_id % 6 = 0) AS analyzed, count(*) FILTER (doc_id % 4 = 0) AS errors FROM documents",
-    "build_statistics": "SELECT count(*) AS emitted_cves, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS missing_info, count(*) FILTER (doc_id % 3 = 0) AS missing_diff, count(*) AS functions, count(*) FILTER (doc_id % 5 > 0) AS functions_with_file FROM documents",
-    "analysis_validate": _values(
-        "id, analysis_error, cause, mechanism, behaviors", "(1, NULL, 'c', '7', 'b|d')", "(2, 'missing root_cause_analysis or patch_intent_analysis', NULL, NULL, NULL)", "(3, 'no JSON object in the answer', NULL, NULL, NULL)",
-        "(4, 'patch_intent_analysis.behavior_changes must be a string list', NULL, NULL, NULL)", "(5, 'missing root_cause_analysis or patch_intent_analysis', NULL, NULL, NULL)",
-    ),
-    "timing_report": """WITH h(t) AS (VALUES ('# Codex Exec Timing: %1||Total wall time: %2s|Return code: %3||## Turns||! Turn ! Duration (s) ! Input Tokens ! Cached Input ! Output Tokens ! Reasoning Tokens !|!---:!---:!---:!---:!---:!---:!|%4||## Command Executions||! Rank ! Duration (s) ! Exit ! Output Bytes ! Command !|!---:!---:!---:!---:!---!|%5')),
-      r(run_id, a, b, c, d, e) AS (VALUES ('r', 'C', '4.250', '0', '! 1 ! 3.000 ! 10 ! 2 ! 3 !  !', '! 1 ! 1.500 ! 0 ! 2 ! `a\\!b` !|'), ('s', 'D', '1.000', 'None', '!  !  !  !  !  !  !', ''))
-      SELECT run_id, replace(replace(replace(replace(replace(replace(replace(t, '%1', a), '%2', b), '%3', c), '%4', d), '%5', e), '|', chr(10)), '!', '|') AS markdown FROM h, r""",
-    "prompt_payload": """SELECT 'C-1' AS cve, replace('{|  "cve": "C-1",|  "metadata": {|    "a": {|      "b": [|        1,|        "é"|      ]|    }|  },|  "requested_binaries": [|    "x"|  ],|  "binary_resolution": {|    "x": "x-gcc-O0"|  },|  "target_dir": "/t",|  "compiler": "gcc",|  "optimization": "O0"|}', '|', chr(10)) AS payload""",
     "metadata_join": "SELECT doc_id AS cve, lang AS \"binary\", 'error' AS status, 'low' AS confidence FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "progress_ordinals": "SELECT source AS cve, row_number() OVER (ORDER BY source) AS n FROM (SELECT DISTINCT source FROM documents)",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | domain_oracle.ORACLES

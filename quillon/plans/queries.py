@@ -1,4 +1,4 @@
-"""The query catalogue: each operator over the volume tables or over small literal inputs."""
+"""The query catalogue: each operator over the volume tables; see also domain.py."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import jsons, text
-from quillon.operators import attribution, dataflow, diff, evaluation, intervals, linescan, macros, models, normalise, planning, rollup, syntax, trace, verdict
-from quillon.sources.tables import table, written
+from quillon.operators import attribution, diff, evaluation, intervals, linescan, planning, rollup, trace, verdict
+from quillon.plans import domain
+from quillon.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +25,7 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
 
 
-def _simulated(spark: SparkSession, sf: str) -> DataFrame:
+def simulated(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts made up from doc_id by a fixed rule (labels are data, verdicts are simulated), with
     what the labels expect. A source stands for a CVE, src19 is in no ground truth."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -38,64 +39,17 @@ def _simulated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(evaluation.metrics(_simulated(spark, sf)))
+    return _rounded(evaluation.metrics(simulated(spark, sf)))
 
 
 @query
 def eval_metrics_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(evaluation.metrics(_simulated(spark, sf), "cve"))
+    return _rounded(evaluation.metrics(simulated(spark, sf), "cve"))
 
 
 @query
 def eval_mismatches(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.mismatches(_simulated(spark, sf)).select("cve", "binary", "expected", "predicted")
-
-
-_TRUTH = """SELECT * FROM VALUES
- (0, 'A', array('x'), array('y', 'x'), array('z')), (1, 'B', cast(null as array<string>), array('p', 'p'), array('q')), (2, 'A', array('v', 'w', 'v'), array('w'), cast(null as array<string>))
- AS t(ord, CVE, vuln, patch, not_affected)"""
-
-
-@query
-def groundtruth_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = normalise.groundtruth(spark.sql(_TRUTH))
-    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("l")) for s in normalise.SIDES))
-    return rows.select("cve", F.explode(sides).alias("x")).select("cve", "x.side", F.posexplode("x.l").alias("pos", "binary"))
-
-
-@query
-def expected_status(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.expected_statuses(normalise.groundtruth(spark.sql(_TRUTH)))
-
-
-_TESTSET = """SELECT * FROM VALUES
- (0, 'A', array('f'), array('b', 'a', 'b'), cast(null as array<string>), cast(null as array<string>), cast(null as array<string>)),
- (1, 'B', array('g'), cast(null as array<string>), array('x'), array('y', 'x'), cast(array() as array<string>)),
- (2, 'A', array('f'), array('c'), cast(null as array<string>), cast(null as array<string>), cast(null as array<string>)),
- (3, 'D', array('f'), cast(array() as array<string>), cast(null as array<string>), cast(null as array<string>), cast(null as array<string>))
- AS t(ord, CVE, functions, binaries, vuln, patch, not_affected)"""
-
-
-@query
-def testset_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return normalise.testset(spark.sql(_TESTSET).filter("ord < 3")).select("cve", F.posexplode("binaries").alias("pos", "binary"))
-
-
-@query
-def testset_invalid(spark: SparkSession, sf: str) -> DataFrame:
-    return normalise.invalid_testset(spark.sql(_TESTSET))
-
-
-@query
-def cveinfo_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    raw = spark.sql("SELECT * FROM VALUES (0, 'CVE-1', null, null, 'old', array('c1')), (1, '', 'CVE-2', null, 'two', array('c2', 'c3')), (2, null, null, 'CVE-1', 'new', array('c4')), (3, 'X', null, null, 'no', array('c')) AS t(ord, id, cve, upper_cve, summary, cwe)")
-    return normalise.cveinfo(raw).select("cve", "summary", F.explode("cwe").alias("cwe"))
-
-
-@query
-def change_types(spark: SparkSession, sf: str) -> DataFrame:
-    raw = spark.sql("SELECT * FROM VALUES ('CVE-1', array(named_struct('function', 'f', 'type', 'modified'), named_struct('function', 'g', 'type', ''), named_struct('function', 'f', 'type', 'deleted'))), ('CVE-2', array(named_struct('function', 'f', 'type', cast(null as string)), named_struct('function', '', 'type', 'added'))) AS t(cve, analysis)")
-    return normalise.change_types(raw)
+    return evaluation.mismatches(simulated(spark, sf)).select("cve", "binary", "expected", "predicted")
 
 
 @query
@@ -124,20 +78,6 @@ def anonymize_map(spark: SparkSession, sf: str) -> DataFrame:
     return planning.anonymous_names(table(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
 
 
-@query
-def deanonymize_text(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES (1, 'see target_010/target_001'), (2, '/t/target_001 and target_0011'), (3, 'none') AS t(id, said)")
-    names = F.expr("array(named_struct('anonymous', 'target_001', 'original', 'y'), named_struct('anonymous', 'target_010', 'original', 'x'))")
-    return rows.select("id", text.remap_names(F.col("said"), names, F.lit("/t")).alias("said"))
-
-
-@query
-def deanonymize_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    said = spark.sql("SELECT * FROM VALUES ('C', 'target_001', 'present', 'high', array('in target_001'), 'target_002 lacks it') AS t(cve, binary, status, confidence, evidence, reasoning)")
-    names = spark.sql("SELECT * FROM VALUES ('C', 'target_001', 'lib-a'), ('C', 'target_002', 'lib-b') AS t(cve, anonymous, original)")
-    return verdict.deanonymised(said, names).select("cve", "binary", "status", "confidence", F.array_join("evidence", "|").alias("evidence"), "reasoning")
-
-
 @query
 def verdict_extract_json(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id") % 4
@@ -147,21 +87,6 @@ def verdict_extract_json(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
-_SAID = r"""SELECT * FROM VALUES
- ('C1', array('a', 'b', 'c'), '{"results": [{"cve": "C1", "binary": "a", "status": "absent"}, {"binary": "a", "status": "present", "confidence": "high", "evidence": "one", "reasoning": "r"}, {"cve": "C9", "binary": "b", "status": "present"}, {"cve": "C1", "binary": "c", "status": "foo", "evidence": ["x", 1, true, null]}]}'),
- ('C2', array('a'), 'text {"C2": {"a": {"status": "not_found", "evidence": 7}}} more'),
- ('C3', array('a', 'b'), '```json\n{"a": {"status": "inconclusive", "confidence": "odd"}}\n```'),
- ('C4', array('a'), '```json\n{bad}\n``` {"a": {"status": "present"}}'),
- ('C5', array('a'), '')
- AS t(cve, binaries, final_text)"""
-
-
-@query
-def verdict_validate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = verdict.validated(verdict.extracted(spark.sql(_SAID)))
-    return rows.select("cve", "binary", "status", "confidence", F.array_join("evidence", "|").alias("evidence"), "reasoning")
-
-
 @query
 def merge_latest(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value", F.col("event_id").alias("written"))
@@ -184,39 +109,12 @@ def turn_pairing(spark: SparkSession, sf: str) -> DataFrame:
     return trace.paired(rows, ["conv_id"], "turn", "turn", "phase").select("conv_id", "started_at", "completed_at", "bytes")
 
 
-_RUNS = """SELECT * FROM VALUES ('baseline', 166974, 116864, 4581, 1629), ('avoid line numbers', 232236, 175360, 7008, 3060), ('avoid decodedline', 88026, 62464, 3487, 1325),
- ('batch first', 162473, 135808, 3292, 1238), ('compact final JSON', 105251, 77184, 3390, 1200), ('all four', 155919, 106240, 4484, 2074)
- AS t(config, input_tokens, cached_tokens, output_tokens, reasoning_tokens)"""
-
-
-@query
-def comparable_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(trace.comparable_tokens(spark.sql(_RUNS), "baseline").select("config", F.col("comparable").cast("long").alias("comparable"), "change_percent"))
-
-
-@query
-def trace_commands(spark: SparkSession, sf: str) -> DataFrame:
-    lines = spark.sql(
-        r"""SELECT * FROM VALUES (1, 'stdout', 2.0, '{"type":"item.started","item":{"id":"x","type":"command_execution","command":"ls"}}'), (2, 'stdout', 3.0, '{"type":"item.started","item":{"id":"x","type":"command_execution","command":"ls"}}'),
-        (3, 'stdout', 4.5, '{"type":"item.completed","item":{"id":"x","type":"command_execution","command":"ls","exit_code":0,"aggregated_output":"é"}}'), (4, 'stdout', 5.0, 'noise'), (5, 'stderr', 5.0, '{"type":"turn.started"}'),
-        (6, 'stdout', 6.0, '{"type":"item.completed","item":{"id":"y","type":"command_execution","command":"a|b"}}') AS t(seq, stream, time, line)"""
-    )
-    rows = trace.commands(trace.parsed(lines.select(F.lit("r").alias("run_id"), F.col("seq").cast("long").alias("seq"), "stream", F.col("time").cast("double").alias("time"), "line")))
-    return rows.select("id", "command", "started_at", "completed_at", "elapsed", F.col("exit_code").cast("long").alias("exit_code"), "output_bytes", F.col("rank").cast("long").alias("rank"))
-
-
 @query
 def symbol_ranges(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("addr"), F.col("event_type").alias("name"), F.col("event_id").alias("seq"))
     return linescan.symbol_ranges(rows, 16, "user_id").select("user_id", "addr", "name", "stop")
 
 
-@query
-def symbol_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("addr"), F.col("event_type").alias("name"), F.col("event_id").alias("seq"))
-    return linescan.symbol_range(linescan.symbol_ranges(rows, 16, "user_id"), "error", "user_id").select("user_id", "addr", "stop")
-
-
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return linescan.lines_of(table(spark, sf, "documents").filter("text is not null"), "text", "doc_id")
 
@@ -234,7 +132,7 @@ def grep_matched(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def byte_capped_emit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = linescan.capped(_lines(spark, sf), 256, "doc_id")
+    rows = linescan.capped(_lines(spark, sf), 256, "doc_id", whole=True)
     return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.least(F.max("bytes_to"), F.lit(256)).cast("long").alias("bytes"), F.bool_or("truncated").alias("truncated"))
 
 
@@ -274,94 +172,12 @@ def hunk_score_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.inferred_files(scores, "doc_id").select("doc_id", "function", "file", "inferred_by", F.col("score").cast("long").alias("score"))
 
 
-@query
-def diff_file_match(spark: SparkSession, sf: str) -> DataFrame:
-    cves = spark.sql("SELECT * FROM VALUES ('CVE-2014-36', 'ABCDEF0123456789'), ('CVE-2014-3613', ''), ('CVE-2015-1', 'feed'), ('CVE-2016-2', 'ffffffffffff') AS t(cve, commit)")
-    paths = spark.sql("SELECT * FROM VALUES ('d/curl_CVE-2014-3613_aaaaaaaa.diff'), ('d/curl_CVE-2014-3613_abcdef0.diff'), ('d/curl_CVE-2016-2_000.diff'), ('d/curl_CVE-2016-2_ffffffffff1.diff'), ('d/other_CVE-2016-2_ffffffffffff.diff') AS t(path)")
-    return attribution.match_diff_files(cves, paths, "curl")
-
-
-@query
-def diff_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES ('C', 'abc', 0, 'x/1.diff', true), ('C', 'abc', 1, 'x/abc.diff', false), ('D', '', 0, '', true), ('D', '', 1, 'y.diff', false), ('D', '', 2, 'z.diff', false) AS t(cve, commit, ord, file, exists)")
-    return attribution.pick_candidate(rows)
-
-
-@query
-def hunk_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    hunks = spark.sql("SELECT * FROM VALUES (1, '@@ -1,2 +1,2 @@'), (1, '@@ -8,3 +9,0 @@'), (1, '@@ -20 +22 @@ a - b'), (2, '@@ -1,1 +1,1 @@') AS t(cve, header)")
-    functions = spark.sql("SELECT * FROM VALUES (1, 'f', 9, 21), (1, 'g', 100, 110), (2, 'h', 1, 1) AS t(cve, function, start_line, end_line)")
-    return diff.overlapping(hunks, functions, "cve").select("cve", "function", "header")
-
-
 @query
 def interval_containment(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("start_line"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 5).alias("end_line"), F.col("l_partkey").alias("seq"))
     return intervals.outermost(rows, "l_orderkey").select("l_orderkey", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
-@query
-def decl_closure(spark: SparkSession, sf: str) -> DataFrame:
-    needed = spark.sql("SELECT 'f' AS fn, 'a' AS var")
-    depends = spark.sql("SELECT * FROM VALUES ('f', 'a', 'a'), ('f', 'a', 'b'), ('f', 'b', 'b'), ('f', 'b', 'c'), ('f', 'c', 'a'), ('f', 'z', 'y') AS t(fn, var, dep)")
-    return intervals.closure(needed, depends)
-
-
-_MACROS = """SELECT * FROM VALUES ('1', '#define A (B + 1)\n#define B 0x10\n#define C (B+1)\n#define F(a, b) x\n#define G(x) y\n#define H\n  #define B 0x20  '), ('2', '#define L (1 << 3)\n#define Q 7 / 2\n#define S "text"\n#define T T2\n#define T2 T\nint A;') AS t(file, text)"""
-
-
-@query
-def macro_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    return macros.resolved(macros.definitions(spark.sql(_MACROS), "file"), "file")
-
-
-@query
-def identifier_classify(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.sql("SELECT * FROM VALUES ('f', 1, 'len'), ('f', 1, 'memcpy'), ('f', 1, 'MAX'), ('f', 2, 'memcpy'), ('f', 2, 'ext') AS t(fn, line, name)")
-    apis = spark.sql("SELECT 'f' AS fn, 1 AS line, 'memcpy' AS name")
-    return dataflow.classified(names, apis, spark.sql("SELECT 'f' AS fn, 'MAX' AS name"), spark.sql("SELECT 'f' AS fn, 'len' AS name"))
-
-
-_EVENTS = """SELECT * FROM VALUES ('f', 'd', 3, 'def', array('len', 'MAX', 'tmp', 'ext'), 1), ('f', 'len', 1, 'param_def', cast(null as array<string>), 2), ('f', 'd', 2, 'def_decl', cast(null as array<string>), 3), ('f', 'd', 5, 'use_call', cast(null as array<string>), 4), ('f', 'q', 6, 'use', cast(null as array<string>), 5)
- AS t(fn, var, line, op, rhs_vars, seq)"""
-
-
-@query
-def source_sink_edges(spark: SparkSession, sf: str) -> DataFrame:
-    sink = spark.sql("SELECT * FROM VALUES ('f', 'd'), ('f', 'len') AS t(fn, var)")
-    symbols = spark.sql("SELECT * FROM VALUES ('f', 'len', 'param'), ('f', 'MAX', 'macro'), ('f', 'tmp', 'local'), ('f', 'len', 'local') AS t(fn, name, role)")
-    return dataflow.edges(spark.sql(_EVENTS), sink, symbols).select("source", "to", F.col("line").cast("long").alias("line"), "kind")
-
-
-@query
-def defuse_group(spark: SparkSession, sf: str) -> DataFrame:
-    tracked = spark.sql("SELECT * FROM VALUES ('f', 'd'), ('f', 'len'), ('f', 'none') AS t(fn, var)")
-    rows = dataflow.by_variable(tracked, spark.sql(_EVENTS))
-    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return rows.select("var", joined("defs"), joined("uses"), joined("all_events"))
-
-
-_C = "static int add(struct s *p, int n)\n{\n  int total = n, *q;\n  char buf[SIZE];\n  if (p->len > n) {\n    total += p->len;\n    copy(buf, p->data, n);\n  }\n  for (int i = 0; i < n; i++)\n    q = next(q, i);\n  do { n--; } while (n);\n  return total;\n}\n"
-
-
-@query
-def def_use_events(spark: SparkSession, sf: str) -> DataFrame:
-    source = spark.createDataFrame([("1", _C)], "fn_id string, text string")
-    tracked = spark.sql("SELECT '1' AS fn, explode(array('total', 'n', 'p', 'buf', 'q')) AS name")
-    rows = dataflow.events(syntax.def_use(syntax.parse(source), source, tracked))
-    return rows.select(F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), "var", "op", "node_type", F.array_join("rhs_vars", ",").alias("rhs"), "callee")
-
-
-@query
-def reduced_code(spark: SparkSession, sf: str) -> DataFrame:
-    source = spark.createDataFrame([("1", _C)], "fn_id string, text string")
-    nodes = written(syntax.parse(source))
-    events = written(dataflow.events(syntax.def_use(nodes, source, spark.sql("SELECT '1' AS fn, 'buf' AS name"))))
-    changed = spark.sql("SELECT '1' AS fn, 7L AS ln, '    copy(buf, p->data, n);' AS content")
-    named = lambda df: df.withColumnRenamed("fn_id", "fn")
-    return dataflow.reduced_code(named(syntax.headers(nodes)), dataflow.focused_blocks(changed, events), named(syntax.declarations(nodes)), named(syntax.local_names(nodes)), named(syntax.parameters(nodes)))
-
-
 @query
 def status_histogram(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -376,44 +192,6 @@ def template_render(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", said.alias("prompt"))
 
 
-@query
-def path_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql("SELECT explode(array('a/b.c', 'x.H', 'y.tar.gz', '.c', 'Makefile', 'd.c/readme', 'é b.cpp')) AS path")
-    return rows.select("path", F.coalesce(text.is_code_path(F.col("path")), F.lit(False)).alias("code"), text.safe_name(F.col("path")).alias("safe"), text.run_id_of(F.col("path")).alias("run_id"))
-
-
-@query
-def path_functions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql("SELECT explode(array('/w/curl/in.json', '/w/own/set.v1.json', '/own', '/w/curl')) AS path")
-    return rows.select("path", text.is_inside(F.col("path"), F.lit("/w/curl/")).alias("inside"), text.project_name(F.col("path"), "own").alias("project"), text.project_of_diff(F.col("path"), ("php", "curl")).alias("of_diff"), text.capped(F.col("path"), 8).alias("capped"))
-
-
-@query
-def exposed_answers(spark: SparkSession, sf: str) -> DataFrame:
-    answers = spark.sql("SELECT explode(array('/a/truth.json', '/ab/truth.json')) AS path")
-    return planning.exposed_answers(answers, spark.sql("SELECT explode(array('/a', '/c')) AS root"))
-
-
-@query
-def provider_settings(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES ('p', 'http://h/v1', 'K', false), ('codex', null, null, true) AS t(name, url, key, current)")
-    made = models.provider_overrides(F.col("name"), F.col("url"), F.lit("chat"), F.col("key"), F.lit(False), F.col("current"))
-    return rows.select("name", F.array_join(made, "|").alias("settings"), models.without_proxy(F.lit("a, h,a"), F.lit("localhost"), F.lit("h")).alias("no_proxy"))
-
-
-@query
-def parse_integers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql("SELECT explode(array('42', '0x1F', '0b101', '0o17', '-7', '1_000', 'x', '')) AS t")
-    return rows.select("t", text.parse_int(F.col("t")).cast("long").alias("v"))
-
-
-@query
-def resolve_binaries(spark: SparkSession, sf: str) -> DataFrame:
-    asked = spark.sql("SELECT * FROM VALUES ('b', 'gcc'), ('c', 'gcc'), ('d', 'clang') AS t(binary, compiler)")
-    files = spark.sql("SELECT explode(array('b-deployed', 'b-gcc-O0', 'c')) AS name")
-    return planning.resolve_binaries(asked, files, text.optimisation_level(F.lit("o0"))).select("binary", "actual")
-
-
 @query
 def clamp_limits(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_id", F.pmod("event_id", F.lit(9000)).alias("window"), F.pmod("event_id", F.lit(40)).alias("context"), (F.col("user_id") * 700).alias("max_output"))
@@ -427,24 +205,6 @@ def address_windows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", low.cast("long").alias("low"), high.cast("long").alias("high"))
 
 
-@query
-def model_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    raw = spark.sql(
-        """SELECT * FROM VALUES ('a', 'codex', 'u', 'w', 'm', cast(null as array<string>), false, 'inherit', cast(null as string)), ('b', 'x', 'u', 'w', 'm', array('K', 'L'), false, 'on', 'high'),
-        ('c', 'x', 'u', '', 'm', array('K'), false, 'off', null), ('d', 'x', 'u', 'w', 'm', null, true, null, null), ('e', 'x', 'u', 'w', 'm', null, false, 'off', null), ('f', 'x', 'u', 'w', 'm', array('K'), false, 'on', null)
-        AS t(name, provider, base_url, wire_api, model, api_key_envs, requires_auth, mode, effort)"""
-    )
-    rows = models.profiles(raw)
-    return rows.select("name", "base_url", "api_key_env", "problem", text.optimisation_level(F.lit("Os")).alias("level"), models.reasoning_effort(F.lit(""), F.col("mode"), F.col("effort")).alias("effort"))
-
-
-@query
-def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    aliases = spark.sql("SELECT * FROM VALUES ('fast', 'p1'), ('old', 'gone') AS t(alias, target)")
-    asked = spark.sql("SELECT * FROM VALUES (1, 'fast', 'p2'), (2, cast(null as string), 'p2'), (3, null, null), (4, 'none', null), (5, 'old', null) AS t(id, provider, profile)")
-    return models.resolved(asked, aliases, spark.sql("SELECT explode(array('p1', 'p2')) AS name"), "p1")
-
-
 @query
 def compact_rollup(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
@@ -460,43 +220,6 @@ def behaviour_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.behaviour_statistics(docs.select(pick(2).alias("root_cause_analysis"), pick(3).alias("patch_intent_analysis"), pick(4).alias("behavior_analysis_error")))
 
 
-@query
-def build_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    cves = docs.join(labels.select("doc_id", F.lit(True).alias("has")), "doc_id", "left").select(F.col("has").isNull().alias("no_info"), F.when(F.col("doc_id") % 3 > 0, "p").alias("path"))
-    functions = docs.select(F.when(F.col("doc_id") % 5 > 0, "f.c").otherwise("").alias("file"))
-    return attribution.build_statistics(cves, functions)
-
-
-@query
-def analysis_validate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql(
-        r"""SELECT * FROM VALUES (1, '```json\n{"root_cause_analysis": {"summary": " c ", "unsafe_mechanism": 7}, "patch_intent_analysis": {"summary": "i", "behavior_changes": [" b ", "", "d"]}}\n```'),
-        (2, 'x {"root_cause_analysis": {}} y'), (3, '[1]'), (4, '{"root_cause_analysis": {}, "patch_intent_analysis": {"behavior_changes": [1]}}'), (5, '{"root_cause_analysis": 1, "patch_intent_analysis": {}}') AS t(id, text)"""
-    )
-    made = verdict.analyses(rows)
-    root, intent = "analysis.root_cause_analysis", "analysis.patch_intent_analysis"
-    return made.select("id", "analysis_error", F.col(f"{root}.summary").alias("cause"), F.col(f"{root}.unsafe_mechanism").alias("mechanism"), F.array_join(f"{intent}.behavior_changes", "|").alias("behaviors"))
-
-
-_TRACE = r"""SELECT * FROM VALUES (1, 'stdout', 2.0, '{"type":"item.started","item":{"id":"x","type":"command_execution","command":"a|b"}}'), (2, 'stdout', 3.5, '{"type":"item.completed","item":{"id":"x","type":"command_execution","command":"a|b","exit_code":0,"aggregated_output":"ok"}}'),
- (3, 'stdout', 1.0, '{"type":"turn.started"}'), (4, 'stdout', 4.0, '{"type":"turn.completed","usage":{"input_tokens":10,"cached_input_tokens":2,"output_tokens":3}}') AS t(seq, stream, time, line)"""
-
-
-@query
-def timing_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = trace.parsed(spark.sql(_TRACE).select(F.lit("r").alias("run_id"), F.col("seq").cast("long").alias("seq"), "stream", F.col("time").cast("double").alias("time"), "line"))
-    runs = spark.sql("SELECT * FROM VALUES ('r', 'C', 4.25D, 0), ('s', 'D', 1D, cast(null as int)) AS t(run_id, cve, elapsed, returncode)")
-    return trace.timing_markdown(runs, trace.commands(rows), trace.turns(rows))
-
-
-@query
-def prompt_payload(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql("""SELECT 'C-1' AS cve, '{"a": {"b": [1, "é"]}}' AS metadata, array('x') AS binaries""")
-    made = jsons.prompt_payload(F.col("cve"), F.col("metadata"), F.col("binaries"), F.create_map(F.lit("x"), F.lit("x-gcc-O0")), F.lit("/t"), F.lit("gcc"), F.lit("O0"))
-    return rows.select("cve", made.alias("payload"))
-
-
 @query
 def metadata_join(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -512,4 +235,4 @@ def progress_ordinals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | domain.QUERIES
