@@ -87,13 +87,13 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", led
     rows and rows with null ids each keep their row. An empty table gives empty tables.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    unseen, paths = rows.filter("text <> ''"), rows.select("id", "blob")
+    # copies are combined where they are read, so that a blob of many rows is no task's alone
+    unseen, paths = rows.filter("text <> ''").groupBy("blob").agg(F.first("text").alias("text")), rows.select("id", "blob")
     scanned = paths.select("blob").distinct()
     if ledger is not None:
-        # old blobs go before their texts are dealt out by digest: the ledger's digests are all that meets them
         seen = ledger.filter(F.col("version") == RULES_VERSION)
         unseen, scanned = unseen.join(seen.select("blob"), "blob", "left_anti"), scanned.join(seen, "blob", "left_anti")
-    found = materialise(scan(unseen.groupBy("blob").agg(F.first("text").alias("text"))))
+    found = materialise(scan(unseen))
     known = found if ledger is None else found.union(seen.select("blob", "spans"))
     empty = F.expr("array()").cast(found.schema["spans"].dataType)
     fresh = scanned.join(found, "blob", "left").select("blob", F.lit(RULES_VERSION).alias("version"), F.coalesce("spans", empty).alias("spans"))
