@@ -47,7 +47,7 @@ ROWS = 1 << BITS
 BLOCK, RATE, MINIBATCH = 128, 0.4, 65536
 TAIL, END = 0, 1
 #: History features that each step reads: the last word, the last two, the second last, the third last.
-FEATURES = (4, 4, 2, 2)
+FEATURES = (4, 3, 2, 2)
 _SLAB = 200_000
 _FLUSH = 400_000
 #: Fixed value: the logit of a child that does not exist.
@@ -59,9 +59,10 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.filter(F.coalesce(id_remainder("doc_id", MODULUS), F.lit(-1)) != HELD)
 
 
-def _words(texts: pa.Array) -> list[list[bytes]]:
-    """Words of texts as words_of() gives them, from the UTF-8 that Arrow holds."""
-    return [t.lower().split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
+def _words(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Words of texts as words_of() gives them, from the UTF-8 that Arrow holds, a text at a time."""
+    for t in texts.cast(pa.binary()):
+        yield t.as_buffer().to_pybytes().lower().split() if t.is_valid else []
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def lay_out(voc: Vocabulary, texts: list[list[bytes]]) -> Batch:
         keys = [a * big + salts[0], (a * big + b) * big + salts[1], b * big + salts[2], c * big + salts[3]]
     now = wide[here].astype(np.int64)
     place = np.where(now < size, now, np.where(now == end, size + END, size + TAIL))
-    return Batch(np.stack([mix64(k) for k in keys]), place, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], rare, doc[missing])
+    return Batch(np.stack([(mix64(k) >> np.uint64(32)).astype(np.uint32) for k in keys]), place, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], rare, doc[missing])
 
 
 def steps(voc: Vocabulary, keys: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -200,8 +201,8 @@ def steps(voc: Vocabulary, keys: np.ndarray, place: np.ndarray) -> Iterator[tupl
             continue
         node = voc.node[place[some], k]
         with np.errstate(over="ignore"):
-            salt = (node.astype(np.uint64) + np.uint64(k << 32) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            rows = [(((own[some] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.intp) for own in keys[: FEATURES[k]]]
+            salt = (node.astype(np.uint32) + np.uint32((k << 20) + 1)) * np.uint32(0x9E3779B1)
+            rows = [(((own[some] ^ salt) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.intp) for own in keys[: FEATURES[k]]]
         yield k, some, rows, node, child[some].astype(np.intp)
 
 
@@ -251,7 +252,7 @@ class Learner:
                 self.w[k] -= sums
 
 
-def _slabs(texts: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
+def _slabs(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
     held, n = [], 0
     for t in texts:
         held.append(t)

@@ -216,7 +216,7 @@ def test_scores_equal_a_naive_model(documents):
     words = [w for w, c in counts.most_common(300)]
     voc = maxent.Vocabulary.of(words, np.array([counts[w] for w in words]), np.arange(len(words)) % 4, 100.0, 5000, 900, 12)
     weights = _tree(5)[3]
-    number, m64 = {w: i for i, w in enumerate(words)}, (1 << 64) - 1
+    number, m64, m32 = {w: i for i, w in enumerate(words)}, (1 << 64) - 1, (1 << 32) - 1
 
     def mix(x):
         x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m64
@@ -240,8 +240,8 @@ def test_scores_equal_a_naive_model(documents):
                 child, node = int(voc.path[place, k]), int(voc.node[place, k])
                 if child < 0:
                     continue
-                salt = (node + (k << 32) + 1) * 0xD6E8FEB86659FD93 & m64
-                rows = [((q ^ salt) * big & m64) >> (64 - maxent.BITS) for q in keys[: maxent.FEATURES[k]]]
+                salt = (node + (k << 20) + 1) * 0x9E3779B1 & m32
+                rows = [(((q >> 32) ^ salt) * 0x85EBCA6B & m32) >> (32 - maxent.BITS) for q in keys[: maxent.FEATURES[k]]]
                 logits = [float(voc.bias[k][j, node]) + sum(float(weights[k][j, r]) for r in rows) for j in range(width)]
                 want += logits[child] - math.log(sum(math.exp(v) for v in logits))
             assert got[at] == pytest.approx(want, abs=1e-4)
