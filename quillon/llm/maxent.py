@@ -23,11 +23,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +47,9 @@ ROWS = 1 << BITS
 BLOCK, RATE, MINIBATCH = 128, 0.4, 65536
 TAIL, END = 0, 1
 #: History features that each step reads: the last word, the last two, the second last, the third last.
-FEATURES = (4, 3, 2, 2)
-_SLAB = 200_000
-_FLUSH = 400_000
+FEATURES = (4, 3, 2, 1)
+#: Bytes of text that are laid out at once, and words that a counting task holds.
+_SLAB, _FLUSH = 1 << 21, 400_000
 #: Fixed value: the logit of a child that does not exist.
 _NONE = -60.0
 
@@ -99,7 +99,7 @@ class Vocabulary:
     log shares of every node's children, a column for each node. Words behind the frequent ones are the tail and the end.
     """
 
-    number: dict[bytes, int]
+    words: pa.Array
     log_count: np.ndarray
     path: np.ndarray
     node: np.ndarray
@@ -133,7 +133,7 @@ class Vocabulary:
             whole = np.maximum(sums.sum(1, keepdims=True), 1e-30)
             bias.append(np.ascontiguousarray(np.where(sums > 0, np.log(np.maximum(sums, 1e-30) / whole), _NONE).T, np.float32))
             path[(sums > 0).sum(1)[node[:, k]] == 1, k] = -1
-        return cls({w: i for i, w in enumerate(words)}, np.log10(n + 1.0), path.astype(np.int8), node.astype(np.int32), bias, float(np.log10(max(tail, 1e-9))), at + 1, tokens, distinct, ends)
+        return cls(pa.array(words, pa.binary()), np.log10(n + 1.0), path.astype(np.int8), node.astype(np.int32), bias, float(np.log10(max(tail, 1e-9))), at + 1, tokens, distinct, ends)
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
@@ -155,26 +155,37 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
 
 @dataclass
 class Batch:
-    """Documents laid end to end: keys of every token's history features (a row for each), its place (a frequent
-    word's number, then the tail and the end), where each document begins, and the rare words with
-    their documents."""
+    """Documents laid end to end: keys of every token's history features (a row for each), its place
+    (a frequent word's number, then the tail and the end), where each document begins and how many
+    tokens it has, and the rare words with their documents."""
 
     keys: np.ndarray
     place: np.ndarray
     first: np.ndarray
-    rare: list[bytes]
+    lengths: np.ndarray
+    rare: pa.Array
     rare_in: np.ndarray
 
 
-def lay_out(voc: Vocabulary, texts: list[list[bytes]]) -> Batch:
-    size = len(voc.number)
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts end to end, as words_of() gives them, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real), np.diff(upto[offsets])
+
+
+def lay_out(voc: Vocabulary, texts: pa.Array) -> Batch:
+    size = len(voc.words)
     pad, end = size + (1 << 16), size + (1 << 16) + 1
-    words = list(chain.from_iterable(texts))
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ids = np.fromiter(map(voc.number.get, words, repeat(-1)), np.int64, len(words))
-    missing = np.flatnonzero(ids < 0)
-    rare = [words[i] for i in missing.tolist()]
-    ids[missing] = size + (np.fromiter(map(zlib.crc32, rare), np.int64, len(rare)) & 0xFFFF)
+    words, lengths = split(texts)
+    told = words.dictionary_encode()
+    codes, distinct = told.indices.to_numpy(zero_copy_only=False), told.dictionary.cast(pa.binary())
+    known = pc.fill_null(pc.index_in(distinct, value_set=voc.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    missing = known < 0
+    known[missing] = [size + (zlib.crc32(w) & 0xFFFF) for w in distinct.filter(pa.array(missing)).to_pylist()]
+    ids, is_rare = known[codes], missing[codes]
     # every document: three pads, its words, its end
     doc = np.repeat(np.arange(len(texts)), lengths)
     wide = np.full(len(words) + 4 * len(texts), pad, np.uint64)
@@ -189,7 +200,8 @@ def lay_out(voc: Vocabulary, texts: list[list[bytes]]) -> Batch:
         keys = [a * big + salts[0], (a * big + b) * big + salts[1], b * big + salts[2], c * big + salts[3]]
     now = wide[here].astype(np.int64)
     place = np.where(now < size, now, np.where(now == end, size + END, size + TAIL))
-    return Batch(np.stack([(mix64(k) >> np.uint64(32)).astype(np.uint32) for k in keys]), place, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], rare, doc[missing])
+    keys = np.stack([(mix64(k) >> np.uint64(32)).astype(np.uint32) for k in keys])
+    return Batch(keys, place, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], lengths + 1, words.filter(pa.array(is_rare)).cast(pa.binary()), doc[is_rare])
 
 
 def steps(voc: Vocabulary, keys: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -252,16 +264,14 @@ class Learner:
                 self.w[k] -= sums
 
 
-def _slabs(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t)
-        if n >= _SLAB:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def _slabs(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of whole texts of about _SLAB bytes, one text at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _SLAB)))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
@@ -284,21 +294,21 @@ def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
                         pa.array([k * blocks + at // BLOCK for at in hit], pa.int32()), pa.array([shard] * len(hit), pa.int32()), pa.array(changes, pa.binary()), pa.array([seen[at : at + BLOCK].tobytes() for at in hit], pa.binary()),
                     ], names=["b", "s", "w", "n"])
 
-            learner, now, texts, n = None, None, [], 0
+            learner, now = None, None
             for b in batches:
-                for shard, words in zip(b.column(0).to_pylist(), _words(b.column(1))):
-                    if shard != now:
+                shards, texts = b.column(0).to_numpy(), b.column(1)
+                cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if lo == hi:
+                        continue
+                    if shards[lo] != now:
                         if learner:
-                            _study(learner, texts)
                             yield from moved(now, learner)
-                        learner, now, texts, n = Learner(known.value, start.value), shard, [], 0
-                    texts.append(words)
-                    n += len(words)
-                    if n >= _SLAB:
-                        _study(learner, texts)
-                        texts, n = [], 0
+                        learner, now = Learner(known.value, start.value), int(shards[lo])
+                    for some in _slabs(texts.slice(lo, hi - lo)):
+                        own = lay_out(learner.voc, some)
+                        learner.learn(own.keys, own.place)
             if learner:
-                _study(learner, texts)
                 yield from moved(now, learner)
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,12 +336,6 @@ def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
     return weights
 
 
-def _study(learner: Learner, texts: list[list[bytes]]) -> None:
-    if texts:
-        b = lay_out(learner.voc, texts)
-        learner.learn(b.keys, b.place)
-
-
 def _mean(block: int, w: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"b": [block], "w": [(w.reshape(-1, len(n)) / np.maximum(n, 1)).astype(np.float32).tobytes()]})
 
@@ -354,24 +358,23 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, weights = told.value
-        row, size = TaskContext.get().partitionId() << 33, len(voc.number)
+        row, size = TaskContext.get().partitionId() << 33, len(voc.words)
         gained = np.concatenate([voc.log_count, [0.0, np.log10(voc.ends + 1.0)]])
         counts = np.concatenate([np.ones(size, int), [0, int(voc.ends > 0)]])
         for batch in batches:
             ids, at = batch.column(0), 0
-            for held in _slabs(_words(batch.column(1))):
-                b = lay_out(voc, held)
+            for some in _slabs(batch.column(1)):
+                b = lay_out(voc, some)
                 own = log_shares(voc, weights, b.keys, b.place) / np.log(10)
                 own[b.place == size + TAIL] -= voc.log_tail
-                bounds = pa.array(np.searchsorted(b.rare_in, np.arange(len(held) + 1)).astype(np.int32))
+                bounds = pa.array(np.searchsorted(b.rare_in, np.arange(len(some) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + len(held))), ids.slice(at, len(held)),
-                    pa.array(np.fromiter((len(w) + 1 for w in held), np.int64, len(held))),
+                    pa.array(np.arange(row, row + len(some))), ids.slice(at, len(some)), pa.array(b.lengths),
                     pa.array(np.add.reduceat(counts[b.place], b.first)),
                     pa.array(np.add.reduceat(gained[b.place], b.first)), pa.array(np.add.reduceat(own, b.first)),
-                    pa.ListArray.from_arrays(bounds, pa.array(b.rare, pa.binary())),
+                    pa.ListArray.from_arrays(bounds, b.rare),
                 ], names=["row", "doc_id", "n_tokens", "known", "gained", "own", "rare"])
-                at, row = at + len(held), row + len(held)
+                at, row = at + len(some), row + len(some)
 
     done = materialise(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, gained double, own double, rare array<binary>"))
     tail = done.select("row", F.explode("rare").alias("w")).join(counts.select("w", "n"), "w")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import maxent, quality, toxicity
@@ -194,15 +195,22 @@ def test_next_words_sum_to_one():
     for n in (0, 1, 2, 40, 1500):
         words, _, voc, weights = _tree(n)
         for history in ([], words[:1], [b"unseen", *words[-2:]]):
-            b = maxent.lay_out(voc, [[*history, *words[:1]]])
+            b = maxent.lay_out(voc, pa.array([b" ".join([*history, *words[:1]]).decode()]))
             keys = np.repeat(b.keys[:, [len(history)]], n + 2, axis=1)
             p = np.exp(maxent.log_shares(voc, weights, keys, np.arange(n + 2), slab=7))
             assert (p > 0).all() and p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_words_are_split_as_everywhere():
+    texts = ["", None, "  ", " A\tb\n\n c\x0b\x0cD\r", "x\x1cy\u00a0z \u2003 \u00c9A", "one", "\u0130 I"]
+    words, lengths = maxent.split(pa.array(texts))
+    assert [w.as_py().encode() for w in words] == [w for t in texts for w in words_of(t)]
+    assert lengths.tolist() == [len(words_of(t)) for t in texts]
+
+
 def test_without_weights_the_counts_decide():
     words, counts, voc, weights = _tree(900)
-    b = maxent.lay_out(voc, [words])
+    b = maxent.lay_out(voc, pa.array([b"\t".join(words).decode()]))
     got = maxent.log_shares(voc, [w * 0 for w in weights], b.keys, b.place)
     mass = np.concatenate([counts + 1.0, [41.0]])
     assert np.allclose(np.exp(got), mass / (mass.sum() + 57.0), rtol=1e-4)
@@ -228,7 +236,7 @@ def test_scores_equal_a_naive_model(documents):
 
     big, size = 0x9E3779B97F4A7C15, len(words)
     for text in texts[:4]:
-        b = maxent.lay_out(voc, [text])
+        b = maxent.lay_out(voc, pa.array([b" ".join(text).decode()]))
         got = maxent.log_shares(voc, weights, b.keys, b.place)
         history = [size + (1 << 16)] * 3
         for at, w in enumerate([*text, None]):
