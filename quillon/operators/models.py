@@ -34,7 +34,7 @@ def profiles(raw: DataFrame, prefix: str = "profile-") -> DataFrame:
         .when((mode == "on") & ~F.coalesce(F.col("effort").isin(*EFFORTS), F.lit(False)), "reasoning needs an effort")
         .when(F.col("effort").isNotNull() & ~F.col("effort").isin(*EFFORTS), "reasoning effort is unknown")
         .when(~current & (_blank("base_url") | _blank("wire_api") | _blank("model")), "base_url, wire_api and model are needed")
-        .when(~current & F.exists(keys, lambda k: k.isNull() | (k == "")), "api_key_env is no list of names")
+        .when(~current & (F.exists(keys, lambda k: k.isNull() | (k == "")) | (F.col("api_key_envs").isNotNull() & (F.size(keys) == 0))), "api_key_env is no list of names")
         .when(~current & ~F.coalesce("requires_auth", F.lit(False)) & (F.size(keys) == 0), "api_key_env is missing")
         .when(~current & (own == ""), "provider_name is empty")
     )

@@ -496,10 +496,10 @@ def bounded_view(spark: SparkSession, sf: str) -> DataFrame:
         "id", "binary", F.when(k == 0, F.lit("error")).alias("symbol"), F.when(k.isin(1, 2), F.col("top")).alias("addr"), F.when(k.isin(2, 3), F.lit("view|sign")).alias("pattern"), F.when(k != 3, F.lit(900)).cast("long").alias("window"),
         F.lit(0).cast("long").alias("context"), F.when(F.col("id") % 5 == 0, 70000).otherwise(1).cast("long").alias("max_output"), (F.col("id") % 2 == 0).alias("line_numbers"),
     )
-    bounds = spark.sql("SELECT 384L AS default_window, 500L AS max_window, 4L AS default_context, 16L AS max_context, 256L AS default_max_output, 64L AS min_max_output, 300L AS max_max_output")
+    bounds = {"default_window": 384, "max_window": 500, "default_context": 4, "max_context": 16, "default_max_output_bytes": 256, "min_max_output_bytes": 64, "max_output_bytes": 300}
     path = _scratch(spark)
-    sinks.write_json(bounds.select(F.to_json(F.struct(*bounds.columns)).alias("json")), path)
-    config = readers.view_config(spark, path)
+    sinks.write_json(spark.range(1).select(F.to_json(F.struct(F.struct(*(F.lit(n).alias(k) for k, n in bounds.items())).alias("view"))).alias("json")), path)
+    config = readers.view_config(spark, path, "view")
     debug = table(spark, sf, "events").groupBy(F.col("user_id").alias("binary")).agg((F.max("event_id") % 3 == 0).alias("has_debug_line"))
     return linescan.view(asked, config, _symbols(spark, sf), lines, debug)
 
@@ -645,12 +645,29 @@ def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
 def dangling_aliases(spark: SparkSession, sf: str) -> DataFrame:
     """Targets of aliases that are no profile, from a configuration written as a document and read by its schema."""
     aliases = F.map_from_entries(F.sort_array(F.collect_set(F.struct(F.concat(F.lit("a"), "source").alias("k"), F.concat(F.lit("p"), F.length("source")).alias("v")))))
-    config = _docs(spark, sf).agg(F.to_json(F.struct(F.lit("p4").alias("active_profile"), aliases.alias("provider_aliases"), F.create_map(F.lit("p4"), F.struct(F.lit("codex").alias("provider"))).alias("profiles"))).alias("json"))
+    config = _docs(spark, sf).agg(F.to_json(F.struct(F.lit("p4").alias("active_profile"), aliases.alias("aliases"), F.create_map(F.lit("p4"), F.struct(F.lit("codex").alias("provider"))).alias("profiles"))).alias("json"))
     path = _scratch(spark)
     sinks.write_json(config, path)
-    read = readers.model_config(spark, path)
-    known = read.select(F.explode("profiles").alias("name", "p")).select("name")
-    return models.dangling_aliases(read.select(F.explode("provider_aliases").alias("alias", "target")), known).withColumn("active", F.lit(read.first()["active_profile"]))
+    read = readers.model_config(spark, path, strict=False)
+    known = readers.profile_rows(read).select("name")
+    return models.dangling_aliases(read.select(F.explode("aliases").alias("alias", "target")), known).withColumn("active", F.lit(read.first()["active_profile"]))
+
+
+@query
+def profile_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles, one of each source, from a configuration written as a document and loaded strictly."""
+    n = F.substring("source", 4, 9).cast("int")
+    key = F.when(n % 3 == 0, F.concat(F.lit(', "api_key_env": "K'), n, F.lit('"'))).when(n % 3 == 1, ', "api_key_env": ["L", "M"]').otherwise("")
+    said = F.concat(
+        F.lit('{"provider": "'), F.when(n % 5 == 0, "codex").otherwise("x"), F.lit('", "base_url": "u", "wire_api": "w", "model": "m"'), key, F.when(n % 2 == 0, ', "requires_openai_auth": true').otherwise(""),
+        F.when(n % 4 == 0, ', "reasoning": {"mode": "on", "effort": "high"}').otherwise(""), F.when(n % 7 == 0, ', "codex_provider_name": "own"').otherwise(""), F.lit("}"),
+    )
+    sources = _docs(spark, sf).select("source").distinct()
+    profiles = sinks.object_text(sources, "source", said)
+    path = _scratch(spark)
+    sinks.write_json(profiles.select(F.concat(F.lit('{"active_profile": "src0", "aliases": {"one": "src1"}, "profiles": '), "json", F.lit("}")).alias("json")), path)
+    rows = models.profiles(readers.profile_rows(readers.model_config(spark, path)))
+    return rows.select("name", "base_url", "api_key_env", "requires_auth", "mode", "effort", "provider_name", "problem")
 
 
 # -- roll-ups

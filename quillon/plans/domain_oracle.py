@@ -194,6 +194,10 @@ ORACLES: dict[str, str] = {
       a AS (SELECT id, k, CASE k WHEN 0 THEN 'psrc1' WHEN 1 THEN NULL WHEN 2 THEN 'gone' ELSE own END AS name FROM r)
       SELECT id, name, CASE WHEN k = 1 THEN 'unknown provider alias; available: fast, old, older' WHEN name NOT IN (SELECT name FROM n) THEN 'unknown profile; available: ' || have END AS problem FROM a, h""",
     "dangling_aliases": "SELECT DISTINCT 'p' || length(source) AS name, 'p4' AS active FROM documents WHERE length(source) <> 4",
+    "profile_documents": """WITH s AS (SELECT DISTINCT source AS name, CAST(substr(source, 4) AS INTEGER) AS n FROM documents), c AS (SELECT *, n % 5 = 0 AS current FROM s)
+      SELECT name, CASE WHEN NOT current THEN 'u' END AS base_url, CASE WHEN NOT current AND n % 3 < 2 THEN CASE n % 3 WHEN 0 THEN 'K' || n ELSE 'L' END END AS api_key_env, NOT current AND n % 2 = 0 AS requires_auth,
+      CASE WHEN n % 4 = 0 THEN 'on' ELSE 'inherit' END AS mode, CASE WHEN n % 4 = 0 THEN 'high' END AS effort, CASE WHEN current THEN '' WHEN n % 7 = 0 THEN 'own' ELSE 'profile-' || name END AS provider_name,
+      CASE WHEN NOT current AND n % 2 = 1 AND n % 3 = 2 THEN 'api_key_env is missing' END AS problem FROM c""",
     "build_statistics": """WITH d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS has FROM documents WHERE lang <> 'fr') SELECT (SELECT count(*) FROM documents) AS input_source_diff_cves, count(*) AS selected_cves, count(*) AS emitted_cves, count(*) FILTER (doc_id % 3 > 0) AS diff_files_found, count(*) FILTER (doc_id % 3 = 0) AS diff_files_missing,
       count(*) FILTER (has) AS cveinfo_found, count(*) FILTER (NOT has) AS cveinfo_missing, count(*) AS total_functions, count(*) FILTER (doc_id % 5 > 0) AS functions_with_file, count(*) FILTER (doc_id % 5 = 0) AS functions_without_file FROM d""",
     "build_histograms": """SELECT 'change_type' AS kind, CASE WHEN doc_id % 4 > 0 THEN lang ELSE 'unknown' END AS value, count(*) AS n FROM documents WHERE lang <> 'fr' GROUP BY ALL UNION ALL SELECT 'inferred_by', CASE WHEN doc_id % 5 > 0 THEN 'm' || doc_id % 3 ELSE 'unknown' END, count(*) FROM documents WHERE lang <> 'fr' GROUP BY ALL""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillon.functions.text import strip
-from quillon.sources.schemas import MODEL_CONFIG, VIEW_CONFIG
+from quillon.sources.schemas import MODEL_CONFIG, VIEW_KEYS
 
 
 def json_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -51,16 +51,48 @@ def with_environment(declared: DataFrame, existing: DataFrame) -> DataFrame:
     return existing.select("name", "value").union(declared.join(existing, "name", "left_anti").select("name", "value"))
 
 
-def model_config(spark: SparkSession, path: str) -> DataFrame:
-    return json_documents(spark, path, MODEL_CONFIG)
-
-
-def view_config(spark: SparkSession, path: str) -> DataFrame:
-    """The one row of bounds of line views; a missing bound fails the load."""
-    rows = json_documents(spark, path, VIEW_CONFIG)
-    for c in VIEW_CONFIG.names:
-        rows = rows.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"no {c} in the view configuration")).cast("long")).otherwise(F.col(c)))
-    return rows
+def model_config(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """The one row of a model configuration (active_profile, aliases, profiles).
+
+    A strict load fails without an active profile or profiles, and where an alias means no profile.
+    """
+    rows = json_documents(spark, path, MODEL_CONFIG)
+    if not strict:
+        return rows
+    none = F.create_map().cast("map<string,string>")
+    lost = F.array_sort(F.array_distinct(F.array_except(F.map_values(F.coalesce("aliases", none)), F.map_keys("profiles"))))
+    wrong = F.when(F.coalesce("active_profile", F.lit("")) == "", "model config requires non-empty active_profile").when(F.col("profiles").isNull(), "model config requires a profiles object")
+    wrong = wrong.when(F.size(lost) > 0, F.concat(F.lit("model config aliases reference unknown profiles: "), F.array_join(lost, ", ")))
+    return rows.filter(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(True))
+
+
+def profile_rows(config: DataFrame) -> DataFrame:
+    """Profiles of a model configuration as models.profiles() takes them."""
+    rows = config.select(F.explode("profiles").alias("name", "p")).select("name", "p.*")
+    key = F.col("api_key_env")
+    keys = F.when(F.startswith(key, F.lit("[")), F.from_json(key, "array<string>")).when(key.isNotNull(), F.array(key))
+    return rows.select(
+        "name", "provider", "base_url", "wire_api", "model", keys.alias("api_key_envs"), F.col("requires_openai_auth").alias("requires_auth"), F.col("reasoning.mode").alias("mode"),
+        F.col("reasoning.effort").alias("effort"), F.col("codex_provider_name").alias("provider_name"),
+    )
+
+
+def view_config(spark: SparkSession, path: str, section: str) -> DataFrame:
+    """The one row of bounds of line views, from a section of a JSON object.
+
+    A missing section, a missing bound or one that is no integer fails the load.
+    """
+    v = F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")
+    own = F.try_variant_get(F.try_element_at(v, F.lit(section)), "$", "map<string,variant>")
+    rows = spark.read.text(path, wholetext=True).select(own.alias("own"))
+    stop = lambda what: F.raise_error(F.lit(what)).cast("long")
+    bounds = []
+    for key, column in VIEW_KEYS.items():
+        bound = F.try_element_at("own", F.lit(key))
+        value = F.when(F.col("own").isNull(), stop(f"config section must be a JSON object: {section}")).when(~F.map_contains_key("own", key), stop(f"config missing required key: {section}.{key}"))
+        value = value.when(F.schema_of_variant(bound) != "BIGINT", stop(f"config value must be int: {section}.{key}"))
+        bounds.append(value.otherwise(F.try_variant_get(bound, "$", "bigint")).alias(column))
+    return rows.select(*bounds)
 
 
 def connector(spark: SparkSession, kind: str, path: str | None = None, **options: str) -> DataFrame:

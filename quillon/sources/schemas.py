@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 _S, _L, _D = StringType(), LongType(), DoubleType()
 _NAMES = ArrayType(_S)
@@ -27,9 +27,13 @@ TRACE_EVENT = _struct(run_id=_S, seq=_L, stream=_S, time=_D, line=_S)
 SYMBOL = _struct(addr=_L, kind=_S, name=_S, seq=_L)
 ASM_LINE = _struct(binary=_S, line_no=_L, text=_S)
 AST_NODE = _struct(fn_id=_S, node_id=IntegerType(), parent_id=IntegerType(), last_id=IntegerType(), type=_S, field=_S, start_line=IntegerType(), end_line=IntegerType(), text=_S)
-MODEL_PROFILE = _struct(provider=_S, base_url=_S, wire_api=_S, model=_S, reasoning=_S, reasoning_effort=_S, api_key_env=_NAMES)
-MODEL_CONFIG = _struct(active_profile=_S, provider_aliases=MapType(_S, _S), profiles=MapType(_S, MODEL_PROFILE))
-VIEW_CONFIG = _struct(default_window=_L, max_window=_L, default_context=_L, max_context=_L, default_max_output=_L, min_max_output=_L, max_max_output=_L)
+# a profile's api_key_env is a name or a list of names; as a string, a list is its JSON text
+MODEL_PROFILE = _struct(provider=_S, base_url=_S, wire_api=_S, model=_S, reasoning=_struct(mode=_S, effort=_S), api_key_env=_S, requires_openai_auth=BooleanType(), codex_provider_name=_S)
+MODEL_CONFIG = _struct(active_profile=_S, aliases=MapType(_S, _S), profiles=MapType(_S, MODEL_PROFILE))
+#: The keys of a view's configuration, and the columns that they become.
+VIEW_KEYS = {
+    "default_window": "default_window", "max_window": "max_window", "default_context": "default_context", "max_context": "max_context", "default_max_output_bytes": "default_max_output", "min_max_output_bytes": "min_max_output", "max_output_bytes": "max_max_output",
+}
 
 #: What a verdict may say, and what the result schema offers the judge.
 STATUSES = ("present", "absent", "not_affected", "inconclusive", "not_found", "error")

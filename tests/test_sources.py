@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from quillon.operators import analysis
 from quillon.sources import readers, schemas, sinks
 from quillon.streaming import pairing
@@ -34,6 +36,30 @@ def test_json(spark, tmp_path):
     assert json.loads(sinks.object_text(said.limit(0), "k", said["v"]).first().json) == {}
 
 
+def test_configurations(spark, tmp_path):
+    def model(**more):
+        (tmp_path / "m.json").write_text(json.dumps({"active_profile": "a", "aliases": {"x": "a"}, "profiles": {"a": {"provider": "codex", "reasoning": {"mode": "inherit"}}}} | more))
+        return readers.model_config(spark, str(tmp_path / "m.json"))
+
+    assert [(r.name, r.provider, r.mode, r.api_key_envs) for r in readers.profile_rows(model()).collect()] == [("a", "codex", "inherit", None)]
+    with pytest.raises(Exception, match="unknown profiles: gone, lost"):
+        model(aliases={"x": "lost", "y": "gone", "z": "a"}).collect()
+    with pytest.raises(Exception, match="non-empty active_profile"):
+        model(active_profile="").collect()
+
+    def view(more):
+        bounds = {"default_window": 384, "max_window": 4096, "default_context": 4, "max_context": 16, "default_max_output_bytes": 8192, "min_max_output_bytes": 1024, "max_output_bytes": 65536}
+        (tmp_path / "v.json").write_text(json.dumps({"tool": {k: v for k, v in (bounds | more).items() if v is not None}, "other": 1}))
+        return readers.view_config(spark, str(tmp_path / "v.json"), "tool")
+
+    assert view({}).first().asDict() == {"default_window": 384, "max_window": 4096, "default_context": 4, "max_context": 16, "default_max_output": 8192, "min_max_output": 1024, "max_max_output": 65536}
+    for more, said in (({"max_window": None}, "missing required key: tool.max_window"), ({"max_window": "9"}, "must be int: tool.max_window"), ({"max_window": 1.5}, "must be int: tool.max_window")):
+        with pytest.raises(Exception, match=said):
+            view(more).collect()
+    with pytest.raises(Exception, match="section must be a JSON object: other"):
+        readers.view_config(spark, str(tmp_path / "v.json"), "other").collect()
+
+
 def test_result_schema_offers_no_error():
     row = sinks.result_schema()["properties"]["results"]["items"]["properties"]
     assert "error" not in row["status"]["enum"] and len(row["status"]["enum"]) == 5
