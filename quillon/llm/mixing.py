@@ -69,9 +69,9 @@ def id_hash(document: Column) -> Column:
     return F.xxhash64(F.lit(SEED), document)
 
 
-def known(df: DataFrame) -> DataFrame:
-    """A table for the small side of a join: broadcast if its rows are few, which is counted, else shuffled."""
-    return F.broadcast(df) if df.count() <= KNOWN else df.hint("merge")
+def known(df: DataFrame, rows: int) -> DataFrame:
+    """A table for the small side of a join: broadcast if its rows, which are counted, are few, else shuffled."""
+    return F.broadcast(df) if rows <= KNOWN else df.hint("merge")
 
 
 def numbered(df: DataFrame, count: int, *order: Column) -> DataFrame:
@@ -90,33 +90,37 @@ def numbered(df: DataFrame, count: int, *order: Column) -> DataFrame:
 def level(sources: DataFrame, total: Fraction) -> Fraction:
     """The water level: the sum of min(level * weight, LIMIT * words) over sources (words, weight) is `total`.
 
-    Sources fill up in order of r = LIMIT * words / weight. A histogram of r finds the cell in which
-    the level lies; that cell is cut again until it holds one value.
+    Sources fill up in order of r = LIMIT * words / weight. Where there are more than CELLS of them,
+    a histogram of r finds the cell in which the level lies, and the sources of that cell are cut
+    again; what is left is solved one by one.
     """
     rows = sources.filter("words > 0").select(F.col("words"), F.col("weight"), (F.col("words") * LIMIT / F.col("weight")).alias("r"))
-    full, above = 0, rows.agg(F.sum("weight")).first()[0]
-    if above is None:
-        return Fraction(0)
-    while True:
-        lo, hi = rows.agg(F.min("r"), F.max("r")).first()
-        cell = F.floor((F.col("r") - lo) / (hi - lo) * CELLS) if hi > lo else F.lit(0).cast("long")
-        cells = sorted(tuple(r) for r in rows.groupBy(cell.alias("c")).agg(F.min("r"), F.max("r"), F.sum("words"), F.sum("weight")).collect())
-        for _, least, most, words, weight in cells:
-            if full + LIMIT * words + Fraction(most) * (above - weight) >= total or (_, least) == cells[-1][:2]:
+    count, lo, hi, above = rows.agg(F.count("*"), F.min("r"), F.max("r"), F.sum("weight")).first()
+    full = 0
+    while count > CELLS and lo < hi:
+        cell = F.floor((F.col("r") - lo) / (hi - lo) * CELLS)
+        cells = sorted(tuple(r) for r in rows.groupBy(cell.alias("c")).agg(F.min("r"), F.max("r"), F.sum("words"), F.sum("weight"), F.count("*")).collect())
+        for k, (_, lo, hi, words, weight, count) in enumerate(cells):
+            if full + LIMIT * words + Fraction(hi) * (above - weight) >= total or k == len(cells) - 1:
                 break
             full, above = full + LIMIT * words, above - weight
-        if least == most:
-            return (total - full) / above
-        rows = materialise(rows.filter((F.col("r") >= least) & (F.col("r") <= most)), 1)
+        rows = materialise(rows.filter((F.col("r") >= lo) & (F.col("r") <= hi)), 1)
+    left = rows.select("r", "words", "weight") if lo != hi else rows.groupBy("r").agg(F.sum("words"), F.sum("weight"))
+    for r, words, weight in sorted(map(tuple, left.collect())):
+        if (total - full) <= Fraction(r) * above or above == weight:
+            break
+        full, above = full + LIMIT * words, above - weight
+    return (total - full) / above if above else Fraction(0)
 
 
 @dataclass
 class Mixture:
     """What decides every draw: `sources` (source, words, target, bits, passes, cut_h), `blocks`
-    (source, b, draws of (c, shard, part)), and the number of shards."""
+    (source, b, draws of (c, shard, part)), their numbers of rows, and the number of shards."""
 
     sources: DataFrame
     blocks: DataFrame
+    rows: tuple[int, int]
     shards: int
     seed: int
 
@@ -124,10 +128,10 @@ class Mixture:
         """Rows with (source_size, target, draws) as the struct `out`; draws has (shard, place) for each time a row is taken."""
         b, d = fresh(rows, "block"), fresh(rows, "mixture")
         s = self.sources.select(F.struct("source", "words", "target", "bits", "cut_h").alias(d))
-        with_source = rows.join(known(s), rows[source].eqNullSafe(F.col(f"{d}.source"))).withColumn(b, _block(F.col(h), F.col(f"{d}.bits")))
+        with_source = rows.join(known(s, self.rows[0]), rows[source].eqNullSafe(F.col(f"{d}.source"))).withColumn(b, _block(F.col(h), F.col(f"{d}.bits")))
         t = f"{d}_"
         blocks = self.blocks.select(F.struct("source", "b", "draws").alias(t))
-        both = with_source.join(known(blocks), rows[source].eqNullSafe(F.col(f"{t}.source")) & (F.col(b) == F.col(f"{t}.b")), "left")
+        both = with_source.join(known(blocks, self.rows[1]), rows[source].eqNullSafe(F.col(f"{t}.source")) & (F.col(b) == F.col(f"{t}.b")), "left")
         mine = F.filter(F.coalesce(F.col(f"{t}.draws"), F.array().cast("array<struct<c:int,shard:int,part:boolean>>")), lambda x: ~x["part"] | (F.col(h) <= F.col(f"{d}.cut_h")))
         place = lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64(F.lit(self.seed), F.col(h), x["c"]).alias("place"))
         told = F.struct(F.col(f"{d}.words").alias("source_size"), F.col(f"{d}.target").alias("target"), F.transform(mine, place).alias("draws"))
@@ -155,7 +159,7 @@ def mixture(rows: DataFrame, shard_words: int, seed: int) -> Mixture | None:
 
     # blocks in permuted order, with the words before each: sums by the order's first bits, then inside these
     of = rows["source"].eqNullSafe(F.col("o.source"))
-    placed = rows.join(known(sources.select(F.struct("source", "s", "bits", "rest", "passes").alias("o"))), of).select("o.s", "o.passes", "o.rest", "source", "h", "size", _block(F.col("h"), F.col("o.bits")).alias("b"))
+    placed = rows.join(known(sources.select(F.struct("source", "s", "bits", "rest", "passes").alias("o")), count), of).select("o.s", "o.passes", "o.rest", "source", "h", "size", _block(F.col("h"), F.col("o.bits")).alias("b"))
     blocks = placed.groupBy("s", "b").agg(F.first("source").alias("source"), F.first("passes").alias("passes"), F.first("rest").alias("rest"), F.sum("size").alias("w"))
     blocks = materialise(blocks.withColumn("p", F.xxhash64(F.lit(seed), "s", "b")).withColumn("q", F.shiftrightunsigned("p", 52)))
     cells = blocks.groupBy("s", "q").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
@@ -172,14 +176,14 @@ def mixture(rows: DataFrame, shard_words: int, seed: int) -> Mixture | None:
 
     # of the block in which a target falls, documents in order of their hash, to the nearest one
     ends = blocks.filter("cut").select("s", "b", (F.col("rest") - F.col("before")).alias("need"))
-    near = placed.select("s", "b", "h", "size").join(known(ends), ["s", "b"]).groupBy("s", "h").agg(F.sum("size").alias("w"), F.first("need").alias("need"))
+    near = placed.select("s", "b", "h", "size").join(known(ends, count), ["s", "b"]).groupBy("s", "h").agg(F.sum("size").alias("w"), F.first("need").alias("need"))
     upto = F.sum("w").over(Window.partitionBy("s").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("upto", upto).filter((F.col("upto") <= F.col("need")) | (F.col("upto") - F.col("need") < F.col("need") - (F.col("upto") - F.col("w"))))
     cut_h = materialise(near.groupBy("s").agg(F.max("h").alias("cut_h")))
-    sources = materialise(sources.join(known(cut_h), "s", "left").select("s", "source", "words", "target", "bits", "passes", "cut_h"))
+    sources = materialise(sources.join(known(cut_h, count), "s", "left").select("s", "source", "words", "target", "bits", "passes", "cut_h"))
 
     # every draw of a block is a place in its source's sequence
-    parts = blocks.join(known(cut_h), "s", "left")
+    parts = blocks.join(known(cut_h, count), "s", "left")
     extra = F.when(F.col("full") | (F.col("cut") & F.col("cut_h").isNotNull()), F.col("passes") + 1).otherwise(F.col("passes"))
     draws = parts.withColumn("times", extra).filter("times > 0").select("s", "b", "source", "n", "rank", "passes", "cut", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("c"))
     draws = materialise(draws.select("s", "b", "source", "c", (F.col("cut") & (F.col("c") == F.col("passes"))).alias("part"), (F.col("c") * F.col("n") + F.col("rank")).alias("at")))
@@ -188,7 +192,8 @@ def mixture(rows: DataFrame, shard_words: int, seed: int) -> Mixture | None:
     leaves = _tree(draws.groupBy("s").agg(F.count("*").alias("quota")), shards, seed)
     owned = leaves.select("s", F.col("lo").alias("shard"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("quota") - 1)).alias("at"))
     dealt = draws.join(owned, ["s", "at"]).groupBy("s", "b").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("c", "shard", "part"))).alias("draws"))
-    return Mixture(sources, materialise(dealt.select("source", "b", "draws")), shards, seed)
+    dealt = materialise(dealt.select("source", "b", "draws"))
+    return Mixture(sources, dealt, (count, dealt.count()), shards, seed)
 
 
 def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
