@@ -3,7 +3,7 @@
 A word enters as the sum of a hashed word vector and the mean of its hashed character-pair
 vectors. A window of words runs through a GRU either way; attention pools the states and a linear
 layer scores the window. All overlapping windows of a text are scored, and a logistic calibrator
-turns the highest scores into the text's probability. Training, too, reads every window of its texts.
+turns the highest score into the text's probability. Training, too, reads every window of its texts.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ WORDS, PAIRS, DIM, HIDDEN = 1 << 15, 1 << 12, 16, 8
 #: documents for the calibration.
 FIT_ROWS, CALIBRATION_ROWS = 1200, 6000
 #: Numbers that features() gives for a text.
-FEATURES = 2
-EPOCHS, BATCH, RATE, COMMON, SEED = 10, 128, 0.01, 6, 1
+FEATURES = 1
+#: Epochs over all windows, and in all; size and rate of a step; texts that a word must be in; seed.
+WARM, EPOCHS, BATCH, RATE, COMMON, SEED = 1, 11, 128, 0.01, 6, 1
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
 #: ASCII punctuation parts words.
@@ -202,8 +203,9 @@ def train(texts: list[str], y: np.ndarray) -> Network:
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
-        chosen = np.arange(len(wins))
-        if epoch >= 2:
+        if epoch < WARM:
+            chosen = np.arange(len(wins))
+        elif (epoch - WARM) % 2 == 0:  # the highest windows of this epoch and the next
             g = net.project(net.inputs(lex))
             s = np.concatenate([net.logits(g, wins[i : i + 4096]) for i in range(0, len(wins), 4096)])
             order = np.lexsort((-s, doc))
@@ -211,9 +213,9 @@ def train(texts: list[str], y: np.ndarray) -> Network:
             top = order[(place == 0) | ((place == 1) & (label[order] == 0))]
             other = rng.choice(np.flatnonzero(label == 0), len(top) // 4)
             chosen = np.concatenate([top, other])
-        rng.shuffle(chosen)
+        chosen = rng.permutation(chosen)
         toxic = label[chosen] == 1
-        share = 1 / np.bincount(doc)[doc] if epoch < 2 else np.ones(len(doc))
+        share = 1 / np.bincount(doc)[doc] if epoch < WARM else np.ones(len(doc))
         balance = share * np.where(label == 1, 0.5 / max(toxic.mean(), 1e-3), 0.5 / max(1 - toxic.mean(), 1e-3)).astype(np.float32)
         for at in range(0, len(chosen), BATCH):
             pick = chosen[at : at + BATCH]
@@ -235,7 +237,7 @@ def train(texts: list[str], y: np.ndarray) -> Network:
 
 
 def features(net: Network, texts: list[str | None], slab: int = 200_000, block: int = 4096) -> np.ndarray:
-    """(highest window score, mean of the three highest) over all windows of whole texts."""
+    """(highest window score,) over all windows of whole texts."""
     out = np.empty((len(texts), FEATURES))
     at = 0
     while at < len(texts):
@@ -259,9 +261,7 @@ def features(net: Network, texts: list[str | None], slab: int = 200_000, block:
             score.append(net.logits(g, np.concatenate(held)))
         s, lo = np.concatenate(score), 0
         for k, c in enumerate(counts):
-            own = s[lo : lo + c]
-            top = np.sort(np.partition(own, -3)[-3:] if c > 3 else own)
-            out[at + k] = top[-1], top.mean()
+            out[at + k] = s[lo : lo + c].max()
             lo += c
         at += len(part)
     return out

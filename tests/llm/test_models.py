@@ -103,8 +103,7 @@ def test_features_equal_a_naive_scorer(documents):
     rows = sorted((len(r.text), r.text) for r in documents.collect())
     texts = ["", None, "one", *[t for _, t in rows[:: len(rows) // 8]], "again " * 200]
     for t, got in zip(texts, toxicity.features(net, texts, slab=500, block=7)):
-        top = sorted(_naive_scores(net, toxicity.words_of(t)))[-3:]
-        assert got == pytest.approx([top[-1], np.mean(top)], abs=2e-4)
+        assert got == pytest.approx([max(_naive_scores(net, toxicity.words_of(t)))], abs=2e-4)
 
 
 def test_toxicity_on_held_out(spark):
