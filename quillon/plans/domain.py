@@ -443,8 +443,8 @@ def stream_pairing(spark: SparkSession, sf: str) -> DataFrame:
     source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
     phase = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "complete")
     rows = source.select(F.col("user_id").cast("string").alias("run_id"), F.lit("x").alias("id"), F.col("event_id").alias("seq"), F.col("event_id").alias("time"), phase.alias("phase")).filter("phase is not null")
-    out = _scratch(spark)
-    running = pairing.paired_stream(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
+    out, state = _scratch(spark), _scratch(spark)
+    running = pairing.paired_stream(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(pairing.OUTPUT).parquet(out).select(F.col("run_id").cast("long").alias("user_id"), "started_at", "completed_at", "paired")
 
