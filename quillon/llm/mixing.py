@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import files_for, fresh, materialise
+from quillon.llm.common import fresh, materialise
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = Fraction(3, 2), 2
 #: Words and documents that a block holds on average, at most.
 BLOCK_WORDS, BLOCK_DOCS = 32_768, 4_096
-#: Levels of the tree that one task splits, cells of a histogram, tasks that write shards, and rows
-#: of a table up to which it is broadcast.
-LEVELS, CELLS, WRITERS, KNOWN = 6, 4096, 100_000, 100_000
+#: Levels of the tree that one task splits, cells of a histogram, tasks that write shards, rows of a
+#: table up to which it is broadcast, and rows of a range that one task numbers.
+LEVELS, CELLS, WRITERS, KNOWN, RANGE = 6, 4096, 100_000, 100_000, 100_000
 SEED = 20
 
 
@@ -75,16 +75,19 @@ def known(df: DataFrame, rows: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, count: int, *order: Column) -> DataFrame:
-    """The rows with their number s from 0 in an order that has no ties, by ranges and their sizes."""
-    spark = df.sparkSession
-    ranges = materialise(df.repartitionByRange(files_for(spark, count), *order).withColumn("part", F.spark_partition_id()))
+    """The rows with their number s from 0 in an order that has no ties: a range for every RANGE rows,
+    a place in each, and the rows of the ranges before."""
+    spark, parts = df.sparkSession, -(-count // RANGE)
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)).cast("long") - 1
+    if parts == 1:
+        return df.withColumn("part", F.lit(0)).select(*df.columns, place.alias("s"))
+    ranges = materialise(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     before, total = [], 0
     for part, n in sorted((r["part"], r["n"]) for r in ranges.groupBy("part").agg(F.count("*").alias("n")).collect()):
         before.append((part, total))
         total += n
-    offsets = F.broadcast(spark.createDataFrame(before, "part int, before long"))
-    row = F.row_number().over(Window.partitionBy("part").orderBy(*order)).cast("long")
-    return ranges.join(offsets, "part").select(*df.columns, (F.col("before") + row - 1).alias("s"))
+    offsets = F.broadcast(spark.createDataFrame(before, "part int, before long"))  # a row for each range
+    return ranges.join(offsets, "part").select(*df.columns, (F.col("before") + place).alias("s"))
 
 
 def level(sources: DataFrame, total: Fraction) -> Fraction:
@@ -187,8 +190,7 @@ def mixture(rows: DataFrame, shard_words: int, seed: int) -> Mixture | None:
     extra = F.when(F.col("full") | (F.col("cut") & F.col("cut_h").isNotNull()), F.col("passes") + 1).otherwise(F.col("passes"))
     draws = parts.withColumn("times", extra).filter("times > 0").select("s", "b", "source", "n", "rank", "passes", "cut", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("c"))
     draws = materialise(draws.select("s", "b", "source", "c", (F.col("cut") & (F.col("c") == F.col("passes"))).alias("part"), (F.col("c") * F.col("n") + F.col("rank")).alias("at")))
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    shards = max(1, -(-int(np.ceil(total)) // shard_words))
+    shards = max(1, int(-(-SHARE * words // shard_words)))  # the targets' sum is that share of all words
     leaves = _tree(draws.groupBy("s").agg(F.count("*").alias("quota")), shards, seed)
     owned = leaves.select("s", F.col("lo").alias("shard"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("quota") - 1)).alias("at"))
     dealt = draws.join(owned, ["s", "at"]).groupBy("s", "b").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("c", "shard", "part"))).alias("draws"))

@@ -404,7 +404,8 @@ def _told(df):
 def test_mixture(spark, documents, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_WORDS", 2000)
     told = _told(mixing.plan(documents, shard_words=20_000))
-    monkeypatch.setattr(mixing, "KNOWN", 0)  # shuffled joins give the same
+    monkeypatch.setattr(mixing, "KNOWN", 0)  # shuffled joins and several ranges give the same
+    monkeypatch.setattr(mixing, "RANGE", 6)
     assert told == _told(mixing.plan(documents.repartition(5), shard_words=20_000))
     own = {}
     for r in documents.collect():
