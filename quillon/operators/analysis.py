@@ -97,7 +97,7 @@ def analysed(functions: DataFrame, blobs: DataFrame, diffs: DataFrame) -> dict[s
     old = changed.filter("side = 'old'")
     old_names = written(syntax.loose_entities(old.withColumn("ord", F.col("ln")), "fn", "content"))
     new_lines = changed.filter("side = 'new'").select("fn", F.col("ln").alias("line"))
-    on_new = written(syntax.entities(inside).withColumnRenamed("fn_id", "fn").join(new_lines, ["fn", "line"], "left_semi"))
+    on_new = written(syntax.entities(inside, new_lines.withColumnRenamed("fn", "fn_id")).withColumnRenamed("fn_id", "fn"))
     calls = on_new.filter("is_call").select("fn", "line", "name")
     kinds = dataflow.classified(on_new.select("fn", "line", "name"), calls, named.select("fn", "name"), params.union(local))
     values = macros.resolved(named, "fn").withColumn("kind", F.lit("macro"))

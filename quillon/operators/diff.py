@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import ranges
+
 from quillon.operators.linescan import lines_of
 
 
@@ -107,10 +109,14 @@ def new_range(header: Column) -> tuple[Column, Column]:
 def overlapping(hunks: DataFrame, functions: DataFrame, *keys: str) -> DataFrame:
     """Hunks on a function's range [start_line, end_line]; all of its hunks where none overlaps.
 
-    `functions` has the keys and `function`; the join is an equi-join on keys with a residual.
+    `functions` has the keys and `function`. Headers and ranges meet over bins, and whole rows are
+    joined to what has met by equality.
     """
     first, last = new_range(F.col("header"))
-    rows = hunks.withColumn("__s", first).withColumn("__e", last).join(functions, list(keys))
-    rows = rows.withColumn("__hit", F.coalesce((F.col("__e") >= F.col("start_line")) & (F.col("__s") <= F.col("end_line")), F.lit(False)))
-    some = F.max(F.col("__hit").cast("int")).over(Window.partitionBy(*keys, "function"))
-    return rows.withColumn("__some", some).filter("__hit or __some = 0").drop("__s", "__e", "__hit", "__some")
+    spots = hunks.select(*keys, "header", first.alias("__s"), last.alias("__e")).distinct()
+    spans = functions.select(*keys, "function", "start_line", "end_line").distinct()
+    hits = ranges.overlaps(spots, spans, list(keys), ("__s", "__e"), ("start_line", "end_line")).drop("__s", "__e")
+    columns = [*keys, *(c for c in hunks.columns if c not in keys), *(c for c in functions.columns if c not in keys)]
+    met = hunks.join(hits, [*keys, "header"]).join(functions, [*keys, "function", "start_line", "end_line"])
+    bare = functions.join(hits.select(*keys, "function").distinct(), [*keys, "function"], "left_anti")
+    return met.select(*columns).unionByName(hunks.join(bare, list(keys)).select(*columns))

@@ -19,10 +19,16 @@ def outermost(spans: DataFrame, *keys: str, seq: str = "seq") -> DataFrame:
 
 
 def uncovered(inner: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
-    """Declarations that no kept block of two lines or more contains."""
-    wide = kept.filter("end_line > start_line").select(*keys, F.col("start_line").alias("__s"), F.col("end_line").alias("__e"))
-    hit = [inner[k] == wide[k] for k in keys] + [wide["__s"] <= inner["start_line"], inner["end_line"] <= wide["__e"]]
-    return inner.join(wide, hit, "left_anti")
+    """Declarations that no kept block of two lines or more contains.
+
+    One is contained exactly if, of the blocks that begin no later, one ends no earlier: a running
+    maximum over both tables in order of their beginnings, without pairs.
+    """
+    wide = kept.filter("end_line > start_line").select(*keys, "start_line", "end_line", F.lit(0).alias("__own"))
+    rows = inner.withColumn("__own", F.lit(1)).unionByName(wide, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("start_line", "__own").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("__own") == 0, F.col("end_line"))).over(w)
+    return rows.withColumn("__m", reach).filter("__own = 1 and (__m is null or end_line is null or __m < end_line)").select(*inner.columns)
 
 
 def closure(needed: DataFrame, depends: DataFrame) -> DataFrame:

@@ -68,66 +68,97 @@ def clamped_limits(requests: DataFrame, config: DataFrame) -> DataFrame:
     return out.select(*requests.columns)
 
 
-def grep(lines: DataFrame, pattern: Column | str, context: Column | int, *keys: str) -> DataFrame:
+#: Lines of a chunk: what one task sorts of a stream, however long that is.
+CHUNK = 4096
+
+
+def _column(x: Column | int) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def grep(lines: DataFrame, pattern: Column | str, context: Column | int, *keys: str, chunk: int = CHUNK) -> DataFrame:
     """Lines within `context` of a hit, with `hit`, `separator` (a `--` line goes before it) and
     `group`, the line of the hit that emits them.
 
     Each line comes once. A separator stands before the first line of every hit but the first, also
-    between neighbouring hits, unless the line emitted before ends in `--`.
+    between neighbouring hits, unless the line emitted before ends in `--`. Streams are cut into
+    chunks; a hit is told to the chunks that its context reaches, and the last line that a chunk
+    emits to the next one that emits any, so no task sorts a whole stream.
     """
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    rows = lines.withColumn("hit", F.regexp_like("line", pattern if isinstance(pattern, Column) else F.lit(pattern)))
+    number = lambda c: F.floor(c / chunk).cast("long")
+    rows = lines.withColumn("hit", F.regexp_like("line", _column(pattern))).withColumn("__near", _column(context).cast("long")).withColumn("__chunk", number(F.col("line_no")))
+    reach = F.sequence(number(F.col("line_no") - F.col("__near")), number(F.col("line_no") + F.col("__near")))
+    marks = rows.filter("hit").withColumn("__own", F.col("__chunk")).withColumn("__chunk", F.explode(reach)).filter("__chunk <> __own")
+    both = rows.withColumn("__mark", F.lit(False)).unionByName(marks.select(*keys, "line_no", "__chunk", "hit", F.lit(True).alias("__mark")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "__chunk").orderBy("line_no")
     at = F.when(F.col("hit"), F.col("line_no"))
-    rows = rows.withColumn("__last", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("__next", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    kept = rows.filter((F.col("line_no") - F.col("__last") <= context) | (F.col("__next") - F.col("line_no") <= context))
+    both = both.withColumn("__last", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # from behind, since a frame that shrinks is summed anew for every row
+    back = Window.partitionBy(*keys, "__chunk").orderBy(F.desc("line_no"))
+    both = both.withColumn("__next", F.last(at, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    after, before = F.coalesce(F.col("line_no") - F.col("__last") <= F.col("__near"), F.lit(False)), F.coalesce(F.col("__next") - F.col("line_no") <= F.col("__near"), F.lit(False))
     # a hit's group begins with the lines before it that no earlier hit has emitted
-    group = F.when(F.col("hit"), F.col("line_no")).when(F.col("line_no") - F.col("__last") <= context, F.col("__last")).otherwise(F.col("__next"))
-    kept = kept.withColumn("__g", group)
-    change = F.coalesce(F.lag("__g").over(w) != F.col("__g"), F.lit(False))
-    before = F.coalesce(F.endswith(F.lag("line").over(w), F.lit("--")), F.lit(False))
-    return kept.withColumn("separator", change & ~before).withColumn("group", F.col("__g")).select(*lines.columns, "hit", "separator", "group")
+    group = F.when(F.col("hit"), F.col("line_no")).when(after, F.col("__last")).otherwise(F.col("__next"))
+    kept = both.filter(~F.col("__mark") & (after | before)).withColumn("__g", group)
+    said = F.struct(F.col("__g").alias("g"), F.endswith("line", F.lit("--")).alias("dashes"))
+    ends = kept.groupBy(*keys, "__chunk").agg(F.max_by(said, "line_no").alias("__end"))
+    ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__chunk")))
+    kept = kept.withColumn("__prior", F.lag(said).over(w)).join(ends, [*keys, "__chunk"])
+    prior = F.coalesce("__prior", "__end")
+    separator = F.coalesce((prior["g"] != F.col("__g")) & ~prior["dashes"], F.lit(False))
+    return kept.select(*lines.columns, "hit", separator.alias("separator"), F.col("__g").alias("group"))
+
+
+def under_cap(lines: DataFrame, size: Column, cap: Column | int, *keys: str, chunk: int = CHUNK) -> DataFrame:
+    """Lines of the chunks that begin at or before the cap, with __before (bytes of the stream in front), __size and __total.
+
+    Sizes are summed by chunk where they are read, these sums are added up along each stream, and
+    only lines of chunks that a scan reaches before it stops are sorted, each chunk on its own.
+    """
+    rows = lines.withColumn("__size", size.cast("long")).withColumn("__cap", _column(cap).cast("long")).withColumn("__chunk", F.floor(F.col("line_no") / chunk).cast("long"))
+    sums = rows.groupBy(*keys, "__chunk").agg(F.sum("__size").alias("__sum"), F.max("__cap").alias("__limit"))
+    along = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__from", F.coalesce(F.sum("__sum").over(along), F.lit(0))).withColumn("__total", F.sum("__sum").over(Window.partitionBy(*keys)))
+    reached = sums.filter("__from <= __limit").select(*keys, "__chunk", "__from", "__total")
+    inside = Window.partitionBy(*keys, "__chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(reached, [*keys, "__chunk"]).withColumn("__before", F.col("__from") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    return rows.drop("__chunk", "__from")
 
 
-def capped(lines: DataFrame, cap: Column | int, *keys: str, separator: Column | None = None, whole: bool = False) -> DataFrame:
+def capped(lines: DataFrame, cap: Column | int, *keys: str, separator: Column | None = None, whole: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Emitted lines under a byte cap: `out` is what of a line (and its separator) is emitted.
 
     The line at which the cap is reached is cut at that byte, a character cut in two is replaced.
     `truncated` tells for each line whether its stream is longer than the cap. Streams whose lines
     are numbered from 1 without gaps may be given as `whole`: every line has a byte at least, so no
-    line beyond the cap's number is sorted, and sizes are summed before they are shuffled.
+    line beyond the cap's number is shuffled.
     """
-    limit = (cap if isinstance(cap, Column) else F.lit(cap)).cast("long")
-    chunk = F.concat(F.when(separator, F.lit("--\n")).otherwise(F.lit("")) if separator is not None else F.lit(""), "line", F.lit("\n"))
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    size = F.octet_length("__chunk").cast("long")
-    rows = lines.withColumn("__chunk", chunk)
+    emitted = F.concat(F.when(separator, F.lit("--\n")).otherwise(F.lit("")) if separator is not None else F.lit(""), "line", F.lit("\n"))
+    rows = lines.withColumn("__chunk_text", emitted)
+    size = F.octet_length("__chunk_text").cast("long")
     if whole:
-        total = rows.groupBy(*keys).agg(F.sum(size).alias("__total"))
-        rows = rows.filter(F.col("line_no") <= limit).join(total, list(keys)).withColumn("truncated", F.col("__total") > limit).drop("__total")
-    rows = rows.withColumn("bytes_to", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if not whole:
-        rows = rows.withColumn("truncated", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > limit)
-    rows = rows.withColumn("bytes_before", F.col("bytes_to") - F.octet_length("__chunk")).filter(F.col("bytes_before") < limit)
-    cut = F.make_valid_utf8(F.substring(F.col("__chunk").cast("binary"), F.lit(1), (limit - F.col("bytes_before")).cast("int")).cast("string"))
-    return rows.withColumn("out", F.when(F.col("bytes_to") <= limit, F.col("__chunk")).otherwise(cut)).drop("__chunk")
+        total = rows.groupBy(*keys).agg(F.sum(size).alias("__whole"))
+        rows = rows.filter(F.col("line_no") <= _column(cap)).join(total, list(keys))
+    rows = under_cap(rows, size, cap, *keys, chunk=chunk).filter("__before < __cap")
+    rows = rows.withColumn("bytes_before", F.col("__before")).withColumn("bytes_to", F.col("__before") + F.col("__size")).withColumn("truncated", F.col("__whole" if whole else "__total") > F.col("__cap"))
+    cut = F.make_valid_utf8(F.substring(F.col("__chunk_text").cast("binary"), F.lit(1), (F.col("__cap") - F.col("bytes_before")).cast("int")).cast("string"))
+    out = F.when(F.col("bytes_to") <= F.col("__cap"), F.col("__chunk_text")).otherwise(cut)
+    return rows.select(*lines.columns, "bytes_to", "truncated", "bytes_before", out.alias("out"))
 
 
-def output(lines: DataFrame, cap: Column | int, *keys: str, separator: Column | None = None) -> DataFrame:
+def output(lines: DataFrame, cap: Column | int, *keys: str, separator: Column | None = None, chunk: int = CHUNK) -> DataFrame:
     """(keys, text, truncated) of each stream."""
-    rows = capped(lines, cap, *keys, separator=separator)
+    rows = capped(lines, cap, *keys, separator=separator, chunk=chunk)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "out"))), lambda x: x["out"]), "")
     return rows.groupBy(*keys).agg(text.alias("text"), F.bool_or("truncated").alias("truncated"))
 
 
-def hits_before_cap(found: DataFrame, cap: Column | int, *keys: str) -> DataFrame:
+def hits_before_cap(found: DataFrame, cap: Column | int, *keys: str, chunk: int = CHUNK) -> DataFrame:
     """(keys, matched): hits that a scan under a byte cap sees before it stops."""
     size = F.octet_length("line").cast("long") + 1 + F.when(F.col("separator"), 3).otherwise(0)
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    rows = found.withColumn("__b", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # a hit counts once its first chunk is reached; that is its group's first line
-    limit = cap if isinstance(cap, Column) else F.lit(cap)
-    first = rows.groupBy(*keys, "group").agg(F.min("__b").alias("__b"), F.first(limit).alias("__cap"))
+    # a hit counts once its first line is reached; that is its group's first line
+    rows = under_cap(found, size, cap, *keys, chunk=chunk)
+    first = rows.groupBy(*keys, "group").agg(F.min("__before").alias("__b"), F.first("__cap").alias("__cap"))
     return first.groupBy(*keys).agg(F.count_if(F.col("__b") <= F.col("__cap")).alias("matched"))
 
 

@@ -89,7 +89,9 @@ class _Expression:
 
     @staticmethod
     def apply(op: str, a: int, b: int) -> int:
-        if op in ("<<", "**") and (b < 0 or b * max(a.bit_length() if op == "**" else 1, 1) > _LARGEST):
+        if op in ("<<", ">>", "**") and b < 0:
+            raise ValueError("negative")
+        if op in ("<<", "**") and b * max(a.bit_length() if op == "**" else 1, 1) > _LARGEST:
             raise TooLarge
         if op in ("//", "%") and b == 0:
             raise ValueError("zero")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import cparse
 from quillon.functions.text import compact_code, is_symbol
+from quillon.operators import ranges
+from quillon.operators.sweep import nearest_around
 from quillon.sources.schemas import AST_NODE
 
 CONTROL = ("if_statement", "switch_statement", "while_statement", "for_statement", "return_statement")
@@ -71,37 +73,38 @@ def declarations(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("fn_id", "var").agg(F.max_by(F.struct("start_line", "end_line", "code", "ids"), "decl").alias("d")).select("fn_id", "var", "d.*")
 
 
-def entities(nodes: DataFrame) -> DataFrame:
-    """(fn_id, line, name, is_call): symbols by the lines that their nodes span.
+def named_spans(nodes: DataFrame) -> DataFrame:
+    """(fn_id, name, is_call, start_line, end_line): symbols with the lines that give them.
 
-    A call gives its function's names and its arguments' names to every line that it spans.
+    A symbol is given by its own lines; a call gives its function's names and its arguments' names by
+    every line that it spans.
     """
-    calls = nodes.filter("type = 'call_expression'").select("fn_id", F.col("node_id").alias("call"), F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    calls = nodes.filter("type = 'call_expression'").select("fn_id", F.col("node_id").alias("call"), "start_line", "end_line")
     parts = nodes.filter("field in ('function', 'arguments')").select("fn_id", F.col("parent_id").alias("call"), "field", F.col("node_id").alias("lo"), F.col("last_id").alias("hi"))
     spans = calls.join(parts, ["fn_id", "call"])
-    of_calls = identifiers(nodes, spans).select("fn_id", "line", "name", (F.col("field") == "function").alias("is_call"))
-    own = nodes.filter("type = 'identifier'").filter(is_symbol(F.col("text"))).select("fn_id", F.explode(F.sequence("start_line", "end_line")).alias("line"), F.col("text").alias("name"), F.lit(False).alias("is_call"))
+    of_calls = identifiers(nodes, spans).select("fn_id", "name", (F.col("field") == "function").alias("is_call"), "start_line", "end_line")
+    own = nodes.filter("type = 'identifier'").filter(is_symbol(F.col("text"))).select("fn_id", F.col("text").alias("name"), F.lit(False).alias("is_call"), "start_line", "end_line")
     return of_calls.union(own).distinct()
 
 
+def entities(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(fn_id, line, name, is_call): symbols of the lines asked for (fn_id, line), looked up in the lines' ranges that give them."""
+    asked = lines.select("fn_id", "line").distinct()
+    return ranges.stab(asked, named_spans(nodes), ["fn_id"], "line", "start_line", "end_line").select("fn_id", "line", "name", "is_call").distinct()
+
+
 def loose_entities(lines: DataFrame, key: str, line: str) -> DataFrame:
     """(key, name, is_call) of loose statement lines, parsed inside a function of their own."""
     wrapped = F.concat(F.lit("void quillon_loose(void) {\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col(line).alias("t")))), lambda x: x["t"]), "\n"), F.lit("\n}\n"))
     nodes = parse(lines.groupBy(key).agg(wrapped.alias("text")), key)
-    return entities(nodes).filter("name <> 'quillon_loose'").select(F.col("fn_id").alias(key), "name", "is_call").distinct()
+    return named_spans(nodes).filter("name <> 'quillon_loose'").select(F.col("fn_id").alias(key), "name", "is_call").distinct()
 
 
 def anchored(nodes: DataFrame) -> DataFrame:
     """Nodes that give events, with the statement that each belongs to: itself or its nearest ancestor of the kinds that count."""
-    own = nodes.filter(F.col("type").isin(*_OF_PARENT))
-    rank = F.lit(False)
-    over = nodes.select("fn_id", F.col("node_id").alias("a"), F.col("last_id").alias("a_last"), F.col("type").alias("a_type"), F.col("start_line").alias("line"), F.col("end_line").alias("a_end"), F.col("text").alias("a_text"))
-    for kind, anchors in _OF_PARENT.items():
-        rank = rank | ((F.col("type") == kind) & F.col("a_type").isin(*anchors))
-    pairs = own.join(over, "fn_id").filter("a <= node_id and node_id <= a_last").filter(rank | (F.col("a") == F.col("node_id")))
-    good = F.struct(rank.cast("int").alias("g"), "a")
-    best = F.max_by(F.struct("a", "a_last", "line", "a_end", "a_text"), good)
-    return pairs.groupBy("fn_id", "node_id", "last_id", "type", "text").agg(best.alias("s"))
+    own = nodes.filter(F.col("type").isin(*_OF_PARENT)).join(nearest_around(nodes, _OF_PARENT).withColumnRenamed("around", "a"), ["fn_id", "node_id"])
+    over = nodes.filter(F.col("type").isin(*{*ANCHORS, *_OF_PARENT})).select("fn_id", F.col("node_id").alias("a"), F.col("last_id").alias("a_last"), F.col("start_line").alias("line"), F.col("end_line").alias("a_end"), F.col("text").alias("a_text"))
+    return own.join(over, ["fn_id", "a"]).select("fn_id", "node_id", "last_id", "type", "text", F.struct("a", "a_last", "line", "a_end", "a_text").alias("s"))
 
 
 def def_use(nodes: DataFrame, sources: DataFrame, tracked: DataFrame) -> DataFrame:

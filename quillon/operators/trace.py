@@ -57,10 +57,11 @@ def turns(events: DataFrame) -> DataFrame:
     return rows.select("run_id", "seq", "started_at", "completed_at", (F.col("completed_at") - F.col("started_at")).alias("elapsed"), "usage", "usage_json")
 
 
-def comparable_tokens(runs: DataFrame, baseline: str, key: str = "config") -> DataFrame:
-    """input - cached + output + reasoning of every run, and its change against a baseline run in percent."""
+def comparable_tokens(runs: DataFrame, baseline: str | DataFrame, key: str = "config") -> DataFrame:
+    """input - cached + output + reasoning of every run, and its change in percent against a baseline run, named or given as a row with its key."""
     total = runs.withColumn("comparable", F.expr("input_tokens - cached_tokens + output_tokens + reasoning_tokens"))
-    base = total.filter(F.col(key) == baseline).agg(F.max("comparable").alias("__b"))
+    own = total.filter(F.col(key) == baseline) if isinstance(baseline, str) else total.join(baseline.select(key), key, "left_semi")
+    base = own.agg(F.max("comparable").alias("__b"))
     change = F.expr("try_divide(cast(comparable - __b as double) * 100, __b)")
     return total.crossJoin(F.broadcast(base)).withColumn("change_percent", change).drop("__b")
 

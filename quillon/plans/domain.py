@@ -433,8 +433,8 @@ def timing_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def comparable_tokens(spark: SparkSession, sf: str) -> DataFrame:
     runs = table(spark, sf, "events").groupBy(F.concat(F.lit("run"), "user_id").alias("config")).agg(F.sum("event_id").alias("input_tokens"), F.sum(F.col("event_id") % 50).alias("cached_tokens"), F.count("*").alias("output_tokens"), F.count_if(F.col("event_type") == "view").alias("reasoning_tokens"))
-    base = table(spark, sf, "events").agg(F.min("user_id")).first()[0]
-    return trace.comparable_tokens(runs, f"run{base}").select("config", F.col("comparable").cast("long").alias("comparable"), F.round("change_percent", 6).alias("change_percent"))
+    base = table(spark, sf, "events").agg(F.concat(F.lit("run"), F.min("user_id")).alias("config"))
+    return trace.comparable_tokens(runs, base).select("config", F.col("comparable").cast("long").alias("comparable"), F.round("change_percent", 6).alias("change_percent"))
 
 
 @query
@@ -650,7 +650,7 @@ def dangling_aliases(spark: SparkSession, sf: str) -> DataFrame:
     sinks.write_json(config, path)
     read = readers.model_config(spark, path, strict=False)
     known = readers.profile_rows(read).select("name")
-    return models.dangling_aliases(read.select(F.explode("aliases").alias("alias", "target")), known).withColumn("active", F.lit(read.first()["active_profile"]))
+    return models.dangling_aliases(read.select(F.explode("aliases").alias("alias", "target")), known).crossJoin(F.broadcast(read.agg(F.first("active_profile").alias("active"))))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import domain_oracle
+from quillon.plans import domain_oracle, streams
 
 _SIMULATED = """
 WITH v AS (SELECT source AS cve, CAST(doc_id AS VARCHAR) AS "binary",
@@ -75,6 +75,10 @@ _PAIRS = """SELECT {key}, {start} AS started_at, {end} AS completed_at{more} FRO
   SELECT c.*, (SELECT max(p.{order}) FROM {t} p WHERE p.{key} = c.{key} AND p.{order} < c.{order} AND p.{kind} IN ('{a}', '{b}')) AS before FROM {t} c WHERE c.{kind} = '{b}') c
   LEFT JOIN {t} s ON s.{key} = c.{key} AND s.{order} = c.before AND s.{kind} = '{a}'"""
 
+_TIMED = """x AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, epoch_us(ts) // 86400000000 AS day, CAST(round(value * 100) AS BIGINT) AS cents, props FROM events)"""
+_RANGES = """l AS (SELECT l_returnflag AS f, l_linenumber AS n, l_orderkey AS k, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem),
+a AS (SELECT * FROM l WHERE n = 1), b AS (SELECT * FROM l WHERE n = 2)"""
+
 ORACLES: dict[str, str] = {
     "eval_metrics": _metrics(""),
     "eval_metrics_by_source": _metrics("cve"),
@@ -99,6 +103,16 @@ ORACLES: dict[str, str] = {
     "hunk_score_argmax": _SCORES,
     "interval_containment": """WITH i AS (SELECT l_orderkey, l_linenumber AS s, l_linenumber + CAST(floor(l_quantity) AS INTEGER) % 5 AS e, l_partkey AS q FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s - e, s, q) AS k FROM i)
       SELECT l_orderkey, CAST(s AS BIGINT) AS start_line, CAST(e AS BIGINT) AS end_line FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.l_orderkey = a.l_orderkey AND b.k < a.k AND b.s <= a.s AND a.e <= b.e)""",
+    "tokens_within": f"WITH {_TIMED} SELECT event_id, CAST(sum(cents) OVER w AS BIGINT) AS recent, count(*) OVER w AS recent_rows FROM x WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW)",
+    "duration_standing": f"""WITH {_TIMED}, y AS (SELECT *, cents % 300 AS e FROM x) SELECT event_id, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 6) AS percent_rank, round(cume_dist() OVER w, 6) AS cume_dist,
+      ntile(4) OVER (PARTITION BY user_id ORDER BY e, event_id) AS tile, nth_value(e, 2) OVER (PARTITION BY user_id ORDER BY e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second,
+      count(*) OVER (PARTITION BY user_id ORDER BY e GROUPS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM y WINDOW w AS (PARTITION BY user_id ORDER BY e)""",
+    "sketch_rollup": f"""WITH {_TIMED} SELECT event_type, day, count(*) AS n, count(DISTINCT user_id || ' ' || props) AS items, true AS items_close, true AS median_close FROM x GROUP BY GROUPING SETS ((event_type, day), (event_type), (day), ())""",
+    "frequent_items": f"WITH {_TIMED} SELECT event_type, props, count(*) AS n, true AS close FROM x GROUP BY ALL",
+    "stored_results": """WITH x AS (SELECT 'CVE-' || user_id AS cve, event_type AS "binary", event_id AS written, CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE event_id % 3 > 0 OR user_id IN (3, 7, 11))
+      SELECT cve, "binary", max(written) AS written, arg_max(cents, written) AS cents FROM x GROUP BY ALL""",
+    "range_overlaps": f"WITH {_RANGES} SELECT a.f AS l_returnflag, a.k AS a, count(*) AS n, min(b.k) AS least, max(b.k + b.q % 7) AS reach FROM a JOIN b ON a.f = b.f AND a.k <= b.k + b.q % 7 AND b.k <= a.k + a.q GROUP BY ALL",
+    "range_containment": f"WITH {_RANGES} SELECT a.f AS l_returnflag, a.k AS a, count(*) AS n, max(b.k) AS last FROM a JOIN b ON a.f = b.f AND a.k <= b.k AND b.k + b.q % 7 <= a.k + a.q GROUP BY ALL",
     "status_histogram": "SELECT coalesce(nullif(CASE WHEN quality = 0 THEN 'failed' WHEN toxic = 1 THEN '' WHEN quality = 1 THEN 'ok' END, ''), 'unknown') AS value, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "template_render": "SELECT doc_id, coalesce(lang, '') || ' ' || coalesce(source, '') || ': ' || coalesce(source || ' ' || n_chars, '') AS prompt FROM documents",
     "clamp_limits": "SELECT event_id, greatest(1, least(event_id % 9000, 4096)) AS window, greatest(0, least(event_id % 40, 16)) AS context, greatest(1024, least(user_id * 700, 65536)) AS max_output FROM events",
@@ -111,4 +125,4 @@ ORACLES: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | domain_oracle.ORACLES
+    return ORACLES | domain_oracle.ORACLES | streams.ORACLE

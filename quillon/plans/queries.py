@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import jsons, text
-from quillon.operators import attribution, diff, evaluation, intervals, linescan, planning, rollup, trace, verdict
-from quillon.plans import domain
-from quillon.sources.tables import table
+from quillon.operators import attribution, diff, evaluation, frames, intervals, linescan, planning, ranges, rollup, sketches, trace, verdict
+from quillon.plans import domain, streams
+from quillon.sources import store
+from quillon.sources.tables import table, written
+from quillon.streaming.runs import scratch
+from quillon.streaming.windows import instant
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,6 +181,84 @@ def interval_containment(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.outermost(rows, "l_orderkey").select("l_orderkey", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
+def _timed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with microseconds, whole minutes, and a value in cents."""
+    us = F.unix_micros(instant("ts"))
+    return table(spark, sf, "events").select("event_id", "user_id", "event_type", us.alias("us"), F.floor(us / 60_000_000).alias("minute"), F.floor(us / 86_400_000_000).alias("day"), F.round(F.col("value") * 100).cast("long").alias("cents"), "props")
+
+
+@query
+def tokens_within(spark: SparkSession, sf: str) -> DataFrame:
+    """What a user's events of the last six hours add up to, at each of them."""
+    return frames.within(_timed(spark, sf), ["user_id"], "us", "cents", 6 * 3_600_000_000).select("event_id", "recent", "recent_rows")
+
+
+@query
+def duration_standing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frames.standing(_timed(spark, sf).withColumn("elapsed", F.col("cents") % 300), ["user_id"], "elapsed", "event_id")
+    near = frames.near_groups(rows, ["user_id"], "elapsed", 3)
+    ratio = lambda c: F.round(c, 6).alias(c)
+    return near.select("event_id", F.col("dense_rank").cast("long").alias("dense_rank"), ratio("percent_rank"), ratio("cume_dist"), F.col("tile").cast("long").alias("tile"), "second", "near")
+
+
+@query
+def sketch_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches by day and type, merged by type, by day and for all: exact counts, and whether estimates are as near as they state.
+
+    Distinct users and commands (props) within five standard errors, the median's rank within 3 percent.
+    """
+    rows = _timed(spark, sf).withColumn("said", F.concat_ws(" ", "user_id", "props"))
+    stored = written(sketches.summaries(rows, ["event_type", "day"], "said", "cents"))
+    told = sketches.merged(stored, [["event_type", "day"], ["event_type"], ["day"], []], (0.5,)).withColumn("median", F.col("quantiles")[0])
+    each = rows.select("*", F.explode(F.array(F.struct("event_type", "day"), F.struct("event_type", F.lit(None).cast("long").alias("day")), F.struct(F.lit(None).cast("string").alias("event_type"), "day"), F.struct(F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("long").alias("day")))).alias("g"))
+    both = each.select("said", "cents", F.col("g.event_type").alias("t"), F.col("g.day").alias("d")).join(F.broadcast(told), F.expr("t <=> event_type and d <=> day"))
+    exact = both.groupBy("event_type", "day", "n", "distinct_items", "median").agg(F.count_distinct("said").alias("items"), F.count_if(F.col("cents") <= F.col("median")).alias("upto"), F.count_if(F.col("cents") < F.col("median")).alias("below"))
+    close = F.abs(F.col("distinct_items") - F.col("items")) <= F.greatest(F.lit(1), F.col("items") * 0.08)
+    ranked = (F.col("upto") >= F.col("n") * 0.47) & (F.col("below") <= F.col("n") * 0.53)
+    return exact.select("event_type", "day", "n", "items", close.alias("items_close"), ranked.alias("median_close"))
+
+
+@query
+def frequent_items(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each user's commands (props) stand in the events, by merged count-min tables of days: never too low, and near."""
+    rows = _timed(spark, sf)
+    tables = written(sketches.frequencies(rows, ["event_type", "day"], "props"))
+    exact = rows.groupBy("event_type", "props").agg(F.count("*").alias("n"))
+    guess = sketches.estimated(exact, "props", tables, ["event_type"])
+    total = rows.groupBy("event_type").agg(F.count("*").alias("all"))
+    near = (F.col("estimate") >= F.col("n")) & (F.col("estimate") - F.col("n") <= F.col("all") * 2.72 / sketches.WIDTH)
+    return exact.join(guess, ["event_type", "props"]).join(total, "event_type").select("event_type", "props", "n", near.alias("close"))
+
+
+@query
+def stored_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts written in two runs, the second of which touches few CVEs; what the table holds in the end."""
+    rows = table(spark, sf, "events").select(F.concat(F.lit("CVE-"), "user_id").alias("cve"), F.col("event_type").alias("binary"), F.col("event_id").alias("written"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    path = scratch(spark)
+    store.upsert(path, rows.filter("written % 3 > 0"), parts=64)
+    store.upsert(path, rows.filter("written % 3 = 0 and cve in ('CVE-3', 'CVE-7', 'CVE-11')"), parts=64)
+    return store.load(spark, path).drop("part")
+
+
+def _order_ranges(spark: SparkSession, sf: str, line: int, name: str, length: str) -> DataFrame:
+    """Ranges of order keys: a third of them and more stand under one flag."""
+    rows = table(spark, sf, "lineitem").filter(F.col("l_linenumber") == line)
+    return rows.select("l_returnflag", F.col("l_orderkey").alias(name), F.col("l_orderkey").alias(f"{name}_low"), (F.col("l_orderkey") + F.expr(length)).alias(f"{name}_high"))
+
+
+@query
+def range_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _order_ranges(spark, sf, 1, "a", "cast(l_quantity as int)"), _order_ranges(spark, sf, 2, "b", "cast(l_quantity as int) % 7")
+    met = ranges.overlaps(a, b, ["l_returnflag"], ("a_low", "a_high"), ("b_low", "b_high"))
+    return met.groupBy("l_returnflag", "a").agg(F.count("*").alias("n"), F.min("b").alias("least"), F.max("b_high").alias("reach"))
+
+
+@query
+def range_containment(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _order_ranges(spark, sf, 1, "a", "cast(l_quantity as int)"), _order_ranges(spark, sf, 2, "b", "cast(l_quantity as int) % 7")
+    return ranges.containing(b, a, ["l_returnflag"], ("b_low", "b_high"), ("a_low", "a_high")).groupBy("l_returnflag", "a").agg(F.count("*").alias("n"), F.max("b").alias("last"))
+
+
 @query
 def status_histogram(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -235,4 +316,4 @@ def progress_ordinals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | domain.QUERIES
+    return QUERIES | domain.QUERIES | streams.QUERIES
