@@ -26,8 +26,11 @@ from quillon.llm.common import materialise
 #: opens the share OPEN of all leaves, LEAST at least, which nearly isotropic vectors need for a recall of 0.9.
 #: LEAF is a leaf's size in the table; the sample's leaves are smaller by its share, so trees deepen with the table.
 TREES, LEAF, OPEN, LEAST, SAMPLE, SEED = 10, 128, 0.1, 64, 65536, 9
+#: Leaves of a tree (twice as many at most) and numbers of the sample, at most: a query carries a bit for each leaf and every task
+#: holds all splits, so neither may grow with the table. Recall rests on the share of leaves, not on their size.
+LEAVES, SAMPLE_NUMBERS = 1024, 8_000_000
 #: Numbers (rows times width) and rows of a block, at most, and queries that a task compares with it at once.
-BLOCK, BLOCK_ROWS, CHUNK = 4_000_000, 65_536, 128
+BLOCK, BLOCK_ROWS, CHUNK = 8_000_000, 131_072, 64
 
 
 @dataclass
@@ -68,7 +71,7 @@ def fit_tree(sample: np.ndarray, leaf: int, seed: int) -> Tree:
         if parent >= 0:
             (right if is_right else left)[parent] = me
     dim = sample.shape[1] if sample.size else 1
-    return Tree(np.array(normals).reshape(-1, dim), np.array(offsets), np.array(left, int), np.array(right, int), leaves)
+    return Tree(np.array(normals, np.float32).reshape(-1, dim), np.array(offsets), np.array(left, int), np.array(right, int), leaves)
 
 
 def leaves_of(tree: Tree, vectors: np.ndarray) -> np.ndarray:
@@ -99,6 +102,12 @@ def probes(forest: list[Tree], v: np.ndarray, count: int) -> list[tuple[int, int
     return out
 
 
+def scale_of(*groups: np.ndarray) -> float:
+    """A power of two that brings the largest component near 1 where squares could overflow or vanish, else 1."""
+    top = max((float(np.abs(g).max(initial=0)) for g in groups), default=0.0)
+    return 1.0 if top == 0 or 1e-140 < top < 1e140 else float(2.0 ** -np.frexp(top)[1].clip(-1000, 1000))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the vectors that can take part: finite, not null, not zero."""
     v = F.col(vector_col)
@@ -137,10 +146,11 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES
     few = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     held = materialise(few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
     count = held.count()
-    share = min(1.0, 0.95 * SAMPLE / count)
+    share = min(1.0, 0.95 * min(SAMPLE, SAMPLE_NUMBERS // width) / count)
     picked = held.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("id", "v").toArrow().sort_by("id")
     sample = picked["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(picked.num_rows, -1)
-    forest = [fit_tree(sample, max(2, int(leaf * share)), SEED * 1000 + i) for i in range(trees)]
+    scale = scale_of(sample)
+    forest = [fit_tree(sample * scale, max(2, int(leaf * share), -(-len(sample) // LEAVES)), SEED * 1000 + i) for i in range(trees)]
     known = spark.sparkContext.broadcast(forest)
     ends = np.concatenate([[0], np.cumsum([t.leaves for t in forest])])
     opening = max(LEAST, int(np.ceil(opened * ends[-1])))
@@ -150,7 +160,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = _matrix(b["v"])
-            leaves = np.stack([ends[t] + leaves_of(tree, x) for t, tree in enumerate(known.value)], axis=1) if len(b) else []
+            leaves = np.stack([ends[t] + leaves_of(tree, x * scale) for t, tree in enumerate(known.value)], axis=1) if len(b) else []
             yield pd.DataFrame({"block": b["block"], "id": b["id"], "v": b["v"], "leaves": [r.astype(np.int32).tobytes() for r in leaves], "q": False})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +168,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES
             out = []
             for v in b["v"]:
                 bits = np.zeros(ends[-1], bool)
-                bits[[ends[t] + n for t, n in probes(known.value, np.asarray(v, float), opening)]] = True
+                bits[[ends[t] + n for t, n in probes(known.value, np.asarray(v, float) * scale, opening)]] = True
                 out.append(np.packbits(bits).tobytes())
             yield pd.DataFrame({"id": b["id"], "v": b["v"], "leaves": out})
 
@@ -196,8 +206,12 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES
 
 
 def _nearest(asks: np.ndarray, q: np.ndarray, opened: list[bytes], ids: np.ndarray, x: np.ndarray, leaves: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest members of each query's leaves; a rough matrix product picks those measured exactly."""
-    out = []
+    """The k nearest members of each query's leaves; a rough matrix product picks those measured exactly.
+
+    Huge or tiny components are brought near 1 by a power of two first, which changes no distance.
+    """
+    out, scale = [], scale_of(q, x)
+    q, x = q * scale, x * scale
     norms = np.einsum("ij,ij->i", x, x)
     for at in range(0, len(q), CHUNK):
         some = q[at : at + CHUNK]
@@ -211,7 +225,7 @@ def _nearest(asks: np.ndarray, q: np.ndarray, opened: list[bytes], ids: np.ndarr
             own = rough[i, member]
             edge = np.partition(own, min(k, len(own)) - 1)[min(k, len(own)) - 1] + slack
             near = member[own <= edge]
-            exact = np.sqrt(((some[i] - x[near]) ** 2).sum(1))
+            exact = np.sqrt(((some[i] - x[near]) ** 2).sum(1)) / scale
             first = np.lexsort((ids[near], exact))[:k]
             out.append(pd.DataFrame({"ask": asks[at + i], "rep": ids[near[first]], "score": exact[first]}))
     return pd.concat(out) if out else pd.DataFrame({"ask": np.empty(0, np.int64), "rep": np.empty(0, np.int64), "score": np.empty(0)})
