@@ -54,19 +54,24 @@ def split_quotas(quotas: np.ndarray, lo: int, hi: int, levels: int, seed: int =
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, source, size, h): words of each text and a hash of the id that fixes the document's place."""
+    """(id, source, size, h): words of each text and a hash of id and text that fixes the document's place.
+
+    A row for each row; null and empty texts have size 0, null ids are told apart by their texts, and
+    an empty table has none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = np.fromiter((len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in b.column(3)), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), b.column(2)], names=["id", "source", "size", "h"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), id_hash(F.col(id_col)).alias("h"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), place_hash(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, source string, size long, h long")
 
 
-def id_hash(document: Column) -> Column:
-    return F.xxhash64(F.lit(SEED), document)
+def place_hash(document: Column, text: Column) -> Column:
+    """Rows of one id, or of none, are cut apart by their texts; only copies of a row share a place."""
+    return F.xxhash64(F.lit(SEED), document, text)
 
 
 def known(df: DataFrame, rows: int) -> DataFrame:
@@ -225,8 +230,8 @@ def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 def plan(docs: DataFrame, shard_words: int = 1_000_000, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id, source, size, source_size, target, draws) of every row; draws holds a (shard, place) for each time it is taken.
 
-    Null sources are a source, last in order; null and empty texts have size 0. Rows that share an
-    id share a place and are taken together; null ids are such an id. A source of no words has
+    Null sources are a source, last in order; null and empty texts have size 0. Rows that share
+    id and text share a place and are taken together, null ids too. A source of no words has
     target 0, and a source whose target whole passes fill has no further draw, not even of texts
     without words. Extra columns do not matter. An empty table gives no rows.
     """
@@ -249,7 +254,7 @@ def mix(docs: DataFrame, shard_words: int = 1_000_000, seed: int = SEED) -> Data
         return docs
     h, d = fresh(docs, "place_hash"), fresh(docs, "draw")
     source = fresh(docs, "source_name")
-    rows = made.drawn(docs.withColumn(h, id_hash(F.col("doc_id"))).withColumn(source, F.col("source").cast("string")), source, h, d)
+    rows = made.drawn(docs.withColumn(h, place_hash(F.col("doc_id"), F.col("text"))).withColumn(source, F.col("source").cast("string")), source, h, d)
     taken = rows.select(*docs.columns, F.explode(f"{d}.draws").alias(d))
     tasks = min(made.shards, WRITERS)
     task = F.floor(F.col(f"{d}.shard").cast("long") * tasks / made.shards).cast("int")

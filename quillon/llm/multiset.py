@@ -101,24 +101,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, fingerprint string")
 
 
-def _bounds(rows: DataFrame, ranges: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, hashes) that part rows (id, h) into about so many ranges, from a sample by hash of EACH rows for each range."""
+def _bounds(rows: DataFrame, ranges: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, hashes, hashes of null ids) that part rows (id, h) into about so many ranges, from a sample by hash of EACH rows for each range."""
     share = min(1.0, EACH * ranges / max(count, 1))
-    some = rows.filter("id is not null").filter(F.pmod(F.xxhash64("id", "h"), F.lit(1 << 30)) < share * (1 << 30))
-    held = some.toArrow()
-    ids, h = held["id"].cast(pa.int64()).to_numpy(), held["h"].to_numpy()
-    order = np.lexsort((h, ids))[EACH - 1 :: EACH] if share < 1 else np.lexsort((h, ids))[:: max(1, len(ids) // ranges)]
-    return ids[order], h[order]
+    held = rows.filter(F.pmod(F.xxhash64("id", "h"), F.lit(1 << 30)) < share * (1 << 30)).toArrow()
+    every = EACH if share < 1 else max(1, held.num_rows // ranges)
+    h, missing = held["h"].to_numpy(), held["id"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+    ids = held["id"].drop_null().cast(pa.int64()).to_numpy()
+    order = np.lexsort((h[~missing], ids))[every - 1 :: every]
+    return ids[order], h[~missing][order], np.sort(h[missing])[every - 1 :: every]
 
 
-def _places(bounds: tuple[np.ndarray, np.ndarray], ids: pa.Array, h: np.ndarray) -> np.ndarray:
-    """The range of each row: 0 for null ids, else by id and, where bounds share the id, by hash."""
+def _places(bounds: tuple[np.ndarray, np.ndarray, np.ndarray], ids: pa.Array, h: np.ndarray) -> np.ndarray:
+    """The range of each row: null ids first, by hash; then by id and, where bounds share the id, by hash."""
     missing = ids.is_null().to_numpy(zero_copy_only=False)
     own = ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
     lo, hi = np.searchsorted(bounds[0], own, "left"), np.searchsorted(bounds[0], own, "right")
-    for i in np.flatnonzero(hi > lo):
+    for i in np.flatnonzero((hi > lo) & ~missing):
         lo[i] += np.searchsorted(bounds[1][lo[i] : hi[i]], h[i], "right")
-    return np.where(missing, 0, 1 + lo).astype(np.int64)
+    return np.where(missing, np.searchsorted(bounds[2], h, "right"), len(bounds[2]) + 1 + lo).astype(np.int64)
 
 
 def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +128,8 @@ def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     A range's last row, marked lent, is a copy of the first row of the next range (the last range's:
     of the first), so that every row's successor stands behind it without a global sort. Ranges grow
     in number with the characters of the table and part the rows of one id, too. A few keys for each
-    range reach the driver, and no text. Rows with null ids come first.
+    range reach the driver, and no text. Rows with null ids come first, in ranges of their own. Ids
+    are integers. A table without rows has none here.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
