@@ -8,17 +8,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import id_remainder
+from quillon.llm.common import id_remainder, materialise
 
+#: Bytes of text, at most, that the documents of part 'fit' bring to the driver.
+FIT_BYTES = 64 << 20
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, fit_rows: int, calibration_rows: int) -> DataFrame:
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, fit_rows: int, calibration_rows: int, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """(id, text, y, part) of labelled documents to learn from.
 
     Only rows whose crc32(doc_id) modulo `modulus` is not `held` count. Part 'fit' has up to
     fit_rows rows of each class; part 'calibrate' up to calibration_rows in their natural mix; the
     parts share no document. Rows of least id hash are taken, so a rerun takes the same. At most
     2 * fit_rows + calibration_rows ids are broadcast. Labels that are null or stand on a null id
-    do not count; a document labelled twice has the lesser label.
+    do not count; a document labelled twice has the lesser label. Where rows repeat a labelled id,
+    that with the text of least hash counts, chosen before rows meet, so an id may stand on any
+    number of rows. Whole texts of part 'fit' are taken in order of the id's hash as long as they stay
+    within `fit_bytes`; one that does not is left out and the next is tried.
     """
     y = F.col(label).cast("int")
     known = labels.select("doc_id", y.alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -27,8 +33,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: i
     parts = [fit.filter(F.col("y") == c).orderBy("h", "doc_id").limit(fit_rows).withColumn("part", F.lit("fit")) for c in (0, 1)]
     parts.append(known.filter("h % 2 <> 0").orderBy("h", "doc_id").limit(calibration_rows).withColumn("part", F.lit("calibrate")))
     ids = parts[0].union(parts[1]).union(parts[2]).select(F.col("doc_id").alias("id"), "y", "part")
-    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(ids), "id")
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    rows = materialise(rows.groupBy("id", "y", "part").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    told = rows.filter("part = 'fit'").select("id", F.octet_length("text").alias("n"), F.xxhash64("id").alias("h")).collect()
+    left, out = fit_bytes, []
+    for r in sorted(told, key=lambda r: (r.h, r.id)):
+        if r.n <= left:
+            left -= r.n
+        else:
+            out.append(r.id)
+    return rows.filter(~((F.col("part") == "fit") & F.col("id").isin(out))) if out else rows
 
 
 def _products(x: np.ndarray) -> np.ndarray:

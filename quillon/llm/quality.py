@@ -92,8 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
     The whole texts of at most FIT_ROWS documents of each class build the dictionaries, those of
     at most CALIBRATION_ROWS others the calibration; null texts count as empty, rows that repeat a
-    labelled id are learnt from each. With no labels of both classes, or an empty table, the model
-    is the smoothed share of good ones.
+    labelled id count once, and fitted texts stay within a budget of bytes (labelled.sample). Ids are
+    integers. With no labels of both classes, or an empty table, the model is the smoothed share of good ones.
     """
     rows = sample(docs, labels, label, MODULUS, HELD, FIT_ROWS, CALIBRATION_ROWS)
 

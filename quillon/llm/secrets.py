@@ -96,8 +96,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", led
     found = materialise(scan(unseen))
     known = found if ledger is None else found.union(seen.select("blob", "spans"))
     empty = F.expr("array()").cast(found.schema["spans"].dataType)
-    fresh = scanned.join(found, "blob", "left").select("blob", F.lit(RULES_VERSION).alias("version"), F.coalesce("spans", empty).alias("spans"))
-    whole = fresh if ledger is None else ledger.select("blob", "version", "spans").union(fresh)
+    added = scanned.join(found, "blob", "left").select("blob", F.lit(RULES_VERSION).alias("version"), F.coalesce("spans", empty).alias("spans"))
+    whole = added if ledger is None else ledger.select("blob", "version", "spans").union(added)
     return paths.join(known, "blob", "left").select("id", "blob", F.coalesce("spans", empty).alias("spans")), whole
 
 

@@ -278,8 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     The network learns from the whole texts of at most FIT_ROWS documents of each class, the
     calibrator from at most CALIBRATION_ROWS others. Null texts count as empty, rows that repeat a
-    labelled id are learnt from each. With no labels of both classes, or an empty table, the model
-    is the smoothed share of toxic ones.
+    labelled id count once, and fitted texts stay within a budget of bytes (labelled.sample). Ids are
+    integers. With no labels of both classes, or an empty table, the model is the smoothed share of toxic ones.
     """
     rows = sample(docs, labels, label, MODULUS, HELD, FIT_ROWS, CALIBRATION_ROWS)
     known = rows.filter("part = 'fit'").select("id", "y", "text").toPandas().sort_values(["id", "text"])
