@@ -16,6 +16,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
+def _solver(path: str) -> Words:
+    """One for each worker process, which keeps its words from task to task."""
+    return Words(path)
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:
     """(key, id, piece, start, length, ids_crc32) of the pieces of every row's text, on request with `ids`.
 
@@ -115,7 +122,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     out = out.add("ids", T.BinaryType()) if ids else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, base = Words(path or vocabulary()), 0, TaskContext.get().partitionId() << 33
+        words, n, base = _solver(path or vocabulary()), 0, TaskContext.get().partitionId() << 33
         for b in batches:
             rows, made = [], []
             for i, text in enumerate(b.column("text")):
