@@ -341,6 +341,17 @@ def results_document(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cve", "binary", "v.status", "v.confidence", F.array_join("v.evidence", "|").alias("evidence"), "v.reasoning")
 
 
+@query
+def results_by_cve(spark: SparkSession, sf: str) -> DataFrame:
+    """Results written as one document for each CVE, some of them once more, and read back."""
+    docs = _docs(spark, sf).filter("source is not null")
+    said = docs.select(F.concat("source", F.lit('"/é')).alias("cve"), F.col("doc_id").cast("string").alias("binary"), F.lit("present").alias("status"), F.lit("low").alias("confidence"), F.array("lang").alias("evidence"), F.concat("lang", F.lit(' "\n')).alias("reasoning"))
+    path = _scratch(spark)
+    sinks.write_results(said, path)
+    sinks.write_results(said.filter("startswith(cve, 'src1')").withColumn("status", F.lit("absent")), path)
+    return readers.results(spark, path).select("cve", "binary", "v.status", F.array_join("v.evidence", "|").alias("evidence"), "v.reasoning")
+
+
 @query
 def document_layout(spark: SparkSession, sf: str) -> DataFrame:
     """The text of a document: two spaces of indent, keys sorted at every depth."""
@@ -758,12 +769,14 @@ def _project(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     return functions, post.union(pre), docs.filter("k <> 6").select(fn, text_.alias("text"))
 
 
-_ANALYSED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_ANALYSED: dict[tuple[str, str, int], dict[str, DataFrame]] = {}
 
 
 def _analysed(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One table of the analysis, which a session does once for all queries that read it."""
-    key = (spark.sparkContext.applicationId, sf)
+    """One table of the analysis, which a session does once for all queries that read it, and again when its input has changed."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    changed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf, changed)
     if key not in _ANALYSED:
         _ANALYSED[key] = analysis.analysed(*_project(spark, sf))
     return _ANALYSED[key][name]

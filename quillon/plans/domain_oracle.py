@@ -142,6 +142,7 @@ ORACLES: dict[str, str] = {
     "behaviour_resume": """SELECT doc_id AS cve, source, CASE WHEN doc_id % 6 = 0 THEN source END AS cause, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 2 THEN 'no JSON object in the answer' WHEN 5 THEN 'no JSON object in the answer' WHEN 3 THEN 'patch_intent_analysis.behavior_changes must be a string list' ELSE 'missing root_cause_analysis or patch_intent_analysis' END AS behavior_analysis_error
       FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)""",
     "results_document": """SELECT source || '"\\é' AS cve, CAST(doc_id AS VARCHAR) AS "binary", 'present' AS status, 'low' AS confidence, lang AS evidence, lang || ' "' || chr(10) AS reasoning FROM documents""",
+    "results_by_cve": """SELECT source || '"/é' AS cve, CAST(doc_id AS VARCHAR) AS "binary", CASE WHEN starts_with(source, 'src1') THEN 'absent' ELSE 'present' END AS status, lang AS evidence, lang || ' "' || chr(10) AS reasoning FROM documents WHERE source IS NOT NULL""",
     "document_layout": """SELECT doc_id, replace('{|  "a": ' || doc_id || ',|  "z": {|    "a": [|      true,|      "' || lang || '"|    ],|    "b": 1|  },|  "é": null|}|', '|', chr(10)) AS text FROM documents""",
     "text_files": "SELECT lang || ' ' || source AS line, count(*) AS n FROM documents GROUP BY 1",
     "answer_schema": "WITH s AS (SELECT ['present', 'absent', 'not_affected', 'inconclusive', 'not_found', 'error'][doc_id % 6 + 1] AS status FROM documents) SELECT status, count(*) AS n, status <> 'error' AS offered FROM s GROUP BY status",

@@ -111,6 +111,13 @@ ORACLES: dict[str, str] = {
     "frequent_items": f"WITH {_TIMED} SELECT event_type, props, count(*) AS n, true AS close FROM x GROUP BY ALL",
     "stored_results": """WITH x AS (SELECT 'CVE-' || user_id AS cve, event_type AS "binary", event_id AS written, CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE event_id % 3 > 0 OR user_id IN (3, 7, 11))
       SELECT cve, "binary", max(written) AS written, arg_max(cents, written) AS cents FROM x GROUP BY ALL""",
+    "pipeline_driver": """WITH c AS (SELECT count(text) AS texts, count(DISTINCT source) FILTER (text IS NOT NULL) + coalesce(max(CASE WHEN text IS NOT NULL AND source IS NULL THEN 1 END), 0) AS sources FROM documents),
+      r AS (SELECT * FROM (VALUES ('whole', 'initial', 0), ('whole', 'analysis', 0), ('whole', 'behaviour', 0), ('whole', 'summary', 0), ('whole', 'extra', 2), ('stops', 'initial', 0), ('stops', 'analysis', 1), ('stops', 'behaviour', 3), ('stops', 'summary', 3), ('stops', 'extra', 3),
+        ('goes on', 'initial', 0), ('goes on', 'analysis', 1), ('goes on', 'behaviour', 4), ('goes on', 'summary', 0), ('goes on', 'extra', 2)) v(run, name, k))
+      SELECT run, name, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'failed' ELSE 'skipped' END AS status, CASE WHEN k < 2 THEN k END AS returncode, CASE WHEN k = 0 THEN CASE name WHEN 'initial' THEN texts WHEN 'summary' THEN 1 ELSE sources END END AS rows,
+        CASE WHEN k > 1 THEN 'skipped' WHEN name = 'behaviour' THEN 'rehearsed' ELSE 'run' END AS mode, CASE k WHEN 2 THEN 'not asked for' WHEN 3 THEN 'an earlier step failed' WHEN 4 THEN 'missing input: analysis' END AS reason FROM r, c""",
+    "colocated_results": """SELECT d.doc_id AS cve, CASE WHEN n_chars % 2 = 0 THEN 'present' ELSE 'absent' END AS said, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN quality = 1 THEN 'present' ELSE 'absent' END END AS expected, user_id AS run
+      FROM documents d LEFT JOIN labels l USING (doc_id) JOIN events ON event_id = d.doc_id""",
     "range_overlaps": f"WITH {_RANGES} SELECT a.f AS l_returnflag, a.k AS a, count(*) AS n, min(b.k) AS least, max(b.k + b.q % 7) AS reach FROM a JOIN b ON a.f = b.f AND a.k <= b.k + b.q % 7 AND b.k <= a.k + a.q GROUP BY ALL",
     "range_containment": f"WITH {_RANGES} SELECT a.f AS l_returnflag, a.k AS a, count(*) AS n, max(b.k) AS last FROM a JOIN b ON a.f = b.f AND a.k <= b.k AND b.k + b.q % 7 <= a.k + a.q GROUP BY ALL",
     "status_histogram": "SELECT coalesce(nullif(CASE WHEN quality = 0 THEN 'failed' WHEN toxic = 1 THEN '' WHEN quality = 1 THEN 'ok' END, ''), 'unknown') AS value, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import jsons, text
 from quillon.operators import attribution, diff, evaluation, frames, intervals, linescan, planning, ranges, rollup, sketches, trace, verdict
-from quillon.plans import domain, streams
+from quillon.plans import domain, steps, streams
 from quillon.sources import store
 from quillon.sources.tables import table, written
 from quillon.streaming.runs import scratch
@@ -240,6 +240,39 @@ def stored_results(spark: SparkSession, sf: str) -> DataFrame:
     return store.load(spark, path).drop("part")
 
 
+@query
+def pipeline_driver(spark: SparkSession, sf: str) -> DataFrame:
+    """Three steps over the documents, as they run whole, fail in the middle, and go on behind a failure."""
+    docs = table(spark, sf, "documents")
+
+    def plan(fails: bool) -> list[steps.Step]:
+        strict = F.when(F.col("n") >= 0, F.raise_error(F.lit("refused")).cast("long")).otherwise(0) if fails else F.col("n")
+        return [
+            steps.Step("initial", lambda t: t["documents"].filter("text is not null").select("doc_id", "source", "n_chars"), ("documents",)),
+            steps.Step("analysis", lambda t: t["initial"].groupBy("source").agg(F.count("*").alias("n")).withColumn("n", strict), ("initial",)),
+            steps.Step("behaviour", lambda t: t["analysis"].filter("n > 1"), ("analysis",), "auto", False, lambda t: t["analysis"].select("source")),
+            steps.Step("summary", lambda t: t["initial"].agg(F.sum("n_chars").alias("chars")), ("initial",)),
+            steps.Step("extra", lambda t: t["initial"], ("initial",), "skip"),
+        ]
+
+    out = None
+    for case, fails, on in (("whole", False, False), ("stops", True, False), ("goes on", True, True)):
+        log, _ = steps.run_steps(spark, plan(fails), {"documents": docs}, scratch(spark), on)
+        rows = log.select(F.lit(case).alias("run"), "name", "status", "returncode", "rows", "mode", F.when(F.col("returncode").isNull(), F.col("reason")).alias("reason"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query
+def colocated_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts, ground truth and tasks in buckets of their CVE, joined without being dealt out again."""
+    verdicts = table(spark, sf, "documents").select(F.col("doc_id").alias("cve"), F.when(F.col("n_chars") % 2 == 0, "present").otherwise("absent").alias("said"))
+    truth = table(spark, sf, "labels").select(F.col("doc_id").alias("cve"), F.when(F.col("quality") == 1, "present").otherwise("absent").alias("expected"))
+    planned = table(spark, sf, "events").select(F.col("event_id").alias("cve"), F.col("user_id").alias("run"))
+    a, b, c = (store.bucketed(t, ["cve"], 16) for t in (verdicts, truth, planned))
+    return a.hint("merge").join(b, "cve", "left").join(c.hint("merge"), "cve").select("cve", "said", "expected", "run")
+
+
 def _order_ranges(spark: SparkSession, sf: str, line: int, name: str, length: str) -> DataFrame:
     """Ranges of order keys: a third of them and more stand under one flag."""
     rows = table(spark, sf, "lineitem").filter(F.col("l_linenumber") == line)

@@ -99,3 +99,10 @@ def connector(spark: SparkSession, kind: str, path: str | None = None, **options
     """Any source that Spark itself reads."""
     reader = spark.read.format(kind).options(**options)
     return reader.load(path) if path else reader.load()
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """(cve, binary, v) of results that write_results() has left, each document read whole."""
+    kind = "map<string,struct<confidence:string,evidence:array<string>,reasoning:string,status:string>>"
+    rows = spark.read.schema("value string, cve string").text(path, wholetext=True)
+    return rows.select("cve", F.explode(F.from_json("value", kind)).alias("binary", "v"))

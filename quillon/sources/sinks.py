@@ -65,6 +65,21 @@ def nested_results(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("cve").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(row)))).alias("json"))
 
 
+def write_results(verdicts: DataFrame, path: str) -> None:
+    """Results in parts: a folder for each CVE with one document in it, its binaries in order.
+
+    Folders of other CVEs at the path stay as they are, and no task holds more than the documents of
+    its share of CVEs, one after the other. The name of a CVE is a part of its path.
+    """
+    rows = nested_results(verdicts).select("cve", document_text(F.col("json")).alias("json"))
+    rows.repartition("cve").sortWithinPartitions("cve").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cve").text(path)
+
+
+def document_text(json: Column) -> Column:
+    """JSON text as document() lays it out, without the last line feed, which the writer sets."""
+    return pretty(json, True)
+
+
 def result_schema() -> dict:
     """JSON Schema of the answer that a judge gives."""
     text = {"type": "string"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillon.operators.verdict import merged
-from quillon.sources.tables import written
+from quillon.sources.tables import shared_dir, written
 
 #: Parts of a table: keys go to parts by hash, so that any number of them makes a bounded number of folders.
 PARTS = 1024
@@ -68,3 +68,18 @@ def load(spark: SparkSession, path: str, schema: StructType | None = None) -> Da
     if schema is not None:
         reader = reader.schema(StructType([*schema.fields, StructField(_PART, IntegerType())]))
     return reader.parquet(path)
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The table, written once in buckets of its keys and sorted in them: tables of as many buckets join and group by these keys where they lie.
+
+    It is dealt out by its keys before it is written, so a bucket is one file, and its folder is one in
+    the shared folder. A key that stands on most rows makes one large bucket: for such tables leave
+    joins to the shuffle, which can split it.
+    """
+    spark, name = df.sparkSession, f"quillon_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    fs, target = _files(spark, path)
+    fs.deleteOnExit(target)
+    return spark.table(name)

@@ -101,3 +101,12 @@ def test_upserts_leave_other_parts_alone(spark, tmp_path):
     assert held() == want and listing(path) == after
     store.upsert(path, spark.createDataFrame([], schema), parts=16)
     assert held() == want
+
+
+def test_buckets_join_where_they_lie(spark):
+    left, right = spark.range(0, 3000).withColumn("k", F.col("id") % 500), spark.range(0, 500).select(F.col("id").alias("k"), (F.col("id") * 7).alias("v"))
+    a, b = store.bucketed(left, ["k"], 8), store.bucketed(right, ["k"], 8)
+    joined = a.hint("merge").join(b.hint("merge"), "k").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("v"))
+    assert sorted(map(tuple, joined.collect())) == [(k, 6, 7 * k) for k in range(500)]
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in left.hint("merge").join(right.hint("merge"), "k")._jdf.queryExecution().executedPlan().toString()
