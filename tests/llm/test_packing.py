@@ -84,9 +84,10 @@ def test_odd_tables(odd, empty):
 def test_sequences_hold_their_documents(odd):
     packed = packing.pack(odd, capacity=64, ids=True)
     got = {r.sequence_id: r for r in packing.sequences(packed).collect()}
+    whole = {i: ids_of(t) for i, t, *_ in odd_rows() if i not in (3, None)}  # ids that stand on one row
     for r in packed.collect():
         own = got[r.sequence_id].ids[r.offset : r.offset + r.length]
-        assert own == ids_of(dict((i, t) for i, t in [(x[0], x[1]) for x in odd_rows()])[r.id])[r.start : r.start + r.length] if r.id != 3 and r.id is not None else len(own) == r.length
+        assert len(own) == r.length and (r.id not in whole or own == whole[r.id][r.start : r.start + r.length])
     assert all(len(s.ids) == sum(s.lengths) <= 64 for s in got.values())
 
 
