@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 from quillon.operators import attribution, diff
+from quillon.plans import oracle
+from quillon.plans import queries as catalogue
+from tests.compare import duck, same
 
 DIFF = """noise
 diff --git a/x.c b/x.c
@@ -54,3 +57,12 @@ def test_exact_ids(spark):
     cves = spark.createDataFrame([("CVE-2014-36", "")], "cve string, commit string")
     paths = spark.createDataFrame([("p/x_CVE-2014-3613_1.diff",)], "path string")
     assert attribution.match_diff_files(cves, paths, "x").first().path and attribution.match_diff_files(cves, paths, "x", exact=True).first().path is None
+
+
+def test_a_first_word_with_a_sign_keeps_its_diff(spark, tmp_path):
+    """The synthetic diffs put the first word into the hunk's header, where a sign before it is no line number."""
+    texts = [(1, "+1 (017) a\nb\nc"), (2, "--x y\nz"), (3, "plain\n\nq")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duck(str(tmp_path))
+    for name in ("diff_parse_lines", "changed_in_range", "hunk_old_new", "hunk_score_argmax"):
+        same(catalogue.QUERIES[name](spark, str(tmp_path)), con, oracle.ORACLES[name])
