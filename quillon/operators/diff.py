@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import ranges
 
 from quillon.operators.linescan import lines_of
+from quillon.sources.tables import written
 
 
 def _path(part: Column, side: str) -> Column:
@@ -116,7 +117,9 @@ def overlapping(hunks: DataFrame, functions: DataFrame, *keys: str) -> DataFrame
     spots = hunks.select(*keys, "header", first.alias("__s"), last.alias("__e")).distinct()
     spans = functions.select(*keys, "function", "start_line", "end_line").distinct()
     hits = ranges.overlaps(spots, spans, list(keys), ("__s", "__e"), ("start_line", "end_line")).drop("__s", "__e")
+    hits = written(hits)  # read twice
     columns = [*keys, *(c for c in hunks.columns if c not in keys), *(c for c in functions.columns if c not in keys)]
-    met = hunks.join(hits, [*keys, "header"]).join(functions, [*keys, "function", "start_line", "end_line"])
-    bare = functions.join(hits.select(*keys, "function").distinct(), [*keys, "function"], "left_anti")
-    return met.select(*columns).unionByName(hunks.join(bare, list(keys)).select(*columns))
+    # no table here has a bound, so none is broadcast
+    met = hunks.join(hits.hint("merge"), [*keys, "header"]).join(functions.hint("merge"), [*keys, "function", "start_line", "end_line"])
+    bare = functions.join(hits.select(*keys, "function").distinct().hint("merge"), [*keys, "function"], "left_anti")
+    return met.select(*columns).unionByName(hunks.join(bare.hint("merge"), list(keys)).select(*columns))

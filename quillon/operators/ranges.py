@@ -39,15 +39,19 @@ def cover(spans: DataFrame, low: str, high: str) -> DataFrame:
 def stab(points: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str, high: str) -> DataFrame:
     """All columns of points and of the spans of equal keys with low <= at <= high; columns must not clash but for the keys.
 
-    Points are looked up at the levels that some span uses, at most twenty and seldom more than four:
-    that list is one row. Give narrow tables: a span has a row for each of its bins. Rows with null
+    Points are looked up at the levels that a span as long as the longest may use, at most twenty and
+    seldom more than four: that list is one row, and costs no look at the bins. Give narrow tables: a span has a row for each of its bins. Rows with null
     keys or bounds match nothing; repeated rows match each on their own.
     """
     binned = cover(spans, low, high)
-    used = binned.agg(F.sort_array(F.collect_set("bin_level")).alias("__levels"))
+    edge = 1 << 59
+    length = F.least(F.col(high).cast("long"), F.lit(edge)) - F.greatest(F.col(low).cast("long"), F.lit(-edge)) + 1
+    levels = f"filter(sequence(0, {_LEVELS - 1}), n -> __l > 0 and (n = 0 or shiftleft(1L, {_BITS} * n) <= __l))"
+    used = spans.agg(F.max(length).alias("__l")).select(F.coalesce(F.expr(levels), F.array().cast("array<int>")).alias("__levels"))
     rows = points.filter(F.col(at).between(-(1 << 59), 1 << 59)).crossJoin(F.broadcast(used)).withColumn("bin_level", F.explode("__levels")).drop("__levels")
     rows = rows.withColumn("bin", F.expr(f"shiftright(cast({at} as bigint), {_BITS} * bin_level)"))
-    return rows.join(binned, [*keys, "bin_level", "bin"]).drop("bin_level", "bin")
+    # neither side has a bound, and a small file may hold many rows: never a broadcast
+    return rows.join(binned.hint("merge"), [*keys, "bin_level", "bin"]).drop("bin_level", "bin")
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:

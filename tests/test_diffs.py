@@ -66,3 +66,15 @@ def test_a_first_word_with_a_sign_keeps_its_diff(spark, tmp_path):
     con = duck(str(tmp_path))
     for name in ("diff_parse_lines", "changed_in_range", "hunk_old_new", "hunk_score_argmax"):
         same(catalogue.QUERIES[name](spark, str(tmp_path)), con, oracle.ORACLES[name])
+
+
+def test_overlaps_are_not_broadcast(spark, tmp_path):
+    """A compressed file of few bytes may hold more rows than a driver; neither hunks nor functions have a bound."""
+    hunks = spark.createDataFrame([("C", "@@ -1,2 +5,3 @@", 1), ("C", "@@ -1 +40 @@", 2), ("D", "@@ -1 +1 @@", 3)], "cve string, header string, n long")
+    functions = spark.createDataFrame([("C", "f", 6, 9), ("C", "g", 100, 110), ("D", "h", 1, 1)], "cve string, function string, start_line int, end_line int")
+    hunks.write.parquet(f"{tmp_path}/hunks")
+    functions.write.parquet(f"{tmp_path}/functions")
+    got = diff.overlapping(spark.read.parquet(f"{tmp_path}/hunks"), spark.read.parquet(f"{tmp_path}/functions"), "cve")
+    assert sorted((r.function, r.n) for r in got.collect()) == [("f", 1), ("g", 1), ("g", 2), ("h", 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
