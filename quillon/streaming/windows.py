@@ -37,12 +37,15 @@ def completions_of(starts: DataFrame, completions: DataFrame, keys: list[str], d
     """Every start (keys, started) with each completion (keys, completed) that follows within a time, or null.
 
     Both sides are streams. The range of times in the condition lets Spark drop starts that nothing
-    can complete any more, which is when their null row is written.
+    can complete any more, which is when their null row is written. A row meets only held rows of
+    its key, so keys are cut into spans of time twice as long as `within`, a fixed length: a start lies
+    in one, a completion in its own and in that of the first start it may complete, if that is another.
     """
-    a = starts.withWatermark("started", delay).alias("a")
-    b = completions.withWatermark("completed", delay).alias("b")
-    on = F.expr(f"b.completed >= a.started and b.completed <= a.started + interval {within}")
+    span = lambda t: F.expr(f"cast(floor(unix_micros({t}) / (2 * unix_micros(timestamp_micros(0) + interval {within}))) as bigint)")
+    a = starts.withWatermark("started", delay).withColumn("__span", span("started")).alias("a")
+    b = completions.withWatermark("completed", delay).withColumn("__span", F.explode(F.sequence(span(f"completed - interval {within}"), span("completed")))).alias("b")
+    on = F.expr(f"a.__span = b.__span and b.completed >= a.started and b.completed <= a.started + interval {within}")
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     b_rest = [F.col(f"b.{c}") for c in completions.columns if c not in keys]
-    return a.join(b, on, "left_outer").select("a.*", *b_rest)
+    return a.join(b, on, "left_outer").select(*(F.col(f"a.{c}") for c in starts.columns), *b_rest)

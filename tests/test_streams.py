@@ -101,3 +101,15 @@ def test_a_run_without_news_changes_nothing(spark, ticks):
     first = sorted(spark.read.parquet(out).collect())
     again()
     assert sorted(spark.read.parquet(out).collect()) == first and len(first) == 2
+
+
+def test_a_row_meets_only_the_span_of_its_key(spark):
+    """Keys of spans of time are in the join: a key's rows of other days are not looked through. A start at a span's end finds what follows it."""
+    rows = [("x", i, s, "a") for i, s in enumerate((0, 59, 60, 119, 120, 239, 100_000))] + [("x", 10 + i, s, "b") for i, s in enumerate((0, 60, 119, 120, 180, 299, 300, 100_060))]
+    events = spark.createDataFrame(rows, "k string, id long, s long, what string").withColumn("t", F.timestamp_seconds("s"))
+    a = events.filter("what = 'a'").select("k", F.col("id").alias("a_id"), F.col("t").alias("started"))
+    b = events.filter("what = 'b'").select("k", F.col("id").alias("b_id"), F.col("t").alias("completed"))
+    joined = windows.completions_of(a, b, ["k"], "10 seconds", "60 seconds")
+    assert "__span" in joined._jdf.queryExecution().optimizedPlan().toString() and joined.columns == ["k", "a_id", "started", "b_id", "completed"]
+    want = sorted((i, j) for _, i, s, p in rows if p == "a" for _, j, e, q in rows if q == "b" and s <= e <= s + 60)
+    assert sorted((r.a_id, r.b_id or 0) for r in joined.collect()) == want
