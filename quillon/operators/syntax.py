@@ -19,15 +19,28 @@ ANCHORS = (*CONTROL, "expression_statement", "declaration", "do_statement")
 _OF_PARENT = {"init_declarator": ("declaration", "expression_statement"), "assignment_expression": ("expression_statement", "declaration"), "update_expression": ("expression_statement", "declaration"), "call_expression": ("expression_statement", "declaration", "return_statement"), "parameter_declaration": ("parameter_declaration",), "declaration": ANCHORS, **{c: CONTROL for c in CONTROL}}
 
 
+#: Nodes that a worker holds before it hands them on; one source's stay together.
+SLICE = 8192
+
+
 def parse(sources: DataFrame, key: str = "fn_id", text: str = "text") -> DataFrame:
     """ast_node rows of C sources; tables of nodes from a fuller parser may be used in its place."""
 
+    columns = ["fn_id", "node_id", "parent_id", "last_id", "type", "field", "start_line", "end_line", "text"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, *r) for k, t in zip(b["k"], b["t"]) for r in cparse.rows(t or "")]
-            yield pd.DataFrame(out, columns=["fn_id", "node_id", "parent_id", "last_id", "type", "field", "start_line", "end_line", "text"])[AST_NODE.names]
-
-    return sources.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(run, AST_NODE)
+            out = []
+            for k, t in zip(b["k"], b["t"]):
+                out += [(k, *r) for r in cparse.rows(t or "")]
+                if len(out) >= SLICE:
+                    yield pd.DataFrame(out, columns=columns)[AST_NODE.names]
+                    out = []
+            yield pd.DataFrame(out, columns=columns)[AST_NODE.names]
+
+    rows = sources.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    # a fixed number of parts: sources are small and costly, so parts by size would leave them to one task
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").mapInPandas(run, AST_NODE)
 
 
 def identifiers(nodes: DataFrame, within: DataFrame) -> DataFrame:

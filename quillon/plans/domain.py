@@ -769,7 +769,7 @@ def _project(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     return functions, post.union(pre), docs.filter("k <> 6").select(fn, text_.alias("text"))
 
 
-_ANALYSED: dict[tuple[str, str, int], dict[str, DataFrame]] = {}
+_ANALYSED: dict[tuple[str, str, int], analysis.Analysis] = {}
 
 
 def _analysed(spark: SparkSession, sf: str, name: str) -> DataFrame:

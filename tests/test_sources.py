@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from quillon.operators import analysis
+from quillon.operators import analysis, syntax
 from quillon.sources import readers, schemas, sinks
 from quillon.streaming import pairing
 
@@ -97,3 +97,22 @@ def test_analysis(spark):
     code = {r.fn: r.code for r in out["code"].collect()}["1"]
     assert code.startswith("int f(int n)\n{") and "if (n > MAX)" in code and code.endswith("}")
     assert [r.path for r in out["hunks"].collect() if r.fn == "1"] == ["s.c"]
+
+
+def test_tables_of_an_analysis_are_made_when_asked_for(spark):
+    functions = spark.createDataFrame([(str(i), "f", "r", "c", "s.c") for i in range(40)], "fn string, function string, repo string, commit string, file string")
+    blobs = spark.createDataFrame([("r", "c", "s.c", POST), ("r", "c^", "s.c", PRE)], schemas.BLOB)
+    out = analysis.analysed(functions, blobs, spark.createDataFrame([(str(i), PATCH) for i in range(40)], "fn string, text string"))
+    assert {r.status for r in out["status"].collect()} == {"ok"}
+    made = set(vars(out))
+    assert "_nodes" in made and not made & {"_inside", "_pre_inside", "_old_names", "events", "pre_events", "edges"}
+    assert sorted(out) == sorted(analysis.Analysis.TABLES)
+
+
+def test_parsing_is_dealt_out_and_sliced(spark, monkeypatch):
+    """Small sources are not left to one task, and a worker hands its nodes on before it has all."""
+    monkeypatch.setattr(syntax, "SLICE", 10)
+    sources = spark.createDataFrame([(str(i), POST) for i in range(64)], "fn_id string, text string").coalesce(1)
+    nodes = syntax.parse(sources)
+    assert nodes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert nodes.groupBy("fn_id").count().select("count").distinct().count() == 1 and nodes.select("fn_id").distinct().count() == 64
