@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "run_id string, id string, started_us long, completed_us long, outcome string"
-_COLUMNS = ["run_id", "id", "started_us", "completed_us", "outcome"]
+_Out = Row("run_id", "id", "started_us", "completed_us", "outcome")
 
 
 class Commands(StatefulProcessor):
@@ -32,12 +31,12 @@ class Commands(StatefulProcessor):
     def _due(self, started: int) -> int:
         return -(-(started + self.timeout) // 1000)  # timers count milliseconds
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        batch = pd.concat(rows).sort_values(["time_us", "seq"])
-        held = self.open.get() if self.open.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        batch = sorted((r["time_us"], r["seq"] is None, r["seq"], r["phase"]) for r in rows)
+        held = self.open.get()
         before = started = held[0] if held else None
         out = []
-        for time, phase in zip(batch["time_us"].tolist(), batch["phase"].tolist()):
+        for time, _, _, phase in batch:
             if phase == "start":
                 if started is not None:
                     self._replace(started, before)
@@ -46,7 +45,7 @@ class Commands(StatefulProcessor):
                 if started is not None and time - started > self.timeout:
                     self._replace(started, before)
                     started = None
-                out.append((*key, started, time, "unpaired" if started is None else "completed"))
+                out.append(_Out(*key, started, time, "unpaired" if started is None else "completed"))
                 if started is not None and started == before:
                     self.handle.deleteTimer(self._due(started))
                 started = None
@@ -56,7 +55,7 @@ class Commands(StatefulProcessor):
         elif started != before:
             self.open.update((started,))
             self.handle.registerTimer(self._due(started))
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"started_us": "Int64", "completed_us": "Int64"})
+        yield from out
 
     def _replace(self, started: int, before: int | None) -> None:
         """A start that can no longer be completed waits for its timer."""
@@ -64,7 +63,7 @@ class Commands(StatefulProcessor):
         if started != before:
             self.handle.registerTimer(self._due(started))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()
         starts = [r[0] for r in self.replaced.get()] if self.replaced.exists() else []
         gone, left = [s for s in starts if self._due(s) <= now], [(s,) for s in starts if self._due(s) > now]
@@ -73,11 +72,12 @@ class Commands(StatefulProcessor):
                 self.replaced.put(left)
             else:
                 self.replaced.clear()
-        if self.open.exists() and self._due(self.open.get()[0]) <= now:
-            gone.append(self.open.get()[0])
+        held = self.open.get()
+        if held and self._due(held[0]) <= now:
+            gone.append(held[0])
             self.open.clear()
-        out = [(*key, s, None, "timed out") for s in sorted(gone)]
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"started_us": "Int64", "completed_us": "Int64"})
+        for s in sorted(gone):
+            yield _Out(*key, s, None, "timed out")
 
     def close(self) -> None:
         pass
@@ -92,4 +92,4 @@ def paired_commands(events: DataFrame, time: str, delay: str, timeout_us: int) -
     """
     rows = events.withWatermark(time, delay)
     rows = rows.select(F.coalesce("run_id", F.lit("")).alias("run_id"), F.coalesce("id", F.lit("")).alias("id"), "seq", "phase", time, F.unix_micros(time).alias("time_us"))
-    return rows.groupBy("run_id", "id").transformWithStateInPandas(statefulProcessor=Commands(timeout_us), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("run_id", "id").transformWithState(statefulProcessor=Commands(timeout_us), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")

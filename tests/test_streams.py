@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillon.streaming import commands, runs, windows
@@ -113,3 +114,24 @@ def test_a_row_meets_only_the_span_of_its_key(spark):
     assert "__span" in joined._jdf.queryExecution().optimizedPlan().toString() and joined.columns == ["k", "a_id", "started", "b_id", "completed"]
     want = sorted((i, j) for _, i, s, p in rows if p == "a" for _, j, e, q in rows if q == "b" and s <= e <= s + 60)
     assert sorted((r.a_id, r.b_id or 0) for r in joined.collect()) == want
+
+
+def test_a_key_costs_one_read_of_its_open_start():
+    """Rows, not frames, of a key: a pair in one batch reads the open start once and touches no other state."""
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    class Handle(State):
+        def getValueState(self, *a):  # noqa: N802
+            return State()
+
+        getListState = getValueState  # noqa: N815
+
+    worker = commands.Commands(1000)
+    worker.init(Handle())
+    rows = [Row(time_us=20, seq=2, phase="complete"), Row(time_us=10, seq=1, phase="start")]
+    assert [tuple(r) for r in worker.handleInputRows(("r", "x"), iter(rows), None)] == [("r", "x", 10, 20, "completed")]
+    assert calls == ["get"]
