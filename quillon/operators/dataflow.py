@@ -59,15 +59,17 @@ def sinks(old_names: DataFrame, old_lines: DataFrame, found: DataFrame) -> DataF
     Names on removed lines that have events; where a function has none of these, variables of
     events on removed lines; else variables whose statement stands in the removed text.
     """
-    by_name = found.select("fn", "var").distinct().join(old_names.select("fn", F.col("name").alias("var")).distinct(), ["fn", "var"])
-    by_line = found.join(old_lines.select("fn", F.col("ln").alias("line")).distinct(), ["fn", "line"], "left_semi").select("fn", "var").distinct()
-    text = old_lines.groupBy("fn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", "content"))), lambda x: x["content"]), " ").alias("t"))
-    text = text.withColumn("t", F.trim(F.regexp_replace("t", "\\s+", " ")))
-    inside = (F.coalesce("stmt_code", F.lit("")) != "") & F.contains("t", F.col("stmt_code"))
-    by_text = found.join(text, "fn").filter(inside).select("fn", "var").distinct()
-    every = by_name.withColumn("tier", F.lit(0)).union(by_line.withColumn("tier", F.lit(1))).union(by_text.withColumn("tier", F.lit(2)))
-    least = F.min("tier").over(Window.partitionBy("fn"))
-    return every.withColumn("__m", least).filter("tier = __m").select("fn", "var")
+    names = old_names.groupBy("fn").agg(F.collect_set("name").alias("__names"))
+    lines = old_lines.groupBy("fn").agg(
+        F.collect_set(F.col("ln").cast("long")).alias("__lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", "content"))), lambda x: x["content"]), " ").alias("__t")
+    )
+    # what a function's removed lines say is one row, so events are dealt out once, by function, and never broadcast
+    said = names.join(lines.hint("merge"), "fn", "full_outer").withColumn("__t", F.trim(F.regexp_replace("__t", "\\s+", " ")))
+    inside = (F.coalesce("stmt_code", F.lit("")) != "") & F.contains("__t", F.col("stmt_code"))
+    tier = F.when(F.array_contains("__names", F.col("var")), 0).when(F.array_contains("__lines", F.col("line").cast("long")), 1).when(inside, 2)
+    rows = found.select("fn", "var", "line", "stmt_code").join(said.hint("merge"), "fn").withColumn("tier", tier).filter("tier is not null")
+    every = rows.groupBy("fn", "var").agg(F.min("tier").alias("tier")).groupBy("fn").agg(F.min("tier").alias("__m"), F.collect_list(F.struct("tier", "var")).alias("__v"))
+    return every.select("fn", F.explode(F.filter("__v", lambda v: v["tier"] == F.col("__m"))).alias("v")).select("fn", "v.var")
 
 
 def edges(found: DataFrame, sink: DataFrame, symbols: DataFrame) -> DataFrame:
