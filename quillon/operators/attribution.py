@@ -14,11 +14,24 @@ MENTION, CALL, CONTEXT, DEFINITION, CODE = 10, 35, 50, 100, 5
 LABELS = ((100, "function_definition_hunk_match"), (50, "function_header_hunk_match"), (1, "function_reference_hunk_match"))
 FALLBACK = "single_code_file_fallback"
 PREFIXES = (12, 10, 8, 7)
+#: declaration_pattern() and call_pattern() with any word for the name; the first `(` parts a declared name from the rest.
+DECLARED = "^\\s*[A-Za-z_][A-Za-z0-9_*\\s]*\\s([A-Za-z0-9_]++)\\s*+\\("
+CALLED = "(?<![A-Za-z0-9_])([A-Za-z0-9_]++)\\s*+\\("
+
+
+def _content(line: Column) -> Column:
+    """A hunk's line without its sign."""
+    return F.when(F.substring(line, 1, 1).isin(" ", "+", "-"), F.substring(line, 2, 1_000_000_000)).otherwise(line)
+
+
+def _words(text: Column) -> Column:
+    """Runs of letters, digits and underscores of ASCII; as a negated class the same costs tenfold."""
+    return F.split(text, "\\W+")
 
 
 def line_score(line: Column, header: Column, name: Column) -> Column:
     """What a hunk's line says about a function; a hunk's score is the greatest of its lines'."""
-    content = F.when(F.substring(line, 1, 1).isin(" ", "+", "-"), F.substring(line, 2, 1_000_000_000)).otherwise(line)
+    content = _content(line)
     signed = F.substring(line, 1, 1).isin("+", "-")
     # a search for the bare name spares most lines the patterns
     inside, named = F.contains(content, name), F.contains(header, name)
@@ -31,11 +44,40 @@ def line_score(line: Column, header: Column, name: Column) -> Column:
     )
 
 
+def named_in(line: Column, header: Column, is_header: Column, plain: Column, odd: Column) -> Column:
+    """Array of (function, score): what a hunk's line, or its header, says about functions; those it does not name may lack.
+
+    `plain` names are words alone, so a line is read once for its words, however many functions
+    there are; `odd` ones are searched one by one with line_score().
+    """
+    content, signed = _content(line), F.substring(line, 1, 1).isin("+", "-")
+    called = F.contains(line, F.lit("("))  # spares most lines two patterns
+    defined = F.when(called & signed, F.array(F.regexp_extract(content, DECLARED, 1)))
+    scored = lambda names, score: F.transform(names, lambda n: F.struct(n.alias("function"), score(n).alias("score")))
+    said = lambda words, score: scored(F.array_intersect(F.coalesce(words, F.array().cast("array<string>")), plain), lambda _: F.lit(score))
+    bare = F.when(is_header, F.lit("")).otherwise(line)
+    return F.concat(
+        F.when(is_header, said(_words(hunk_context(header)), CONTEXT)).otherwise(
+            F.concat(said(defined, DEFINITION), said(F.when(called, F.regexp_extract_all(content, F.lit(CALLED), 1)), CALL), said(_words(content), MENTION))
+        ),
+        scored(odd, lambda n: line_score(bare, header, n)),
+    )
+
+
 def block_scores(diff_blocks: DataFrame, functions: DataFrame, key: str = "cve") -> DataFrame:
-    """(key, function, file_ord, path, score) of every function against every file of its diff."""
-    line = F.when(F.col("is_header"), F.lit("")).otherwise(F.col("line"))
-    said = F.when(F.col("hunk_ord") > 0, line_score(line, F.col("header"), F.col("function"))).otherwise(0)
-    seen = diff_blocks.join(functions, key).groupBy(key, "function", "file_ord").agg(F.max(said).alias("score"), F.first("path").alias("path"))
+    """(key, function, file_ord, path, score) of every function against every file of its diff.
+
+    A key's functions come to a line as one row, and only those that the line names leave it; the
+    line that opens a file stands for all others.
+    """
+    plain = F.regexp_like("function", F.lit("^[A-Za-z0-9_]+\\z"))
+    names = functions.groupBy(key).agg(F.collect_set(F.struct("function")).alias("__all"), F.collect_set(F.when(plain, F.col("function"))).alias("__plain"), F.collect_set(F.when(~plain, F.col("function"))).alias("__odd"))
+    named = named_in(F.col("line"), F.col("header"), F.col("is_header"), F.col("__plain"), F.col("__odd"))
+    none = F.transform("__all", lambda f: F.struct(f["function"].alias("function"), F.lit(0).alias("score")))
+    said = F.when(F.col("hunk_ord") > 0, named).when(F.col("is_header"), none)
+    rows = diff_blocks.select(key, "file_ord", "hunk_ord", "path", "header", "is_header", "line").join(names, key)
+    # a file's path is one, and as a key it keeps the sums hashed
+    seen = rows.select(key, "file_ord", "path", F.inline(said)).groupBy(key, "function", "file_ord", "path").agg(F.max("score").alias("score"))
     code = (F.col("score") > 0) & is_code_path(F.col("path"))
     return seen.withColumn("score", F.when(code, F.col("score") + CODE).otherwise(F.col("score")))
 

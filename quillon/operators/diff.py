@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import ranges
 
-from quillon.operators.linescan import lines_of
+from quillon.operators.linescan import lines_of, split_lines
 from quillon.sources.tables import written
 
 
@@ -15,26 +17,39 @@ def _path(part: Column, side: str) -> Column:
     return F.when(F.startswith(part, F.lit(side)), F.substring(part, 3, 1_000_000)).otherwise("")
 
 
+def _parts(rows: DataFrame, opens: Callable[[Column], Column], order: str, head: bool = False) -> DataFrame:
+    """One row for each part of `__lines`, which begins with a line that `opens` it: its lines, its place `__at` and `order` from 0.
+
+    What stands before the first such line is a part with `head` and goes without it.
+    """
+    found = F.filter(F.transform("__lines", lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("__from", F.concat(F.array(F.lit(0)), found) if head else found)
+    end = lambda k: F.coalesce(F.try_element_at("__from", k + 2), F.size("__lines"))
+    parts = F.transform("__from", lambda i, k: F.struct((F.col("__at") + i).alias("at"), F.slice("__lines", i + 1, end(k) - i).alias("lines")))
+    rows = rows.select(*(c for c in rows.columns if c not in ("__lines", "__at", "__from")), F.posexplode(parts).alias(order, "__part"))
+    return rows.withColumn("__at", F.col("__part.at")).withColumn("__lines", F.col("__part.lines")).drop("__part")
+
+
 def blocks(diffs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """Diff lines with file_ord and hunk_ord (from 1; hunk 0 is a file's head), old_path and new_path.
 
     `diff --git` opens a file, `@@ ` a hunk; lines before the first file go. `header` is a hunk's
-    first line, and `is_header` marks it.
+    first line, and `is_header` marks it. A diff is taken apart within its row, so nothing is
+    shuffled or sorted.
     """
-    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines_of(diffs, text, *keys)
-    opens = F.startswith("line", F.lit("diff --git "))
-    rows = rows.withColumn("file_ord", F.sum(opens.cast("int")).over(w)).filter("file_ord > 0")
-    in_file = Window.partitionBy(*keys, "file_ord").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    heads = F.startswith("line", F.lit("@@ "))
-    rows = rows.withColumn("hunk_ord", F.sum(heads.cast("int")).over(in_file))
-    rows = rows.withColumn("__d", F.first(F.when(opens, F.col("line")), ignorenulls=True).over(in_file)).withColumn("__p", F.split(F.trim("__d"), "\\s+"))
+    opens = lambda line: F.startswith(line, F.lit("diff --git "))
+    heads = lambda line: F.startswith(line, F.lit("@@ "))
+    rows = diffs.select(*keys, split_lines(text).alias("__lines"), F.lit(0).alias("__at"))
+    rows = _parts(rows, opens, "file_ord").withColumn("file_ord", F.col("file_ord").cast("long") + 1)
+    rows = rows.withColumn("__p", F.split(F.trim(F.col("__lines")[0]), "\\s+"))
     enough = F.size("__p") >= 4
-    rows = rows.withColumn("old_path", F.when(enough, _path(F.col("__p")[2], "a/")).otherwise("")).withColumn("new_path", F.when(enough, _path(F.col("__p")[3], "b/")).otherwise(""))
-    in_hunk = Window.partitionBy(*keys, "file_ord", "hunk_ord").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("header", F.when(F.col("hunk_ord") > 0, F.first("line").over(in_hunk)))
+    rows = rows.withColumn("old_path", F.when(enough, _path(F.col("__p")[2], "a/")).otherwise("")).withColumn("new_path", F.when(enough, _path(F.col("__p")[3], "b/")).otherwise("")).drop("__p")
     path = F.when(F.col("new_path") != "/dev/null", F.col("new_path")).otherwise(F.col("old_path"))
-    return rows.withColumn("path", path).withColumn("is_header", heads | opens).drop("__d", "__p")
+    rows = _parts(rows.withColumn("path", path), heads, "hunk_ord", head=True).withColumn("hunk_ord", F.col("hunk_ord").cast("long"))
+    rows = rows.withColumn("header", F.when(F.col("hunk_ord") > 0, F.col("__lines")[0]))
+    columns = [*keys, "file_ord", "hunk_ord", "old_path", "new_path", "header", "path"]
+    rows = rows.select(*columns, "__at", F.posexplode("__lines").alias("__n", "line")).withColumn("line_no", F.col("__at") + F.col("__n") + 1)
+    return rows.select(*columns, "line", "line_no", (opens(F.col("line")) | heads(F.col("line"))).alias("is_header"))
 
 
 def hunk_context(header: Column) -> Column:

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from quillon.functions.text import clamp
 
 
+def split_lines(text: Column | str) -> Column:
+    """The lines of a text; a line feed at the end opens no line."""
+    parts = F.split(text, "\n")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def lines_of(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, line_no from 1, line) of texts; a line feed at the end opens no line."""
-    parts = F.split(text, "\n")
-    cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return df.select(*keys, F.posexplode(cut).alias("__n", "line")).withColumn("line_no", F.col("__n") + 1).drop("__n")
+    return df.select(*keys, F.posexplode(split_lines(text)).alias("__n", "line")).withColumn("line_no", F.col("__n") + 1).drop("__n")
 
 
 def symbol_ranges(symbols: DataFrame, window: Column | int, *keys: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quillon.operators import attribution, diff
 from quillon.plans import oracle
 from quillon.plans import queries as catalogue
@@ -53,6 +55,43 @@ def test_attribution_scores(spark):
     }
 
 
+NAMES = ("get", "set_x", "x", "operator+", "a::b", "naïve", "", "do it", "absent", "get", None)
+
+
+def test_a_line_is_read_once_for_all_names(spark):
+    """Plain names come from a line's words, odd ones by search: the same scores as every pair of a line and a name gives."""
+    said = [
+        "get(1)", " get(1)", "+get", "+int get (void)", "+int *get(void)", "-int\tget  (", "+struct s get(int (*x)(int))", " int get(void)", "+ (get)", "+forget(x)", "+getx get_ 9get", "-static a::b (c)", "+T operator+ (T)",
+        " f(set_x (2))", "+naïve x(", "+unnaïve get\u00e9(", "+do it (now)", "+a * x (", "", "+", "-- get", "+ x\t\u2028(",
+    ]
+    heads = ["@@ -1 +1 @@ int set_x(void)", "@@ -1 +1 @@", "@@ get -1 +1 @@ operator+ a::b", "@@ -1 +1"]
+    texts = [(f"C{i}", f"noise\ndiff --git a/e.c b/e.c\nindex get\ndiff --git a/{i}.c b/{i}.c\n{heads[i % 4]}\n{x}\n@@ -9 +9 @@\n{said[i - 1]}\n") for i, x in enumerate(said)]
+    blocks = diff.blocks(spark.createDataFrame(texts, "cve string, text string"), "cve")
+    names = spark.createDataFrame([(f"C{i}", n) for i in range(len(said)) for n in NAMES], "cve string, function string")
+    scores = attribution.block_scores(blocks, names)
+    pair = F.when(F.col("hunk_ord") > 0, attribution.line_score(F.when(F.col("is_header"), "").otherwise(F.col("line")), F.col("header"), F.col("function"))).otherwise(0)
+    pairs = blocks.join(names, "cve").groupBy("cve", "function", "file_ord", "path").agg(F.max(pair).alias("s")).withColumn("s", F.when(F.col("s") > 0, F.col("s") + attribution.CODE).otherwise(0))
+    want = sorted(map(str, pairs.select("cve", "function", "file_ord", "path", "s").collect()))
+    assert want == sorted(map(str, scores.select("cve", "function", "file_ord", "path", F.col("score").alias("s")).collect()))
+    assert len({r.score for r in scores.collect()}) == 5
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan  # lines times functions are not sorted by their paths
+
+
+def test_diffs_are_taken_apart_in_place(spark):
+    """Files, hunks and line numbers of a diff need no other row, so nothing is dealt out or sorted."""
+    text = "\n".join(["noise", "@@ no hunk", "diff --git a/x.c b/x.c", "--- a/x.c", "@@ -1 +1 @@ f", "+a", "", "@@ -5 +5 @@", "diff --git a/o.c /dev/null", "@@ -1 +0,0 @@", "-b", "", ""])
+    rows = diff.blocks(spark.createDataFrame([("C", text), ("D", ""), ("E", None), ("F", "diff --git a b\n")], "cve string, text string"), "cve")
+    got = [(r.cve, r.line_no, r.file_ord, r.hunk_ord, r.header, r.path, r.is_header) for r in rows.orderBy("cve", "line_no").collect()]
+    first, second = "@@ -1 +1 @@ f", "@@ -5 +5 @@"
+    assert got == [
+        ("C", 3, 1, 0, None, "x.c", True), ("C", 4, 1, 0, None, "x.c", False), ("C", 5, 1, 1, first, "x.c", True), ("C", 6, 1, 1, first, "x.c", False), ("C", 7, 1, 1, first, "x.c", False), ("C", 8, 1, 2, second, "x.c", True),
+        ("C", 9, 2, 0, None, "", True), ("C", 10, 2, 1, "@@ -1 +0,0 @@", "", True), ("C", 11, 2, 1, "@@ -1 +0,0 @@", "", False), ("C", 12, 2, 1, "@@ -1 +0,0 @@", "", False), ("F", 1, 1, 0, None, "", True),
+    ]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
 def test_exact_ids(spark):
     cves = spark.createDataFrame([("CVE-2014-36", "")], "cve string, commit string")
     paths = spark.createDataFrame([("p/x_CVE-2014-3613_1.diff",)], "path string")
