@@ -10,17 +10,19 @@ Bins that stay open are dealt out anew and searched again among those of other b
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,75 +30,234 @@ from pyspark.sql import types as T
 
 from quillon.llm.common import files_for, materialise
 
-#: Tokens of a sequence, pieces of a block, and bytes of solved words that a worker remembers (it
-#: forgets all beyond that).
-CAPACITY, BLOCK, WORDS = 2048, 32_768, 160 << 20
+#: Tokens of a sequence, pieces of a block, bytes of solved words that a worker remembers (it forgets
+#: all beyond that), and bytes of text that are solved at once.
+CAPACITY, BLOCK, WORDS, SLAB = 2048, 32_768, 160 << 20, 8 << 20
 #: Open bins are dealt out anew until a round saves less than this share of them.
 WORTH = 0.001
-#: The id behind every document.
-END = b"\0\0\0\0"
+#: Bytes of the longest run that is merged beside others of its length, and how many are.
+RUN, RUNS = 32, 8192
 
 
 # -- tokens
 
 
 #: How a byte-level vocabulary writes the bytes that no printable character stands for,
-#: in order, and a word of Latin-1 letters with marks behind it, between which pieces always part.
+#: in order; the kinds of bytes (1: a letter of Latin-1, 2: a digit, 3: a mark) in words whose pieces
+#: part where the kind changes and beside digits; and their lower case.
 _BYTES = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)").fullmatch
-_PROBE = "Der Müller's <|endoftext|>, sagt: \"ÇA VA?!\" 1024 x\u0301 J\u030c \u4e2d\u6587\u00a0\U0001f600..., o'clock."
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))]] = 1
+_KIND[48:58] = 2
+_KIND[[b for b in b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"]] = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[[*range(65, 91), *range(0x80, 0x9F)]] += 32
+_GAP = re.compile(rb"[ \t-\r]").search
+_PROBE = "Der Müller's <|endoftext|>, sagt: \"ÇA VA?!\" 1024 x\u0301 J\u030c \u4e2d\u6587\u00a0\U0001f600..., o'clock. (No. 42b) antidisestablishmentarianism, ÀÉÞß× 99%%"
+#: No pair, the rank of what does not merge, bits that number the places of pairs.
+_EMPTY, _NEVER, _PLACES = np.uint32(0xFFFFFFFF), np.int32(1 << 30), 18
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs, given by where they start and their sizes, end to end."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Merges:
+    """Merging of many byte-level runs at once: in each, the pair of least rank, the first of equals,
+    until none is left."""
+
+    def __init__(self, path: str) -> None:
+        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        known, pairs = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        chars = bytes(range(256)).decode("latin-1").translate(_BYTES)
+        try:
+            self.inner = np.array([known[c] for c in chars], np.int32)
+            self.last = np.array([known[c + "</w>"] for c in chars], np.int32)
+            self.made = np.array([known[a + b] for a, b in pairs], np.int32)
+            keys = [known[a] << 16 | known[b] for a, b in pairs]
+        except KeyError as e:
+            raise ValueError("a vocabulary of another kind than lower-cased byte-level pieces with word ends") from e
+        self.key, self.rank = np.full(1 << _PLACES, _EMPTY), np.full(1 << _PLACES, _NEVER)
+        for r, (key, at) in enumerate(zip(keys, self._place(np.array(keys, np.uint32)).tolist())):
+            while self.key[at] != _EMPTY:
+                at = (at + 1) & ((1 << _PLACES) - 1)
+            self.key[at], self.rank[at] = key, r
+
+    @staticmethod
+    def _place(key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _PLACES)).astype(np.intp)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of pieces."""
+        key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
+        at = self._place(key)
+        found = self.key[at]
+        out = np.where(found == key, self.rank[at], _NEVER)
+        left = np.flatnonzero((found != key) & (found != _EMPTY))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << _PLACES) - 1)
+            found = self.key[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.rank[at[left[hit]]]
+            left = left[~hit & (found != _EMPTY)]
+        return out
+
+    def merged(self, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(columns, their pieces) of runs of one length, which are columns of bytes."""
+        piece = self.inner[runs]
+        piece[-1] = self.last[runs[-1]]
+        rank = self.ranks(piece[:-1].ravel(), piece[1:].ravel()).reshape(len(runs) - 1, runs.shape[1])
+        here = np.arange(runs.shape[1])
+        while len(rank) and len(here):
+            least = rank.min(0)
+            if (over := least == _NEVER).any():
+                yield here[over], piece[:, over]
+                here, piece, rank, least = here[~over], piece[:, ~over], rank[:, ~over], least[~over]
+            upto = np.logical_or.accumulate(rank == least, axis=0)  # from the pair's column on
+            at, n = len(rank) - upto.sum(0), np.arange(len(here))
+            piece = np.where(np.concatenate([np.zeros((1, len(here)), bool), upto[:-1]]), piece[1:], piece[:-1])
+            piece[at, n] = self.made[least]
+            rank = np.where(upto[:-1], rank[1:], rank[:-1])
+            some = np.flatnonzero(at > 0)
+            rank[at[some] - 1, some] = self.ranks(piece[at[some] - 1, some], piece[at[some], some])
+            some = np.flatnonzero(at < len(rank))
+            rank[at[some], some] = self.ranks(piece[at[some], some], piece[at[some] + 1, some])
+        if len(here):
+            yield here, piece
 
 
 class Words(dict):
     """Ids of texts, word by word: pieces of this vocabulary never reach over ASCII white space, nor
-    does its normaliser, so a text's ids are its words' ids in a row. Solved words are remembered."""
+    does its normaliser, so a text's ids are its words' ids in a row. Distinct words of many texts are
+    solved at once; those that only the whole tokenizer can tell are remembered."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[bytes, bytes] = {}
-        self.older: tuple[dict, dict] = ({}, {})  # what was remembered before that
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
         self.held = 0
         if self.ids(_PROBE.encode()) != self._library(_PROBE.encode()):
             raise ValueError("a vocabulary of another kind than lower-cased byte-level pieces with word ends")
 
     def ids(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids; bytes.split() parts at exactly the ASCII gaps."""
-        return b"".join(map(self.__getitem__, text.split()))
+        """Little-endian 32-bit ids of one text."""
+        return self.laid_out(pa.array([text], pa.binary()))[0][:-1].tobytes()
+
+    def laid_out(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of binary texts end to end, 0 behind each, and how many each text has with that."""
+        parts = pc.ascii_split_whitespace(texts.view(pa.string()))
+        flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+        real = pc.greater(pc.binary_length(flat), 0)
+        upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[offsets - offsets[0]]
+        told = flat.filter(real).dictionary_encode()
+        ids, sizes = self.solve(told.dictionary.cast(pa.binary()))
+        ends = upto[1:] + np.arange(len(texts))
+        code = np.full(upto[-1] + len(texts), len(sizes), np.int64)
+        code[np.delete(np.arange(len(code)), ends)] = told.indices.to_numpy(zero_copy_only=False)
+        ids, sizes = np.append(ids, np.uint32(0)), np.append(sizes, 1)
+        own = sizes[code]
+        out = ids[_spread((np.cumsum(sizes) - sizes)[code], own)]
+        return out, np.diff(np.cumsum(own)[ends], prepend=0)
+
+    def solve(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words end to end, and how many each word has."""
+        raw, starts, lengths = _bytes(words)
+        kind, first = _KIND[raw], np.zeros(len(raw), bool)
+        first[starts] = True
+        lead, tail = raw == 0xC3, (raw >= 0x80) & (raw < 0xC0)
+        # a letter of two bytes is whole and begins in its word
+        odd = (kind == 0) | (tail != np.concatenate([[False], lead[:-1]])) | (tail & first)
+        odd[starts + lengths - 1] |= lead[starts + lengths - 1]
+        upto = np.concatenate([[0], np.cumsum(odd)])
+        plain = upto[starts + lengths] == upto[starts]
+        kept = np.repeat(plain, lengths)
+        raw, kind, first = _LOWER[raw[kept]], kind[kept], first[kept]
+        cut = first | (kind == 2)
+        cut[1:] |= kind[1:] != kind[:-1]
+        at = np.flatnonzero(cut)
+        runs = _binary(raw, np.append(at, len(raw))).dictionary_encode()
+        run_ids, run_sizes = self._runs(runs.dictionary)
+        code = runs.indices.to_numpy(zero_copy_only=False)
+        own = run_sizes[code]
+        sizes = np.zeros(len(words), np.int64)
+        if len(at):
+            sizes[plain] = np.add.reduceat(own, np.flatnonzero(first[at]))
+        others = [self[w] for w in words.filter(pa.array(~plain)).to_pylist()]
+        sizes[~plain] = [len(o) // 4 for o in others]
+        out = np.empty(sizes.sum(), np.uint32)
+        told = np.repeat(plain, sizes)
+        out[told] = run_ids[_spread((np.cumsum(run_sizes) - run_sizes)[code], own)]
+        out[~told] = np.frombuffer(b"".join(others), "<u4")
+        return out, sizes
+
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct runs of letters, marks or a digit end to end, and how many each has."""
+        raw, starts, lengths = _bytes(runs)
+        sizes, found = np.zeros(len(runs), np.int64), []
+        for n in range(1, min(RUN, int(lengths.max(initial=0))) + 1):
+            own = np.flatnonzero(lengths == n)
+            for k in range(0, len(own), RUNS):
+                some = own[k : k + RUNS]
+                for here, piece in self.merges.merged(raw[starts[some] + np.arange(n)[:, None]]):
+                    sizes[some[here]] = len(piece)
+                    found.append((some[here], piece))
+        for i in np.flatnonzero(lengths > RUN).tolist():
+            told = raw[starts[i] : starts[i] + lengths[i]].tobytes().decode("latin-1").translate(_BYTES)
+            piece = np.array([t.id for t in self.tokenizer.model.tokenize(told)])
+            sizes[i] = len(piece)
+            found.append((np.array([i]), piece[:, None]))
+        out, before = np.empty(sizes.sum(), np.uint32), np.cumsum(sizes) - sizes
+        for here, piece in found:
+            out[before[here] + np.arange(len(piece))[:, None]] = piece
+        return out, sizes
 
     def __missing__(self, word: bytes) -> bytes:
-        if self.held > WORDS // 2:
-            self.older = (dict(self), self.parts)
+        if self.held > WORDS:
             self.clear()
-            self.parts, self.held = {}, 0
-        ids = self.older[0].get(word)
-        if ids is None:
-            if m := _PLAIN(word):
-                core, marks = m.groups()
-                ids = self._part(core.lower()) + self._part(marks) if marks else self._part(core.lower())
-            else:
-                ids = self._library(word)
-        self[word] = ids
+            self.held = 0
+        ids = self[word] = self._library(word)
         self.held += len(word) + len(ids) + 200
         return ids
 
-    def _part(self, part: bytes) -> bytes:
-        if part in self.parts:
-            return self.parts[part]
-        ids = self.older[1].get(part)
-        if ids is None:
-            told = part.decode() if part.isascii() else part.decode().lower().encode().decode("latin-1").translate(_BYTES)
-            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(told)]).tobytes()
-        self.parts[part] = ids
-        self.held += len(part) + len(ids) + 200
-        return ids
-
     def _library(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a dictionary of words end to end, where each starts, and its length."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(words) else np.empty(0, np.uint8)
+    return raw, ends[:-1] - ends[0], np.diff(ends)
+
+
+def _binary(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie end to end."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _slabs(texts: pa.Array, most: int) -> Iterator[tuple[pa.Array, bool]]:
+    """Binary texts in runs of some `most` bytes; longer ones in parts of their own, cut at gaps.
+
+    With each run comes whether its last text ends there.
+    """
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
+    at = 0
+    while at < len(texts):
+        to = int(np.searchsorted(upto, upto[at] + most, "right")) - 1
+        if to > at:
+            yield texts.slice(at, to - at), True
+        else:
+            text, lo, to = texts[at].as_py(), 0, at + 1
+            while lo < len(text):
+                gap = _GAP(text, lo + most)
+                hi = gap.end() if gap else len(text)
+                yield pa.array([text[lo:hi]], pa.binary()), hi == len(text)
+                lo = hi
+        at = to
+
+
 def vocabulary() -> str:
     """Where the vocabulary is found by default, on whichever machine asks."""
     import public_tokenizers
@@ -110,7 +271,7 @@ def _solver(path: str) -> Words:
     return Words(path)
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, ids: bool = False, slab: int = SLAB) -> DataFrame:
     """(key, id, piece, start, length, ids_crc32) of the pieces of every row's text, on request with `ids`.
 
     A text's ids are followed by id 0; only longer ones are cut, every `capacity` ids. Null and empty
@@ -124,14 +285,23 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n, base = _solver(path or vocabulary()), 0, TaskContext.get().partitionId() << 33
         for b in batches:
-            rows, made = [], []
-            for i, text in enumerate(b.column("text")):
-                told = memoryview(words.ids(text.as_py()) + END)
-                for p, at in enumerate(range(0, len(told), 4 * capacity)):
-                    own = told[at : at + 4 * capacity]
-                    rows.append(i)
-                    made.append((base + n, p, at // 4, len(own) // 4, zlib.crc32(own), *([own.tobytes()] if ids else [])))
-                    n += 1
+            rows, made, i, begun = [], [], 0, []
+            for some, whole in _slabs(b.column("text"), slab):
+                flat, sizes = words.laid_out(some)
+                if begun or not whole:
+                    begun.append(flat if whole else flat[:-1])
+                    if not whole:
+                        continue
+                    flat, begun = np.concatenate(begun), []
+                    sizes = np.array([len(flat)])
+                told, lo = memoryview(flat).cast("B"), 0
+                for size in sizes.tolist():
+                    for p, at in enumerate(range(0, size, capacity)):
+                        own = told[4 * (lo + at) : 4 * (lo + min(at + capacity, size))]
+                        rows.append(i)
+                        made.append((base + n, p, at, len(own) // 4, zlib.crc32(own), *([own.tobytes()] if ids else [])))
+                        n += 1
+                    lo, i = lo + size, i + 1
             key, *rest = zip(*made) if made else [()] * (len(out) - 1)
             own_ids = b.column("id").take(pa.array(rows, pa.int64()))
             arrays = [pa.array(key, pa.int64()), own_ids, *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())))]

@@ -47,6 +47,26 @@ def test_words_are_forgotten(monkeypatch):
     assert len(words) < 60
 
 
+def test_new_words_are_solved_together():
+    rng = random.Random(3)
+    core = ["the", "ing", "é", "À", "ß", "tion", "Q", "zx", "7", "42", "***", "$$", ",", ".", "(", "st", "THE", "ü"]
+    text = " ".join("".join(rng.choices(core, k=rng.randint(1, 9))) for _ in range(5000)) + " " + "Überlang" * 9
+    words = packing.Words(packing.vocabulary())
+    before = len(words)
+    assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == ids_of(text)[:-1]
+    assert len(words) == before  # none went through the tokenizer on its own
+
+
+@pytest.mark.parametrize("text", [b"\x80a a\xc3 \xa9b \xc3\xc3\xa9 \xffx", b"\xc3", b"", b" \n ", b"a\x00b \xc3\xa9\xa9"])
+def test_broken_letters(text):
+    assert np.frombuffer(WORDS.ids(text), "<u4").tolist() == [i for w in text.split() for i in ids_of(w.decode("utf-8", "replace"))[:-1]]
+
+
+def test_long_texts_are_solved_in_parts(odd):
+    want = Counter(packing.pieces(odd).drop("key").collect())
+    assert Counter(packing.pieces(odd, slab=64).drop("key").collect()) == want
+
+
 def checked(got, texts, capacity):
     """Pieces of every text, in order, whole; sequences gapless and within their capacity."""
     want = Counter()
