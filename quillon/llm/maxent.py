@@ -19,8 +19,8 @@ Shards do not depend on how the table is partitioned, so neither do scores.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,8 +48,9 @@ BLOCK, RATE, MINIBATCH = 128, 0.4, 65536
 TAIL, END = 0, 1
 #: History features that each step reads: the last word, the last two, the second last, the third last.
 FEATURES = (4, 3, 2, 1)
-#: Bytes of text that are laid out at once, and words that a counting task holds.
-_SLAB, _FLUSH = 1 << 21, 400_000
+#: Bytes of text that are laid out and that are counted at once, and tokens whose logits are summed
+#: at once (arrays that stay in cache).
+_SLAB, _COUNTED, _SUMMED = 1 << 21, 1 << 23, 2048
 #: Fixed value: the logit of a child that does not exist.
 _NONE = -60.0
 
@@ -59,32 +60,62 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.filter(F.coalesce(id_remainder("doc_id", MODULUS), F.lit(-1)) != HELD)
 
 
-def _words(texts: pa.Array) -> Iterator[list[bytes]]:
-    """Words of texts as words_of() gives them, from the UTF-8 that Arrow holds, a text at a time."""
-    for t in texts.cast(pa.binary()):
-        yield t.as_buffer().to_pybytes().lower().split() if t.is_valid else []
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts end to end, as words_of() gives them, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real), np.diff(upto[offsets])
+
+
+def _slabs(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """Runs of whole texts of about `most` (_SLAB) bytes, one text at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (most or _SLAB))))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def tally(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, kinds, counts): how often each word stands in texts of each kind."""
+    words, lengths = split(texts)
+    told = words.dictionary_encode()
+    distinct, n = told.dictionary.cast(pa.binary()), len(words)
+    if not n:
+        return distinct, np.empty(0, np.int64), np.empty(0, np.int64)
+    # a text's words sorted together, each occurrence by its place
+    bits = [max(1, int(x).bit_length()) for x in (len(distinct), n)]
+    keys = told.indices.to_numpy(zero_copy_only=False).astype(np.uint64)
+    keys <<= np.uint64(bits[1])
+    keys |= np.arange(n, dtype=np.uint64)
+    if len(texts) > 1:
+        keys |= np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(sum(bits)), lengths)
+    keys.sort()
+    place = (keys & np.uint64((1 << bits[1]) - 1)).astype(np.int64)
+    keys >>= np.uint64(bits[1])
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    count, code, doc = np.diff(first, append=n), (keys[first] & np.uint64((1 << bits[0]) - 1)).astype(np.int64), (keys[first] >> np.uint64(bits[0])).astype(np.int64)
+    # the commonest of a text, the first of equals
+    order = np.lexsort((place[first], -count, doc))
+    top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
+    kind = np.zeros(len(texts), np.int64)
+    kind[doc[top]] = [zlib.crc32(w) % KINDS for w in distinct.take(pa.array(code[top])).to_pylist()]
+    sums = np.bincount(kind[doc] * len(distinct) + code, count, KINDS * len(distinct)).astype(np.int64)
+    some = np.flatnonzero(sums)
+    return distinct.take(pa.array(some % len(distinct))), some // len(distinct), sums[some]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(w binary, n, k0.. ) over all rows: each word's count, in all and by kind of document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Counter() for _ in range(KINDS)]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, c in enumerate(held):
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(np.full(len(c), k, np.int32)), pa.array(np.fromiter(c.values(), np.int64, len(c)))], names=["w", "k", "n"])
-                c.clear()
-
         for b in batches:
-            for w in _words(b.column(0)):
-                if w:
-                    own = Counter(w)
-                    held[zlib.crc32(own.most_common(1)[0][0]) % KINDS].update(w)
-                    if sum(map(len, held)) > _FLUSH:
-                        yield from flush()
-        yield from flush()
+            for some in _slabs(b.column(0), _COUNTED):
+                w, kind, n = tally(some)
+                yield pa.RecordBatch.from_arrays([w, pa.array(kind, pa.int32()), pa.array(n)], names=["w", "k", "n"])
 
     rows = docs.select("text").mapInArrow(run, "w binary, k int, n long")
     by = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(KINDS)]
@@ -167,15 +198,6 @@ class Batch:
     rare_in: np.ndarray
 
 
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts end to end, as words_of() gives them, and how many each text has."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
-    flat, offsets = parts.flatten(), parts.offsets.to_numpy()
-    real = pc.greater(pc.binary_length(flat), 0)
-    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
-    return flat.filter(real), np.diff(upto[offsets])
-
-
 def lay_out(voc: Vocabulary, texts: pa.Array) -> Batch:
     size = len(voc.words)
     pad, end = size + (1 << 16), size + (1 << 16) + 1
@@ -218,22 +240,48 @@ def steps(voc: Vocabulary, keys: np.ndarray, place: np.ndarray) -> Iterator[tupl
         yield k, some, rows, node, child[some].astype(np.intp)
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-    """(children, tokens) logits, less their maximum. A child's weights are one row, which stays in cache while tokens look it up."""
-    z = bias.take(node, axis=1)
-    for r in rows:
-        z += weights.take(r, axis=1)
-    z -= z.max(0)
+class Room:
+    """Arrays that are used again and again: memory that is asked for anew each time costs more than what is computed in it."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def of(self, name: str, *shape: int, dtype: type = np.float32) -> np.ndarray:
+        """An array of any content, good until the name is asked for again."""
+        n = math.prod(shape)
+        if name not in self.held or self.held[name].size < n:
+            self.held[name] = np.empty(n, dtype)
+        return self.held[name][:n].reshape(shape)
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], node: np.ndarray, room: Room) -> np.ndarray:
+    """(children, tokens) logits, less their maximum, from (rows, children) weights and (nodes, children) log shares.
+
+    What a token looks up lies together; sums are turned over once they are made.
+    """
+    width = bias.shape[1]
+    z = room.of("z", width, len(node))
+    for lo in range(0, len(node), _SUMMED):
+        at = slice(lo, lo + _SUMMED)
+        n = len(node[at])
+        own, more = room.of("own", n, width), room.of("more", n, width)
+        bias.take(node[at], axis=0, out=own, mode="clip")  # all are in range, and only so is `out` written directly
+        for r in rows:
+            weights.take(r[at], axis=0, out=more, mode="clip")
+            own += more
+        z[:, at] = own.T
+        z[:, at] -= z[:, at].max(0)
     return z
 
 
 def log_shares(voc: Vocabulary, weights: list[np.ndarray], keys: np.ndarray, place: np.ndarray, slab: int = 16384) -> np.ndarray:
     """The natural logarithm of every token's probability given its history, up to a rare word's share of the tail."""
-    out = np.zeros(len(place))
+    out, room = np.zeros(len(place)), Room()
+    weights, bias = [np.ascontiguousarray(w.T) for w in weights], [np.ascontiguousarray(b.T) for b in voc.bias]
     for at in range(0, len(place), slab):
         own = out[at : at + slab]
         for k, some, rows, node, child in steps(voc, keys[:, at : at + slab], place[at : at + slab]):
-            z = _logits(weights[k], voc.bias[k], rows, node)
+            z = _logits(weights[k], bias[k], rows, node, room)
             picked = z[child, np.arange(len(some))]
             own[some] += picked - np.log(np.exp(z, out=z).sum(0))
     return out
@@ -246,34 +294,29 @@ class Learner:
         self.voc, self.w = voc, [w.copy() for w in weights]
         self.power = [np.full(ROWS, 1e-8, np.float32) for _ in weights]
         self.seen = [np.zeros(ROWS, np.float64) for _ in weights]
+        self.bias, self.room = [np.ascontiguousarray(b.T) for b in voc.bias], Room()
 
     def learn(self, keys: np.ndarray, place: np.ndarray) -> None:
         parts = max(1, -(-len(place) // MINIBATCH))
         for lo, hi in zip(len(place) * np.arange(parts) // parts, len(place) * np.arange(1, parts + 1) // parts):
             for k, some, rows, node, child in steps(self.voc, keys[:, lo:hi], place[lo:hi]):
-                g = _logits(self.w[k], self.voc.bias[k], rows, node)
+                turned = self.room.of("turned", *self.w[k].T.shape)
+                turned[:] = self.w[k].T
+                g = _logits(turned, self.bias[k], rows, node, self.room)
                 np.exp(g, out=g)
                 g /= g.sum(0)
                 g[child, np.arange(len(some))] -= 1
-                flat, sums = np.concatenate(rows), np.empty((len(g), ROWS), np.float32)
+                flat, sums = np.concatenate(rows), self.room.of("sums", len(g), ROWS)
+                each = self.room.of("each", len(rows), len(node), dtype=np.float64)
                 for j, own in enumerate(g):
-                    sums[j] = np.bincount(flat, np.tile(own, len(rows)), ROWS)
+                    each[:] = own
+                    sums[j] = np.bincount(flat, each.ravel(), ROWS)
                 self.seen[k] += np.bincount(flat, minlength=ROWS)
                 self.power[k] += np.einsum("ij,ij->j", sums, sums)
                 sums *= RATE / np.sqrt(self.power[k])
                 self.w[k] -= sums
 
 
-def _slabs(texts: pa.Array) -> Iterator[pa.Array]:
-    """Runs of whole texts of about _SLAB bytes, one text at least."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _SLAB)))
-        yield texts.slice(at, to - at)
-        at = to
-
-
 def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
     """Weights after all rounds. Documents go to shards by a hash of id and text, and shards to rounds."""
     spark = docs.sparkSession

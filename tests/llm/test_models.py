@@ -266,3 +266,30 @@ def test_features_gain_on_held_out(scored):
     assert (sum(r.score for r in held) - sum(r.base_score for r in held)) / sum(r.n_tokens for r in held) > 0.05
 
 
+def test_words_are_counted_by_kind():
+    rng = np.random.default_rng(4)
+    texts = [None, "", " \n", "b a a b", "A a\x0bB", *(" ".join(rng.choice(["x", "Y", "y", "zé", "q,"], rng.integers(0, 30))) for _ in range(200)), "tie Tie eit EIT"]
+    want: dict = {}
+    for t in texts:
+        w = words_of(t)
+        if w:
+            own = Counter(w)
+            k = zlib.crc32(own.most_common(1)[0][0]) % maxent.KINDS
+            for x, n in own.items():
+                want[x, k] = want.get((x, k), 0) + n
+    for most in (1, 50, 1 << 20):
+        got: dict = {}
+        for some in maxent._slabs(pa.array(texts, pa.string()), most):
+            for w, k, n in zip(*(x.tolist() for x in maxent.tally(some))):
+                got[w, k] = got.get((w, k), 0) + n
+        assert got == want
+
+
+def test_lookups_by_row_are_sums_in_order():
+    rng = np.random.default_rng(5)
+    weights, bias = rng.standard_normal((50, 21)).astype(np.float32), rng.standard_normal((7, 21)).astype(np.float32)
+    room = maxent.Room()
+    for n in (5000, 3, 4099):  # arrays that are used again hold nothing of before
+        rows, node = [rng.integers(0, 50, n) for _ in range(3)], rng.integers(0, 7, n).astype(np.int32)
+        z = bias[node] + weights[rows[0]] + weights[rows[1]] + weights[rows[2]]
+        assert (maxent._logits(weights, bias, rows, node, room) == (z - z.max(1, keepdims=True)).T).all()
