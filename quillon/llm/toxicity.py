@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ class Lexicon:
 
     @classmethod
     def of(cls, words: list[bytes]) -> Lexicon:
-        word = np.fromiter((zlib.crc32(w) % WORDS for w in words), np.int64, len(words))
+        word = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % WORDS
         spaced = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
         pairs = (spaced[:-1] * 251 + spaced[1:] * 17) % PAIRS
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -91,9 +93,11 @@ class Network:
     def inputs(self, lex: Lexicon) -> np.ndarray:
         """The input vector of every word of a lexicon; row 0 is padding and zero."""
         x = np.zeros((len(lex.word) + 1, DIM), np.float32)
-        if len(lex.word):
-            sums = np.add.reduceat(self.p["pair"][lex.pairs], lex.first[:-1], axis=0)
-            x[1:] = self.p["word"][lex.word] * lex.known[:, None] + sums / np.diff(lex.first)[:, None]
+        for at in range(0, len(lex.word), 1024):  # arrays that stay in cache
+            own = slice(at, at + 1024)
+            first = lex.first[at : at + 1025]
+            sums = np.add.reduceat(self.p["pair"][lex.pairs[first[0] : first[-1]]], first[:-1] - first[0], axis=0)
+            x[at + 1 : at + 1025] = self.p["word"][lex.word[own]] * lex.known[own, None] + sums / np.diff(first)[:, None]
         return x
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -114,6 +118,47 @@ class Network:
             out[:, t] = h
         return out
 
+    def windows(self, g: np.ndarray, ids: np.ndarray, block: int = 1024) -> np.ndarray:
+        """What logits() gives, without anything kept for gradients.
+
+        Windows go by blocks whose arrays stay in cache; a hidden unit's values lie together, and
+        every array is used again at the next word.
+        """
+        tables = [np.ascontiguousarray(g[:, lo : lo + 3 * HIDDEN]) for lo in (0, 3 * HIDDEN)]
+        turned = [np.ascontiguousarray(self.p[k].T) for k in ("fore", "back")]
+        out, length = np.empty(len(ids), np.float32), ids.shape[1]
+        for at in range(0, len(ids), block):
+            words = np.ascontiguousarray(ids[at : at + block].T)
+            n = words.shape[1]
+            s = np.empty((length, 2 * HIDDEN, n), np.float32)
+            rows, x, r, z, new = (np.empty(shape, np.float32) for shape in ((n, 3 * HIDDEN), (3 * HIDDEN, n), (3 * HIDDEN, n), (2 * HIDDEN, n), (HIDDEN, n)))
+            for side, (table, u) in enumerate(zip(tables, turned)):
+                h = np.zeros((HIDDEN, n), np.float32)
+                for t in range(length - 1, -1, -1) if side else range(length):
+                    table.take(words[t], axis=0, out=rows, mode="clip")
+                    x[:] = rows.T
+                    np.matmul(u, h, out=r)
+                    np.add(x[: 2 * HIDDEN], r[: 2 * HIDDEN], out=z)
+                    np.negative(z, out=z)
+                    np.exp(z, out=z)
+                    z += 1
+                    np.reciprocal(z, out=z)
+                    np.multiply(z[HIDDEN:], r[2 * HIDDEN :], out=new)
+                    new += x[2 * HIDDEN :]
+                    np.tanh(new, out=new)
+                    own = s[t, HIDDEN * side : HIDDEN * (side + 1)]
+                    np.subtract(h, new, out=own)
+                    own *= z[:HIDDEN]
+                    own += new
+                    h = own
+            a = np.matmul(self.p["look"], s)
+            a[words == 0] = -30
+            a -= a.max(0)
+            np.exp(a, out=a)
+            a /= a.sum(0)
+            out[at : at + block] = (a * np.matmul(self.p["out"], s)).sum(0) + self.p["level"]
+        return out
+
     def logits(self, g: np.ndarray, ids: np.ndarray, kept: dict | None = None) -> np.ndarray:
         """Scores of windows of word numbers (0 pads) under projected inputs."""
         runs: tuple[list, list] | None = ([], []) if kept is not None else None
@@ -171,6 +216,20 @@ def number(texts: list[list[bytes]]) -> tuple[Lexicon, list[np.ndarray]]:
     return Lexicon.of(list(seen)), ids
 
 
+def number_all(texts: list[str | None]) -> tuple[Lexicon, list[np.ndarray]]:
+    """What number() gives for the words of texts, numbered in Arrow."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    spaced = b"".join(raw).lower().translate(_GAPS)
+    upto = np.cumsum([0, *map(len, raw)]).astype(np.int64)
+    parts = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(upto), pa.py_buffer(spaced)]))
+    flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(flat), 0)
+    at = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[offsets]
+    told = flat.filter(real).dictionary_encode()
+    ids = told.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    return Lexicon.of(told.dictionary.cast(pa.large_binary()).to_pylist()), [ids[a:b] for a, b in zip(at, at[1:])]
+
+
 def windows_of(ids: np.ndarray) -> np.ndarray:
     """All windows of a text, (windows, WINDOW), padded with 0."""
     n = len(starts(len(ids)))
@@ -207,7 +266,7 @@ def train(texts: list[str], y: np.ndarray) -> Network:
             chosen = np.arange(len(wins))
         elif (epoch - WARM) % 2 == 0:  # the highest windows of this epoch and the next
             g = net.project(net.inputs(lex))
-            s = np.concatenate([net.logits(g, wins[i : i + 4096]) for i in range(0, len(wins), 4096)])
+            s = net.windows(g, wins)
             order = np.lexsort((-s, doc))
             place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
             top = order[(place == 0) | ((place == 1) & (label[order] == 0))]
@@ -236,16 +295,16 @@ def train(texts: list[str], y: np.ndarray) -> Network:
     return net
 
 
-def features(net: Network, texts: list[str | None], slab: int = 200_000, block: int = 4096) -> np.ndarray:
+def features(net: Network, texts: list[str | None], slab: int = 800_000, block: int = 4096) -> np.ndarray:
     """(highest window score,) over all windows of whole texts."""
     out = np.empty((len(texts), FEATURES))
     at = 0
     while at < len(texts):
-        part, n = [], 0
-        while at + len(part) < len(texts) and (n < slab or not part):
-            part.append(words_of(texts[at + len(part)]))
-            n += len(part[-1])
-        lex, ids = number(part)
+        part, n = 0, 0
+        while at + part < len(texts) and (n < slab or not part):
+            n += len(texts[at + part] or "") // 6
+            part += 1
+        lex, ids = number_all(texts[at : at + part])
         g = net.project(net.inputs(lex))
         counts = [len(starts(len(x))) for x in ids]
         score, held, rows = [], [], 0
@@ -255,15 +314,12 @@ def features(net: Network, texts: list[str | None], slab: int = 200_000, block:
                 held.append(w[k : k + block])
                 rows += len(held[-1])
                 if rows >= block:
-                    score.append(net.logits(g, np.concatenate(held)))
+                    score.append(net.windows(g, np.concatenate(held)))
                     held, rows = [], 0
         if held:
-            score.append(net.logits(g, np.concatenate(held)))
-        s, lo = np.concatenate(score), 0
-        for k, c in enumerate(counts):
-            out[at + k] = s[lo : lo + c].max()
-            lo += c
-        at += len(part)
+            score.append(net.windows(g, np.concatenate(held)))
+        out[at : at + part, 0] = np.maximum.reduceat(np.concatenate(score), np.cumsum([0, *counts[:-1]]))
+        at += part
     return out
 
 

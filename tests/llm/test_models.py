@@ -293,3 +293,17 @@ def test_lookups_by_row_are_sums_in_order():
         rows, node = [rng.integers(0, 50, n) for _ in range(3)], rng.integers(0, 7, n).astype(np.int32)
         z = bias[node] + weights[rows[0]] + weights[rows[1]] + weights[rows[2]]
         assert (maxent._logits(weights, bias, rows, node, room) == (z - z.max(1, keepdims=True)).T).all()
+
+
+def test_windows_are_scored_as_gradients_see_them():
+    rng = np.random.default_rng(6)
+    texts = [None, "", " .,!", *(" ".join(rng.choice(["Idiot!", "a.b", "zé", "word", "x", "\x1c\ud800"], rng.integers(0, 150))) for _ in range(60))]
+    net = toxicity.Network()
+    net.p["word"] = rng.standard_normal(net.p["word"].shape).astype(np.float32)
+    lex, ids = toxicity.number([toxicity.words_of(t) for t in texts])
+    every, told = toxicity.number_all(texts)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(ids, told)) and len(ids) == len(told)
+    assert all((getattr(lex, k) == getattr(every, k)).all() for k in ("word", "pairs", "first", "known"))
+    g, wins = net.project(net.inputs(lex)), np.concatenate([toxicity.windows_of(x) for x in ids])
+    for block in (7, 1024):
+        assert np.abs(net.windows(g, wins, block) - net.logits(g, wins)).max() < 1e-5
