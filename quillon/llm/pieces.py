@@ -86,7 +86,13 @@ class Model:
         for b, i in enumerate(self.byte.tolist()):
             self.raw[i] = bytes([b])
         # a piece that merging does not give back is in no encoding
-        self.id = {p: i for p, i in self.id.items() if len(p) == 1 or self.merge(p) == [p]}
+        halves = {p: self.last_two(p) for p in self.id if len(p) > 1}
+        self.id = {p: i for p, i in self.id.items() if len(p) == 1 or halves[p]}
+        # pieces whose merges come in the order of scores: none outranks what it is made of (runs of marks may)
+        self.half: dict[str, tuple[str, str]] = {}
+        for p in sorted(self.id, key=len):
+            if len(p) > 1 and all(len(h) == 1 or (h in self.half and self.score[p] < self.score[h]) for h in halves[p]):
+                self.half[p] = halves[p]
         self.reach: dict[str, int] = {}
         for p in self.id:
             self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
@@ -101,10 +107,10 @@ class Model:
 
     # -- the lattice
 
-    def merge(self, s: str) -> list[str]:
-        """Encoding of a short string by merging, which judges pieces and pairs."""
+    def merge(self, s: str, least: int = 1) -> list[str]:
+        """Encoding of a short string by merging, which judges pieces and pairs; ends early at `least` parts."""
         parts, score = list(s), self.score
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 v = score.get(parts[i] + parts[i + 1])
@@ -115,6 +121,33 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def last_two(self, p: str) -> tuple[str, str] | None:
+        """The two parts whose merging ends in a piece of more than one character; None if merging does not give it back."""
+        parts = self.merge(p, 2)
+        return (parts[0], parts[1]) if len(parts) == 2 and p in self.score else None
+
+    def apart(self, p: str, q: str) -> bool:
+        """Whether two pieces that encode to themselves do so side by side: merge(p + q) == [p, q].
+
+        Takes back, the latest merge first, what made the two pieces beside the place where they
+        meet. They part if at no time a merge across that place came before the one taken back; of
+        equal ones the left one comes first.
+        """
+        score, half, bound, right = self.score.get, self.half, NEVER, False
+        if (len(p) > 1 and p not in half) or (len(q) > 1 and q not in half):
+            return self.merge(p + q) == [p, q]
+        while True:
+            v = score(p + q)
+            if v is not None and (v > bound or (right and v == bound)):
+                return False
+            a, b = half.get(p), half.get(q)
+            if a and (not b or score(p) < score(q)):
+                bound, right, p = score(p), False, a[1]
+            elif b:
+                bound, right, q = score(q), True, b[0]
+            else:
+                return True
+
     def follows(self, p: str, q: str) -> bool:
         """Whether q may stand behind p."""
         if p[-1] != MARK and (q[0] == MARK or (p[-1] in self.marks) != (q[0] in self.marks)):
@@ -305,7 +338,7 @@ class Model:
                     if good is None:
                         if len(pairs) >= PAIRS:
                             pairs.clear()
-                        good = pairs[key] = self.merge(w[places[-2] : end]) == [w[places[-2] : at], w[at:end]]
+                        good = pairs[key] = self.apart(w[places[-2] : at], w[at:end])
                     if not good:
                         continue
                 took.append(i)

@@ -247,6 +247,17 @@ def test_likeness_estimates_the_grams_in_common(documents):
     assert np.abs(off).max() < 0.4 and np.abs(off).mean() < 0.08
 
 
+def test_pairs_are_judged_as_merging_does():
+    model = pieces.load(Path(pieces.MODEL).read_bytes())
+    rng, every = random.Random(7), sorted(model.id)
+    pairs = [(rng.choice(every), rng.choice(every)) for _ in range(5000)]
+    cut = rng.sample([p for p in every if len(p) > 2], 3000)
+    pairs += [(p[:k], p[k:]) for p in cut for k in range(1, len(p)) if p[:k] in model.id and p[k:] in model.id]
+    pairs += [("▁" * i, "▁" * j) for i in range(1, 17) for j in range(1, 17) if {"▁" * i, "▁" * j} <= set(every)]
+    told = [model.merge(p + q) == [p, q] for p, q in pairs]
+    assert [model.apart(p, q) for p, q in pairs] == told and 100 < sum(told) < len(told) - 100
+
+
 def test_rows_of_one_id_are_parted(spark, monkeypatch):
     """Half of all rows share an id and some have none: ranges part them, and each row's successor is right."""
     monkeypatch.setattr(multiset, "RANGE", 400)
