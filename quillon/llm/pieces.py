@@ -37,6 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, how far from a cut a word's ends are looked for, and how many solved
 #: words, cut words and judged pairs a worker remembers (it forgets all beyond that).
 CHUNK, LOOK, WORDS, GATES, PAIRS = 4096, 256, 500_000, 100_000, 2_000_000
+#: Fixed value: characters by which the pieces that may begin at a place are told, as _search() asks for them.
+HEAD = 5
 #: Characters beyond which a text's chunks go to several tasks, and characters of such a chunk.
 GIANT, SPAN = 1 << 16, 1 << 14
 MARK = "▁"
@@ -93,9 +95,13 @@ class Model:
         for p in sorted(self.id, key=len):
             if len(p) > 1 and all(len(h) == 1 or (h in self.half and self.score[p] < self.score[h]) for h in halves[p]):
                 self.half[p] = halves[p]
-        self.reach: dict[str, int] = {}
+        # lengths of the pieces that may stand where a string of 2 to HEAD characters does, longest first
+        heads: dict[str, set[int]] = {}
         for p in self.id:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+            heads.setdefault(p[:HEAD], set()).add(len(p))
+            for n in range(2, min(len(p), HEAD)):
+                heads.setdefault(p[:n], set())
+        self.fits = {h: tuple(sorted({1} | own | {n for n in range(2, len(h)) if h[:n] in self.id}, reverse=True)) for h, own in heads.items() if len(h) > 1}
         self.judged: dict[int, bool] = {}
         self.pair: dict[tuple[str, str], bool] = {}
         self.word: dict[str, tuple[int, ...]] = {}
@@ -320,18 +326,19 @@ class Model:
         A place that a sequence reaches is reached by that sequence alone, so a place from which
         the end cannot be reached is never tried twice.
         """
-        get, pairs, n, reach = self.id.get, self.judged, len(w), self.reach
+        get, pairs, n, fits = self.id.get, self.judged, len(w), self.fits.get
         places, took, dead = [0], [], set()
         at, before = 0, -1
         while at < n:
-            for end in range(min(n, at + reach.get(w[at : at + 2], 1)), at, -1):
+            for size in fits(w[at : at + 5]) or fits(w[at : at + 4]) or fits(w[at : at + 3]) or fits(w[at : at + 2]) or _ONE:
+                end = at + size
+                if end > n or end in dead:
+                    continue
                 i = get(w[at:end])
                 if i is None:
-                    if end - at > 1:
+                    if size > 1:
                         continue
                     i = -2
-                if end in dead:
-                    continue
                 if before >= 0 and i >= 0:
                     key = before * 1_000_003 + i
                     good = pairs.get(key)
@@ -419,6 +426,7 @@ def choose(matrices: list[np.ndarray]) -> list[int]:
     return out
 
 
+_ONE = (1,)
 _OPEN = Gate("", 0, [None], np.zeros(1), np.zeros(1))
 
 

@@ -258,6 +258,13 @@ def test_pairs_are_judged_as_merging_does():
     assert [model.apart(p, q) for p, q in pairs] == told and 100 < sum(told) < len(told) - 100
 
 
+def test_heads_tell_all_pieces():
+    model = pieces.load(Path(pieces.MODEL).read_bytes())
+    for p in model.id:
+        told = next((model.fits[h] for h in (p[:n] for n in range(pieces.HEAD, 1, -1)) if h in model.fits), (1,))
+        assert {n for n in range(1, len(p) + 1) if n == 1 or p[:n] in model.id} <= set(told)
+
+
 def test_rows_of_one_id_are_parted(spark, monkeypatch):
     """Half of all rows share an id and some have none: ranges part them, and each row's successor is right."""
     monkeypatch.setattr(multiset, "RANGE", 400)
